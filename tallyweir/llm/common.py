@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,3 +56,20 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(full):
         total[full] = np.add.reduceat(values, offsets[:-1][full], axis=0, dtype=total.dtype)
     return total
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = f"file://{tempfile.gettempdir()}/tallyweir-checkpoints"
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a Parquet table in the shared folder and read again: ends its lineage, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
