@@ -49,6 +49,41 @@ def sliced(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         start = stop
 
 
+_RNG = np.random.default_rng(20240229)
+BYTE_VALUES = _RNG.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+PLACE_VALUES = _RNG.integers(1, 1 << 63, 1 << 16, np.uint64) | np.uint64(1)
+
+
+def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    h = h ^ np.uint64(int(seed) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(flat: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of bytes that are no separators, within one text), the words' first bytes and
+    ends, and each text's offsets in the words. separator: by byte. flat: already folded."""
+    word = ~separator[flat]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    last = word.copy()
+    last[:-1] &= ~word[1:]
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(flat))]
+    first[cuts] = word[cuts]
+    last[cuts - 1] = word[cuts - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends, np.zeros(len(offsets), np.int64)
+    place = np.arange(len(flat), dtype=np.int64)[word] - np.repeat(starts, ends - starts)
+    values = BYTE_VALUES[flat[word]] * (PLACE_VALUES[place & 0xFFFF] + (place >> 16).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    lengths = ends - starts
+    sums = np.add.reduceat(values, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+    return mixed(sums + lengths.astype(np.uint64)), starts, ends, np.searchsorted(starts, offsets)
+
+
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i+1]] along axis 0; an empty segment gives 0."""
     total = np.zeros((len(offsets) - 1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)
