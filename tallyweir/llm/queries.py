@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweir.llm import langid, media, ngram_join, pieces, quality, toxicity
+from tallyweir.llm import langid, media, ngram_join, pieces, quality, repeats, toxicity
 from tallyweir.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op4_ngram_jaccard_join, op5_sentencepiece, op8_toxicity, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_suffix_array_dedup, op4_ngram_jaccard_join, op5_sentencepiece, op8_toxicity, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
