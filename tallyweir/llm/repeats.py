@@ -90,17 +90,19 @@ def suffix_array(flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, grou
         for k in range(8):
             here = np.minimum(at + depth + k, len(wide) - 1)
             word = word << np.uint64(8) | np.where(depth + k < end - at, wide[here], 0).astype(np.uint64)
-        resort = np.lexsort((word, cls[places]))
+        filled = np.clip(left, 0, 8)  # a text's end sorts before a zero byte
+        resort = np.lexsort((filled, word, cls[places]))
         order[places] = order[places][resort]
-        word, c = word[resort], cls[places]
+        word, filled, c = word[resort], filled[resort], cls[places]
         new = np.zeros(len(places), bool)
-        new[1:] = (c[1:] == c[:-1]) & (word[1:] != word[:-1])
+        new[1:] = (c[1:] == c[:-1]) & ((word[1:] != word[:-1]) | (filled[1:] != filled[:-1]))
         if new.any():
             differ = word[1:][new[1:]] ^ word[:-1][new[1:]]
             same = 7 - np.floor(np.log2(np.maximum(differ.astype(np.float64), 1))).astype(np.int64) // 8
             # a double may round a difference up to the next power of two: check the byte
             same = np.where((same < 8) & ((differ >> ((7 - np.minimum(same, 7)).astype(np.uint64) * np.uint64(8))) == 0), same + 1, same)
-            lcp[places[new]] = depth + same
+            same = np.where(differ == 0, 8, same)
+            lcp[places[new]] = depth + np.minimum(same, np.minimum(filled[1:], filled[:-1])[new[1:]])
             fresh = np.zeros(len(cls), np.int64)
             fresh[places[new]] = 1
             boundary = np.concatenate([[0], (cls[1:] != cls[:-1]).astype(np.int64)])
