@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweir.llm import langid, media, ngram_join, pieces, quality, repeats, toxicity
+from tallyweir.llm import decontaminate, htmltext, langid, media, ngram_join, pieces, pii, quality, repeats, toxicity
 from tallyweir.llm.common import table
 
 
@@ -37,6 +37,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.findings(table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,8 +53,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_suffix_array_dedup, op4_ngram_jaccard_join, op5_sentencepiece, op8_toxicity, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_suffix_array_dedup, op4_ngram_jaccard_join, op5_sentencepiece, op6_pii, op7_benchmark_decontamination, op8_toxicity, op9_quality_classifier, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
