@@ -13,9 +13,10 @@ token under every one of them before its intersection is counted.
 3. A set with enough n-grams of its own to fill its prefix has no partner, and is done. The rest ("live" sets) keep
    their shared n-grams: intersections only ever hold those, so pairs are verified without the texts.
 4. Stars: in each prefix token's list every set is paired with the list's leader, pairs are verified, and verified links
-   make components. What then remains are pairs of one list in different components, held against the size filter, the
-   positional filter and the other orders, and verified. No group's pairs are all emitted: members of one component are
-   not compared again.
+   make components. What then remains are sets of one list in different components. Such a set first meets the other
+   component as a whole: if it shares too little with all its sets together, it is similar to none. Where it shares
+   enough, it meets the sets that pass the size filter, the positional filter and the other orders, and those pairs are
+   verified. No group's pairs are all emitted.
 
 Pairs are verified in tiles of a bounded number of sets; components come from alternating stars in Spark. Nothing that
 grows with the input is collected or broadcast; the frequent n-grams are 65,536 at most.
@@ -263,25 +264,25 @@ def postings(live: DataFrame, percent: int) -> DataFrame:
     return live.select("sig", "n", "alone", "tokens", "classes").mapInArrow(run, "token long, sig long, n int, place int")
 
 
-def verified(pairs: DataFrame, live: DataFrame, n_live: int, percent: int) -> DataFrame:
-    """The pairs (a: hub, b) that share prefix n-grams under all orders and are similar. Each tile gets a bounded part of the sets."""
+def verified(pairs: DataFrame, hubs: DataFrame, others: DataFrame, n_live: int, percent: int, bound: bool = False) -> DataFrame:
+    """The pairs (a: a hub, b) that share prefix n-grams under all orders and are similar. Each tile gets a bounded part of the sets.
+
+    With `bound` hubs are unions of components, n the size of their smallest set: pairs stay whose second set may be
+    similar to a set in the component, as it shares enough with all of them together.
+    """
     tiled = pairs.withColumn("tile", F.pmod(F.xxhash64("a"), F.lit(max(1, n_live // TILE_HUBS))) * max(1, n_live // TILE_OTHERS) + F.pmod(F.xxhash64("b", F.lit(1)), F.lit(max(1, n_live // TILE_OTHERS))))
-    wanted = tiled.select("tile", F.col("a").alias("sig")).union(tiled.select("tile", F.col("b").alias("sig"))).distinct()
-    none = F.lit(None)
-    parts = wanted.join(live, "sig").select("tile", "sig", none.cast("long").alias("b"), "n", "alone", "tokens", "classes").union(
-        tiled.select("tile", F.col("a").alias("sig"), "b", none.cast("int"), none.cast("int"), none.cast("binary"), none.cast("binary"))
-    )
+    null = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
+    sent = [tiled.select("tile", F.col(c).alias("sig")).distinct().join(sets, "sig").select("tile", F.lit(side).alias("side"), "sig", *null("long"), "n", "alone", "tokens", "classes") for side, c, sets in ((0, "a", hubs), (1, "b", others))]
+    parts = sent[0].union(sent[1]).union(tiled.select("tile", F.lit(2).alias("side"), "a", "b", *null("int", "int", "binary", "binary")))
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
-        sets, asked = {}, []
-        for sig, b, n, alone, tokens, classes in zip(*(got.column(c).to_pylist() for c in ("sig", "b", "n", "alone", "tokens", "classes"))):
-            if b is None:
-                sets[sig] = [n, alone, np.frombuffer(tokens, "<u8"), np.frombuffer(classes, "u1"), None]
+        sides: list[dict[int, list]] = [{}, {}]
+        asked: dict[int, list[int]] = {}
+        for _, side, sig, b, n, alone, tokens, classes in zip(*(c.to_pylist() for c in got.columns)):
+            if side == 2:
+                asked.setdefault(sig, []).append(b)
             else:
-                asked.append((sig, b))
-        others: dict[int, list] = {}
-        for a, b in asked:
-            others.setdefault(a, []).append(b)
+                sides[side][sig] = [n, alone, np.frombuffer(tokens, "<u8"), np.frombuffer(classes, "u1") if classes is not None else None, None]
 
         def orders(s: list) -> list:
             if s[4] is None:
@@ -289,12 +290,14 @@ def verified(pairs: DataFrame, live: DataFrame, n_live: int, percent: int) -> Da
             return s[4]
 
         good = []
-        for a, bs in others.items():
-            x = sets[a]
+        for a, bs in asked.items():
+            x = sides[0][a]
             for b in bs:
-                y = sets[b]
-                least = -(-percent * (x[0] + y[0]) // (100 + percent))
-                if min(len(x[2]), len(y[2])) < least or not all(common(p, q) for p, q in zip(orders(x), orders(y))):
+                y = sides[1][b]
+                least = overlap(max(x[0], needed(y[0], percent)) if bound else x[0], y[0], percent)
+                if min(len(x[2]), len(y[2])) < least:
+                    continue
+                if not bound and not all(common(p, q) for p, q in zip(orders(x), orders(y))):
                     continue
                 if common(x[2], y[2]) >= least:
                     good.append((a, b))
@@ -303,6 +306,30 @@ def verified(pairs: DataFrame, live: DataFrame, n_live: int, percent: int) -> Da
     return parts.groupBy("tile").applyInArrow(run, "a long, b long")
 
 
+def unions(members: DataFrame) -> DataFrame:
+    """(sig: label, n, alone, tokens, classes) for the sets (label, n, tokens) of each component; added up per batch first."""
+    schema = "sig long, n int, tokens binary"
+
+    def joined(labels: list, sizes: list, tokens: list) -> pa.Table:
+        of: dict[int, list] = {}
+        for label, n, t in zip(labels, sizes, tokens):
+            own = of.setdefault(label, [n, []])
+            own[0] = min(own[0], n)
+            own[1].append(np.frombuffer(t, "<u8"))
+        rows = [(label, n, np.unique(np.concatenate(t)).tobytes()) for label, (n, t) in of.items()]
+        columns = list(zip(*rows)) if rows else [(), (), ()]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["sig", "n", "tokens"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from joined(*(c.to_pylist() for c in batch.columns)).to_batches()
+
+    def whole(key: tuple, got: pa.Table) -> pa.Table:
+        return joined(*(got.column(c).to_pylist() for c in ("sig", "n", "tokens")))
+
+    return members.select("label", "n", "tokens").mapInArrow(part, schema).groupBy("sig").applyInArrow(whole, schema).select("sig", "n", F.lit(0).alias("alone"), "tokens", F.lit(None).cast("binary").alias("classes"))
+
+
 def common(x: np.ndarray, y: np.ndarray) -> int:
     """How many elements two sorted arrays of distinct elements share."""
     if len(x) > len(y):
@@ -339,19 +366,32 @@ def links(live: DataFrame, percent: int) -> DataFrame:
     n_live = live.count()
     lists = cut(postings(live, percent), "postings")
     fits = lambda n, m: (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
-    # several leaders by token, so that more than one set of a large list draws its neighbours
     leaders = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), F.col("sig").alias("a"), F.col("n").alias("m"))).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", "l.a", "l.m")
     stars = lists.join(leaders, "token").where("sig <> a").where(fits("n", "m")).select("a", F.col("sig").alias("b")).distinct()
-    edges = cut(verified(stars, live, n_live, percent), "star-links")
-    labels = cut(connected(edges), "labels")
-    own = lists.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed_lists = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    own = cut(own.join(mixed_lists, "token", "left_semi"), "own")
-    x = own.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    y = own.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
+    edges = cut(verified(stars, live, live, n_live, percent), "star-links")
+    labels = connected(edges)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    own = lists.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")).join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    several = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    own = cut(own.join(several, "token", "left_semi").select("token", "sig", "n", "place", "label", "size"), "own")
+
+    # a set of the smaller component against the larger component as a whole
+    x = own.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), (F.col("n") - F.col("place")).alias("reach"), F.col("label").alias("of"), F.col("size").alias("of_size"))
+    whole = own.groupBy("token", "label", "size").agg(F.max(F.col("n") - F.col("place")).alias("reaches"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    smaller = (F.col("of_size") < F.col("size")) | ((F.col("of_size") == F.col("size")) & (F.col("of") < F.col("label")))
+    least = F.col("m") + F.greatest(F.col("lo"), F.col("m") * percent / 100)
+    near = (F.col("hi") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("lo") * percent) & (F.least("reach", "reaches") * (100 + percent) >= least * percent)
+    asked = cut(x.join(whole, "token").where((F.col("of") != F.col("label")) & smaller & near).select(F.col("label").alias("a"), "b").distinct(), "set-component")
+    members = live.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    together = unions(members.join(asked.select(F.col("a").alias("label")).distinct(), "label", "left_semi"))
+    maybe = cut(verified(asked, together, live, n_live, percent, bound=True), "maybe")
+
+    # then against its sets
+    x = own.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")).join(maybe.withColumnRenamed("a", "label"), "b")
+    y = own.select("token", "label", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
     reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # what the sets can share from this n-gram on
-    rest = x.join(y, (x.token == y.token) & (F.col("la") < F.col("lb")) & fits("na", "nb") & (reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
-    more = verified(rest.select("a", "b").distinct(), live, n_live, percent)
+    rest = x.join(y, ["token", "label"]).where(fits("na", "nb") & (reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
+    more = verified(rest.select("a", "b").distinct(), live, live, n_live, percent)
     return connected(edges.union(more))
 
 
