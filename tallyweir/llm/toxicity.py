@@ -293,6 +293,22 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("key", key)
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose whole text scores below the threshold, with all columns; a null text is clean."""
+    key, i = model.key, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(key)
+        weights, intercept = np.array(key[3]), key[4]
+        limit = math.log(threshold / (1 - threshold))
+        for batch in batches:
+            for part in sliced(batch, text):
+                rows = np.array([describe(t or "", table) for t in part.column(i).to_pylist()])
+                yield part.filter(pa.array(rows @ weights + intercept < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column, modulus: int = 5, remainder: int = 0):
     return id_remainder(column, modulus) == F.lit(remainder)
 
