@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Seeds are three words of a benchmark item, side by side or with a gap of one, so that single replaced words leave some.
-A first pass counts the documents that have each seed; every item keeps its rare ones: those up to RARE times its median
-count, and its FEWEST rarest in any case, so a passage that was copied everywhere keeps seeds too. A second pass joins
+A first pass counts the documents that have each seed; every item keeps its rare ones. A seed is too common if more than
+COMMON of all documents have it, and more than RARE times as many as have the item's median seed that occurs at all, so
+a passage that was copied everywhere keeps its seeds. A second pass joins
 documents to items through these seeds, puts windows around the hits, and aligns item and window by words: a match
 scores 2, a replacement or a gap costs 1. The score is the best local alignment over that of the whole item; from
 `threshold` on the document holds the item, where seven words at least (or the whole item) match.
@@ -31,7 +32,7 @@ from tallyweir.llm.common import flat_utf8, mixed, sliced, word_hashes
 #: Bytes of benchmark text in a block, which is collected and broadcast.
 BLOCK_BYTES = 4 << 20
 THRESHOLD, LEAST_SCORE = 0.35, 14
-RARE, FEWEST = 3, 8
+RARE, COMMON = 3, 0.01
 SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 CELLS = 1 << 21
 BITS = 22
@@ -112,7 +113,7 @@ def _indexed(ids: list, words: list[np.ndarray], seeds: list[np.ndarray]) -> Blo
     return Block(ids, words, unique, np.append(starts, len(flat)), owner[order])
 
 
-def rare_block(block: Block, counts: dict[int, int]) -> Block:
+def rare_block(block: Block, counts: dict[int, int], documents: int) -> Block:
     """The block with the rare seeds of each item only."""
     df = np.array([counts.get(int(s), 0) for s in block.seeds.view(np.int64)], np.int64)
     of: dict[int, list[int]] = defaultdict(list)
@@ -122,10 +123,9 @@ def rare_block(block: Block, counts: dict[int, int]) -> Block:
     kept = [np.zeros(0, np.uint64)] * len(block.ids)
     for i, ks in of.items():
         k = np.array(ks)
-        k = k[np.lexsort((block.seeds[k], df[k]))]
-        rare = df[k] <= RARE * max(1, int(np.median(df[k])))
-        rare[:FEWEST] = True
-        kept[i] = block.seeds[k[rare]]
+        seen = df[k][df[k] > 0]
+        most = max(COMMON * documents, RARE * np.median(seen)) if len(seen) else 0
+        kept[i] = block.seeds[k[df[k] <= most]]
     return _indexed(block.ids, block.words, kept)
 
 
@@ -211,7 +211,7 @@ def found_in(block: Block, words: np.ndarray, at: np.ndarray, threshold: float)
 
 
 def seed_counts(rows: DataFrame, block) -> DataFrame:
-    """(seed, rows): documents that have each seed."""
+    """(seed, rows): documents that have each seed, and all under a null seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = block.value
@@ -222,7 +222,7 @@ def seed_counts(rows: DataFrame, block) -> DataFrame:
                 pairs = np.unique(text * max(1, len(own.seeds)) + seed)
                 counts += np.bincount(pairs % max(1, len(own.seeds)), minlength=len(own.seeds))
             k = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(own.seeds[k].view(np.int64)), pa.array(counts[k])], names=["seed", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([*own.seeds[k].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[k].tolist(), batch.num_rows], pa.int64())], names=["seed", "rows"])
 
     return rows.select("text").mapInArrow(run, "seed long, rows long").groupBy("seed").agg(F.sum("rows").alias("rows"))
 
@@ -238,7 +238,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_tex
         own = block_of(sorted(((r.item, r.text) for r in some.collect()), key=lambda r: (str(r[0]), r[1])))  # a block: block_bytes
         spread = docs.sparkSession.sparkContext.broadcast(own)
         counts = {r.seed: r.rows for r in seed_counts(rows, spread).collect()}  # seeds of the block at most
-        yield docs.sparkSession.sparkContext.broadcast(rare_block(own, counts))
+        yield docs.sparkSession.sparkContext.broadcast(rare_block(own, counts, counts.get(None, 0)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:

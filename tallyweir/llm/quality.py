@@ -100,7 +100,8 @@ class Model:
     y: np.ndarray  # their shares of label 1
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.fourier(stats) @ self.weights
+        # row by row: the product of a whole batch may round a row by the rows beside it
+        return np.array([float((self.fourier(row[None]) @ self.weights)[0]) for row in stats])
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(stats), self.x, self.y), 0.0, 1.0)
