@@ -15,8 +15,8 @@ token under every one of them before its intersection is counted.
 4. Stars: in each prefix token's list every set is paired with the list's leader, pairs are verified, and verified links
    make components. What then remains are sets of one list in different components. Such a set first meets the other
    component as a whole: if it shares too little with all its sets together, it is similar to none. Where it shares
-   enough, it meets the sets that pass the size filter, the positional filter and the other orders, and those pairs are
-   verified. No group's pairs are all emitted.
+   enough it meets the component's leaders, and only if no link comes of that, its sets that pass the size filter, the
+   positional filter and the other orders. No group's pairs are all emitted.
 
 Pairs are verified in tiles of a bounded number of sets; components come from alternating stars in Spark. Nothing that
 grows with the input is collected or broadcast; the frequent n-grams are 65,536 at most.
@@ -247,21 +247,22 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, n: int, alone: int, order: i
 
 
 def postings(live: DataFrame, percent: int) -> DataFrame:
-    """(token, sig, n, place) of the prefixes under the first order."""
+    """(token, sig, n, place, alone) of the prefixes under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, owners, sizes, places = [], [], [], []
+            tokens, owners, sizes, places, alones = [], [], [], [], []
             for sig, n, alone, t, c in zip(*(x.to_pylist() for x in batch.columns)):
                 p = prefix(np.frombuffer(t, "<u8"), np.frombuffer(c, "u1"), n, alone, ORDERS[0], percent)
                 tokens.append(p)
                 owners.append(np.full(len(p), sig, np.int64))
                 sizes.append(np.full(len(p), n, np.int32))
                 places.append(np.arange(alone, alone + len(p), dtype=np.int32))
+                alones.append(np.full(len(p), alone, np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "sig", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(alones))], names=["token", "sig", "n", "place", "alone"])
 
-    return live.select("sig", "n", "alone", "tokens", "classes").mapInArrow(run, "token long, sig long, n int, place int")
+    return live.select("sig", "n", "alone", "tokens", "classes").mapInArrow(run, "token long, sig long, n int, place int, alone int")
 
 
 def verified(pairs: DataFrame, hubs: DataFrame, others: DataFrame, n_live: int, percent: int, bound: bool = False) -> DataFrame:
@@ -366,14 +367,16 @@ def links(live: DataFrame, percent: int) -> DataFrame:
     n_live = live.count()
     lists = cut(postings(live, percent), "postings")
     fits = lambda n, m: (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
-    leaders = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), F.col("sig").alias("a"), F.col("n").alias("m"))).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", "l.a", "l.m")
-    stars = lists.join(leaders, "token").where("sig <> a").where(fits("n", "m")).select("a", F.col("sig").alias("b")).distinct()
+    # the leader is the set with the smallest share of n-grams of its own: the least edited copy is near most others
+    central = F.min(F.struct((F.col("alone") / F.col("n")).alias("h"), F.xxhash64("sig").alias("i"), F.col("sig").alias("a"), F.col("n").alias("na"))).alias("l")
+    leaders = lists.groupBy("token").agg(central, F.count("*").alias("c")).where("c > 1").select("token", "l.a", "l.na")
+    stars = lists.join(leaders, "token").where("sig <> a").where(fits("n", "na")).select("a", F.col("sig").alias("b")).distinct()
     edges = cut(verified(stars, live, live, n_live, percent), "star-links")
     labels = connected(edges)
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     own = lists.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")).join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     several = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    own = cut(own.join(several, "token", "left_semi").select("token", "sig", "n", "place", "label", "size"), "own")
+    own = cut(own.join(several, "token", "left_semi").select("token", "sig", "n", "place", "alone", "label", "size"), "own")
 
     # a set of the smaller component against the larger component as a whole
     x = own.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), (F.col("n") - F.col("place")).alias("reach"), F.col("label").alias("of"), F.col("size").alias("of_size"))
@@ -386,8 +389,16 @@ def links(live: DataFrame, percent: int) -> DataFrame:
     together = unions(members.join(asked.select(F.col("a").alias("label")).distinct(), "label", "left_semi"))
     maybe = cut(verified(asked, together, live, n_live, percent, bound=True), "maybe")
 
-    # then against its sets
-    x = own.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")).join(maybe.withColumnRenamed("a", "label"), "b")
+    # then against the component's leaders in their lists
+    leaders = own.groupBy("token", "label").agg(central).select("token", "label", "l.a", "l.na")
+    few = own.select("token", F.col("sig").alias("b"), "n").join(maybe.withColumnRenamed("a", "label"), "b").join(leaders, ["token", "label"]).where(fits("n", "na")).select("a", "b").distinct()
+    edges = cut(edges.union(verified(few, live, live, n_live, percent)), "links")
+    labels = cut(connected(edges), "components")
+
+    # and what is still apart against all its sets
+    of = lambda name: labels.select(F.col("sig").alias(name), F.col("label").alias(f"{name}_label"))
+    apart = maybe.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_label, a) <> coalesce(b_label, b)").select(F.col("a").alias("label"), "b")
+    x = own.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")).join(apart, "b")
     y = own.select("token", "label", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
     reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # what the sets can share from this n-gram on
     rest = x.join(y, ["token", "label"]).where(fits("na", "nb") & (reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
