@@ -8,7 +8,7 @@ token under every one of them before its intersection is counted.
 1. Sets of hashed n-grams are made twice, never shuffled as texts. The first pass gives each row's set size and
    signature, and the frequent n-grams. Those keep the last places of every order, and are never dealt out by token, so
    no task gets the list of an n-gram that a large share of the rows has.
-2. The other n-grams are dealt into buckets as packed arrays, once for each distinct set of a batch. A bucket counts
+2. The other n-grams are dealt into buckets as packed arrays, once for each distinct set of a run. A bucket counts
    each n-gram's sets, and sends those with two or more back to the sets.
 3. A set with enough n-grams of its own to fill its prefix has no partner, and is done. The rest ("live" sets) keep
    their shared n-grams: intersections only ever hold those, so pairs are verified without the texts.
@@ -44,11 +44,13 @@ SEPARATOR[[32, *range(9, 14)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 COEFFICIENTS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-#: Frequent n-grams: in at least this share of a batch's rows, and in so many of them; so many are kept at most.
+#: Frequent n-grams: in at least this share of a run's rows, and in so many of them; so many are kept at most.
 FREQUENT_SHARE, FREQUENT_ROWS, FREQUENT_MOST = 0.002, 8, 1 << 16
-TOKENS_PER_BUCKET, SETS_PER_GROUP = 4_000_000, 20_000
+TOKENS_PER_BUCKET, SETS_PER_GROUP = 1_000_000, 5_000
+#: N-grams held at once by a task that makes sets.
+TOKENS_HELD = 1_000_000
 #: Sets of a tile at most: so many hubs, and so many others.
-TILE_HUBS, TILE_OTHERS = 2_000, 20_000
+TILE_HUBS, TILE_OTHERS = 250, 5_000
 #: Hash seeds of the global orders.
 ORDERS = (1, 2, 3)
 FREQUENT_CLASS = 63
@@ -106,24 +108,34 @@ def overlap(n: np.ndarray, m: np.ndarray, percent: int):
 
 
 def first_pass(rows: DataFrame, n: int) -> DataFrame:
-    """(key, n, sig) of every row, and (token, rows) of the n-grams frequent in a batch."""
+    """(key, n, sig) of every row, and (token, rows) of the n-grams frequent in a run."""
     kind = rows.schema["key"].dataType.simpleString()
 
+    names = ["key", "n", "sig", "token", "rows"]
+
+    def frequent(held: list[np.ndarray], key_type: pa.DataType) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = counts >= max(FREQUENT_ROWS, FREQUENT_SHARE * len(held))
+        held.clear()
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), key_type), none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n", "sig", "token", "rows"]
-        key_type = None
+        held: list[np.ndarray] = []
+        tokens, key_type = 0, None
         for batch in batches:
             key_type = batch.column(0).type
-            held = []
             for part in sliced(batch):
                 sets = sets_of(part.column(1), n)
-                held.extend(sets)
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), none, none], names=names)
-            tokens, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= max(FREQUENT_ROWS, FREQUENT_SHARE * len(held))
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), key_type), none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
+                held.extend(sets)
+                tokens += sum(map(len, sets))
+                if tokens >= TOKENS_HELD:
+                    yield frequent(held, key_type)
+                    tokens = 0
+        if held:
+            yield frequent(held, key_type)
 
     return rows.mapInArrow(run, f"key {kind}, n long, sig long, token long, rows long")
 
@@ -136,44 +148,51 @@ def by_slot(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def deal(rows: DataFrame, n: int, frequent: np.ndarray, buckets: int, groups: int) -> DataFrame:
-    """kind 0: a bucket's n-grams by set; kind 1: a group's sets with their frequent n-grams. One payload a batch and slot."""
+    """kind 0: a bucket's n-grams by set; kind 1: a group's sets with their frequent n-grams. One payload a run of sets and slot."""
     spread = rows.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT_MOST values at most
 
+    def sent(found: dict[int, np.ndarray], often: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sigs, sets = np.array(list(found), np.int64), list(found.values())
+        found.clear()
+        sizes = np.array([len(s) for s in sets], np.int64)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        at = np.minimum(np.searchsorted(often, tokens), max(0, len(often) - 1))
+        hot = often[at] == tokens if len(often) else np.zeros(len(tokens), bool)
+        out: list[tuple[int, int, bytes]] = []
+        hot_counts = np.bincount(owner[hot], minlength=len(sets))
+        hot_tokens, hot_at = tokens[hot], np.concatenate([[0], np.cumsum(hot_counts)])
+        order, slots, bounds = by_slot(sigs.view(np.uint64) % np.uint64(groups))
+        for g, a, b in zip(slots, bounds[:-1], bounds[1:]):
+            k = order[a:b]
+            out.append((1, int(g), pack(sigs[k], sizes[k].astype(np.int32), hot_counts[k].astype(np.int32), np.concatenate([hot_tokens[hot_at[i] : hot_at[i + 1]] for i in k]))))
+        tokens, owner = tokens[~hot], owner[~hot]
+        slot = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+        order, slots, bounds = by_slot(slot)
+        tokens, owner = tokens[order], owner[order]
+        for bucket, a, b in zip(slots, bounds[:-1], bounds[1:]):
+            o = owner[a:b]  # rising
+            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            seven = np.ascontiguousarray(tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
+            out.append((0, int(bucket), pack(sigs[o[first]], np.diff(np.append(first, b - a)).astype(np.int32), seven)))
+        del tokens, owner, order
+        for a in range(0, len(out), 64):
+            kinds, slots, payloads = zip(*out[a : a + 64])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(slots, pa.int32()), pa.array(payloads, pa.binary())], names=["kind", "slot", "payload"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = spread.value
+        found: dict[int, np.ndarray] = {}
+        tokens = 0
         for batch in batches:
-            found: dict[int, np.ndarray] = {}
             for part in sliced(batch):
                 for s in sets_of(part.column(0), n):
-                    if len(s):
-                        found.setdefault(signature(s), s)
-            if not found:
-                continue
-            sigs, sets = np.array(list(found), np.int64), list(found.values())
-            sizes = np.array([len(s) for s in sets], np.int64)
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            at = np.minimum(np.searchsorted(often, tokens), max(0, len(often) - 1))
-            hot = often[at] == tokens if len(often) else np.zeros(len(tokens), bool)
-            out: list[tuple[int, int, bytes]] = []
-            hot_counts = np.bincount(owner[hot], minlength=len(sets))
-            hot_tokens, hot_at = tokens[hot], np.concatenate([[0], np.cumsum(hot_counts)])
-            order, slots, bounds = by_slot(sigs.view(np.uint64) % np.uint64(groups))
-            for g, a, b in zip(slots, bounds[:-1], bounds[1:]):
-                k = order[a:b]
-                out.append((1, int(g), pack(sigs[k], sizes[k].astype(np.int32), hot_counts[k].astype(np.int32), np.concatenate([hot_tokens[hot_at[i] : hot_at[i + 1]] for i in k]))))
-            tokens, owner = tokens[~hot], owner[~hot]
-            slot = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-            order, slots, bounds = by_slot(slot)
-            tokens, owner = tokens[order], owner[order]
-            for bucket, a, b in zip(slots, bounds[:-1], bounds[1:]):
-                o = owner[a:b]  # rising
-                first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-                seven = np.ascontiguousarray(tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
-                out.append((0, int(bucket), pack(sigs[o[first]], np.diff(np.append(first, b - a)).astype(np.int32), seven)))
-            del tokens, owner, order
-            for a in range(0, len(out), 64):
-                kinds, slots, payloads = zip(*out[a : a + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(slots, pa.int32()), pa.array(payloads, pa.binary())], names=["kind", "slot", "payload"])
+                    if len(s) and signature(s) not in found:
+                        found[signature(s)] = s
+                        tokens += len(s)
+                if tokens >= TOKENS_HELD:
+                    yield from sent(found, spread.value)
+                    tokens = 0
+        if found:
+            yield from sent(found, spread.value)
 
     return rows.select("text").mapInArrow(run, "kind int, slot int, payload binary")
 
@@ -415,7 +434,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sizes = seen.where("token is null").select("key", "n", "sig")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, groups = max(parts, total.tokens // TOKENS_PER_BUCKET), max(1, min(parts, total.rows // 200), total.rows // SETS_PER_GROUP)
+    buckets, groups = max(2 * parts, total.tokens // TOKENS_PER_BUCKET), max(1, min(4 * parts, total.rows // 200), total.rows // SETS_PER_GROUP)
     found = shared(deal(rows, words, frequent, buckets, groups), groups)
     live = cut(live_sets(found, percent), "live-sets")
     labels = cut(links(live, percent), "labels")

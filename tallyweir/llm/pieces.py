@@ -25,7 +25,7 @@ from tallyweir.llm.common import sliced
 
 MARK = "▁"
 #: Distinct words kept by a Python worker; when full, the table starts anew.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 200_000
 #: Longer words are segmented each time and not kept.
 LONGEST_KEPT = 64
 #: A marked word: a run of markers with what follows up to the next marker, or markers at the end.

@@ -9,7 +9,7 @@ To run over a corpus, suffixes that could share `length` bytes must meet. Each s
 minimum of a hash over its 24-byte grams (the leftmost one of equals), which depends on the string alone; so equal
 strings have equal owners. Neighbouring strings of one owner form a record, a context of at most 2 * length bytes.
 
-1. Per batch, records of equal owner and content are equal suffix runs: the earliest stands for them, the others are
+1. Per run of texts, records of equal owner and content are equal suffix runs: the earliest stands for them, the others are
    removed at once. Records are dealt by owner as packed arrays, one for each content of a batch.
 2. Per bucket the same is done across batches. Where one owner has several contents, the contents are asked for.
 3. Texts, dealt by document once, give those contents; an owner with very many contents gives its strings one by one,
@@ -42,8 +42,10 @@ from tallyweir.llm.ngram_join import by_slot, pack, unpacked
 GRAM = 24
 BASE = 0x9E3779B97F4A7C15
 #: Bytes handled at once; their positions fit in the low bits of what minima are taken of.
-PIECE, PLACE_BITS = 1 << 21, 22
-BYTES_PER_SLOT, RECORDS_PER_BUCKET = 16 << 20, 1_000_000
+PIECE, PLACE_BITS = 1 << 19, 20
+BYTES_PER_SLOT, RECORDS_PER_BUCKET = 8 << 20, 250_000
+#: Records that are settled among themselves before they are dealt out.
+RECORDS_HELD = 300_000
 #: Contents of one owner beyond which its strings are dealt one by one.
 MANY_CONTENTS = 4096
 NO_ID = -(1 << 63)
@@ -274,26 +276,32 @@ def settle(owner: np.ndarray, content: np.ndarray, ids: np.ndarray, crc: np.ndar
 def deal(docs: DataFrame, length: int, buckets: int, slots: int) -> DataFrame:
     """kind 0: records by owner; kind 1: removals by document."""
 
+    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        owner, content, ids, crc, start, size = columns = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        stand, gone = settle(*columns)
+        made = dealt_rows(1, spark_slot(ids[gone], slots), [x[gone] for x in (ids, crc, start, size)])
+        stand = np.sort(stand)  # by document again, which compresses
+        bucket = ((owner[stand] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        made += dealt_rows(0, bucket, [x[stand] for x in columns])
+        for a in range(0, len(made), 64):
+            yield from rows_of(made[a : a + 64]).combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            held = []
-            for part in sliced(batch, "text", PIECE - (1 << 16)):
+            for part in sliced(batch, "text", PIECE):
                 flat, offsets = flat_utf8(part.column(1))
                 ids = np.array(part.column(0).to_numpy(zero_copy_only=False), np.int64)
                 crc = np.array([zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.uint32)
                 for owner, content, d, start, size in pieces(flat, offsets, length):
                     held.append((owner, content, ids[d], crc[d], start.astype(np.int32), size.astype(np.int32)))
-            if not held:
-                continue
-            owner, content, ids, crc, start, size = columns = [np.concatenate(x) for x in zip(*held)]
-            del held
-            stand, gone = settle(*columns)
-            made = dealt_rows(1, spark_slot(ids[gone], slots), [x[gone] for x in (ids, crc, start, size)])
-            stand = np.sort(stand)  # by document again, which compresses
-            bucket = ((owner[stand] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            made += dealt_rows(0, bucket, [x[stand] for x in columns])
-            for a in range(0, len(made), 64):
-                yield from rows_of(made[a : a + 64]).combine_chunks().to_batches()
+                    n += len(owner)
+                    if n >= RECORDS_HELD:
+                        yield from sent(held)
+                        n = 0
+        if held:
+            yield from sent(held)
 
     return docs.select("key", "text").mapInArrow(run, ROW)
 
@@ -439,7 +447,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records_expected = 2 * size // (length - GRAM + 2)
-    buckets, slots = max(parts, records_expected // RECORDS_PER_BUCKET), max(parts, size // BYTES_PER_SLOT)
+    buckets, slots = max(4 * parts, records_expected // RECORDS_PER_BUCKET), max(4 * parts, size // BYTES_PER_SLOT)
     first = cut(settled(deal(rows, length, buckets, slots), slots), "removals")
     by_document = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int"))
     contents = contexts(by_document, first.where("kind = 2").select("slot", "payload"), length, buckets)

@@ -36,7 +36,7 @@ from tallyweir.llm.common import id_remainder, sliced
 #: Labelled rows used for training at most, and words of the lexicon at most.
 SAMPLE, LEXICON = 20_000, 512
 WINDOW = 8
-TOKENS_KEPT = 400_000
+TOKENS_KEPT = 150_000
 LONGEST_TOKEN = 40
 #: Look-alikes of letters, quotation marks, words of reporting.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
