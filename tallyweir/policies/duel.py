@@ -122,7 +122,7 @@ class Duel(Policy):
 
     def close(self, ring: Ring) -> None:
         for slot in sorted(ring.mains):
-            self.out.flow(slot, ring.mains[slot], "eof")
+            self.out.flow(slot, ring.mains[slot], "idle" if ring.mains[slot].udp else "eof")
 
 
 class SharedDuel(Duel):

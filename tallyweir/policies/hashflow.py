@@ -151,4 +151,4 @@ class GatedHashFlow(Policy):
     def close(self, t: Tables) -> None:
         for name, table in (("main", t.main), ("aux", t.aux)):
             for i in sorted(table):
-                self.out.flow(i, table[i], "eof", name)
+                self.out.flow(i, table[i], "idle" if table[i].udp else "eof", name)

@@ -86,8 +86,8 @@ class SingleSlot(Policy):
         slot.entry = None
 
     def close(self, slot: Slot) -> None:
-        if slot.entry is not None:
-            self.emit(slot, "eof")
+        if slot.entry is not None:  # the clock runs on after the last packet
+            self.emit(slot, "idle" if slot.entry.udp else "eof")
 
 
 class DropChallenger(SingleSlot):
