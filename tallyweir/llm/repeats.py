@@ -210,7 +210,8 @@ def records(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     last[:-1] &= (owner[1:] != owner[:-1]) | ~valid[1:]
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     content = mixed(mixed(whole[a], 3) + mixed(whole[b], 4) * np.uint64(BASE) + ((b - a) << 16 | (owner[a] - a)).astype(np.uint64))
-    return grams[owner[a]], content, a, b
+    # an owner is a minimum: mixed again, its high bits deal evenly
+    return mixed(grams[owner[a]], 5), content, a, b
 
 
 def pieces(flat: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
