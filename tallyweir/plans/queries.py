@@ -432,6 +432,46 @@ def _policy(name: str, **options):
     return run
 
 
+def _slots_sql(name: str, shared: bool, meet_wins: str, gate: bool, full_flush: bool) -> str:
+    """A policy of one slot per bucket as a recursion over each bucket's packets; no packet of another flow takes over."""
+    shard = "0" if shared else "proto"
+    known = "AND NOT (udp AND list_contains(s.known, q.key))" if gate else ""
+    both = "(q.fin AND NOT q.udp AND len(list_distinct(list_append(CASE WHEN same THEN s.fins ELSE [] END, q.src = CASE WHEN same THEN s.cli ELSE q.src END))) = 2)"
+    return f"""WITH RECURSIVE {EVENTS}, keyed AS (SELECT *, {fnv()} & {BUCKETS - 1} AS bucket FROM canon),
+q AS (SELECT {shard} AS shard, bucket, row_number() OVER (PARTITION BY {shard}, bucket ORDER BY pkt_no) AS rn, {{'ip1': ip1::BIGINT, 'port1': port1::BIGINT, 'ip2': ip2::BIGINT, 'port2': port2::BIGINT, 'proto': proto::BIGINT}} AS key, {{'a': src_ip_n::BIGINT, 'p': src_port::BIGINT}} AS src,
+    ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce(tcp_flags & 2 <> 0, false) AS syn, coalesce(tcp_flags & 1 <> 0, false) AS fin, ip_len::BIGINT AS ip_len FROM keyed),
+opened AS (SELECT DISTINCT shard, bucket FROM q),
+s AS (
+  SELECT shard, bucket, 0::BIGINT AS rn, NULL::STRUCT(ip1 BIGINT, port1 BIGINT, ip2 BIGINT, port2 BIGINT, proto BIGINT) AS key, NULL::STRUCT(a BIGINT, p BIGINT) AS cli, []::BIGINT[] AS ts, []::BIGINT[] AS lens, 0::BIGINT AS wins, 0::BIGINT AS total, 0::BIGINT AS last, false AS isudp, []::BOOLEAN[] AS fins,
+    []::STRUCT(ip1 BIGINT, port1 BIGINT, ip2 BIGINT, port2 BIGINT, proto BIGINT)[] AS known, NULL::STRUCT(key STRUCT(ip1 BIGINT, port1 BIGINT, ip2 BIGINT, port2 BIGINT, proto BIGINT), ts BIGINT[], lens BIGINT[], wins BIGINT, total BIGINT, reason VARCHAR) AS emitted
+  FROM opened
+  UNION ALL
+  SELECT shard, bucket, rn, CASE WHEN flush THEN NULL ELSE key END, cli, ts, lens, wins, total, last, isudp, fins, known,
+    CASE WHEN flush THEN {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': '{'fin' if not full_flush else 'cap'}'}} ELSE idle_out END
+  FROM (
+    SELECT *, {'len(ts) = ' + str(CAP) + ' AND (taken OR same)' if full_flush else 'len(ts) = ' + str(CAP) + ' AND (taken OR same) AND both_fin'} AS flush
+    FROM (
+      SELECT q.shard, q.bucket, q.rn, same, taken, {both} AS both_fin,
+        CASE WHEN taken THEN q.key WHEN held IS NULL THEN NULL ELSE held END AS key, CASE WHEN taken THEN q.src ELSE s.cli END AS cli,
+        CASE WHEN taken THEN [q.ts_us] WHEN same AND len(s.ts) < {CAP} THEN list_append(s.ts, q.ts_us) ELSE s.ts END AS ts,
+        CASE WHEN taken THEN [q.ip_len] WHEN same AND len(s.lens) < {CAP} THEN list_append(s.lens, CASE WHEN q.src = s.cli THEN q.ip_len ELSE -q.ip_len END) ELSE s.lens END AS lens,
+        CASE WHEN taken THEN 0 WHEN held IS NOT NULL AND NOT same AND ({meet_wins}) THEN s.wins + 1 ELSE s.wins END AS wins,
+        CASE WHEN taken THEN 1 WHEN same THEN s.total + 1 ELSE s.total END AS total, CASE WHEN taken OR same THEN q.sec ELSE s.last END AS last, CASE WHEN taken THEN q.udp ELSE s.isudp END AS isudp,
+        CASE WHEN taken THEN CASE WHEN q.fin THEN [true] ELSE [] END WHEN same AND q.fin THEN list_distinct(list_append(s.fins, q.src = s.cli)) ELSE s.fins END AS fins,
+        CASE WHEN taken AND q.udp THEN list_append(s.known, q.key) ELSE s.known END AS known,
+        CASE WHEN gone THEN {{'key': s.key, 'ts': s.ts, 'lens': s.lens, 'wins': s.wins, 'total': s.total, 'reason': 'idle'}} END AS idle_out, udp
+      FROM (SELECT s.*, s.key IS NOT NULL AND s.isudp AND q.sec - s.last >= {IDLE} AS gone, CASE WHEN s.key IS NOT NULL AND NOT (s.isudp AND q.sec - s.last >= {IDLE}) THEN s.key END AS held,
+          coalesce(s.key = q.key AND NOT (s.isudp AND q.sec - s.last >= {IDLE}), false) AS same, (s.key IS NULL OR (s.isudp AND q.sec - s.last >= {IDLE})) AND (q.udp OR q.syn) {known} AS taken, q.rn AS next FROM s JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.rn + 1) s
+      JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.next))),
+ends AS (SELECT shard, bucket, emitted AS e FROM s WHERE emitted IS NOT NULL
+  UNION ALL SELECT shard, bucket, {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': CASE WHEN isudp THEN 'idle' ELSE 'eof' END}} FROM s WHERE key IS NOT NULL AND rn = (SELECT max(rn) FROM q WHERE q.shard = s.shard AND q.bucket = s.bucket))
+SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1 AS port1, e.key.ip2 AS ip2, e.key.port2 AS port2, e.key.proto AS proto, e.ts[1] AS first_ts_us, len(e.ts) AS count, e.wins AS wins, e.total AS total, e.reason AS end_reason, 'main' AS in_table,
+  array_to_string(list_transform(e.ts, lambda t: t - e.ts[1]), ' ') AS offsets_us, array_to_string(e.lens, ' ') AS lengths FROM ends"""
+
+
+SQL["policy_fcfs"] = _slots_sql("fcfs", False, "q.udp OR q.syn", True, True)
+SQL["policy_drop_challenger"] = _slots_sql("drop_challenger", True, "false", False, False)
+
 for _name in catalog.POLICIES:
     QUERIES[f"policy_{_name}"] = _policy(_name, **({"aux_buckets": BUCKETS // 4} if _name == "duel_even" else {}))
 QUERIES["policy_random_seeded"] = _policy("random", rng="global")
