@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweir.functions import keys
-from tallyweir.operators import evaluate, features, flows, groundtruth, learning, sessions, traces
+from tallyweir.operators import evaluate, features, flows, groundtruth, learning, sequence, sessions, sinks, traces
 from tallyweir.policies import catalog
 from tallyweir.policies.engine import Settings, collisions_of, counts_of, flows_of
 from tallyweir.schema import KEY
@@ -533,6 +533,17 @@ def rf_scores(spark, sf_dir):
     return _fit_and_report(learning.forest(8, trees=20, depth=6))(spark, sf_dir)
 
 
+@query()
+def sequence_classes(spark, sf_dir):
+    return sequence.classify(_records(spark, sf_dir), sequence.random_network(1))
+
+
+@query()
+def table_occupancy(spark, sf_dir):
+    middle = events(spark, sf_dir).agg(F.percentile_approx("ts_us", 0.5).alias("t")).first().t or 0
+    return sinks.occupied(flows_of(catalog.run(events(spark, sf_dir), "fcfs", SMALL)), middle)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_records(spark, sf_dir)
 

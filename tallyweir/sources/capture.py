@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tallyweir.schema import PACKETS
 
@@ -173,6 +173,31 @@ class CaptureReader(DataSourceReader):
         yield from batches(rows(partition.path, data, self.vlan, self.every, self.tolerant))
 
 
+class CaptureStream(DataSourceStreamReader):
+    """A growing folder of captures as a stream: each batch reads the files that came since, in the order of their names.
+
+    Files must be moved in whole, under names that sort after those that are there.
+    """
+
+    def __init__(self, options: dict):
+        self.reader = CaptureReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"after": ""}
+
+    def latestOffset(self) -> dict:
+        names = listed(self.reader.paths)
+        return {"after": names[-1] if names else ""}
+
+    def partitions(self, start: dict, end: dict) -> list[CaptureFile]:
+        return [CaptureFile(p) for p in listed(self.reader.paths) if start["after"] < p <= end["after"]]
+
+    def read(self, partition: CaptureFile) -> Iterator[tuple]:
+        with open(partition.path, "rb") as f:
+            data = f.read()
+        yield from rows(partition.path, data, self.reader.vlan, self.reader.every, self.reader.tolerant)
+
+
 def frame_of(src: int, dst: int, sport: int, dport: int, proto: int, length: int, seq: int | None = None, ack: int | None = None, flags: int | None = None) -> bytes:
     """An Ethernet frame with the headers of a packet; its payload is left out of the capture."""
     ip = struct.pack(">BBHHHBBHII", 0x45, 0, length, 0, 0, 64, proto, 0, src, dst)
@@ -242,6 +267,9 @@ class CaptureSource(DataSource):
     def reader(self, schema) -> CaptureReader:
         return CaptureReader(self.options)
 
+    def streamReader(self, schema) -> CaptureStream:
+        return CaptureStream(self.options)
+
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(self.options, overwrite)
 
