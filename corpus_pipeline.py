@@ -45,8 +45,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each whole text, and the text that they decode to."""
-    return pieces.encode(docs, piece_model()).drop("text").withColumn("n_tokens", F.size("ids").cast("long"))
+    """Ids of each whole text, and the hash of the text that they decode to."""
+    encoded = pieces.encode(docs, piece_model()).withColumn("decoded_sha256", F.sha2(F.col("decoded"), 256))
+    return encoded.drop("text", "decoded").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,32 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total
 
 
+_HELD: dict = {}
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system; Python workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def held_by_worker(kind: str, key: Hashable, make: Callable):
+    """make(), kept by this Python worker until another table is asked for: a worker holds one operator's table at a time."""
+    if _HELD.get("of") != (kind, key):
+        forget()
+        _HELD.update(of=(kind, key), table=make())
+    return _HELD["table"]
+
+
+def forget() -> None:
+    """Drops the table that this worker holds."""
+    _HELD.clear()
+    trim()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import cut, flat_utf8, mixed, sliced, word_hashes
+from tallyweir.llm.common import cut, flat_utf8, forget, mixed, sliced, trim, word_hashes
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
@@ -121,6 +121,7 @@ def first_pass(rows: DataFrame, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), key_type), none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] = []
         tokens, key_type = 0, None
         for batch in batches:
@@ -136,6 +137,7 @@ def first_pass(rows: DataFrame, n: int) -> DataFrame:
                     tokens = 0
         if held:
             yield frequent(held, key_type)
+        trim()
 
     return rows.mapInArrow(run, f"key {kind}, n long, sig long, token long, rows long")
 
@@ -180,6 +182,7 @@ def deal(rows: DataFrame, n: int, frequent: np.ndarray, buckets: int, groups: in
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(slots, pa.int32()), pa.array(payloads, pa.binary())], names=["kind", "slot", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         found: dict[int, np.ndarray] = {}
         tokens = 0
         for batch in batches:
@@ -193,6 +196,7 @@ def deal(rows: DataFrame, n: int, frequent: np.ndarray, buckets: int, groups: in
                     tokens = 0
         if found:
             yield from sent(found, spread.value)
+        trim()
 
     return rows.select("text").mapInArrow(run, "kind int, slot int, payload binary")
 

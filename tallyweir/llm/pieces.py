@@ -15,17 +15,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import sliced
+from tallyweir.llm.common import held_by_worker, sliced, trim
 
 MARK = "▁"
 #: Distinct words kept by a Python worker; when full, the table starts anew.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 120_000
 #: Longer words are segmented each time and not kept.
 LONGEST_KEPT = 64
 #: A marked word: a run of markers with what follows up to the next marker, or markers at the end.
@@ -80,24 +80,29 @@ class ChunkTable(dict):
         return ",".join(ids), sum(counts), "".join(decoded)[1:]
 
 
-@lru_cache(2)
 def chunk_table(model: str) -> ChunkTable:
-    return ChunkTable(model)
+    return held_by_worker("pieces", model, lambda: ChunkTable(model))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with the ids of each whole text (array of int) and the text that these ids decode to."""
-    kept = docs.drop(ids, decoded)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{ids}` array<int>", f"`{decoded}` string"])
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
+    """docs with the ids of each whole text (array of int) and the text that these ids decode to, unless decoded is None."""
+    kept = docs.drop(ids, *([decoded] if decoded else []))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model)
         for batch in batches:
             for part in sliced(batch, text):
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                done = [table.encode_decode(t or "") for t in texts]
-                numbers = pa.array([list(map(int, x[0].split(","))) if x[0] else [] for x in done], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, numbers, pa.array([x[2] for x in done], pa.string())], names=[*part.schema.names, ids, decoded])
+                values, offsets, back = [], [0], []
+                for t in part.column(part.schema.get_field_index(text)).to_pylist():
+                    joined, n, d = table.encode_decode(t or "")
+                    values.append(np.array(joined.split(",") if joined else [], np.int32))
+                    offsets.append(offsets[-1] + n)
+                    if decoded:
+                        back.append(d)
+                numbers = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int32)])))
+                yield pa.RecordBatch.from_arrays([*part.columns, numbers, *([pa.array(back, pa.string())] if decoded else [])], names=[*part.schema.names, ids, *([decoded] if decoded else [])])
+        trim()
 
     return kept.mapInArrow(run, schema)
 
@@ -118,5 +123,6 @@ def digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                     rows.append((n, sha(joined), sha(back)))
                 n, ids, back = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        trim()
 
     return chosen.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

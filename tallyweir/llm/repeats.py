@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import BYTE_VALUES, cut, flat_utf8, mixed, sliced
+from tallyweir.llm.common import BYTE_VALUES, cut, flat_utf8, forget, mixed, sliced, trim
 from tallyweir.llm.ngram_join import by_slot, pack, unpacked
 
 GRAM = 24
@@ -289,6 +289,7 @@ def deal(docs: DataFrame, length: int, buckets: int, slots: int) -> DataFrame:
             yield from rows_of(made[a : a + 64]).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, n = [], 0
         for batch in batches:
             for part in sliced(batch, "text", PIECE):
@@ -303,6 +304,7 @@ def deal(docs: DataFrame, length: int, buckets: int, slots: int) -> DataFrame:
                         n = 0
         if held:
             yield from sent(held)
+        trim()
 
     return docs.select("key", "text").mapInArrow(run, ROW)
 

@@ -24,19 +24,18 @@ import math
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import id_remainder, sliced
+from tallyweir.llm.common import held_by_worker, id_remainder, sliced, trim
 
 #: Labelled rows used for training at most, and words of the lexicon at most.
 SAMPLE, LEXICON = 20_000, 512
 WINDOW = 8
-TOKENS_KEPT = 150_000
+TOKENS_KEPT = 120_000
 LONGEST_TOKEN = 40
 #: Look-alikes of letters, quotation marks, words of reporting.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -204,9 +203,8 @@ class Model:
         return (tuple(self.words), tuple(self.weights), self.clean, self.coefficients, self.intercept)
 
 
-@lru_cache(2)
 def _table(key: tuple) -> TokenTable:
-    return TokenTable(Model(list(key[0]), list(key[1]), key[2], key[3], key[4]))
+    return held_by_worker("toxicity", key, lambda: TokenTable(Model(list(key[0]), list(key[1]), key[2], key[3], key[4])))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[tuple, float]:
@@ -279,6 +277,7 @@ def features(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for part in sliced(batch, text):
                 made = [describe(t or "", table) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in others), pa.array(made, pa.list_(pa.float64()))], names=[*(f.name for f in others), "features"])
+        trim()
 
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "features array<double>"]))
 
@@ -305,6 +304,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
             for part in sliced(batch, text):
                 rows = np.array([describe(t or "", table) for t in part.column(i).to_pylist()])
                 yield part.filter(pa.array(rows @ weights + intercept < limit))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
