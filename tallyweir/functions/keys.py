@@ -118,8 +118,16 @@ def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions flow_ip, flow_fnv and flow_mix, as SQL expressions without Python."""
+    """SQL functions flow_ip, flow_fnv and flow_id, as SQL expressions without Python."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION flow_ip(n BIGINT) RETURNS STRING RETURN concat_ws('.', shiftrightunsigned(n, 24) & 255, shiftrightunsigned(n, 16) & 255, shiftrightunsigned(n, 8) & 255, n & 255)")
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION flow_fnv(s STRING) RETURNS BIGINT RETURN aggregate(transform(filter(split(s, ''), c -> c <> ''), c -> CAST(ascii(c) AS BIGINT)), CAST({FNV_BASIS} AS BIGINT), (h, c) -> ((h ^ c) * {FNV_PRIME}) & {MASK})"
     )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION flow_id(ip1 BIGINT, port1 INT, ip2 BIGINT, port2 INT, proto INT) RETURNS STRING RETURN concat(concat_ws('.', shiftrightunsigned(ip1, 24) & 255, shiftrightunsigned(ip1, 16) & 255, shiftrightunsigned(ip1, 8) & 255, ip1 & 255), port1, concat_ws('.', shiftrightunsigned(ip2, 24) & 255, shiftrightunsigned(ip2, 16) & 255, shiftrightunsigned(ip2, 8) & 255, ip2 & 255), port2, CASE WHEN proto = 17 THEN 'UDP' ELSE 'TCP' END)"
+    )
+
+
+def signature(*columns: str) -> Column:
+    """A 64-bit signature of a key, for sets of keys that are asked often."""
+    return F.xxhash64(*(columns or ("ip1", "port1", "ip2", "port2", "proto")))

@@ -44,15 +44,16 @@ def csv_lines(records: DataFrame, cap: int) -> DataFrame:
 
 
 def json_records(records: DataFrame) -> DataFrame:
-    """One JSON object per flow, with unsigned offsets."""
-    body = F.struct(ip_text(F.col("cli_ip")).alias("cli_ip"), ip_text(F.col("srv_ip")).alias("srv_ip"), "cli_port", "srv_port", proto_name(F.col("proto")).alias("proto"), "count", "ts", "len")
-    return records.select(*KEY, "session_no", F.to_json(body).alias("json"))
+    """One JSON object per flow, with unsigned offsets, and with the wins of flows that a policy emits."""
+    wins = ["wins"] if "wins" in records.columns else []
+    body = F.struct(ip_text(F.col("cli_ip")).alias("cli_ip"), ip_text(F.col("srv_ip")).alias("srv_ip"), "cli_port", "srv_port", proto_name(F.col("proto")).alias("proto"), "count", *wins, "ts", "len")
+    return records.select(*KEY, *(["session_no"] if "session_no" in records.columns else []), F.to_json(body).alias("json"))
 
 
 def messages(records: DataFrame, batch: int = 16) -> DataFrame:
     """JSON arrays of at most `batch` flows; batches are cut within hash groups, so no task numbers all flows."""
     j = json_records(records).withColumn("part", F.pmod(F.xxhash64(*KEY), F.lit(64)))
-    n = F.row_number().over(Window.partitionBy("part").orderBy(*KEY, "session_no")) - 1
+    n = F.row_number().over(Window.partitionBy("part").orderBy(*KEY, "json")) - 1
     g = j.withColumn("batch_no", F.floor(n / batch)).groupBy("part", "batch_no").agg(F.sort_array(F.collect_list("json")).alias("flows"))
     return g.select("part", "batch_no", F.size("flows").cast("long").alias("flows_in"), F.concat(F.lit("["), F.array_join("flows", ","), F.lit("]")).alias("message"))
 
@@ -68,6 +69,14 @@ def totals(packets: DataFrame) -> DataFrame:
     return per_flow.agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.count("*").alias("flows"), F.sum(F.when(F.col("proto") == 6, F.col("packets")).otherwise(0)).alias("tcp_packets"), F.sum(F.when(F.col("proto") == 17, F.col("packets")).otherwise(0)).alias("udp_packets"))
 
 
+def file_counters(packets: DataFrame) -> DataFrame:
+    """Files, packets, those of TCP or UDP, and flows of a trace of many files."""
+    per_flow = canon_numeric(packets).groupBy(*KEY).agg(F.count("*").alias("n"), F.collect_set("file").alias("files"))
+    files = packets.select("file").distinct().agg(F.count("*").alias("files"))
+    t = per_flow.agg(F.sum("n").alias("packets"), F.sum(F.when(F.col("proto").isin(6, 17), F.col("n")).otherwise(0)).alias("parsed_packets"), F.count("*").alias("unique_flows"), F.sum((F.size("files") > 1).cast("int")).cast("long").alias("flows_in_several_files"))
+    return files.crossJoin(t)  # one row each
+
+
 def inter_arrival(packets: DataFrame) -> DataFrame:
     """Microseconds since the flow's packet before, and since its first one."""
     w = Window.partitionBy(*KEY).orderBy("pkt_no")

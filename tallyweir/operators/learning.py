@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.operators.evaluate import areas, confusion
@@ -75,7 +75,7 @@ def as_scorer(model: PipelineModel) -> Callable[[list[float]], float]:
 def save(model: PipelineModel, path: str, n: int) -> None:
     """The model, and beside it what it expects."""
     model.write().overwrite().save(f"{path}/model")
-    spark = model.stages[-1]._java_obj and __import__("pyspark").sql.SparkSession.getActiveSession()
+    spark = SparkSession.active()
     spark.createDataFrame([(json.dumps({"first_n": n, "features": feature_names(n), "target": 40}),)], "metadata string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 

@@ -44,6 +44,15 @@ def previous_second(packets: DataFrame) -> DataFrame:
     return looked.join(before, "run").withColumn("prev_sec", F.coalesce("in_run", "run_prev")).drop("in_run", "run_prev", "run")
 
 
+def wheel_clock(packets: DataFrame) -> DataFrame:
+    """packets with clock: the greatest second seen so far in the whole trace, which late packets do not turn back."""
+    runs = packets.withColumn("sec", second(F.col("ts_us"))).withColumn("run", F.floor(F.col("pkt_no") / RUN))
+    most = runs.groupBy("run").agg(F.max("sec").alias("most"))
+    before = most.select("run", F.max("most").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)).alias("run_before"))
+    inside = Window.partitionBy("run").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return runs.join(before, "run").withColumn("clock", F.greatest(F.max("sec").over(inside), "run_before")).drop("run", "run_before", "sec")
+
+
 def udp_sessions_scan(packets: DataFrame, idle: int) -> DataFrame:
     """A table scan after each packet: a flow ends only if another packet was seen `idle` seconds or more after its last one."""
     seen = previous_second(packets)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.functions import keys
@@ -203,6 +203,18 @@ def udp_sessions_scan(spark, sf_dir):
     return s.groupBy(*KEY, "session_no").agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
+@query(f"WITH {EVENTS} SELECT pkt_no, ts_us, max((ts_us + CASE WHEN pkt_no % 3 = 0 THEN -7200000000 ELSE 0 END) // 1000000) OVER (ORDER BY pkt_no) AS clock FROM packets")
+def wheel_clock(spark, sf_dir):
+    # every third packet is made two hours late
+    late = events(spark, sf_dir).withColumn("own_us", F.col("ts_us")).withColumn("ts_us", F.col("ts_us") - F.when(F.col("pkt_no") % 3 == 0, 7200000000).otherwise(0))
+    return sessions.wheel_clock(late).select("pkt_no", F.col("own_us").alias("ts_us"), "clock")
+
+
+@query(f"WITH {EVENTS}, t AS (SELECT *, pkt_no % 4 AS file FROM canon), f AS (SELECT {K}, count(*) AS n, count(DISTINCT file) AS files FROM t GROUP BY {K}) SELECT (SELECT count(DISTINCT file) FROM t) AS files, sum(n)::BIGINT AS packets, sum(n)::BIGINT AS parsed_packets, count(*) AS unique_flows, sum((files > 1)::INTEGER)::BIGINT AS flows_in_several_files FROM f")
+def file_counters(spark, sf_dir):
+    return flows.file_counters(events(spark, sf_dir).withColumn("file", (F.col("pkt_no") % 4).cast("string")))
+
+
 @query(
     f"""WITH {EVENTS}, s AS (SELECT *, max(CASE WHEN tcp_flags & 2 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {K} ORDER BY pkt_no) AS syn, max(CASE WHEN tcp_flags = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY {K} ORDER BY pkt_no) AS pure FROM canon WHERE proto = 6)
 SELECT {K}, count(*) AS packets, sum(syn)::BIGINT AS after_syn, sum(pure)::BIGINT AS after_pure_syn FROM s GROUP BY {K}"""
@@ -547,5 +559,3 @@ def table_occupancy(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_records(spark, sf_dir)
 
-
-__all__ = ["QUERIES", "SQL", "Window", "flagship"]

@@ -47,6 +47,7 @@ def test_hash_and_buckets_against_scalar(spark):
     assert [r.m for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(keys.mix32(F.col("n")).alias("m")).collect()] == [mix32(n) for n in numbers]
     keys.register(spark)
     assert spark.sql("SELECT flow_ip(3232235521) a, flow_fnv('') b, flow_fnv('a') c").first() == ("192.168.0.1", 2166136261, 0xE40C292C)
+    assert spark.sql("SELECT flow_id(16909060, 5, 3232235521, 53, 17) a").first().a == "1.2.3.45192.168.0.153UDP"
     assert [r.n for r in spark.createDataFrame([("1.2.3.4",), ("256.1.1.1",), ("a",), ("1.2.3",)], "s string").select(keys.ip_number(F.col("s")).alias("n")).collect()] == [16909060, None, None, None]
 
 
