@@ -127,7 +127,7 @@ def header(width: int, height: int) -> bytes:
     )
 
 
-def pad_blocks(n: int, dc_first: tuple[int, int] = (0, 0)) -> bytes:
+def pad_block() -> bytes:
     """One all-zero block: DC category 0, then end of block."""
     (dc, a), (ac, b) = next((c, k) for s, c, k in canonical(DC_BITS, DC_SYMBOLS) if s == 0), next((c, k) for s, c, k in canonical(AC_BITS, AC_SYMBOLS) if s == 0)
     total = -(-(a + b) // 8) * 8
@@ -169,7 +169,7 @@ def _encode_run(payloads: list[bytes], run: list[int], out: list[bytes]) -> None
         w = min(n, LINE_BLOCKS)
         h = -(-n // w)
         scan = marked[begins[first[i]] + 2 * first[i] : ends[first[i + 1] - 1]].tobytes()
-        blank = pad_blocks(1)
+        blank = pad_block()
         extra = b"".join(bytes((0xFF, 0xD0 + (j - 1) % 8)) + blank for j in range(n, w * h))
         out[k] = header(8 * w, 8 * h) + scan + extra + b"\xff\xd9"
 
