@@ -450,10 +450,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records_expected = 2 * size // (length - GRAM + 2)
-    buckets, slots = max(4 * parts, records_expected // RECORDS_PER_BUCKET), max(4 * parts, size // BYTES_PER_SLOT)
+    buckets, slots = max(2 * parts, records_expected // RECORDS_PER_BUCKET), max(2 * parts, size // BYTES_PER_SLOT)
     first = cut(settled(deal(rows, length, buckets, slots), slots), "removals")
     by_document = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int"))
-    contents = contexts(by_document, first.where("kind = 2").select("slot", "payload"), length, buckets)
+    # fewer buckets for the contexts, which are a part of all records: a payload of each slot goes to each bucket
+    contents = contexts(by_document, first.where("kind = 2").select("slot", "payload"), length, buckets // 2)
     later = repeat_removals(contents, length, slots)
     removals = first.where("kind = 1").select("slot", "payload").union(later.select("slot", "payload"))
     return _finished(by_document, removals, "long", with_bytes).withColumnRenamed("key", key)
