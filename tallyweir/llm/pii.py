@@ -22,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match can begin only where a run of digits does: an earlier start in the run would match as well.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -140,13 +143,14 @@ def lattice(text: str, a: int, b: int) -> Iterator[tuple[list[int], list[tuple[i
             first = text[part[s]]
             if first.isspace() or not (first.isalnum() or first in "+(_"):
                 continue
-            useful = False
+            digits, at = 0, False
             for e in range(s + 1, min(s + MAX_ATOMS, len(part) - 1) + 1):
                 piece = text[part[e - 1] : part[e]]
-                if "\n" in piece:
+                if "\n" in piece or digits > 24 and not at:
                     break
-                useful = useful or piece[0].isdigit() or piece == "@" or piece.lower() == "at"
-                if not useful or not piece[-1].isalnum():
+                digits += len(piece) if "0" <= piece[0] <= "9" else 0
+                at = at or piece == "@" or piece.lower() == "at"
+                if not (at or digits >= 4) or not piece[-1].isalnum():
                     continue
                 if (f := describe(text, part[s], part[e])) is not None:
                     segments.append((s, e))
@@ -207,8 +211,9 @@ def added_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]]
         for bounds, segments, x in lattice(text, a, b):
             if segments:
                 out += [(bounds[s], k, bounds[e]) for s, e, k in best(len(bounds) - 1, segments, x @ weights)]
-    taken = [(a, b) for a, _, b in base]
-    return [(a, k, b) for a, k, b in out if not any(p < b and a < q for p, q in taken)]
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    before = lambda b: bisect_left(starts, b)  # noqa: E731  base spans that begin before b
+    return [(a, k, b) for a, k, b in out if not before(b) or reach[before(b) - 1] <= a]
 
 
 def likelihood_gradient(n: int, segments: list[tuple[int, int]], x: np.ndarray, weights: np.ndarray, gold: dict[tuple[int, int], int]) -> np.ndarray:

@@ -202,8 +202,18 @@ def test_base_spans():
     for _ in range(5000):
         t = "".join(rng.choice("a1 9.@+-()0-2 45..@") for _ in range(rng.randint(0, 40)))
         assert pii.base_spans(t) == base_by_pattern(t)
-    t = "9" * 5000 + ".1.2.3 " + "." * 50
-    assert pii.base_spans(t) == []
+    assert pii.base_spans("9" * 200_000 + ".1.2.3 " + "." * 50) == []
+    assert len(pii.base_spans("1.1.1.1 " * 20_000)) == 20_000
+
+
+def test_added_spans_touch_no_base_span():
+    weights = pii.fit(pii.generated(random.Random(1), 300))
+    rng = random.Random(4)
+    for _ in range(200):
+        t = " ".join(rng.choice(["1.2.3.4", "a@b.cd", "+1 555 555 1234", "(640) 555-0953", "x [at] y [dot] com", "4539148803436467", "12", "word"]) for _ in range(12))
+        base, every = pii.all_spans(t, weights)
+        for a, _, b in set(every) - set(base):
+            assert not any(p < b and a < q for p, _, q in base)
 
 
 def test_field_adds_spans_and_keeps_the_base():
