@@ -50,7 +50,7 @@ TOKENS_PER_BUCKET, SETS_PER_GROUP = 1_000_000, 5_000
 #: N-grams held at once by a task that makes sets.
 TOKENS_HELD = 1_000_000
 #: Sets of a tile at most: so many hubs, and so many others.
-TILE_HUBS, TILE_OTHERS = 250, 5_000
+TILE_HUBS, TILE_OTHERS = 250, 1_000
 #: Hash seeds of the global orders.
 ORDERS = (1, 2, 3)
 FREQUENT_CLASS = 63
