@@ -27,8 +27,8 @@ EVENTS = """
 raw AS (SELECT event_id AS pkt_no, epoch_us(ts) AS ts_us, event_type NOT IN ('error', 'view') AS outward, user_id::BIGINT AS u, event_type AS et, value FROM events),
 packets AS (
   SELECT pkt_no, ts_us, CASE WHEN outward THEN 167772160 + u ELSE 3232235520 + u % 7 END AS src_ip_n, CASE WHEN outward THEN 3232235520 + u % 7 ELSE 167772160 + u END AS dst_ip_n,
-    CASE WHEN outward THEN 1024 + (u * 7919) % 60000 ELSE CASE u % 3 WHEN 0 THEN 443 WHEN 1 THEN 80 ELSE 53 END END AS src_port,
-    CASE WHEN outward THEN CASE u % 3 WHEN 0 THEN 443 WHEN 1 THEN 80 ELSE 53 END ELSE 1024 + (u * 7919) % 60000 END AS dst_port,
+    CAST(CASE WHEN outward THEN 1024 + (u * 7919) % 60000 ELSE CASE u % 3 WHEN 0 THEN 443 WHEN 1 THEN 80 ELSE 53 END END AS INTEGER) AS src_port,
+    CAST(CASE WHEN outward THEN CASE u % 3 WHEN 0 THEN 443 WHEN 1 THEN 80 ELSE 53 END ELSE 1024 + (u * 7919) % 60000 END AS INTEGER) AS dst_port,
     CASE WHEN u % 2 = 0 THEN 17 ELSE 6 END AS proto, CASE WHEN u % 2 = 0 THEN NULL WHEN et = 'signup' THEN 2 WHEN et = 'purchase' THEN 17 ELSE 16 END AS tcp_flags,
     CAST(40 + floor(value) AS INTEGER) AS ip_len
   FROM raw),
@@ -477,7 +477,7 @@ s AS (
       JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.next))),
 ends AS (SELECT shard, bucket, emitted AS e FROM s WHERE emitted IS NOT NULL
   UNION ALL SELECT shard, bucket, {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': CASE WHEN isudp THEN 'idle' ELSE 'eof' END}} FROM s WHERE key IS NOT NULL AND rn = (SELECT max(rn) FROM q WHERE q.shard = s.shard AND q.bucket = s.bucket))
-SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1 AS port1, e.key.ip2 AS ip2, e.key.port2 AS port2, e.key.proto AS proto, e.ts[1] AS first_ts_us, len(e.ts) AS count, e.wins AS wins, e.total AS total, e.reason AS end_reason, 'main' AS in_table,
+SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1::INTEGER AS port1, e.key.ip2 AS ip2, e.key.port2::INTEGER AS port2, e.key.proto::INTEGER AS proto, e.ts[1] AS first_ts_us, len(e.ts) AS count, e.wins AS wins, e.total AS total, e.reason AS end_reason, 'main' AS in_table,
   array_to_string(list_transform(e.ts, lambda t: t - e.ts[1]), ' ') AS offsets_us, array_to_string(e.lens, ' ') AS lengths FROM ends"""
 
 
