@@ -60,10 +60,12 @@ HOST = re.compile(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Element:
-    __slots__ = ("bad", "digest", "parent", "parts", "tag")
+    __slots__ = ("bad", "digest", "paragraph", "parent", "parts", "tag")
 
     def __init__(self, tag: str, parent: Element | None, bad: bool):
         self.tag, self.parent, self.bad, self.parts, self.digest = tag, parent, bad, [], 0
+        # the open paragraph that a block would end
+        self.paragraph = self if tag == "p" else None if parent is None or tag in SCOPES else parent.paragraph
 
 
 def host_of(url: str | None) -> str:
@@ -75,6 +77,15 @@ def parse(page: str) -> Element:
     """The page's tree; parts of an element are its texts and elements in order."""
     root = here = Element("", None, False)
     at = 0
+    opened: Counter = Counter()  # open elements by tag, so that an end without a start costs nothing
+
+    def leave(to: Element) -> Element:
+        x = here
+        while x is not to:
+            opened[x.tag] -= 1
+            x = x.parent
+        return to
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             here.parts.append(page[at : m.start()])
@@ -84,12 +95,12 @@ def parse(page: str) -> Element:
             continue
         tag = tag.lower()
         if m["end"]:
-            x = here
+            x = here if opened[tag] else None
             while x is not None and x.tag != tag:
                 # an inline end does not close a block
                 x = None if x.tag in BLOCKS and tag not in BLOCKS else x.parent
             if x is not None and x.parent is not None:
-                here = x.parent
+                here = leave(x.parent)
             continue
         if tag in ("html", "body"):
             continue
@@ -101,20 +112,17 @@ def parse(page: str) -> Element:
                 here.parts.append(Element("hr", here, False))
             continue
         if tag in BLOCKS:
-            x = here  # a block ends an open paragraph
-            while x is not None and x.tag not in SCOPES:
-                if x.tag == "p":
-                    here = x.parent
-                    break
-                x = x.parent
-            if tag in CLOSES:
+            if here.paragraph is not None:  # a block ends an open paragraph
+                here = leave(here.paragraph.parent)
+            if any(opened[t] for t in CLOSES.get(tag, ())):
                 x = here
                 while x is not None and (x.tag not in SCOPES or x.tag in CLOSES[tag]):
+                    up = x.parent
                     if x.tag in CLOSES[tag]:
-                        here = x.parent
+                        here = leave(up)
                         if tag not in ("tr", "tbody", "tfoot"):
                             break
-                    x = x.parent
+                    x = up
         attributes = m["attributes"]
         bad = tag in NO_TEXT
         if not bad and attributes and tag not in ("article", "main"):
@@ -123,6 +131,7 @@ def parse(page: str) -> Element:
         here.parts.append(new)
         if not attributes.endswith("/") or tag in BLOCKS:
             here = new
+            opened[tag] += 1
     if at < len(page):
         here.parts.append(page[at:])
     return root
