@@ -50,7 +50,7 @@ TOKENS_PER_BUCKET, SETS_PER_GROUP = 1_000_000, 5_000
 #: N-grams held at once by a task that makes sets.
 TOKENS_HELD = 1_000_000
 #: Sets of a tile at most: so many hubs, and so many others.
-TILE_HUBS, TILE_OTHERS = 250, 1_000
+TILE_HUBS, TILE_OTHERS = 500, 5_000
 #: Hash seeds of the global orders.
 ORDERS = (1, 2, 3)
 FREQUENT_CLASS = 63
@@ -229,6 +229,8 @@ def shared(dealt: DataFrame, groups: int) -> DataFrame:
         tokens, owner = tokens[several] | np.uint64((slot & 0xFF) << 56), owner[order][several]
         order, slots, bounds = by_slot(owner.view(np.uint64) % np.uint64(groups))
         out = [pack(owner[k], tokens[k], classes[k]) for a, b in zip(bounds[:-1], bounds[1:]) for k in [order[a:b]]]
+        del tokens, owner, classes, order, several, keep, df
+        trim()
         return pa.table({"slot": pa.array(slots.astype(np.int32), pa.int32()), "kind": pa.array([0] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return dealt.groupBy("kind", "slot").applyInArrow(run, "slot int, kind int, payload binary")
