@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -129,9 +130,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again: ends its lineage, and survives lost executors."""
+    """df, written as a Parquet table in the shared folder and read again: ends its lineage, and survives lost executors.
+
+    The table stays until the driver's Python ends, as results may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clean)
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is None:  # stopped: its tables stay
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
