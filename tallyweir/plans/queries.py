@@ -444,45 +444,74 @@ def _policy(name: str, **options):
     return run
 
 
-def _slots_sql(name: str, shared: bool, meet_wins: str, gate: bool, full_flush: bool) -> str:
-    """A policy of one slot per bucket as a recursion over each bucket's packets; no packet of another flow takes over."""
+_FLOW = "STRUCT(ip1 BIGINT, port1 BIGINT, ip2 BIGINT, port2 BIGINT, proto BIGINT)"
+
+
+def _draws_sql(seed: int) -> str:
+    """CTEs up to draws(shard, bucket, n, draw): the counter generator, with products modulo 2^64 by halves."""
+    product = lambda x, m: f"((({x} >> 32)::HUGEINT * {m} % 4294967296 * 4294967296 + ({x} & 4294967295)::HUGEINT * {m}) % 18446744073709551616)::UBIGINT"
+    out = [f"z0 AS (SELECT o.shard, o.bucket, n.n, {seed}::UBIGINT AS z FROM opened o, (SELECT unnest(range((SELECT max(rn) FROM q)::BIGINT)) AS n) n)"]
+    for i, part in enumerate(("shard", "bucket", "n")):
+        out.append(f"a{i} AS (SELECT shard, bucket, n, ((xor(z, {part}::UBIGINT)::HUGEINT + {0x9E3779B97F4A7C15}) % 18446744073709551616)::UBIGINT AS z FROM z{i})")
+        out.append(f"b{i} AS (SELECT shard, bucket, n, {product('xor(z, z >> 30)', 0xBF58476D1CE4E5B9)} AS z FROM a{i})")
+        out.append(f"c{i} AS (SELECT shard, bucket, n, {product('xor(z, z >> 27)', 0x94D049BB133111EB)} AS z FROM b{i})")
+        out.append(f"z{i + 1} AS (SELECT shard, bucket, n, xor(z, z >> 31) AS z FROM c{i})")
+    return ", ".join(out) + ", draws AS (SELECT shard, bucket, n, (z >> 32)::BIGINT AS draw FROM z3)"
+
+
+def _slots_sql(name: str, asks: str, hits: str = "false", shared: bool = False, pure: bool = False, gate: bool = True, before: bool = False, after: bool = False, wins: str = "false", at_cap: bool = True) -> str:
+    """A policy of one slot per bucket as a recursion over each bucket's packets.
+
+    asks: whether a packet of another flow may contend, which uses a draw. hits: whether it takes over. before, after:
+    whether the once-only gate is asked before the draw, or after it. wins: when the incumbent scores.
+    """
     shard = "0" if shared else "proto"
-    known = "AND NOT (udp AND list_contains(s.known, q.key))" if gate else ""
-    both = "(q.fin AND NOT q.udp AND len(list_distinct(list_append(CASE WHEN same THEN s.fins ELSE [] END, q.src = CASE WHEN same THEN s.cli ELSE q.src END))) = 2)"
+    flush = f"len(ts) = {CAP} AND (taken OR same)" + ("" if at_cap else " AND both_fin")
     return f"""WITH RECURSIVE {EVENTS}, keyed AS (SELECT *, {fnv()} & {BUCKETS - 1} AS bucket FROM canon),
-q AS (SELECT {shard} AS shard, bucket, row_number() OVER (PARTITION BY {shard}, bucket ORDER BY pkt_no) AS rn, {{'ip1': ip1::BIGINT, 'port1': port1::BIGINT, 'ip2': ip2::BIGINT, 'port2': port2::BIGINT, 'proto': proto::BIGINT}} AS key, {{'a': src_ip_n::BIGINT, 'p': src_port::BIGINT}} AS src,
-    ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce(tcp_flags & 2 <> 0, false) AS syn, coalesce(tcp_flags & 1 <> 0, false) AS fin, ip_len::BIGINT AS ip_len FROM keyed),
-opened AS (SELECT DISTINCT shard, bucket FROM q),
+q AS (SELECT {shard} AS shard, bucket, row_number() OVER (PARTITION BY {shard}, bucket ORDER BY pkt_no) AS rn, {{'ip1': ip1::BIGINT, 'port1': port1::BIGINT, 'ip2': ip2::BIGINT, 'port2': port2::BIGINT, 'proto': proto::BIGINT}} AS p_key, {{'a': src_ip_n::BIGINT, 'p': src_port::BIGINT}} AS src,
+    ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce({'tcp_flags = 2' if pure else 'tcp_flags & 2 <> 0'}, false) OR proto = 17 AS starts, coalesce(tcp_flags & 1 <> 0, false) AS fin, ip_len::BIGINT AS ip_len FROM keyed),
+opened AS (SELECT DISTINCT shard, bucket FROM q), {_draws_sql(SMALL.seed)},
 s AS (
-  SELECT shard, bucket, 0::BIGINT AS rn, NULL::STRUCT(ip1 BIGINT, port1 BIGINT, ip2 BIGINT, port2 BIGINT, proto BIGINT) AS key, NULL::STRUCT(a BIGINT, p BIGINT) AS cli, []::BIGINT[] AS ts, []::BIGINT[] AS lens, 0::BIGINT AS wins, 0::BIGINT AS total, 0::BIGINT AS last, false AS isudp, []::BOOLEAN[] AS fins,
-    []::STRUCT(ip1 BIGINT, port1 BIGINT, ip2 BIGINT, port2 BIGINT, proto BIGINT)[] AS known, NULL::STRUCT(key STRUCT(ip1 BIGINT, port1 BIGINT, ip2 BIGINT, port2 BIGINT, proto BIGINT), ts BIGINT[], lens BIGINT[], wins BIGINT, total BIGINT, reason VARCHAR) AS emitted
+  SELECT shard, bucket, 0::BIGINT AS rn, 0::BIGINT AS drawn, NULL::{_FLOW} AS key, NULL::STRUCT(a BIGINT, p BIGINT) AS cli, []::BIGINT[] AS ts, []::BIGINT[] AS lens, 0::BIGINT AS wins, 1::BIGINT AS seen, 0::BIGINT AS total, 0::BIGINT AS last, false AS isudp, []::BOOLEAN[] AS fins,
+    []::{_FLOW}[] AS known, NULL::STRUCT(key {_FLOW}, ts BIGINT[], lens BIGINT[], wins BIGINT, total BIGINT, reason VARCHAR) AS emitted
   FROM opened
   UNION ALL
-  SELECT shard, bucket, rn, CASE WHEN flush THEN NULL ELSE key END, cli, ts, lens, wins, total, last, isudp, fins, known,
-    CASE WHEN flush THEN {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': '{'fin' if not full_flush else 'cap'}'}} ELSE idle_out END
+  SELECT shard, bucket, rn, drawn, CASE WHEN {flush} THEN NULL ELSE key END, cli, ts, lens, wins, seen, total, last, isudp, fins, known,
+    CASE WHEN {flush} THEN {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': '{'cap' if at_cap else 'fin'}'}} ELSE idle_out END
   FROM (
-    SELECT *, {'len(ts) = ' + str(CAP) + ' AND (taken OR same)' if full_flush else 'len(ts) = ' + str(CAP) + ' AND (taken OR same) AND both_fin'} AS flush
-    FROM (
-      SELECT q.shard, q.bucket, q.rn, same, taken, {both} AS both_fin,
-        CASE WHEN taken THEN q.key WHEN held IS NULL THEN NULL ELSE held END AS key, CASE WHEN taken THEN q.src ELSE s.cli END AS cli,
-        CASE WHEN taken THEN [q.ts_us] WHEN same AND len(s.ts) < {CAP} THEN list_append(s.ts, q.ts_us) ELSE s.ts END AS ts,
-        CASE WHEN taken THEN [q.ip_len] WHEN same AND len(s.lens) < {CAP} THEN list_append(s.lens, CASE WHEN q.src = s.cli THEN q.ip_len ELSE -q.ip_len END) ELSE s.lens END AS lens,
-        CASE WHEN taken THEN 0 WHEN held IS NOT NULL AND NOT same AND ({meet_wins}) THEN s.wins + 1 ELSE s.wins END AS wins,
-        CASE WHEN taken THEN 1 WHEN same THEN s.total + 1 ELSE s.total END AS total, CASE WHEN taken OR same THEN q.sec ELSE s.last END AS last, CASE WHEN taken THEN q.udp ELSE s.isudp END AS isudp,
-        CASE WHEN taken THEN CASE WHEN q.fin THEN [true] ELSE [] END WHEN same AND q.fin THEN list_distinct(list_append(s.fins, q.src = s.cli)) ELSE s.fins END AS fins,
-        CASE WHEN taken AND q.udp THEN list_append(s.known, q.key) ELSE s.known END AS known,
-        CASE WHEN gone THEN {{'key': s.key, 'ts': s.ts, 'lens': s.lens, 'wins': s.wins, 'total': s.total, 'reason': 'idle'}} END AS idle_out, udp
-      FROM (SELECT s.*, s.key IS NOT NULL AND s.isudp AND q.sec - s.last >= {IDLE} AS gone, CASE WHEN s.key IS NOT NULL AND NOT (s.isudp AND q.sec - s.last >= {IDLE}) THEN s.key END AS held,
-          coalesce(s.key = q.key AND NOT (s.isudp AND q.sec - s.last >= {IDLE}), false) AS same, (s.key IS NULL OR (s.isudp AND q.sec - s.last >= {IDLE})) AND (q.udp OR q.syn) {known} AS taken, q.rn AS next FROM s JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.rn + 1) s
-      JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.next))),
+    SELECT shard, bucket, p_rn AS rn, drawn + asks::BIGINT AS drawn, same, taken, CASE WHEN taken THEN p_key WHEN hits THEN CASE WHEN kept THEN held END ELSE held END AS key, CASE WHEN taken THEN src ELSE cli END AS cli,
+      CASE WHEN taken THEN [ts_us] WHEN same AND len(ts) < {CAP} THEN list_append(ts, ts_us) ELSE ts END AS ts, CASE WHEN taken THEN [ip_len] WHEN same AND len(lens) < {CAP} THEN list_append(lens, CASE WHEN src = cli THEN ip_len ELSE -ip_len END) ELSE lens END AS lens,
+      CASE WHEN taken THEN 0 WHEN meets AND ({wins}) THEN wins + 1 ELSE wins END AS wins, CASE WHEN taken AND meets OR asks THEN seen + 1 WHEN taken THEN 1 ELSE seen END AS seen, CASE WHEN taken THEN 1 WHEN same THEN total + 1 ELSE total END AS total,
+      CASE WHEN taken OR same THEN sec ELSE last END AS last, CASE WHEN taken THEN udp ELSE isudp END AS isudp, CASE WHEN taken THEN CASE WHEN fin THEN [true] ELSE [] END WHEN same AND fin THEN list_distinct(list_append(fins, src = cli)) ELSE fins END AS fins,
+      fin AND NOT udp AND len(list_distinct(list_append(CASE WHEN same THEN fins ELSE [] END, src = CASE WHEN same THEN cli ELSE src END))) = 2 AS both_fin,
+      CASE WHEN udp AND (opens AND {str(gate).lower()} OR asks AND {str(before).lower()} OR hits AND NOT kept AND {str(after).lower()}) THEN list_append(known, p_key) ELSE known END AS known,
+      CASE WHEN gone THEN {{'key': s_key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': 'idle'}} END AS idle_out
+    FROM (SELECT *, opens OR (hits AND NOT kept AND starts) AS taken
+      FROM (SELECT *, {str(after).lower()} AND asked_before AS kept
+        FROM (SELECT *, asks AND ({hits}) AS hits
+          FROM (SELECT *, held IS NULL AND starts AND NOT ({str(gate).lower()} AND asked_before) AS opens, meets AND ({asks}) AS asks
+            FROM (SELECT *, held IS NOT NULL AND NOT same AS meets
+              FROM (SELECT *, CASE WHEN NOT gone THEN s_key END AS held, coalesce(NOT gone AND s_key = p_key, false) AS same, udp AND list_contains(known, p_key) AS asked_before
+                FROM (SELECT s.shard, s.bucket, s.drawn, s.key AS s_key, s.cli, s.ts, s.lens, s.wins, s.seen, s.total, s.last, s.isudp, s.fins, s.known, q.rn AS p_rn, q.p_key, q.src, q.ts_us, q.sec, q.udp, q.starts, q.fin, q.ip_len, d.draw, s.key IS NOT NULL AND s.isudp AND q.sec - s.last >= {IDLE} AS gone
+                  FROM s JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.rn + 1 LEFT JOIN draws d ON d.shard = s.shard AND d.bucket = s.bucket AND d.n = s.drawn))))))))),
 ends AS (SELECT shard, bucket, emitted AS e FROM s WHERE emitted IS NOT NULL
   UNION ALL SELECT shard, bucket, {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': CASE WHEN isudp THEN 'idle' ELSE 'eof' END}} FROM s WHERE key IS NOT NULL AND rn = (SELECT max(rn) FROM q WHERE q.shard = s.shard AND q.bucket = s.bucket))
 SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1::INTEGER AS port1, e.key.ip2 AS ip2, e.key.port2::INTEGER AS port2, e.key.proto::INTEGER AS proto, e.ts[1] AS first_ts_us, len(e.ts) AS count, e.wins AS wins, e.total AS total, e.reason AS end_reason, 'main' AS in_table,
   array_to_string(list_transform(e.ts, lambda t: t - e.ts[1]), ' ') AS offsets_us, array_to_string(e.lens, ' ') AS lengths FROM ends"""
 
 
-SQL["policy_fcfs"] = _slots_sql("fcfs", False, "q.udp OR q.syn", True, True)
-SQL["policy_drop_challenger"] = _slots_sql("drop_challenger", True, "false", False, False)
+_HALF = 1 << 31
+_SLOT_POLICIES = {
+    "drop_challenger": {"asks": "false", "shared": True, "gate": False, "at_cap": False},
+    "fcfs": {"asks": "false", "wins": "starts"},
+    "reservoir_shared": {"asks": "NOT asked_before", "hits": "draw % (seen + 1) = 0", "shared": True, "gate": False, "before": True, "at_cap": False},
+    "reservoir": {"asks": "starts", "hits": "draw % (wins + 2) = 0", "after": True, "wins": "asks AND NOT hits"},
+    "random": {"asks": "starts AND NOT asked_before", "hits": f"draw < {_HALF}", "pure": True, "before": True, "wins": "asks AND NOT hits"},
+    "weighted": {"asks": "starts AND NOT asked_before", "hits": f"draw / 4294967296.0 < CASE WHEN len(ts) < 30 THEN 0.5 ELSE 0.5 * ({CAP} - len(ts)) / {CAP - 30} END", "pure": True, "before": True, "wins": "asks AND NOT hits"},
+    "random_replicate": {"asks": "starts", "hits": "draw % 2 = 0", "after": True},
+}
+for _name, _rules in _SLOT_POLICIES.items():
+    SQL[f"policy_{_name}"] = _slots_sql(_name, **_rules)
 
 for _name in catalog.POLICIES:
     QUERIES[f"policy_{_name}"] = _policy(_name, **({"aux_buckets": BUCKETS // 4} if _name == "duel_even" else {}))
