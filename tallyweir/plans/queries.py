@@ -459,7 +459,7 @@ def _draws_sql(seed: int) -> str:
     return ", ".join(out) + ", draws AS (SELECT shard, bucket, n, (z >> 32)::BIGINT AS draw FROM z3)"
 
 
-def _slots_sql(name: str, asks: str, hits: str = "false", shared: bool = False, pure: bool = False, gate: bool = True, before: bool = False, after: bool = False, wins: str = "false", at_cap: bool = True) -> str:
+def _slots_sql(name: str, asks: str, hits: str = "false", shared: bool = False, pure: bool = False, gate: bool = True, before: bool = False, after: bool = False, wins: str = "false", at_cap: bool = True, seed: int | None = None) -> str:
     """A policy of one slot per bucket as a recursion over each bucket's packets.
 
     asks: whether a packet of another flow may contend, which uses a draw. hits: whether it takes over. before, after:
@@ -470,7 +470,7 @@ def _slots_sql(name: str, asks: str, hits: str = "false", shared: bool = False,
     return f"""WITH RECURSIVE {EVENTS}, keyed AS (SELECT *, {fnv()} & {BUCKETS - 1} AS bucket FROM canon),
 q AS (SELECT {shard} AS shard, bucket, row_number() OVER (PARTITION BY {shard}, bucket ORDER BY pkt_no) AS rn, {{'ip1': ip1::BIGINT, 'port1': port1::BIGINT, 'ip2': ip2::BIGINT, 'port2': port2::BIGINT, 'proto': proto::BIGINT}} AS p_key, {{'a': src_ip_n::BIGINT, 'p': src_port::BIGINT}} AS src,
     ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce({'tcp_flags = 2' if pure else 'tcp_flags & 2 <> 0'}, false) OR proto = 17 AS starts, coalesce(tcp_flags & 1 <> 0, false) AS fin, ip_len::BIGINT AS ip_len FROM keyed),
-opened AS (SELECT DISTINCT shard, bucket FROM q), {_draws_sql(SMALL.seed)},
+opened AS (SELECT DISTINCT shard, bucket FROM q), {_draws_sql(SMALL.seed if seed is None else seed)},
 s AS (
   SELECT shard, bucket, 0::BIGINT AS rn, 0::BIGINT AS drawn, NULL::{_FLOW} AS key, NULL::STRUCT(a BIGINT, p BIGINT) AS cli, []::BIGINT[] AS ts, []::BIGINT[] AS lens, 0::BIGINT AS wins, 1::BIGINT AS seen, 0::BIGINT AS total, 0::BIGINT AS last, false AS isudp, []::BOOLEAN[] AS fins,
     []::{_FLOW}[] AS known, NULL::STRUCT(key {_FLOW}, ts BIGINT[], lens BIGINT[], wins BIGINT, total BIGINT, reason VARCHAR) AS emitted
@@ -500,6 +500,8 @@ SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1::INTEGER AS por
   array_to_string(list_transform(e.ts, lambda t: t - e.ts[1]), ' ') AS offsets_us, array_to_string(e.lens, ' ') AS lengths FROM ends"""
 
 
+#: What the stand-in scorer makes of the first eight packets: whether it calls the flow long.
+_GOOD = "(list_avg(list_transform({lens}[1:8], lambda x: abs(x))) - 70) / 20 + (300000 - ({ts}[8] - {ts}[1]) / 1e6) / 300000 >= 0"
 _HALF = 1 << 31
 _SLOT_POLICIES = {
     "drop_challenger": {"asks": "false", "shared": True, "gate": False, "at_cap": False},
@@ -509,10 +511,68 @@ _SLOT_POLICIES = {
     "random": {"asks": "starts AND NOT asked_before", "hits": f"draw < {_HALF}", "pure": True, "before": True, "wins": "asks AND NOT hits"},
     "weighted": {"asks": "starts AND NOT asked_before", "hits": f"draw / 4294967296.0 < CASE WHEN len(ts) < 30 THEN 0.5 ELSE 0.5 * ({CAP} - len(ts)) / {CAP - 30} END", "pure": True, "before": True, "wins": "asks AND NOT hits"},
     "random_replicate": {"asks": "starts", "hits": "draw % 2 = 0", "after": True},
+    "protected": {"asks": f"NOT (len(ts) >= 8 AND {_GOOD.format(lens='lens', ts='ts')})", "hits": "true", "shared": True, "gate": False, "at_cap": False},
 }
 for _name, _rules in _SLOT_POLICIES.items():
     SQL[f"policy_{_name}"] = _slots_sql(_name, **_rules)
 
+def _duel_sql(name: str, shared: bool = False, gate: bool = True, coin: bool = False, emit_aux: bool = False) -> str:
+    """A policy of a main and an auxiliary slot per bucket as a recursion over each bucket's packets.
+
+    coin: whether a third flow may take the auxiliary slot. m and a stand for the slots: key, client, times, lengths,
+    total, last second, whether UDP.
+    """
+    shard = "0" if shared else "proto"
+    parts = ("k", "c", "w", "l", "n", "z", "u")
+    kinds = {"k": _FLOW, "c": "STRUCT(a BIGINT, p BIGINT)", "w": "BIGINT[]", "l": "BIGINT[]", "n": "BIGINT", "z": "BIGINT", "u": "BOOLEAN"}
+    nothing = ", ".join(f"NULL::{kinds[x]} AS {e}{x}" for e in "ma" for x in parts)
+
+    def touched(e: str, mine: str) -> str:
+        """The slot's columns after the packet; old columns where it is not the packet's."""
+        new = {"k": "p_key", "c": "src", "w": "[ts_us]", "l": "[ip_len]", "n": "1", "z": "sec", "u": "udp"}
+        more = {"k": f"{e}k", "c": f"{e}c", "w": f"CASE WHEN len({e}w) < {CAP} THEN list_append({e}w, ts_us) ELSE {e}w END", "l": f"CASE WHEN len({e}l) < {CAP} THEN list_append({e}l, CASE WHEN src = {e}c THEN ip_len ELSE -ip_len END) ELSE {e}l END", "n": f"{e}n + 1", "z": "sec", "u": f"{e}u"}
+        return ", ".join(f"CASE WHEN {mine} AND opens THEN {new[x]} WHEN {mine} AND adds THEN {more[x]} WHEN h{e} IS NOT NULL THEN {e}{x} END AS {e}{x}2" for x in parts)
+
+    def after(e: str) -> str:
+        other = "a" if e == "m" else "m"
+        gone = "main_full" if e == "m" else "aux_full OR duel"
+        taken = "duel AND NOT keep" if e == "m" else "false"
+        return ", ".join(f"CASE WHEN {gone} AND NOT ({taken}) THEN NULL WHEN swap OR ({taken}) THEN {'sec' if x == 'z' else other + x + '2'} ELSE {e}{x}2 END AS {e}{x}" for x in parts)
+
+    flow = lambda e, x, reason, table: f"{{'key': {e}k{x}, 'ts': {e}w{x}, 'lens': {e}l{x}, 'total': {e}n{x}, 'reason': '{reason}', 'tab': '{table}'}}"
+    return f"""WITH RECURSIVE {EVENTS}, keyed AS (SELECT *, {fnv()} & {BUCKETS - 1} AS bucket FROM canon),
+q AS (SELECT {shard} AS shard, bucket, row_number() OVER (PARTITION BY {shard}, bucket ORDER BY pkt_no) AS rn, {{'ip1': ip1::BIGINT, 'port1': port1::BIGINT, 'ip2': ip2::BIGINT, 'port2': port2::BIGINT, 'proto': proto::BIGINT}} AS p_key, {{'a': src_ip_n::BIGINT, 'p': src_port::BIGINT}} AS src,
+    ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce(tcp_flags & 2 <> 0, false) OR proto = 17 AS starts, ip_len::BIGINT AS ip_len FROM keyed),
+opened AS (SELECT DISTINCT shard, bucket FROM q), {_draws_sql(SMALL.seed)},
+s AS (
+  SELECT shard, bucket, 0::BIGINT AS rn, 0::BIGINT AS drawn, {nothing}, []::{_FLOW}[] AS known, NULL::STRUCT(key {_FLOW}, ts BIGINT[], lens BIGINT[], total BIGINT, reason VARCHAR, tab VARCHAR) AS emitted FROM opened
+  UNION ALL
+  SELECT shard, bucket, p_rn, drawn + (third AND {str(coin).lower()})::BIGINT + tie::BIGINT, {after('m')}, {after('a')}, CASE WHEN opens AND udp AND {str(gate).lower()} THEN list_append(known, p_key) ELSE known END,
+    CASE WHEN main_full THEN {flow('m', '2', 'cap', 'main')} WHEN aux_full THEN {flow('a', '2', 'cap', 'aux')} WHEN m_gone THEN {flow('m', '', 'idle', 'main')} END
+  FROM (SELECT *, CASE WHEN tie THEN draw & 1 = 1 ELSE m_good END AS keep
+    FROM (SELECT *, duel AND m_good = a_good AS tie
+      FROM (SELECT *, coalesce(judged AND len(mw2) < 8, false) AS swap, coalesce(judged AND len(mw2) >= 8, false) AS duel, {_GOOD.format(lens='ml2', ts='mw2')} AS m_good, {_GOOD.format(lens='al2', ts='aw2')} AS a_good
+        FROM (SELECT *, (opens OR adds) AND NOT main_full AND NOT aux_full AND mk2 IS NOT NULL AND ak2 IS NOT NULL AND mk2 <> ak2 AND len(aw2) >= 8 AS judged
+          FROM (SELECT *, coalesce((opens OR adds) AND NOT in_aux AND len(mw2) = {CAP}, false) AS main_full, coalesce((opens OR adds) AND in_aux AND {str(emit_aux).lower()} AND len(aw2) = {CAP}, false) AS aux_full
+            FROM (SELECT *, {touched('m', 'NOT in_aux')}, {touched('a', 'in_aux')}
+              FROM (SELECT *, NOT out_now AND NOT there AND starts AND NOT ({str(gate).lower()} AND udp AND list_contains(known, p_key)) AS opens, NOT out_now AND there AS adds
+                FROM (SELECT * REPLACE (CASE WHEN third THEN CASE WHEN out_now THEN ha END ELSE ha END AS ha), CASE WHEN in_aux THEN ha IS NOT NULL AND NOT third ELSE hm IS NOT NULL END AS there
+                  FROM (SELECT *, third AND {'draw & 1 = 0' if coin else 'true'} AS out_now
+                    FROM (SELECT *, in_aux AND coalesce(ha <> p_key, false) AS third
+                      FROM (SELECT *, coalesce(hm <> p_key, false) AS in_aux
+                        FROM (SELECT *, CASE WHEN NOT m_gone THEN mk END AS hm, CASE WHEN NOT (ak IS NOT NULL AND au AND sec - az >= {IDLE}) THEN ak END AS ha
+                          FROM (SELECT s.*, q.rn AS p_rn, q.p_key, q.src, q.ts_us, q.sec, q.udp, q.starts, q.ip_len, d.draw, coalesce(s.mk IS NOT NULL AND s.mu AND q.sec - s.mz >= {IDLE}, false) AS m_gone
+                            FROM s JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.rn + 1 LEFT JOIN draws d ON d.shard = s.shard AND d.bucket = s.bucket AND d.n = s.drawn)))))))))))))),
+ends AS (SELECT shard, bucket, emitted AS e FROM s WHERE emitted IS NOT NULL
+  UNION ALL SELECT shard, bucket, {{'key': mk, 'ts': mw, 'lens': ml, 'total': mn, 'reason': CASE WHEN mu THEN 'idle' ELSE 'eof' END, 'tab': 'main'}} FROM s WHERE mk IS NOT NULL AND rn = (SELECT max(rn) FROM q WHERE q.shard = s.shard AND q.bucket = s.bucket))
+SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1::INTEGER AS port1, e.key.ip2 AS ip2, e.key.port2::INTEGER AS port2, e.key.proto::INTEGER AS proto, e.ts[1] AS first_ts_us, len(e.ts) AS count, 0::BIGINT AS wins, e.total AS total, e.reason AS end_reason, e.tab AS in_table,
+  array_to_string(list_transform(e.ts, lambda t: t - e.ts[1]), ' ') AS offsets_us, array_to_string(e.lens, ' ') AS lengths FROM ends"""
+
+
+_DUELS = {"duel_shared": {"shared": True, "gate": False}, "duel": {"gate": False}, "duel_gated": {}, "duel_revised": {"coin": True, "emit_aux": True}, "duel_logged": {}}
+for _name, _rules in _DUELS.items():
+    SQL[f"policy_{_name}"] = _duel_sql(_name, **_rules)
+
 for _name in catalog.POLICIES:
     QUERIES[f"policy_{_name}"] = _policy(_name, **({"aux_buckets": BUCKETS // 4} if _name == "duel_even" else {}))
 QUERIES["policy_random_seeded"] = _policy("random", rng="global")
@@ -546,7 +606,10 @@ def duel_outcomes(spark, sf_dir):
     return groundtruth.duel_outcomes(groundtruth.collision_table(log, groundtruth.timing(canon(spark, sf_dir))))
 
 
-@query()
+_RUNS = " UNION ALL ".join(f"SELECT count(*) FILTER (end_reason = 'cap') AS full_flows FROM ({_slots_sql('random_replicate', **_SLOT_POLICIES['random_replicate'], seed=SMALL.seed + r)})" for r in range(5))
+
+
+@query(f"SELECT count(*) AS n, round(avg(full_flows), 6) AS mean, quantile_disc(full_flows, 0.25) AS p25, quantile_disc(full_flows, 0.5) AS p50, quantile_disc(full_flows, 0.75) AS p75 FROM ({_RUNS})")
 def monte_carlo_capdumps(spark, sf_dir):
     return evaluate.nearest_rank(catalog.replicates(events(spark, sf_dir), 5, SMALL), "full_flows")
 
