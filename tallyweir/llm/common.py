@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is in memory on both sides of a Python worker.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have BATCH_ROWS rows at most."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    rows = int(conf.get(name, "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

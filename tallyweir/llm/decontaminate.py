@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import flat_utf8, mixed, sliced, word_hashes
+from tallyweir.llm.common import bounded_batches, flat_utf8, mixed, sliced, word_hashes
 
 #: Bytes of benchmark text in a block, which is collected and broadcast.
 BLOCK_BYTES = 4 << 20
@@ -214,22 +214,23 @@ def seed_counts(rows: DataFrame, block) -> DataFrame:
     """(seed, rows): documents that have each seed, and all under a null seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = block.value
+        own, rows_seen = block.value, 0
+        counts = np.zeros(len(own.seeds), np.int64)
         for batch in batches:
-            counts = np.zeros(len(own.seeds), np.int64)
+            rows_seen += batch.num_rows
             for part in sliced(batch):
                 text, _, seed = own.hits(*words_of(part.column(0)))
                 pairs = np.unique(text * max(1, len(own.seeds)) + seed)
                 counts += np.bincount(pairs % max(1, len(own.seeds)), minlength=len(own.seeds))
-            k = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([*own.seeds[k].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[k].tolist(), batch.num_rows], pa.int64())], names=["seed", "rows"])
+        k = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([*own.seeds[k].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[k].tolist(), rows_seen], pa.int64())], names=["seed", "rows"])
 
     return rows.select("text").mapInArrow(run, "seed long, rows long").groupBy("seed").agg(F.sum("rows").alias("rows"))
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, block_bytes: int) -> Iterator:
     """Broadcast blocks of the benchmark, with rare seeds."""
-    rows = docs.select(F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = bounded_batches(docs).select(F.col(text).cast("string").alias("text")).where("text is not null")
     asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // block_bytes))

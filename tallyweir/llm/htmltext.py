@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import sliced
+from tallyweir.llm.common import bounded_batches, sliced
 
 MANY_PAGES, SHARE_OF_HOST = 10, 0.01
 #: Hashes that are broadcast at most (8 bytes each).
 BROADCAST_MOST = 500_000
+#: Subtrees that a task counts before it hands them on.
+KEYS_HELD = 100_000
 # HTML's element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|iframe|svg|math|object|textarea|select|title|head|canvas|audio|video|button"
@@ -235,16 +237,24 @@ def main_text(page: str, host: str, template) -> str:
 
 
 def _rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    return pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    return bounded_batches(pages).select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(key, pages, host page count key) counted per batch."""
+    """(key, pages, host page count key) counted per run of pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        of: dict[int, int] = {}
+
+        def counted() -> pa.RecordBatch:
+            keys = list(seen)
+            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([of.get(k) for k in keys], pa.int64())], names=["subtree", "pages", "host"])
+            seen.clear()
+            of.clear()
+            return made
+
         for batch in batches:
-            seen: Counter = Counter()
-            of: dict[int, int] = {}
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(url)
                 total = page_key(host)
@@ -252,8 +262,10 @@ def _counts(rows: DataFrame) -> DataFrame:
                 for k in subtree_keys(page or "", host):
                     seen[k] += 1
                     of[k] = total
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([of.get(k) for k in keys], pa.int64())], names=["subtree", "pages", "host"])
+            if len(seen) > KEYS_HELD:
+                yield counted()
+        if seen:
+            yield counted()
 
     return rows.select("url", "html").mapInArrow(run, "subtree long, pages long, host long")
 

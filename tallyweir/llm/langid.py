@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import flat_utf8, id_remainder, segment_sums, sliced
+from tallyweir.llm.common import bounded_batches, flat_utf8, id_remainder, segment_sums, sliced
 
 BUCKETS = 1 << 13
 WIDTH = 16
@@ -138,7 +138,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 10, rate:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, **options) -> Model | None:
     """A model of a bounded sample of the rows that have a language and a text; None if there are none."""
-    rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null")
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null")
     ids = rows.select("key", "lang").orderBy(F.xxhash64(F.col("key").cast("string")), "key", "lang").limit(sample).select("key").distinct()
     chosen = rows.join(F.broadcast(ids), "key", "left_semi").where("text is not null")  # ids: `sample` rows at most
 
@@ -160,7 +160,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, accepted) for each row's whole text."""
-    chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    chosen = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import sliced
+from tallyweir.llm.common import bounded_batches, sliced
 
 BLOCK = 64
 LINE_BLOCKS = 8191
@@ -428,7 +428,7 @@ def _own_blocks(media: list[bytes]) -> list[np.ndarray | None]:
 
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a column of baseline JPEGs that hold the padded UTF-8 of each whole text."""
-    kept = docs.drop(media)
+    kept = bounded_batches(docs).drop(media)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{media}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +447,7 @@ FEATURES = "media_bytes long, media_sha256 string, width int, height int, payloa
 def read_features(table: DataFrame, media: str = "media") -> DataFrame:
     """table, without its media, with what is read back from each JPEG; nulls where it is no baseline JPEG."""
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    kept = table.drop(*[n for n in names if n != media])
+    kept = bounded_batches(table).drop(*[n for n in names if n != media])
     others = [f for f in kept.schema if f.name != media]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), FEATURES])
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}

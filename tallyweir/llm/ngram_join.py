@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import cut, flat_utf8, forget, mixed, sliced, trim, word_hashes
+from tallyweir.llm.common import bounded_batches, cut, flat_utf8, forget, mixed, sliced, trim, word_hashes
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
@@ -434,7 +434,7 @@ def links(live: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the smallest key that links of at least `percent` similarity reach."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     seen = cut(first_pass(rows, words), "shingle-sets")
     frequent = np.sort(np.array([r.token for r in seen.where("token is not null").groupBy("token").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST).collect()], np.int64).view(np.uint64))
     sizes = seen.where("token is null").select("key", "n", "sig")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import held_by_worker, sliced, trim
+from tallyweir.llm.common import bounded_batches, held_by_worker, sliced, trim
 
 MARK = "▁"
 #: Distinct words kept by a Python worker; when full, the table starts anew.
@@ -86,7 +86,7 @@ def chunk_table(model: str) -> ChunkTable:
 
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """docs with the ids of each whole text (array of int) and the text that these ids decode to, unless decoded is None."""
-    kept = docs.drop(ids, *([decoded] if decoded else []))
+    kept = bounded_batches(docs).drop(ids, *([decoded] if decoded else []))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
 
 def digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of each row's whole text."""
-    chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    chosen = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import sliced
+from tallyweir.llm.common import bounded_batches, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -299,7 +299,7 @@ def fit(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 8,
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray:
     """The field's weights: generated windows, and windows around base spans of a bounded sample of documents."""
-    rows = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    rows = bounded_batches(docs).select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +328,7 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]
 
 def find(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone: base spans, base_sha256, spans) of each row's whole text."""
-    chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    chosen = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
     names = ["key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
@@ -358,7 +358,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """docs with personal data of the text masked; all columns stay, and a null text stays null."""
-    i = docs.columns.index(text)
+    i = bounded_batches(docs).columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

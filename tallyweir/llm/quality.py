@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import cut, flat_utf8, id_remainder, sliced
+from tallyweir.llm.common import bounded_batches, cut, flat_utf8, id_remainder, sliced
 
 WIDTH = 256
 RIDGE = 1.0
@@ -59,7 +59,7 @@ def describe(text: str, counts: np.ndarray) -> list[float]:
 
 def statistics(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows, without their text, with the array of the text's statistics."""
-    others = [f for f in rows.schema if f.name not in (text, "stats")]
+    others = [f for f in bounded_batches(rows).schema if f.name not in (text, "stats")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

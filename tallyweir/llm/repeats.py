@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import BYTE_VALUES, cut, flat_utf8, forget, mixed, sliced, trim
+from tallyweir.llm.common import BYTE_VALUES, bounded_batches, cut, flat_utf8, forget, mixed, sliced, trim
 from tallyweir.llm.ngram_join import by_slot, pack, unpacked
 
 GRAM = 24
@@ -446,7 +446,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if not GRAM <= length <= 4096:
         raise ValueError(f"length must be from {GRAM} to 4096")
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(key).isNull().alias("no_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(key).isNull().alias("no_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records_expected = 2 * size // (length - GRAM + 2)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import held_by_worker, id_remainder, sliced, trim
+from tallyweir.llm.common import bounded_batches, held_by_worker, id_remainder, sliced, trim
 
 #: Labelled rows used for training at most, and words of the lexicon at most.
 SAMPLE, LEXICON = 20_000, 512
@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def features(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """rows, without their text, with the array of the regression's features."""
-    others = [f for f in rows.schema if f.name not in (text, "features")]
+    others = [f for f in bounded_batches(rows).schema if f.name not in (text, "features")]
     key = model.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose whole text scores below the threshold, with all columns; a null text is clean."""
-    key, i = model.key, docs.columns.index(text)
+    key, i = model.key, bounded_batches(docs).columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(key)
