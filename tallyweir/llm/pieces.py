@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tallyweir.llm.common import bounded_batches, held_by_worker, sliced, trim
 
 MARK = "▁"
-#: Distinct words kept by a Python worker; when full, the table starts anew.
-TABLE_ENTRIES = 120_000
+#: Distinct words of a generation of the table; a worker keeps two.
+TABLE_ENTRIES = 90_000
 #: Longer words are segmented each time and not kept.
 LONGEST_KEPT = 64
 #: A marked word: a run of markers with what follows up to the next marker, or markers at the end.
@@ -33,14 +33,17 @@ WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class ChunkTable(dict):
-    """word -> (its ids joined by commas, number of ids, decoded text)."""
+    """word -> (its ids joined by commas, number of ids, decoded text).
+
+    When a generation is full a new one begins, which takes words that are met again from the one before.
+    """
 
     def __init__(self, model: str, entries: int = TABLE_ENTRIES):
         super().__init__()
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.entries = entries
+        self.entries, self.before = entries, {}
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.normal = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.split_ok = self.normal and self._is_identity()
@@ -51,23 +54,23 @@ class ChunkTable(dict):
         return self.sp.normalize(probe) == MARK + probe.replace(" ", MARK)
 
     def __missing__(self, word: str) -> tuple[str, int, str]:
-        # the library puts a marker first; a word starts with one, and the spaces stand for the rest of them
-        if word[0] == MARK:
-            ids = self.sp.encode(word[1:].replace(MARK, " "), add_bos=False, add_eos=False) if len(word) > 1 else [self.sp.piece_to_id(MARK)]
-            text = self.sp.decode(ids)
-            if word.lstrip(MARK):
-                text = " " * (len(word) - len(word.lstrip(MARK))) + text.lstrip(" ")
-            else:
-                text = " " * len(word)
-        else:
-            raise KeyError(word)
-        entry = (",".join(map(str, ids)), len(ids), text)
+        entry = self.before.get(word) or self.segment(word)
         if len(word) <= LONGEST_KEPT:
             if len(self) >= self.entries:
+                self.before = dict(self)
                 self.clear()
             self[word] = entry
         return entry
 
+    def segment(self, word: str) -> tuple[str, int, str]:
+        """A marked word's entry, by the library. It puts a marker first, as the word has one, and spaces stand for the others."""
+        if word[0] != MARK:
+            raise KeyError(word)
+        ids = self.sp.encode(word[1:].replace(MARK, " "), add_bos=False, add_eos=False) if len(word) > 1 else [self.sp.piece_to_id(MARK)]
+        rest = word.lstrip(MARK)
+        text = " " * (len(word) - len(rest)) + self.sp.decode(ids).lstrip(" ") if rest else " " * len(word)
+        return ",".join(map(str, ids)), len(ids), text
+
     def encode_decode(self, text: str) -> tuple[str, int, str]:
         """Ids joined by commas, their number, and the decoded text."""
         if not text:
