@@ -1,11 +1,13 @@
 """HTML extraction: the main text of a page, after the site's template is taken out.
 
 A page is parsed once into elements with a hash of each subtree (tags and text, without attributes). Spark counts, for
-each host, the pages that have a subtree; those on at least MANY_PAGES pages and a share of the host's pages are the
-site's template and are deleted. What the markup itself names as no main text goes too: navigation, footers, asides,
+each host, the pages that have a subtree; those on at least MANY_PAGES pages and a share of the host's pages, in at least
+MANY_PAGES different surroundings, are the site's template and are deleted. What the markup itself names as no main text goes too: navigation, footers, asides,
 forms, scripts, styles, and containers named as adverts, notices, comments and the like. The main text is in the
-page's articles, else in its main element, else in what is left of the body. Inside of those, running text (paragraphs,
-headings, list items, quotations) is never deleted for recurring, as copies of an article are no template.
+page's articles, else in its main element, else in what is left of the body. Inside of articles and main elements, running
+text (paragraphs, headings, list items, quotations) is never deleted for recurring. Copies of an article are no template:
+the surroundings of a subtree are its whole article, main element or page, and those of a copy's parts are all the same.
+A container that holds all of a page's articles, or mains where it has none, stays.
 
 Counts are added up per batch before they are shuffled, and the template's hashes reach the pages by a broadcast of a
 checked size, or else by joins on the page, so that a host with a third of all pages makes no large task.
@@ -178,19 +180,39 @@ def page_key(host: str) -> int:
     return key_of(host, 0)
 
 
-def places(root: Element) -> list[tuple[Element, bool]]:
-    """Elements with text and whether each lies in an article or main element."""
-    inside: dict[int, bool] = {}
+def places(root: Element) -> list[tuple[Element, Element]]:
+    """Elements with text, each with what it lies in: the outermost article, else the outermost main element, else the root."""
+    scopes: dict[int, Element] = {}
     out = []
     for x in hashed(root):
-        main = x.tag in ("article", "main") or (x.parent is not None and inside.get(id(x.parent), False))
-        inside[id(x)] = main
-        out.append((x, main))
+        scope = root if x.parent is None else scopes[id(x.parent)]
+        if x.tag == "article" and scope.tag != "article" or x.tag == "main" and scope is root:
+            scope = x
+        scopes[id(x)] = scope
+        out.append((x, scope))
     return out
 
 
-def subtree_keys(page: str, host: str) -> set[int]:
-    return {key_of(host, x.digest) for x, main in places(parse(page)) if candidate(x, main)}
+def holders(found: list[tuple[Element, Element]]) -> set[int]:
+    """The elements that hold all of the page's articles, or mains where it has none."""
+    bad: set[int] = set()
+    tops: dict[str, list[Element]] = {"article": [], "main": []}
+    for x, scope in found:
+        if x.bad or (x.parent is not None and id(x.parent) in bad):
+            bad.add(id(x))
+        elif x is scope and x.tag in tops:
+            tops[x.tag].append(x)
+    chosen = tops["article"] or tops["main"]
+    held: Counter = Counter()
+    for x in chosen:
+        while (x := x.parent) is not None:
+            held[id(x)] += 1
+    return {k for k, n in held.items() if n == len(chosen)}
+
+
+def subtree_keys(page: str, host: str) -> dict[int, int]:
+    """The keys of a page's subtrees that may be template, each with the hash of what it lies in."""
+    return {key_of(host, x.digest): scope.digest for x, scope in places(parse(page)) if candidate(x, scope.parent is not None)}
 
 
 def main_text(page: str, host: str, template) -> str:
@@ -199,10 +221,12 @@ def main_text(page: str, host: str, template) -> str:
     gone: set[int] = set()
     roots: dict[str, list[Element]] = {"article": [], "main": []}
     covered: set[int] = set()
-    for x, main in places(root):
+    found = places(root)
+    holding = holders(found)
+    for x, scope in found:
         if x.parent is not None and id(x.parent) in gone:
             gone.add(id(x))
-        elif x.bad or candidate(x, main) and key_of(host, x.digest) in template:
+        elif x.bad or id(x) not in holding and candidate(x, scope.parent is not None) and key_of(host, x.digest) in template:
             gone.add(id(x))
         elif x.tag in roots:
             if x.parent is None or id(x.parent) not in covered:
@@ -240,18 +264,25 @@ def _rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return bounded_batches(pages).select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(key, pages, host page count key) counted per run of pages."""
+def _counts(rows: DataFrame, many: int) -> DataFrame:
+    """(key, context, pages, host page count key) counted per run of pages: a row for each of a key's first `many` contexts, the pages in one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         of: dict[int, int] = {}
+        contexts: dict[int, set[int]] = {}
 
         def counted() -> pa.RecordBatch:
-            keys = list(seen)
-            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([of.get(k) for k in keys], pa.int64())], names=["subtree", "pages", "host"])
+            keys, around, pages = [], [], []
+            for k, n in seen.items():
+                c = contexts.get(k, (0,))
+                keys += [k] * len(c)
+                around += c
+                pages += [n] + [0] * (len(c) - 1)
+            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(around, pa.int64()), pa.array(pages, pa.int64()), pa.array([of.get(k) for k in keys], pa.int64())], names=["subtree", "context", "pages", "host"])
             seen.clear()
             of.clear()
+            contexts.clear()
             return made
 
         for batch in batches:
@@ -259,20 +290,25 @@ def _counts(rows: DataFrame) -> DataFrame:
                 host = host_of(url)
                 total = page_key(host)
                 seen[total] += 1
-                for k in subtree_keys(page or "", host):
+                for k, context in subtree_keys(page or "", host).items():
                     seen[k] += 1
                     of[k] = total
+                    c = contexts.setdefault(k, set())
+                    if len(c) < many:
+                        c.add(context >> 1)  # signed
             if len(seen) > KEYS_HELD:
                 yield counted()
         if seen:
             yield counted()
 
-    return rows.select("url", "html").mapInArrow(run, "subtree long, pages long, host long")
+    return rows.select("url", "html").mapInArrow(run, "subtree long, context long, pages long, host long")
 
 
 def template_keys(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", many: int = MANY_PAGES, share: float = SHARE_OF_HOST) -> DataFrame:
-    """(subtree) keys of the subtrees that recur on many pages of their host."""
-    counts = _counts(_rows(pages, key, url, html)).groupBy("subtree", "host").agg(F.sum("pages").alias("pages")).where((F.col("pages") >= many) | F.col("host").isNull())
+    """(subtree) keys of the subtrees that recur on many pages of their host, in many surroundings."""
+    # one shuffle serves both counts
+    found = _counts(_rows(pages, key, url, html), many).repartition("subtree").groupBy("subtree", "host", "context").agg(F.sum("pages").alias("pages"))
+    counts = found.groupBy("subtree", "host").agg(F.sum("pages").alias("pages"), F.count("*").alias("contexts")).where((F.col("pages") >= many) & (F.col("contexts") >= many) | F.col("host").isNull())
     hosts = counts.where("host is null").select(F.col("subtree").alias("host"), F.col("pages").alias("of_host"))
     return counts.where("host is not null").join(hosts, "host").where(F.col("pages") >= F.col("of_host") * share).select("subtree")
 

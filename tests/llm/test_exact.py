@@ -321,3 +321,20 @@ def test_site_template_goes_both_ways(spark):
     few = htmltext.extract(pages.where("page_id < 9")).collect()
     assert all("Every page has this" in r.text for r in few)
     assert htmltext.extract(pages.limit(0)).collect() == []
+
+
+def test_copied_articles_are_no_template(spark):
+    box = "<div><p>Read this first</p><ul><li>a<li>b</ul></div>"
+    bodies = {
+        "div": "<article><h1>T</h1><div><p>One text.</p><ul><li>x<li>y</ul><table><tr><td>z</table></div></article>", "plain": "<p>One text.</p><section>Two</section>",
+        "wrapped": "<div><main><div><article><p>One text.</p><dl><dt>x<dd>y</dl></article></div></main></div><aside>{}</aside>",
+    }
+    want = {"div": "T\n\nOne text.\n\nx\n\ny\n\nz", "plain": "One text.\n\nTwo", "wrapped": "One text.\n\nx\n\ny"}
+    rows = [(f"{k} {i}", f"http://{k}.example.com/{i}", f"<body><div>Top of the site</div>{b.format(i)}</body>") for k, b in bodies.items() for i in range(12)]
+    # other pages of the hosts, which show the template
+    rows += [(f"other {k} {i}", f"http://{k}.example.com/o{i}", f"<body><div>Top of the site</div>{f'<p>Own {i}</p>{box}' if k == 'plain' else f'<article><p>Own {i}</p>{box}</article>'}</body>") for k in bodies for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for most in (htmltext.BROADCAST_MOST, 0):
+        got = {r.page_id: r.text for r in htmltext.extract(pages, broadcast_most=most).collect()}
+        assert {got[f"{k} {i}"] for k in bodies for i in range(12)} == set(want.values()) and all(got[f"{k} {i}"] == want[k] for k in bodies for i in range(12))
+        assert all(got[f"other {k} {i}"] == f"Own {i}" for k in bodies for i in range(20))
