@@ -39,12 +39,15 @@ BROADCAST_MOST = 500_000
 KEYS_HELD = 100_000
 # HTML's element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|math|object|textarea|select|title|head|canvas|audio|video|button"
+RAW = "script|style|noscript|iframe|textarea|title"
+#: Elements whose content is no text. One without an end tag ends with its parent or where a block begins.
+SHUT = frozenset("head template svg math object select canvas audio video button".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta template".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NO_TEXT = frozenset("nav footer aside form menu dialog fieldset dir".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr tbody thead tfoot figcaption caption summary address".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
-SCOPES = frozenset("table ul ol dl div section article main body html td th blockquote aside nav form".split())
+SCOPES = SHUT | frozenset("table ul ol dl div section article main body html td th blockquote aside nav form".split())
 #: Words of a class, id or role that name no main text.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|paywall"
@@ -58,6 +61,7 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )
+SHUT_START = re.compile(rf"<(?:{'|'.join(sorted(SHUT - {'head'}))})[\s/>]", re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 HOST = re.compile(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -77,21 +81,43 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def ended_starts(page: str) -> set[int]:
+    """Where the elements of SHUT begin that have an end tag."""
+    if not SHUT_START.search(page):
+        return set()
+    ended: set[int] = set()
+    starts: dict[str, list[int]] = {t: [] for t in SHUT}
+    for m in TOKEN.finditer(page):
+        if m["tag"] and (held := starts.get(m["tag"].lower())) is not None:
+            if not m["end"]:
+                if not m["attributes"].endswith("/"):
+                    held.append(m.start())
+            elif held:
+                ended.add(held.pop())
+    return ended
+
+
 def parse(page: str) -> Element:
     """The page's tree; parts of an element are its texts and elements in order."""
     root = here = Element("", None, False)
     at = 0
+    ended = ended_starts(page)
+    cut: list[Element] = []  # open elements of SHUT without an end tag
     opened: Counter = Counter()  # open elements by tag, so that an end without a start costs nothing
 
     def leave(to: Element) -> Element:
         x = here
         while x is not to:
             opened[x.tag] -= 1
+            if cut and cut[-1] is x:
+                cut.pop()
             x = x.parent
         return to
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
+            if here.tag == "head" and not page[at : m.start()].isspace():
+                here = leave(here.parent)
             here.parts.append(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
@@ -102,10 +128,12 @@ def parse(page: str) -> Element:
             x = here if opened[tag] else None
             while x is not None and x.tag != tag:
                 # an inline end does not close a block
-                x = None if x.tag in BLOCKS and tag not in BLOCKS else x.parent
+                x = None if x.tag in BLOCKS and tag not in BLOCKS and tag not in SHUT else x.parent
             if x is not None and x.parent is not None:
                 here = leave(x.parent)
             continue
+        if here.tag == "head" and tag not in IN_HEAD:  # the first element of the body
+            here = leave(here.parent)
         if tag in ("html", "body"):
             continue
         if tag == "br" or tag == "wbr":
@@ -116,6 +144,8 @@ def parse(page: str) -> Element:
                 here.parts.append(Element("hr", here, False))
             continue
         if tag in BLOCKS:
+            if cut and tag not in ("option", "optgroup", "legend"):
+                here = leave(cut[0].parent)
             if here.paragraph is not None:  # a block ends an open paragraph
                 here = leave(here.paragraph.parent)
             if any(opened[t] for t in CLOSES.get(tag, ())):
@@ -128,6 +158,15 @@ def parse(page: str) -> Element:
                             break
                     x = up
         attributes = m["attributes"]
+        if tag in SHUT:  # not among its parent's parts
+            if not attributes.endswith("/"):
+                if tag in ("button", "select") and cut and any(x.tag == tag for x in cut):
+                    here = leave(next(x for x in cut if x.tag == tag).parent)
+                here = Element(tag, here, True)
+                opened[tag] += 1
+                if tag != "head" and m.start() not in ended:
+                    cut.append(here)
+            continue
         bad = tag in NO_TEXT
         if not bad and attributes and tag not in ("article", "main"):
             bad = any(NAMES.search(a or b or c) for a, b, c in NAMED.findall(attributes)) and tag in BLOCKS | {"span", "a"} or bool(HIDDEN.search(attributes))
@@ -137,6 +176,8 @@ def parse(page: str) -> Element:
             here = new
             opened[tag] += 1
     if at < len(page):
+        if here.tag == "head" and not page[at:].isspace():
+            here = leave(here.parent)
         here.parts.append(page[at:])
     return root
 

@@ -306,6 +306,16 @@ def test_page_markup():
     assert htmltext.main_text("", "h", ()) == "" and htmltext.main_text("plain  text", "", ()) == "plain text"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><meta charset=x><article><p>One</p></article>", "One"), ("<head><link rel=x>Two<p>three", "Two\n\nthree"), ("<head><style>a</style></head><body>One</body>", "One"),
+    ("<body><nav><button>Menu</nav><article><p>One</p></article>", "One"), ("<body><button>Menu<article><p>One</p></article><button>Up</button>", "One"), ("<body><select><option>a<option>b<p>One", "One"),
+    ("<body><ul><li><video src=x>none</ul><p>One</p>", "One"), ("<p>One <button><div>Menu</div></button>two", "One two"), ("<p>One <svg><title>s</title><text>t</text></svg>two<svg/> three", "One two three"),
+    ("<p>One<object><object>a<p>b</object><p>c</object> two", "One two"), ("<p>One <template><article>x</article></template>two", "One two"), ("<p>One<script>a<button></script> two<textarea>b", "One two"),
+])
+def test_elements_without_an_end(page, text):
+    assert htmltext.main_text(page, "h", ()) == text
+
+
 def template_pages(spark):
     rows = [(i, f"http://{'big' if i % 3 else 'small'}.example.com/{i}", f"<body><div><p>Shop now at our site</p><p>Every page has this</p></div><div><p>Own text number {i}</p></div></body>") for i in range(60)]
     rows += [(None, None, None), (60, "http://big.example.com/60", ""), (1, rows[1][1], rows[1][2])]
