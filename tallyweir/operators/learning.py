@@ -36,7 +36,7 @@ def logistic(n: int) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="vector", withMean=True), LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=200)])
 
 
-def forest(n: int, trees: int = 400, depth: int = 12) -> Pipeline:
+def forest(n: int, trees: int = 400, depth: int = 30) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=feature_names(n), outputCol="vector"), RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=7)])
 
 

@@ -634,7 +634,7 @@ def lr_scores(spark, sf_dir):
 
 @query()
 def rf_scores(spark, sf_dir):
-    return _fit_and_report(learning.forest(8, trees=20, depth=6))(spark, sf_dir)
+    return _fit_and_report(learning.forest(8))(spark, sf_dir)
 
 
 @query()

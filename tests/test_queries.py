@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tallyweir.plans import queries
 from tallyweir.plans.queries import QUERIES, SQL
 from tests.conftest import SF
 
@@ -45,3 +46,11 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_forest_is_as_large_as_it_can_be(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries.learning, "train", lambda rows, pipeline: made.append(pipeline.getStages()[-1]))
+    monkeypatch.setattr(queries.learning, "score", lambda model, rows: rows)
+    QUERIES["rf_scores"](spark, SF)
+    assert [(f.getNumTrees(), f.getMaxDepth(), f.getMinInstancesPerNode()) for f in made] == [(400, 30, 2)]
