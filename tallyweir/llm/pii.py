@@ -12,8 +12,8 @@ from the base spans of a bounded sample of documents, with and without their plu
 generated windows of look-alikes (dates, versions, serial numbers) that hold no personal data.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive, and the added spans never
-overlap base spans or each other. Equal texts get equal rows, repeated rows are repeated. Regions have no bound but are
-cut at MAX_REGION atoms for the programme's memory, at a space. Only id and text are read by `find`; `mask` keeps all
+overlap base spans or each other. Equal texts get equal rows, repeated rows are repeated. Regions have no bound: the
+programme goes over the whole of one, with the features of MAX_REGION atoms' segments in memory at a time. Only id and text are read by `find`; `mask` keeps all
 other columns.
 """
 
@@ -23,7 +23,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -129,34 +129,33 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
         yield last
 
 
-def lattice(text: str, a: int, b: int) -> Iterator[tuple[list[int], list[tuple[int, int]], np.ndarray]]:
-    """(atom bounds, candidate segments as atom numbers, their features) of a region, in bounded parts cut at a space."""
-    bounds = [a + m.start() for m in ATOM.finditer(text[a:b])] + [b]
-    i = 0
-    while i < len(bounds) - 1:
-        j = min(i + MAX_REGION, len(bounds) - 1)
-        if j < len(bounds) - 1:
-            j = next((k + 1 for k in range(j - 1, i, -1) if text[bounds[k]].isspace()), j)
-        part = bounds[i : j + 1]
+def atoms(text: str, a: int, b: int) -> list[int]:
+    """Where the atoms of a region begin, and its end."""
+    return [a + m.start() for m in ATOM.finditer(text[a:b])] + [b]
+
+
+def lattice(text: str, bounds: list[int]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
+    """(candidate segments as atom numbers, their features) between atom bounds, by start: those of MAX_REGION starts at a time."""
+    n = len(bounds) - 1
+    for i in range(0, n, MAX_REGION):
         segments, rows = [], []
-        for s in range(len(part) - 1):
-            first = text[part[s]]
+        for s in range(i, min(i + MAX_REGION, n)):
+            first = text[bounds[s]]
             if first.isspace() or not (first.isalnum() or first in "+(_"):
                 continue
             digits, at = 0, False
-            for e in range(s + 1, min(s + MAX_ATOMS, len(part) - 1) + 1):
-                piece = text[part[e - 1] : part[e]]
+            for e in range(s + 1, min(s + MAX_ATOMS, n) + 1):
+                piece = text[bounds[e - 1] : bounds[e]]
                 if "\n" in piece or digits > 24 and not at:
                     break
                 digits += len(piece) if "0" <= piece[0] <= "9" else 0
                 at = at or piece == "@" or piece.lower() == "at"
                 if not (at or digits >= 4) or not piece[-1].isalnum():
                     continue
-                if (f := describe(text, part[s], part[e])) is not None:
+                if (f := describe(text, bounds[s], bounds[e])) is not None:
                     segments.append((s, e))
                     rows.append(f)
-        yield part, segments, np.array(rows, float).reshape(len(rows), N_FEATURES)
-        i = j
+        yield segments, np.array(rows, float).reshape(len(rows), N_FEATURES)
 
 
 def describe(text: str, a: int, b: int) -> list[float] | None:
@@ -182,25 +181,33 @@ def describe(text: str, a: int, b: int) -> list[float] | None:
 
 def best(n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
     """The best cut of n atoms: (first atom, end, kind) of its entities. scores: by segment and kind; outside atoms score 0."""
-    by_end: dict[int, list[int]] = {}
-    for i, (_, e) in enumerate(segments):
-        by_end.setdefault(e, []).append(i)
-    kind = scores.argmax(axis=1) if len(scores) else []
-    value, back = [0.0] * (n + 1), [-1] * (n + 1)
-    for e in range(1, n + 1):
-        value[e] = value[e - 1]
-        for i in by_end.get(e, ()):
-            v = value[segments[i][0]] + scores[i, kind[i]]
-            if v > value[e]:
-                value[e], back[e] = v, i
+    return best_of_parts(n, [(segments, scores)])
+
+
+def best_of_parts(n: int, parts: Iterable[tuple[list[tuple[int, int]], np.ndarray]]) -> list[tuple[int, int, int]]:
+    """As best; the segments come in parts, ordered by their first atoms."""
+    value, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
+    done = 0  # up to here the values are final
+
+    def finish(to: int) -> int:
+        for e in range(done + 1, to + 1):
+            if value[e - 1] >= value[e]:
+                value[e], back[e] = value[e - 1], None
+        return max(done, to)
+
+    for segments, scores in parts:
+        for (s, e), kind, score in zip(segments, scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()) if segments else ():
+            done = finish(s)
+            if value[s] + score > value[e]:
+                value[e], back[e] = value[s] + score, (s, e, kind)
+    finish(n)
     out, e = [], n
     while e > 0:
-        if back[e] < 0:
+        if back[e] is None:
             e -= 1
         else:
-            s, _ = segments[back[e]]
-            out.append((s, e, int(kind[back[e]])))
-            e = s
+            out.append(back[e])
+            e = back[e][0]
     return out[::-1]
 
 
@@ -208,9 +215,9 @@ def added_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]]
     """The field's spans that do not touch a base span."""
     out = []
     for a, b in regions(text):
-        for bounds, segments, x in lattice(text, a, b):
-            if segments:
-                out += [(bounds[s], k, bounds[e]) for s, e, k in best(len(bounds) - 1, segments, x @ weights)]
+        bounds = atoms(text, a, b)
+        found = best_of_parts(len(bounds) - 1, ((segments, x @ weights) for segments, x in lattice(text, bounds)))
+        out += [(bounds[s], k, bounds[e]) for s, e, k in found]
     starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     before = lambda b: bisect_left(starts, b)  # noqa: E731  base spans that begin before b
     return [(a, k, b) for a, k, b in out if not before(b) or reach[before(b) - 1] <= a]
@@ -279,7 +286,7 @@ def fit(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 8,
     weights[0] = -2.0
     ready = []
     for text, spans in windows:
-        for bounds, segments, x in (part for a, b in regions(text) for part in lattice(text, a, b)):
+        for bounds, segments, x in ((bounds, *part) for a, b in regions(text) for bounds in [atoms(text, a, b)] for part in lattice(text, bounds)):
             if segments:
                 at = {(s, e): k for s, k, e in spans}
                 gold = {seg: at[bounds[seg[0]], bounds[seg[1]]] for seg in segments if (bounds[seg[0]], bounds[seg[1]]) in at}

@@ -242,6 +242,19 @@ def test_dynamic_programme_against_all_cuts():
         assert abs(sum(scores[segments.index((s, e))][k] for s, e, k in chosen) - value(0)) < 1e-9
 
 
+def test_long_regions_lose_nothing_at_their_parts(monkeypatch):
+    weights = pii.fit(pii.generated(random.Random(1), 600))
+    for gap in range(4):
+        text = "a " * gap + " ".join(f"name{'x' * (i % 3)} (212) 555-{i:04d}" for i in range(600))
+        assert len([x for a, b in pii.regions(text) for x in pii.lattice(text, pii.atoms(text, a, b))]) > 5
+        _, found = pii.all_spans(text, weights)
+        with monkeypatch.context() as m:
+            m.setattr(pii, "MAX_REGION", 10**9)
+            assert pii.all_spans(text, weights)[1] == found
+        starts = {text.index(f"(212) 555-{i:04d}") for i in range(600)}
+        assert starts <= {a for a, _, _ in found}
+
+
 def test_masking(spark):
     assert pii.masked("a b@c.de +1 555 555 0000!", pii.base_spans("a b@c.de +1 555 555 0000!")) == "a [EMAIL] [PHONE]!"
 
