@@ -3,7 +3,8 @@
 Seeds are three words of a benchmark item, side by side or with a gap of one, so that single replaced words leave some.
 A first pass counts the documents that have each seed; every item keeps its rare ones. A seed is too common if more than
 COMMON of all documents have it, and more than RARE times as many as have the item's median seed that occurs at all, so
-a passage that was copied everywhere keeps its seeds. A second pass joins
+a passage that was copied everywhere keeps its seeds; and so that a common part of an item keeps some as well, every run of
+RUN words keeps its rarest, whatever their count. A second pass joins
 documents to items through these seeds, puts windows around the hits, and aligns item and window by words: a match
 scores 2, a replacement or a gap costs 1. The score is the best local alignment over that of the whole item; from
 `threshold` on the document holds the item, where seven words at least (or the whole item) match.
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from tallyweir.llm.common import bounded_batches, flat_utf8, mixed, sliced, word
 BLOCK_BYTES = 4 << 20
 THRESHOLD, LEAST_SCORE = 0.35, 14
 RARE, COMMON = 3, 0.01
+#: Words that match at least, for LEAST_SCORE.
+RUN = 7
 SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 CELLS = 1 << 21
 BITS = 22
@@ -113,8 +117,26 @@ def _indexed(ids: list, words: list[np.ndarray], seeds: list[np.ndarray]) -> Blo
     return Block(ids, words, unique, np.append(starts, len(flat)), owner[order])
 
 
+def local_seeds(block: Block, words: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Numbers of an item's seeds that are among the rarest, up to RARE times the least count, of a run of RUN words."""
+    size = min(RUN, len(words))
+    least = np.full(len(words) - size + 1, np.inf)  # by the first word of a run
+    found = []
+    for seeds, (_, _, last) in zip(seeds_of(words), SHAPES):
+        if len(seeds):
+            k = np.searchsorted(block.seeds, seeds)
+            n = size - last  # seeds of the shape in a run
+            found.append((k, n))
+            least = np.minimum(least, sliding_window_view(np.where(df[k] > 0, df[k], np.inf), n).min(axis=1))
+    kept = [np.zeros(0, np.int64)]
+    for k, n in found:
+        of = np.concatenate([np.zeros(n - 1), least, np.zeros(n - 1)])
+        kept.append(k[df[k] <= RARE * sliding_window_view(of, n).max(axis=1)])
+    return np.concatenate(kept)
+
+
 def rare_block(block: Block, counts: dict[int, int], documents: int) -> Block:
-    """The block with the rare seeds of each item only."""
+    """The block with the rare seeds of each item, and the rarest of each run of its words, only."""
     df = np.array([counts.get(int(s), 0) for s in block.seeds.view(np.int64)], np.int64)
     of: dict[int, list[int]] = defaultdict(list)
     for k in range(len(block.seeds)):
@@ -125,7 +147,10 @@ def rare_block(block: Block, counts: dict[int, int], documents: int) -> Block:
         k = np.array(ks)
         seen = df[k][df[k] > 0]
         most = max(COMMON * documents, RARE * np.median(seen)) if len(seen) else 0
-        kept[i] = block.seeds[k[df[k] <= most]]
+        rare = df[k] <= most
+        if not rare.all():
+            rare |= np.isin(k, local_seeds(block, block.words[i], df))
+        kept[i] = block.seeds[k[rare]]
     return _indexed(block.ids, block.words, kept)
 
 

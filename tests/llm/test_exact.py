@@ -292,6 +292,17 @@ def test_copied_and_edited_passages_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_a_common_part_of_an_item_is_found(spark):
+    rng = random.Random(14)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n))
+    shared, rest = words(24), words(36)
+    texts = [f"{words(40)} {shared} {rest if d < 3 else ''} {words(20)}" if d < 23 else words(60) for d in range(400)]
+    rows = [(d, t, None, None, None) for d, t in enumerate(texts)]
+    items = [(0, f"{shared} {rest}"), (1, words(5)), (2, "one two three")]
+    got = decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, 0) for d in range(23)}
+
+
 def naive_page(html):
     from html import unescape
 
