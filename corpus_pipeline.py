@@ -22,13 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id, one row of it. Rows without an id stay."""
-    found = ngram_join.near_duplicates(docs)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    left = docs.join(gone, "doc_id", "left_anti")
-    twice = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """One row of each group of near duplicates stays: the one with the smallest id. Rows of one id but different texts are told apart. Rows without an id stay."""
+    rows = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    # a row's name; those without an id come last
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text")).alias("row"), "text")
+    found = ngram_join.near_duplicates(named, "row")
+    gone = cut(found.where("row <> component_id and not row.none").select(F.col("row.id").alias("doc_id"), F.col("row.text").alias("_text")).distinct(), "near-duplicates")
+    left = rows.join(gone, ["doc_id", "_text"], "left_anti")
+    twice = left.where("doc_id is not null").groupBy("doc_id", "_text").count().where("count > 1").limit(1).count()
     if twice:
-        row = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"), F.lit("")), F.col("doc_id").isNull()).orderBy("text")
+        # rows without an id are dealt by their text
+        row = Window.partitionBy("doc_id", "_text").orderBy("text")
         left = left.withColumn("_row", F.row_number().over(row)).where("_row = 1 or doc_id is null").drop("_row")
     return left.select(*docs.columns)
 

@@ -1,9 +1,10 @@
 import hashlib
+import random
 
 import corpus_pipeline
 from tallyweir.llm import decontaminate, ngram_join, pieces, pii
 from tallyweir.llm.queries import piece_model
-from tests.llm.conftest import SF, documents
+from tests.llm.conftest import SCHEMA, SF, documents, passage
 from tests.llm.test_exact import components
 
 
@@ -45,3 +46,13 @@ def test_stages_on_edges(spark, edge, empty, clashing):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 1, 2, 3, 6, 8, 9, 10, 11, 12, 14, 15] or 9 not in [r.doc_id for r in kept]
     assert sum(r.doc_id is None for r in kept) == 2
     assert ngram_join.near_duplicates(edge).count() == edge.count()
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(15)
+    a, b, c, d = (passage(rng, 60) for _ in range(4))
+    rows = [(0, b), (1, a), (1, b), (2, a), (5, c), (5, c), (5, d), (6, ""), (6, None), (None, a), (None, d)]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    want = [(0, b), (1, a), (5, c), (5, d), (6, ""), (6, None), (None, a), (None, d)]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
