@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.policies import duel, hashflow, single
-from tallyweir.policies.engine import Settings, simulate
+from tallyweir.policies.engine import Settings, dealt, fold_runs, simulate
 
 POLICIES = {
     "drop_challenger": single.DropChallenger,
@@ -37,9 +37,8 @@ def run(packets: DataFrame, policy: str, settings: Settings | None = None, **opt
 
 def replicates(packets: DataFrame, runs: int, settings: Settings, policy: str = "random_replicate") -> DataFrame:
     """(run, full_flows): flows that reach the cap in each of several runs with seeds of their own."""
-    out = None
-    for r in range(runs):
-        one = run(packets, policy, settings, seed=settings.seed + r).where("kind = 'flow' and end_reason = 'cap'").select(F.lit(r).cast("long").alias("run"))
-        out = one if out is None else out.union(one)
+    own = replace(settings, policy=policy)
+    counts = dealt(packets, POLICIES[policy], own).mapInArrow(fold_runs(POLICIES[policy], own, runs), "run long, name string, value long")
+    out = counts.where("name = 'flows_cap'").groupBy("run").agg(F.sum("value").alias("full_flows"))
     n = packets.sparkSession.range(runs).withColumnRenamed("id", "run")
-    return n.join(out.groupBy("run").agg(F.count("*").alias("full_flows")), "run", "left").fillna(0)
+    return n.join(out, "run", "left").fillna(0)

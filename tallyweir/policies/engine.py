@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -252,8 +252,48 @@ def fold(policy: type[Policy], settings: Settings) -> Callable[[Iterator[pa.Reco
     return run
 
 
+def fold_runs(policy: type[Policy], settings: Settings, runs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Several runs side by side over one stream of packets, each with a seed of its own: (run, name, value) of their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = settings.rng != "global"
+        all_rules = []
+        for r in range(runs):
+            own = replace(settings, seed=settings.seed + r)
+            all_rules.append(policy(own, Output(own.policy), CounterRng(own.seed) if apart else Xorshift32(own.seed)))
+        states: dict[tuple[int, int], list] = {}
+
+        def close(group: tuple[int, int]) -> None:
+            for rules, state in zip(all_rules, states.pop(group)):
+                rules.close(state)
+                rules.out.rows.clear()
+
+        for group, p in packet_stream(batches):
+            if group not in states:
+                if apart:  # sorted by group: the one before has ended
+                    for g in list(states):
+                        close(g)
+                    for rules in all_rules:
+                        rules.rng.n.clear()
+                states[group] = [rules.open(group) for rules in all_rules]
+            for rules, state in zip(all_rules, states[group]):
+                rules.packet(state, p)
+                rules.out.rows.clear()
+        for g in sorted(states):
+            close(g)
+        got = [(r, k, v) for r, rules in enumerate(all_rules) for k, v in sorted(rules.out.counts.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.int64())], names=["run", "name", "value"])
+
+    return run
+
+
 def simulate(packets: DataFrame, policy: type[Policy], settings: Settings, partitions: int | None = None) -> DataFrame:
     """RECORDS of a policy over a trace: flows, collisions, and counts per partition."""
+    return dealt(packets, policy, settings, partitions).mapInArrow(fold(policy, settings), RECORDS)
+
+
+def dealt(packets: DataFrame, policy: type[Policy], settings: Settings, partitions: int | None = None) -> DataFrame:
+    """Packets by group of slots, in order."""
     if settings.rng not in ("counter", "global"):
         raise ValueError(f"rng: {settings.rng}")
     probe = policy(settings, Output(""), None)
@@ -262,11 +302,9 @@ def simulate(packets: DataFrame, policy: type[Policy], settings: Settings, parti
     shard = F.lit(0) if policy.shared else F.col("proto")
     rows = keyed.select(shard.alias("shard"), (F.lit(0) if policy.whole else F.col("hash").bitwiseAND(probe.groups() - 1)).cast("long").alias("group"), *COLUMNS)
     if settings.rng == "global":
-        dealt = rows.coalesce(1).sortWithinPartitions("pkt_no")  # one stream of draws: one task by nature
-    else:
-        n = partitions or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(min(n, 2 * max(1, 1 if policy.whole else probe.groups())), "shard", "group").sortWithinPartitions("shard", "group", "pkt_no")
-    return dealt.mapInArrow(fold(policy, settings), RECORDS)
+        return rows.coalesce(1).sortWithinPartitions("pkt_no")  # one stream of draws: one task by nature
+    n = partitions or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(min(n, 2 * max(1, 1 if policy.whole else probe.groups())), "shard", "group").sortWithinPartitions("shard", "group", "pkt_no")
 
 
 def flows_of(records: DataFrame) -> DataFrame:

@@ -104,6 +104,14 @@ def test_replicates(spark):
     assert len(r) == 3 and any(x.full_flows for x in r)
 
 
+def test_many_replicates_are_one_simulation(spark):
+    packets, settings = frame(spark, trace(9)), Settings(buckets=4, cap=5, idle=10)
+    r = {x.run: x.full_flows for x in catalog.replicates(packets, 1000, settings).collect()}
+    assert sorted(r) == list(range(1000)) and len(set(r.values())) > 1
+    for k in (0, 1, 999):
+        assert r[k] == catalog.run(packets, "random_replicate", settings, seed=settings.seed + k).where("kind = 'flow' and end_reason = 'cap'").count()
+
+
 def test_draws():
     x = Xorshift32(0)
     assert [x.draw() for _ in range(3)] == [270369, 67634689, 2647435461]
