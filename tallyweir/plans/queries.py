@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -445,6 +446,13 @@ def _policy(name: str, **options):
 
 
 _FLOW = "STRUCT(ip1 BIGINT, port1 BIGINT, ip2 BIGINT, port2 BIGINT, proto BIGINT)"
+_CLASH = f"STRUCT(pkt_no BIGINT, ts_us BIGINT, winner {_FLOW}, loser {_FLOW}, kept BOOLEAN)"
+
+
+def _logged_sql(name: str) -> str:
+    """The log of a recursion's collisions."""
+    side = lambda x: ", ".join(f"clash.{x}.{k}{'::INTEGER' if 'port' in k else ''} AS {x}_{k}" for k in KEY[:4])
+    return f" SELECT '{name}' AS policy, bucket, clash.winner.proto::INTEGER AS proto, clash.pkt_no AS pkt_no, clash.ts_us AS ts_us, {side('winner')}, {side('loser')}, clash.kept::INTEGER AS winner_was_incumbent FROM s WHERE clash IS NOT NULL"
 
 
 def _draws_sql(seed: int) -> str:
@@ -459,25 +467,27 @@ def _draws_sql(seed: int) -> str:
     return ", ".join(out) + ", draws AS (SELECT shard, bucket, n, (z >> 32)::BIGINT AS draw FROM z3)"
 
 
-def _slots_sql(name: str, asks: str, hits: str = "false", shared: bool = False, pure: bool = False, gate: bool = True, before: bool = False, after: bool = False, wins: str = "false", at_cap: bool = True, seed: int | None = None) -> str:
+def _slots_sql(name: str, asks: str, hits: str = "false", shared: bool = False, pure: bool = False, gate: bool = True, before: bool = False, after: bool = False, wins: str = "false", at_cap: bool = True, seed: int | None = None, give: str = "flows", counted: str = "") -> str:
     """A policy of one slot per bucket as a recursion over each bucket's packets.
 
+    give: the flows, the log of its collisions, or its counts; counted: the names and conditions of those that it has.
+
     asks: whether a packet of another flow may contend, which uses a draw. hits: whether it takes over. before, after:
     whether the once-only gate is asked before the draw, or after it. wins: when the incumbent scores.
     """
     shard = "0" if shared else "proto"
     flush = f"len(ts) = {CAP} AND (taken OR same)" + ("" if at_cap else " AND both_fin")
-    return f"""WITH RECURSIVE {EVENTS}, keyed AS (SELECT *, {fnv()} & {BUCKETS - 1} AS bucket FROM canon),
+    steps = f"""WITH RECURSIVE {EVENTS}, keyed AS (SELECT *, {fnv()} & {BUCKETS - 1} AS bucket FROM canon),
 q AS (SELECT {shard} AS shard, bucket, row_number() OVER (PARTITION BY {shard}, bucket ORDER BY pkt_no) AS rn, {{'ip1': ip1::BIGINT, 'port1': port1::BIGINT, 'ip2': ip2::BIGINT, 'port2': port2::BIGINT, 'proto': proto::BIGINT}} AS p_key, {{'a': src_ip_n::BIGINT, 'p': src_port::BIGINT}} AS src,
-    ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce({'tcp_flags = 2' if pure else 'tcp_flags & 2 <> 0'}, false) OR proto = 17 AS starts, coalesce(tcp_flags & 1 <> 0, false) AS fin, ip_len::BIGINT AS ip_len FROM keyed),
+    pkt_no, ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce({'tcp_flags = 2' if pure else 'tcp_flags & 2 <> 0'}, false) OR proto = 17 AS starts, coalesce(tcp_flags & 1 <> 0, false) AS fin, ip_len::BIGINT AS ip_len FROM keyed),
 opened AS (SELECT DISTINCT shard, bucket FROM q), {_draws_sql(SMALL.seed if seed is None else seed)},
 s AS (
   SELECT shard, bucket, 0::BIGINT AS rn, 0::BIGINT AS drawn, NULL::{_FLOW} AS key, NULL::STRUCT(a BIGINT, p BIGINT) AS cli, []::BIGINT[] AS ts, []::BIGINT[] AS lens, 0::BIGINT AS wins, 1::BIGINT AS seen, 0::BIGINT AS total, 0::BIGINT AS last, false AS isudp, []::BOOLEAN[] AS fins,
-    []::{_FLOW}[] AS known, NULL::STRUCT(key {_FLOW}, ts BIGINT[], lens BIGINT[], wins BIGINT, total BIGINT, reason VARCHAR) AS emitted
+    []::{_FLOW}[] AS known, NULL::STRUCT(key {_FLOW}, ts BIGINT[], lens BIGINT[], wins BIGINT, total BIGINT, reason VARCHAR) AS emitted, NULL::{_CLASH} AS clash, []::VARCHAR[] AS did
   FROM opened
   UNION ALL
   SELECT shard, bucket, rn, drawn, CASE WHEN {flush} THEN NULL ELSE key END, cli, ts, lens, wins, seen, total, last, isudp, fins, known,
-    CASE WHEN {flush} THEN {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': '{'cap' if at_cap else 'fin'}'}} ELSE idle_out END
+    CASE WHEN {flush} THEN {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': '{'cap' if at_cap else 'fin'}'}} ELSE idle_out END, clash, did
   FROM (
     SELECT shard, bucket, p_rn AS rn, drawn + asks::BIGINT AS drawn, same, taken, CASE WHEN taken THEN p_key WHEN hits THEN CASE WHEN kept THEN held END ELSE held END AS key, CASE WHEN taken THEN src ELSE cli END AS cli,
       CASE WHEN taken THEN [ts_us] WHEN same AND len(ts) < {CAP} THEN list_append(ts, ts_us) ELSE ts END AS ts, CASE WHEN taken THEN [ip_len] WHEN same AND len(lens) < {CAP} THEN list_append(lens, CASE WHEN src = cli THEN ip_len ELSE -ip_len END) ELSE lens END AS lens,
@@ -485,17 +495,24 @@ s AS (
       CASE WHEN taken OR same THEN sec ELSE last END AS last, CASE WHEN taken THEN udp ELSE isudp END AS isudp, CASE WHEN taken THEN CASE WHEN fin THEN [true] ELSE [] END WHEN same AND fin THEN list_distinct(list_append(fins, src = cli)) ELSE fins END AS fins,
       fin AND NOT udp AND len(list_distinct(list_append(CASE WHEN same THEN fins ELSE [] END, src = CASE WHEN same THEN cli ELSE src END))) = 2 AS both_fin,
       CASE WHEN udp AND (opens AND {str(gate).lower()} OR asks AND {str(before).lower()} OR hits AND NOT kept AND {str(after).lower()}) THEN list_append(known, p_key) ELSE known END AS known,
-      CASE WHEN gone THEN {{'key': s_key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': 'idle'}} END AS idle_out
+      CASE WHEN gone THEN {{'key': s_key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': 'idle'}} END AS idle_out,
+      CASE WHEN asks THEN {{'pkt_no': pkt_no, 'ts_us': ts_us, 'winner': CASE WHEN hits THEN p_key ELSE held END, 'loser': CASE WHEN hits THEN held ELSE p_key END, 'kept': NOT hits}} END AS clash, [{counted}]::VARCHAR[] AS did
     FROM (SELECT *, opens OR (hits AND NOT kept AND starts) AS taken
       FROM (SELECT *, {str(after).lower()} AND asked_before AS kept
         FROM (SELECT *, asks AND ({hits}) AS hits
           FROM (SELECT *, held IS NULL AND starts AND NOT ({str(gate).lower()} AND asked_before) AS opens, meets AND ({asks}) AS asks
             FROM (SELECT *, held IS NOT NULL AND NOT same AS meets
               FROM (SELECT *, CASE WHEN NOT gone THEN s_key END AS held, coalesce(NOT gone AND s_key = p_key, false) AS same, udp AND list_contains(known, p_key) AS asked_before
-                FROM (SELECT s.shard, s.bucket, s.drawn, s.key AS s_key, s.cli, s.ts, s.lens, s.wins, s.seen, s.total, s.last, s.isudp, s.fins, s.known, q.rn AS p_rn, q.p_key, q.src, q.ts_us, q.sec, q.udp, q.starts, q.fin, q.ip_len, d.draw, s.key IS NOT NULL AND s.isudp AND q.sec - s.last >= {IDLE} AS gone
+                FROM (SELECT s.shard, s.bucket, s.drawn, s.key AS s_key, s.cli, s.ts, s.lens, s.wins, s.seen, s.total, s.last, s.isudp, s.fins, s.known, q.rn AS p_rn, q.p_key, q.src, q.pkt_no, q.ts_us, q.sec, q.udp, q.starts, q.fin, q.ip_len, d.draw, s.key IS NOT NULL AND s.isudp AND q.sec - s.last >= {IDLE} AS gone
                   FROM s JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.rn + 1 LEFT JOIN draws d ON d.shard = s.shard AND d.bucket = s.bucket AND d.n = s.drawn))))))))),
 ends AS (SELECT shard, bucket, emitted AS e FROM s WHERE emitted IS NOT NULL
-  UNION ALL SELECT shard, bucket, {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': CASE WHEN isudp THEN 'idle' ELSE 'eof' END}} FROM s WHERE key IS NOT NULL AND rn = (SELECT max(rn) FROM q WHERE q.shard = s.shard AND q.bucket = s.bucket))
+  UNION ALL SELECT shard, bucket, {{'key': key, 'ts': ts, 'lens': lens, 'wins': wins, 'total': total, 'reason': CASE WHEN isudp THEN 'idle' ELSE 'eof' END}} FROM s WHERE key IS NOT NULL AND rn = (SELECT max(rn) FROM q WHERE q.shard = s.shard AND q.bucket = s.bucket))"""
+    if give == "log":
+        return steps + _logged_sql(name)
+    if give == "counts":
+        return f"""{steps}, every AS (SELECT unnest(did) AS name FROM s UNION ALL SELECT 'packets' FROM q UNION ALL SELECT 'flows_' || e.reason FROM ends)
+SELECT '{name}' AS policy, name, count(*) AS value FROM every WHERE name IS NOT NULL GROUP BY name"""
+    return f"""{steps}
 SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1::INTEGER AS port1, e.key.ip2 AS ip2, e.key.port2::INTEGER AS port2, e.key.proto::INTEGER AS proto, e.ts[1] AS first_ts_us, len(e.ts) AS count, e.wins AS wins, e.total AS total, e.reason AS end_reason, 'main' AS in_table,
   array_to_string(list_transform(e.ts, lambda t: t - e.ts[1]), ' ') AS offsets_us, array_to_string(e.lens, ' ') AS lengths FROM ends"""
 
@@ -516,10 +533,11 @@ _SLOT_POLICIES = {
 for _name, _rules in _SLOT_POLICIES.items():
     SQL[f"policy_{_name}"] = _slots_sql(_name, **_rules)
 
-def _duel_sql(name: str, shared: bool = False, gate: bool = True, coin: bool = False, emit_aux: bool = False) -> str:
+
+def _duel_sql(name: str, shared: bool = False, gate: bool = True, coin: bool = False, emit_aux: bool = False, even: bool = False, give: str = "flows") -> str:
     """A policy of a main and an auxiliary slot per bucket as a recursion over each bucket's packets.
 
-    coin: whether a third flow may take the auxiliary slot. m and a stand for the slots: key, client, times, lengths,
+    coin: whether a third flow may take the auxiliary slot. even: whether a coin decides each duel. m and a stand for the slots: key, client, times, lengths,
     total, last second, whether UDP.
     """
     shard = "0" if shared else "proto"
@@ -540,17 +558,18 @@ def _duel_sql(name: str, shared: bool = False, gate: bool = True, coin: bool = F
         return ", ".join(f"CASE WHEN {gone} AND NOT ({taken}) THEN NULL WHEN swap OR ({taken}) THEN {'sec' if x == 'z' else other + x + '2'} ELSE {e}{x}2 END AS {e}{x}" for x in parts)
 
     flow = lambda e, x, reason, table: f"{{'key': {e}k{x}, 'ts': {e}w{x}, 'lens': {e}l{x}, 'total': {e}n{x}, 'reason': '{reason}', 'tab': '{table}'}}"
-    return f"""WITH RECURSIVE {EVENTS}, keyed AS (SELECT *, {fnv()} & {BUCKETS - 1} AS bucket FROM canon),
+    steps = f"""WITH RECURSIVE {EVENTS}, keyed AS (SELECT *, {fnv()} & {BUCKETS - 1} AS bucket FROM canon),
 q AS (SELECT {shard} AS shard, bucket, row_number() OVER (PARTITION BY {shard}, bucket ORDER BY pkt_no) AS rn, {{'ip1': ip1::BIGINT, 'port1': port1::BIGINT, 'ip2': ip2::BIGINT, 'port2': port2::BIGINT, 'proto': proto::BIGINT}} AS p_key, {{'a': src_ip_n::BIGINT, 'p': src_port::BIGINT}} AS src,
-    ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce(tcp_flags & 2 <> 0, false) OR proto = 17 AS starts, ip_len::BIGINT AS ip_len FROM keyed),
+    pkt_no, ts_us, ts_us // 1000000 AS sec, proto = 17 AS udp, coalesce(tcp_flags & 2 <> 0, false) OR proto = 17 AS starts, ip_len::BIGINT AS ip_len FROM keyed),
 opened AS (SELECT DISTINCT shard, bucket FROM q), {_draws_sql(SMALL.seed)},
 s AS (
-  SELECT shard, bucket, 0::BIGINT AS rn, 0::BIGINT AS drawn, {nothing}, []::{_FLOW}[] AS known, NULL::STRUCT(key {_FLOW}, ts BIGINT[], lens BIGINT[], total BIGINT, reason VARCHAR, tab VARCHAR) AS emitted FROM opened
+  SELECT shard, bucket, 0::BIGINT AS rn, 0::BIGINT AS drawn, {nothing}, []::{_FLOW}[] AS known, NULL::STRUCT(key {_FLOW}, ts BIGINT[], lens BIGINT[], total BIGINT, reason VARCHAR, tab VARCHAR) AS emitted, NULL::{_CLASH} AS clash FROM opened
   UNION ALL
   SELECT shard, bucket, p_rn, drawn + (third AND {str(coin).lower()})::BIGINT + tie::BIGINT, {after('m')}, {after('a')}, CASE WHEN opens AND udp AND {str(gate).lower()} THEN list_append(known, p_key) ELSE known END,
-    CASE WHEN main_full THEN {flow('m', '2', 'cap', 'main')} WHEN aux_full THEN {flow('a', '2', 'cap', 'aux')} WHEN m_gone THEN {flow('m', '', 'idle', 'main')} END
+    CASE WHEN main_full THEN {flow('m', '2', 'cap', 'main')} WHEN aux_full THEN {flow('a', '2', 'cap', 'aux')} WHEN m_gone THEN {flow('m', '', 'idle', 'main')} END,
+    CASE WHEN duel THEN {{'pkt_no': pkt_no, 'ts_us': ts_us, 'winner': CASE WHEN keep THEN mk2 ELSE ak2 END, 'loser': CASE WHEN keep THEN ak2 ELSE mk2 END, 'kept': keep}} END
   FROM (SELECT *, CASE WHEN tie THEN draw & 1 = 1 ELSE m_good END AS keep
-    FROM (SELECT *, duel AND m_good = a_good AS tie
+    FROM (SELECT *, duel AND {'true' if even else 'm_good = a_good'} AS tie
       FROM (SELECT *, coalesce(judged AND len(mw2) < 8, false) AS swap, coalesce(judged AND len(mw2) >= 8, false) AS duel, {_GOOD.format(lens='ml2', ts='mw2')} AS m_good, {_GOOD.format(lens='al2', ts='aw2')} AS a_good
         FROM (SELECT *, (opens OR adds) AND NOT main_full AND NOT aux_full AND mk2 IS NOT NULL AND ak2 IS NOT NULL AND mk2 <> ak2 AND len(aw2) >= 8 AS judged
           FROM (SELECT *, coalesce((opens OR adds) AND NOT in_aux AND len(mw2) = {CAP}, false) AS main_full, coalesce((opens OR adds) AND in_aux AND {str(emit_aux).lower()} AND len(aw2) = {CAP}, false) AS aux_full
@@ -561,10 +580,13 @@ s AS (
                     FROM (SELECT *, in_aux AND coalesce(ha <> p_key, false) AS third
                       FROM (SELECT *, coalesce(hm <> p_key, false) AS in_aux
                         FROM (SELECT *, CASE WHEN NOT m_gone THEN mk END AS hm, CASE WHEN NOT (ak IS NOT NULL AND au AND sec - az >= {IDLE}) THEN ak END AS ha
-                          FROM (SELECT s.*, q.rn AS p_rn, q.p_key, q.src, q.ts_us, q.sec, q.udp, q.starts, q.ip_len, d.draw, coalesce(s.mk IS NOT NULL AND s.mu AND q.sec - s.mz >= {IDLE}, false) AS m_gone
+                          FROM (SELECT s.*, q.rn AS p_rn, q.p_key, q.src, q.pkt_no, q.ts_us, q.sec, q.udp, q.starts, q.ip_len, d.draw, coalesce(s.mk IS NOT NULL AND s.mu AND q.sec - s.mz >= {IDLE}, false) AS m_gone
                             FROM s JOIN q ON q.shard = s.shard AND q.bucket = s.bucket AND q.rn = s.rn + 1 LEFT JOIN draws d ON d.shard = s.shard AND d.bucket = s.bucket AND d.n = s.drawn)))))))))))))),
 ends AS (SELECT shard, bucket, emitted AS e FROM s WHERE emitted IS NOT NULL
-  UNION ALL SELECT shard, bucket, {{'key': mk, 'ts': mw, 'lens': ml, 'total': mn, 'reason': CASE WHEN mu THEN 'idle' ELSE 'eof' END, 'tab': 'main'}} FROM s WHERE mk IS NOT NULL AND rn = (SELECT max(rn) FROM q WHERE q.shard = s.shard AND q.bucket = s.bucket))
+  UNION ALL SELECT shard, bucket, {{'key': mk, 'ts': mw, 'lens': ml, 'total': mn, 'reason': CASE WHEN mu THEN 'idle' ELSE 'eof' END, 'tab': 'main'}} FROM s WHERE mk IS NOT NULL AND rn = (SELECT max(rn) FROM q WHERE q.shard = s.shard AND q.bucket = s.bucket))"""
+    if give == "log":
+        return steps + _logged_sql(name)
+    return f"""{steps}
 SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1::INTEGER AS port1, e.key.ip2 AS ip2, e.key.port2::INTEGER AS port2, e.key.proto::INTEGER AS proto, e.ts[1] AS first_ts_us, len(e.ts) AS count, 0::BIGINT AS wins, e.total AS total, e.reason AS end_reason, e.tab AS in_table,
   array_to_string(list_transform(e.ts, lambda t: t - e.ts[1]), ' ') AS offsets_us, array_to_string(e.lens, ' ') AS lengths FROM ends"""
 
@@ -573,34 +595,76 @@ _DUELS = {"duel_shared": {"shared": True, "gate": False}, "duel": {"gate": False
 for _name, _rules in _DUELS.items():
     SQL[f"policy_{_name}"] = _duel_sql(_name, **_rules)
 
+#: Equal tables: SQL has one auxiliary slot for each main one.
+SQL["policy_duel_coin"] = _duel_sql("duel_even", even=True)
+
 for _name in catalog.POLICIES:
     QUERIES[f"policy_{_name}"] = _policy(_name, **({"aux_buckets": BUCKETS // 4} if _name == "duel_even" else {}))
+QUERIES["policy_duel_coin"] = _policy("duel_even")
 QUERIES["policy_random_seeded"] = _policy("random", rng="global")
 QUERIES["policy_weighted_seeded"] = _policy("weighted", rng="global")
 
 
-@query()
-def policy_statistics(spark, sf_dir):
-    out = None
-    for name in ("drop_challenger", "fcfs", "duel_gated"):
-        c = counts_of(catalog.run(events(spark, sf_dir), name, SMALL))
-        out = c if out is None else out.union(c)
-    return out
+def _statistics(names) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, sf_dir):
+        every = [counts_of(catalog.run(events(spark, sf_dir), name, SMALL)) for name in names]
+        return reduce(DataFrame.union, every)
 
+    return run
 
-@query()
+
+#: What a step counts, by its name.
+_STEP = "CASE WHEN same THEN 'matched' END, CASE WHEN taken THEN 'inserted' END, CASE WHEN held IS NULL AND NOT starts THEN 'mid_flow' END"
+_COUNTED = {
+    "drop_challenger": "CASE WHEN meets THEN 'collisions' END",
+    "fcfs": "CASE WHEN meets THEN 'collisions' END, CASE WHEN meets AND starts THEN 'incumbent_wins' END, CASE WHEN held IS NULL AND starts AND asked_before THEN 'refused' END",
+    "random": "CASE WHEN asks THEN 'collisions' END, CASE WHEN hits THEN 'challenger_wins' END, CASE WHEN asks AND NOT hits THEN 'incumbent_wins' END, CASE WHEN NOT same AND starts AND asked_before THEN 'refused' END",
+}
+_COUNTED["weighted"] = _COUNTED["random"]
+
+
+def _slot_counts(name: str) -> str:
+    tracked = f"CASE WHEN taken OR (same AND len(ts) < {CAP}) THEN 'tracked' END"
+    return _slots_sql(name, **_SLOT_POLICIES[name], give="counts", counted=f"{_STEP}, {tracked}, {_COUNTED[name]}")
+
+
+QUERIES["slot_statistics"] = _statistics(_COUNTED)
+SQL["slot_statistics"] = " UNION ALL ".join(f"SELECT * FROM ({_slot_counts(name)})" for name in _COUNTED)
+#: The counts of every policy.
+QUERIES["policy_statistics"] = _statistics(catalog.POLICIES)
+
+_TIMING = f"m AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY pkt_no) AS n FROM canon), g AS (SELECT {K}, count(*) AS pkts, min_by(ts_us, n) AS first_ts_us, max(CASE WHEN n = 30 THEN ts_us END) AS hit, max_by(ts_us, n) AS last_ts_us FROM m GROUP BY {K})"
+
+
+def _joined_sql(log: str) -> str:
+    """A log with both sides' true packet counts."""
+    sides = [f"LEFT JOIN g {x} ON {' AND '.join(f'{x}.{k} = c.{y}_{k}' for k in KEY[:4])} AND {x}.proto = c.proto" for x, y in (("w", "winner"), ("l", "loser"))]
+    pkts = ", ".join(f"coalesce({x}.pkts, 0) AS {y}_pkts, CASE WHEN coalesce({x}.pkts, 0) >= {CAP} THEN 1 ELSE 0 END AS {y}_ge40" for x, y in (("w", "winner"), ("l", "loser")))
+    return f"WITH {EVENTS}, {_TIMING}, c AS ({log}) SELECT c.*, {pkts} FROM c {' '.join(sides)}"
+
+
+@query(_joined_sql(_slots_sql("random", **_SLOT_POLICIES["random"], give="log")))
 def collision_log(spark, sf_dir):
     log = collisions_of(catalog.run(events(spark, sf_dir), "random", SMALL))
     return groundtruth.collision_table(log, groundtruth.timing(canon(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH {EVENTS}, {_TIMING}, c AS ({_slots_sql('weighted', **_SLOT_POLICIES['weighted'], give='log')}),
+both_sides AS (SELECT winner_ip1 AS ip1, winner_port1 AS port1, winner_ip2 AS ip2, winner_port2 AS port2, proto, 1 AS won FROM c UNION ALL SELECT loser_ip1, loser_port1, loser_ip2, loser_port2, proto, 0 FROM c),
+n AS (SELECT {K}, count(*) AS collisions, sum(won)::BIGINT AS wins, sum(1 - won)::BIGINT AS losses FROM both_sides GROUP BY {K})
+SELECT {K}, pkts, CASE WHEN pkts >= {CAP} THEN 1 ELSE 0 END AS ge40, first_ts_us, coalesce(hit, 0) AS hit30_ts_us, last_ts_us, coalesce(hit - first_ts_us, 0) AS dur_to_30_us, coalesce(last_ts_us - hit, 0) AS dur_30_to_last_us, last_ts_us - first_ts_us AS dur_total_us,
+  coalesce(collisions, 0) AS collisions, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses FROM g LEFT JOIN n USING ({K})"""
+)
 def collision_summary(spark, sf_dir):
     log = collisions_of(catalog.run(events(spark, sf_dir), "weighted", SMALL))
     return groundtruth.collision_summary(log, groundtruth.timing(canon(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH t AS ({_joined_sql(_duel_sql('duel_logged', give='log'))})
+SELECT count(*) AS collisions, count(*) FILTER (winner_ge40 = 1) AS winners_ge40, count(*) FILTER (loser_ge40 = 1) AS losers_ge40, count(*) FILTER (winner_ge40 = 1 AND loser_ge40 = 0) AS right, count(*) FILTER (winner_ge40 = 0 AND loser_ge40 = 1) AS wrong FROM t"""
+)
 def duel_outcomes(spark, sf_dir):
     log = collisions_of(catalog.run(events(spark, sf_dir), "duel_logged", SMALL))
     return groundtruth.duel_outcomes(groundtruth.collision_table(log, groundtruth.timing(canon(spark, sf_dir))))
@@ -642,10 +706,14 @@ def sequence_classes(spark, sf_dir):
     return sequence.classify(_records(spark, sf_dir), sequence.random_network(1))
 
 
-@query()
+@query(
+    f"""WITH f AS ({_slots_sql('fcfs', **_SLOT_POLICIES['fcfs'])}), h AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS t FROM events),
+l AS (SELECT *, first_ts_us + string_split(offsets_us, ' ')[-1]::BIGINT AS last_us FROM f)
+SELECT in_table, proto, count(*) AS flows FROM l, h WHERE first_ts_us <= t AND last_us >= t GROUP BY in_table, proto"""
+)
 def table_occupancy(spark, sf_dir):
-    middle = events(spark, sf_dir).agg(F.percentile_approx("ts_us", 0.5).alias("t")).first().t or 0
-    return sinks.occupied(flows_of(catalog.run(events(spark, sf_dir), "fcfs", SMALL)), middle)
+    span = events(spark, sf_dir).agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
+    return sinks.occupied(flows_of(catalog.run(events(spark, sf_dir), "fcfs", SMALL)), ((span.a or 0) + (span.b or 0)) // 2)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

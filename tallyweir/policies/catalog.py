@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.policies import duel, hashflow, single
+from tallyweir.policies import duel, probes, single
 from tallyweir.policies.engine import Settings, dealt, fold_runs, simulate
 
 POLICIES = {
@@ -25,8 +25,8 @@ POLICIES = {
     "duel_revised": duel.RevisedDuel,
     "duel_even": duel.EvenDuel,
     "duel_logged": duel.LoggedDuel,
-    "hashflow": hashflow.HashFlow,
-    "hashflow_gated": hashflow.GatedHashFlow,
+    "three_probe": probes.ThreeProbe,
+    "gated_probe": probes.GatedProbe,
 }
 
 

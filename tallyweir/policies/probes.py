@@ -37,7 +37,7 @@ class Tables:
         self.group, self.main, self.aux, self.known = group, {}, {}, set()
 
 
-class HashFlow(Policy):
+class ThreeProbe(Policy):
     """Three probes in the main table, else the auxiliary slot, whose flow is replaced by any other. A contender that has
     as many packets as the smallest probed flow is copied over it; its copy in the auxiliary table stays. Directions are
     flows of their own, nothing expires, and both tables are emitted at the end."""
@@ -86,7 +86,7 @@ class HashFlow(Policy):
                 self.out.flow(i, table[i], "eof", name)
 
 
-class GatedHashFlow(Policy):
+class GatedProbe(Policy):
     """Two probes in the main table, else the auxiliary slot, which the newcomer overwrites. After each packet a contender
     that is larger than the smaller of its probed flows moves up; the flow it displaces goes to its other place if that
     is empty, else to its own auxiliary slot. TCP flows begin with a SYN and end with any FIN; UDP keys are let in once."""

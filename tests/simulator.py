@@ -167,7 +167,7 @@ def simulate(packets, policy, buckets, aux_buckets, cap, first_n, idle, seed=1,
     return flows, log
 
 
-def hashflow(packets, buckets, aux_buckets, cap):
+def three_probe(packets, buckets, aux_buckets, cap):
     """Both tables of the three-probe policy at the end: (table, key, stored, total)."""
 
     def mix(x):

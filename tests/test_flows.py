@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyweir.functions import keys
 from tallyweir.operators import evaluate, features, flows, groundtruth, learning, sessions, traces
 from tallyweir.policies.engine import Entry, Packet
-from tallyweir.policies.hashflow import mix32
+from tallyweir.policies.probes import mix32
 from tallyweir.schema import KEY
 from tallyweir.sources import training
 from tests.simulator import bucket_hash, canonical

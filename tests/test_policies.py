@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyweir.policies import catalog
 from tallyweir.policies.engine import CounterRng, Settings, Xorshift32, collisions_of, counts_of, flows_of
 from tallyweir.schema import KEY
-from tests.simulator import hashflow, simulate
+from tests.simulator import simulate, three_probe
 
 PACKET = "pkt_no long, ts_us long, src_ip_n long, dst_ip_n long, src_port int, dst_port int, proto int, ip_len int, tcp_flags int"
 
@@ -51,7 +51,7 @@ def got_log(records):
     return sorted((r.pkt_no, tuple(r[f"winner_{k}"] for k in KEY[:4]) + (r.proto,), tuple(r[f"loser_{k}"] for k in KEY[:4]) + (r.proto,), r.winner_was_incumbent) for r in collisions_of(records).collect())
 
 
-@pytest.mark.parametrize("policy", [p for p in catalog.POLICIES if not p.startswith("hashflow") and p not in ("duel",)])
+@pytest.mark.parametrize("policy", [p for p in catalog.POLICIES if not p.endswith("_probe") and p not in ("duel",)])
 def test_policy_against_simulator(spark, policy):
     for seed, rng in ((1, "counter"), (2, "counter"), (3, "global")):
         packets = trace(seed)
@@ -81,21 +81,21 @@ def test_wins_and_losses_make_up_the_collisions(spark):
 
 def test_three_probe_tables(spark):
     packets = trace(7, 1500, 40)
-    records = catalog.run(frame(spark, packets), "hashflow", Settings(buckets=8, aux_buckets=4, cap=7))
+    records = catalog.run(frame(spark, packets), "three_probe", Settings(buckets=8, aux_buckets=4, cap=7))
     got = sorted((r.in_table, tuple(r[k] for k in KEY), r["count"], r.total) for r in flows_of(records).collect())
-    assert got == hashflow(packets, 8, 4, 7)
+    assert got == three_probe(packets, 8, 4, 7)
 
 
 def test_gated_probe_tables_keep_their_promises(spark):
     packets = trace(8, 2000, 40)
-    records = catalog.run(frame(spark, packets), "hashflow_gated", Settings(buckets=8, aux_buckets=4, cap=7, idle=10)).cache()
+    records = catalog.run(frame(spark, packets), "gated_probe", Settings(buckets=8, aux_buckets=4, cap=7, idle=10)).cache()
     flows = flows_of(records).collect()
     udp = [tuple(r[k] for k in KEY) for r in flows if r.proto == 17]
     assert len(udp) == len(set(udp)) and all(0 < r["count"] <= 7 for r in flows)
     counts = {r.name: r.value for r in counts_of(records).collect()}
     assert counts["inserted_main"] + counts["inserted_aux"] - counts.get("aux_overwritten", 0) >= len(flows) and counts["promotions"] > 0
     # with room for all, every flow that begins is there
-    wide = flows_of(catalog.run(frame(spark, packets), "hashflow_gated", Settings(buckets=1 << 16, aux_buckets=4, cap=7, idle=10)))
+    wide = flows_of(catalog.run(frame(spark, packets), "gated_probe", Settings(buckets=1 << 16, aux_buckets=4, cap=7, idle=10)))
     assert wide.where("in_table = 'aux'").count() == 0
 
 

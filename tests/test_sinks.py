@@ -34,7 +34,7 @@ def test_layouts(spark, tmp_path):
     assert sum(int(r[5]) for r in n if r != n[0]) == 900
     wins, losses = sum(int(r[8]) for r in s if r != s[0]), sum(int(r[9]) for r in s if r != s[0])
     assert wins == losses == log.count()
-    sinks.table_files(flows_of(catalog.run(p, "hashflow", Settings(buckets=4, aux_buckets=4, cap=7))), str(tmp_path / "t"))
+    sinks.table_files(flows_of(catalog.run(p, "three_probe", Settings(buckets=4, aux_buckets=4, cap=7))), str(tmp_path / "t"))
     assert {g.rsplit("=", 1)[1].split("/")[0] for g in glob.glob(str(tmp_path / "t/in_table=*/*.csv"))} == {"main", "aux"}
 
 
