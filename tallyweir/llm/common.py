@@ -143,27 +143,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, str]] = []
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again: ends its lineage, and survives lost executors.
 
+    by: a column that the table is bucketed by, so that joins on it do not shuffle the table again.
     The table stays until the driver's Python ends, as results may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{unique}"
     if not _WRITTEN:
         atexit.register(_clean)
-    _WRITTEN.append((spark, path))
+    if by:
+        named = unique.replace("-", "_")
+        _WRITTEN.append((spark, path, named))
+        df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(named)
+        return spark.table(named)
+    _WRITTEN.append((spark, path, ""))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for spark, path, named in _WRITTEN:
         if spark.sparkContext._jsc is None:  # stopped: its tables stay
             continue
+        if named:
+            spark.sql(f"DROP TABLE IF EXISTS {named}")
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     _WRITTEN.clear()

@@ -6,25 +6,31 @@ first, and within a class by one of several hashes, which gives several orders.
 token under every one of them before its intersection is counted.
 
 1. Sets of hashed n-grams are made twice, never shuffled as texts. The first pass gives each row's set size and
-   signature, and the frequent n-grams. Those keep the last places of every order, and are never dealt out by token, so
-   no task gets the list of an n-gram that a large share of the rows has.
-2. The other n-grams are dealt into buckets as packed arrays, once for each distinct set of a run. A bucket counts
-   each n-gram's sets, and sends those with two or more back to the sets.
+   signature, and the frequent n-grams. Those keep the last places of every order, and are not dealt out by token here.
+2. The other n-grams are dealt into buckets, once for each distinct set of a run of rows: sorted, as differences in byte
+   planes, with the set's number in the run. A bucket counts each n-gram's sets, and answers each run with those that
+   have two or more. The run's signatures and frequent n-grams go once, to where the answers meet.
 3. A set with enough n-grams of its own to fill its prefix has no partner, and is done. The rest ("live" sets) keep
    their shared n-grams: intersections only ever hold those, so pairs are verified without the texts.
 4. Stars: in each prefix token's list every set is paired with the list's leader, pairs are verified, and verified links
    make components. What then remains are sets of one list in different components. Such a set first meets the other
    component as a whole: if it shares too little with all its sets together, it is similar to none. Where it shares
-   enough it meets the component's leaders, and only if no link comes of that, its sets that pass the size filter, the
-   positional filter and the other orders. No group's pairs are all emitted.
+   enough it meets the component's leaders, and only if no link comes of that, its sets that pass the size filter and the
+   positional filter. No group's pairs are all emitted.
+5. Pairs come from the lists of the first order. The other orders are tested next, on 16 bits of each of the sets' prefix
+   tokens (which loses no pair); only the pairs that are left have their sets' n-grams sent for verification.
 
-Pairs are verified in tiles of a bounded number of sets; components come from alternating stars in Spark. Nothing that
-grows with the input is collected or broadcast; the frequent n-grams are 65,536 at most.
+Pairs are verified in tiles of a bounded number of hubs, and of other sets and n-grams; a component's n-grams are split by
+token, and the counts of the parts added up; components come from alternating stars in Spark. Nothing that grows with the
+input is collected or broadcast. Of the frequent n-grams 65,536 are kept off the deal, so that none that is dealt has over a
+65,536th of all places; in lists of prefixes a frequent n-gram is met by token, in joins that Spark may split.
 
 Defined results: a null text, or one without words, has no n-grams, is linked with nothing, and is its own component;
 with fewer words than n the whole sequence is the one n-gram. Equal sets are linked. Repeated rows are repeated; where a
-component has several rows of one id it is that id's component still; a null id is never the smallest unless alone.
-Only id and text are read. N-grams and set signatures are 64-bit hashes.
+component has several rows of one id it is that id's component still; a null id is never the smallest unless alone. An
+empty table gives an empty table. A very long text is one set, and goes through a task by itself. Only id and text are
+read, so extra columns cannot clash. N-grams are 64-bit hashes. Sets are told apart by 128 bits: 64 name a set, and names
+that two sets have are replaced by the other 64.
 """
 
 from __future__ import annotations
@@ -49,8 +55,12 @@ FREQUENT_SHARE, FREQUENT_ROWS, FREQUENT_MOST = 0.002, 8, 1 << 16
 TOKENS_PER_BUCKET, SETS_PER_GROUP = 1_000_000, 5_000
 #: N-grams held at once by a task that makes sets.
 TOKENS_HELD = 1_000_000
-#: Sets of a tile at most: so many hubs, and so many others.
-TILE_HUBS, TILE_OTHERS = 500, 5_000
+#: Sets of a run at most, as their numbers have 16 bits.
+SETS_HELD = 1 << 16
+#: Of a tile: hubs; other sets, and their n-grams, before it is split. N-grams of a component's part.
+TILE_HUBS, TILE_OTHERS, TILE_TOKENS, PART_TOKENS = 500, 5_000, 2_000_000, 1_000_000
+#: Names that two sets have, at most; ten thousand million sets have three.
+COLLIDED_MOST = 10_000
 #: Hash seeds of the global orders.
 ORDERS = (1, 2, 3)
 FREQUENT_CLASS = 63
@@ -60,7 +70,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     return struct.pack(f"<{len(arrays)}q", *(a.nbytes for a in arrays)) + b"".join(a.tobytes() for a in arrays)
 
 
-def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+def unpack(data, *kinds: str) -> list[np.ndarray]:
     sizes, at, out = struct.unpack_from(f"<{len(kinds)}q", data), 8 * len(kinds), []
     for size, kind in zip(sizes, kinds):
         out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
@@ -74,6 +84,16 @@ def unpacked(payloads: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    data = pack(*arrays)
+    return struct.pack("<q", len(data)) + pa.compress(data, "zstd", asbytes=True)
+
+
+def released(data, *kinds: str) -> list[np.ndarray]:
+    """The arrays of squeezed bytes."""
+    return unpack(pa.decompress(memoryview(data)[8:], struct.unpack_from("<q", data)[0], "zstd", asbytes=True), *kinds)
+
+
 def sets_of(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct hashed word n-grams of each text."""
     flat, offsets = flat_utf8(texts)
@@ -93,8 +113,12 @@ def sets_of(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> int:
-    return int(mixed(np.array([mixed(s, 77).sum() + np.uint64(len(s))], np.uint64))[0].view(np.int64)) if len(s) else 0
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set apart, in two halves; 0 for the empty set."""
+    if not len(s):
+        return 0, 0
+    sums = np.array([mixed(s, 77).sum(), mixed(s, 79).sum()], np.uint64) + np.uint64(len(s))
+    return tuple(mixed(sums).view(np.int64).tolist())
 
 
 def needed(n: int | np.ndarray, percent: int):
@@ -108,17 +132,17 @@ def overlap(n: np.ndarray, m: np.ndarray, percent: int):
 
 
 def first_pass(rows: DataFrame, n: int) -> DataFrame:
-    """(key, n, sig) of every row, and (token, rows) of the n-grams frequent in a run."""
+    """(key, n, sig, other) of every row, and (token, rows) of the n-grams frequent in a run."""
     kind = rows.schema["key"].dataType.simpleString()
 
-    names = ["key", "n", "sig", "token", "rows"]
+    names = ["key", "n", "sig", "other", "token", "rows"]
 
     def frequent(held: list[np.ndarray], key_type: pa.DataType) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= max(FREQUENT_ROWS, FREQUENT_SHARE * len(held))
         held.clear()
         none = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), key_type), none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), key_type), none, none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -129,7 +153,8 @@ def first_pass(rows: DataFrame, n: int) -> DataFrame:
             for part in sliced(batch):
                 sets = sets_of(part.column(1), n)
                 none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), none, none], names=names)
+                sigs, others = zip(*map(signature, sets))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(others, pa.int64()), none, none], names=names)
                 held.extend(sets)
                 tokens += sum(map(len, sets))
                 if tokens >= TOKENS_HELD:
@@ -139,7 +164,7 @@ def first_pass(rows: DataFrame, n: int) -> DataFrame:
             yield frequent(held, key_type)
         trim()
 
-    return rows.mapInArrow(run, f"key {kind}, n long, sig long, token long, rows long")
+    return rows.mapInArrow(run, f"key {kind}, n long, sig long, other long, token long, rows long")
 
 
 def by_slot(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,33 +174,55 @@ def by_slot(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, found, np.append(starts, len(slots))
 
 
-def deal(rows: DataFrame, n: int, frequent: np.ndarray, buckets: int, groups: int) -> DataFrame:
-    """kind 0: a bucket's n-grams by set; kind 1: a group's sets with their frequent n-grams. One payload a run of sets and slot."""
-    spread = rows.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT_MOST values at most
+def planes(tokens: np.ndarray) -> np.ndarray:
+    """Sorted tokens as differences, in planes of bytes from the lowest on: the upper ones are nearly all zeros."""
+    return np.ascontiguousarray(np.diff(tokens, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def from_planes(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def low_high(numbers: np.ndarray) -> np.ndarray:
+    """Numbers of 16 bits in two planes of bytes."""
+    return np.ascontiguousarray(numbers.astype("<u2").view(np.uint8).reshape(-1, 2).T).ravel()
+
+
+def from_low_high(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(2, -1).T).view("<u2").ravel()
+
+
+def run_name(sigs: np.ndarray) -> int:
+    """Runs of the same sets in the same order have one name."""
+    return int(mixed(np.array([(mixed(sigs.view(np.uint64)) * (2 * np.arange(len(sigs), dtype=np.uint64) + np.uint64(1))).sum()], np.uint64))[0].view(np.int64))
+
+
+DEALT = ("<i8", "u1", "u1")  # run, planes of the sets' numbers, planes of the tokens
+RUN = ("<i8", "<i8", "<i4", "<i4", "<u2")  # run and number of dealt tokens, signatures, sizes, numbers of frequent tokens, those
+ANSWER = ("<i8", "u1", "u1", "u1")  # run and number of its tokens that were counted, planes of the sets' numbers, classes, planes of the tokens
+
+
+def deal(rows: DataFrame, n: int, frequent, collided: dict[int, set[int]], buckets: int, groups: int) -> DataFrame:
+    """kind 0: a bucket's n-grams of a run of sets; kind 1: the run's signatures and frequent n-grams. frequent: a broadcast, sorted."""
 
     def sent(found: dict[int, np.ndarray], often: np.ndarray) -> Iterator[pa.RecordBatch]:
         sigs, sets = np.array(list(found), np.int64), list(found.values())
         found.clear()
+        name = run_name(sigs)
         sizes = np.array([len(s) for s in sets], np.int64)
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        sets.clear()
         at = np.minimum(np.searchsorted(often, tokens), max(0, len(often) - 1))
         hot = often[at] == tokens if len(often) else np.zeros(len(tokens), bool)
-        out: list[tuple[int, int, bytes]] = []
-        hot_counts = np.bincount(owner[hot], minlength=len(sets))
-        hot_tokens, hot_at = tokens[hot], np.concatenate([[0], np.cumsum(hot_counts)])
-        order, slots, bounds = by_slot(sigs.view(np.uint64) % np.uint64(groups))
-        for g, a, b in zip(slots, bounds[:-1], bounds[1:]):
-            k = order[a:b]
-            out.append((1, int(g), pack(sigs[k], sizes[k].astype(np.int32), hot_counts[k].astype(np.int32), np.concatenate([hot_tokens[hot_at[i] : hot_at[i + 1]] for i in k]))))
+        hot_counts = np.bincount(owner[hot], minlength=len(sigs))
+        out = [(1, int(name % groups), pack(np.array([name, len(tokens) - int(hot.sum())]), sigs, sizes.astype(np.int32), hot_counts.astype(np.int32), at[hot].astype(np.uint16)))]
         tokens, owner = tokens[~hot], owner[~hot]
-        slot = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-        order, slots, bounds = by_slot(slot)
+        del at, hot
+        order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        for bucket, a, b in zip(slots, bounds[:-1], bounds[1:]):
-            o = owner[a:b]  # rising
-            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            seven = np.ascontiguousarray(tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
-            out.append((0, int(bucket), pack(sigs[o[first]], np.diff(np.append(first, b - a)).astype(np.int32), seven)))
+        slots, starts = np.unique((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), return_index=True)
+        for bucket, a, b in zip(slots, starts, np.append(starts[1:], len(tokens))):
+            out.append((0, int(bucket), squeezed(np.array([name]), low_high(owner[a:b]), planes(tokens[a:b]))))
         del tokens, owner, order
         for a in range(0, len(out), 64):
             kinds, slots, payloads = zip(*out[a : a + 64])
@@ -188,80 +235,111 @@ def deal(rows: DataFrame, n: int, frequent: np.ndarray, buckets: int, groups: in
         for batch in batches:
             for part in sliced(batch):
                 for s in sets_of(part.column(0), n):
-                    if len(s) and signature(s) not in found:
-                        found[signature(s)] = s
+                    name = named(*signature(s), collided)
+                    if len(s) and name not in found:
+                        found[name] = s
                         tokens += len(s)
-                if tokens >= TOKENS_HELD:
-                    yield from sent(found, spread.value)
-                    tokens = 0
+                        if tokens >= TOKENS_HELD or len(found) >= SETS_HELD:
+                            yield from sent(found, frequent.value)
+                            tokens = 0
         if found:
-            yield from sent(found, spread.value)
+            yield from sent(found, frequent.value)
         trim()
 
     return rows.select("text").mapInArrow(run, "kind int, slot int, payload binary")
 
 
+def named(sig: int, other: int, collided: dict[int, set[int]]) -> int:
+    """A set's name: the half of its signature that no other set has."""
+    return other if other in collided.get(sig, ()) else sig
+
+
 def shared(dealt: DataFrame, groups: int) -> DataFrame:
-    """For the sets of each group: kind 0, the n-grams that several sets have, with the class of their number; kind 1 as dealt."""
+    """For each run: kind 0, its n-grams that several sets have, with the class of their number; kind 1 as dealt.
+
+    A set that several runs have counts once for each: its n-grams are then answered though no other set has them, which
+    keeps the set live and loses nothing.
+    """
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         kind, slot = key[0].as_py(), key[1].as_py()
-        payloads = got.column("payload").to_pylist()
+        payloads = got.column("payload")
         if kind == 1:
-            return pa.table({"slot": pa.array([slot] * len(payloads), pa.int32()), "kind": pa.array([1] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())})
-        sigs, counts, seven = unpacked(payloads, "<i8", "<i4", "u1")
-        del payloads
-        wide = np.zeros((len(seven) // 7, 8), np.uint8)
-        wide[:, :7] = seven.reshape(-1, 7)
-        tokens = wide.view("<u8").ravel()
-        del wide, seven
-        # a set from several batches counts once
-        _, first = np.unique(sigs, return_index=True)
-        keep = np.zeros(len(sigs), bool)
-        keep[first] = True
-        tokens, owner = tokens[np.repeat(keep, counts)], np.repeat(sigs[keep], counts[keep])
-        order = np.argsort(tokens)
-        tokens = tokens[order]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+            return pa.table({"slot": pa.array([slot] * len(payloads), pa.int32()), "kind": pa.array([1] * len(payloads), pa.int32()), "payload": payloads})
+        runs: dict[int, tuple] = {}
+        for p in payloads:
+            (name,), numbers, data = released(p.as_buffer(), *DEALT)
+            runs.setdefault(int(name), (from_low_high(numbers), data))
+        names, counts = list(runs), np.array([len(x) for x, _ in runs.values()])
+        owner = np.concatenate([x for x, _ in runs.values()])
+        tokens = np.concatenate([from_planes(x) for _, x in runs.values()])
+        runs.clear()
+        of = np.repeat(np.arange(len(names), dtype=np.int32), counts)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner, of = tokens[order], owner[order], of[order]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         df = np.diff(np.append(starts, len(tokens)))
         several = np.repeat(df >= 2, df)
-        classes = np.repeat(np.log2(np.maximum(df, 1)).astype(np.uint8), df)[several]
-        tokens, owner = tokens[several] | np.uint64((slot & 0xFF) << 56), owner[order][several]
-        order, slots, bounds = by_slot(owner.view(np.uint64) % np.uint64(groups))
-        out = [pack(owner[k], tokens[k], classes[k]) for a, b in zip(bounds[:-1], bounds[1:]) for k in [order[a:b]]]
-        del tokens, owner, classes, order, several, keep, df
+        classes = np.repeat(np.log2(df).astype(np.uint8), df)[several]
+        tokens, owner, of = tokens[several], owner[several], of[several]
+        order = np.argsort(of, kind="stable")
+        bounds = np.searchsorted(of[order], np.arange(len(names) + 1))
+        out = [squeezed(np.array([name, count]), low_high(owner[k]), classes[k], planes(tokens[k])) for name, count, a, b in zip(names, counts.tolist(), bounds[:-1], bounds[1:]) for k in [order[a:b]]]
+        del tokens, owner, classes, order, several, of, df
         trim()
-        return pa.table({"slot": pa.array(slots.astype(np.int32), pa.int32()), "kind": pa.array([0] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
+        return pa.table({"slot": pa.array([name % groups for name in names], pa.int32()), "kind": pa.array([0] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return dealt.groupBy("kind", "slot").applyInArrow(run, "slot int, kind int, payload binary")
 
 
-LIVE = "sig long, n int, alone int, tokens binary, classes binary"
+LIVE = "sig long, n int, alone int, tokens binary, classes binary, marks array<array<smallint>>"
 
 
-def live_sets(found: DataFrame, percent: int) -> DataFrame:
-    """The sets whose own n-grams do not fill their prefix, with the n-grams they share with others, sorted, and their classes."""
+def live_sets(found: DataFrame, frequent, percent: int) -> DataFrame:
+    """The sets whose own n-grams do not fill their prefix, with the n-grams they share with others, sorted, their classes, and 16 bits of each prefix token under the orders but the first."""
 
-    def run(key: tuple, got: pa.Table) -> pa.Table:
-        kinds, payloads = got.column("kind").to_pylist(), got.column("payload").to_pylist()
-        sigs, sizes, hot_counts, hot = unpacked([p for k, p in zip(kinds, payloads) if k == 1], "<i8", "<i4", "<i4", "<u8")
-        owner, tokens, classes = unpacked([p for k, p in zip(kinds, payloads) if k == 0], "<i8", "<u8", "u1")
-        del payloads
-        hot_at = np.concatenate([[0], np.cumsum(hot_counts)])
-        sigs, first = np.unique(sigs, return_index=True)
-        sizes, starts, stops = sizes[first].astype(np.int64), hot_at[first], hot_at[first + 1]
+    def of_run(head: list, answers: list[list], often: np.ndarray) -> Iterator[tuple]:
+        (_, dealt), sigs, sizes, hot_counts, hot = head
+        counted, owner, classes, data = 0, [], [], []
+        for p in answers:
+            (_, n), numbers, c, d = p
+            counted += int(n)
+            owner.append(from_low_high(numbers))
+            classes.append(c)
+            data.append(from_planes(d))
+        if counted != dealt:
+            raise RuntimeError(f"{counted} of a run's {dealt} n-grams were counted: its rows have changed their order between two attempts")
+        owner, classes, tokens = (np.concatenate([*x, np.zeros(0, k)]) for x, k in ((owner, np.uint16), (classes, np.uint8), (data, np.uint64)))
         order = np.argsort(owner, kind="stable")
-        owner, tokens, classes = owner[order], tokens[order], classes[order]
-        a, b = np.searchsorted(owner, sigs, "left"), np.searchsorted(owner, sigs, "right")
-        alone = sizes - (b - a) - (stops - starts)
-        rows = []
-        for i in np.flatnonzero(alone < sizes - needed(sizes, percent) + 1):
-            t = np.concatenate([tokens[a[i] : b[i]], hot[starts[i] : stops[i]]])
-            c = np.concatenate([classes[a[i] : b[i]], np.full(stops[i] - starts[i], FREQUENT_CLASS, np.uint8)])
+        classes, tokens = classes[order], tokens[order]
+        bounds = np.searchsorted(owner[order], np.arange(len(sigs) + 1))
+        hot_at = np.concatenate([[0], np.cumsum(hot_counts)])
+        sizes = sizes.astype(np.int64)
+        alone = sizes - np.diff(bounds) - hot_counts
+        for i in np.flatnonzero(alone < sizes - needed(sizes, percent) + 1).tolist():
+            t = np.concatenate([tokens[bounds[i] : bounds[i + 1]], often[hot[hot_at[i] : hot_at[i + 1]]]])
+            c = np.concatenate([classes[bounds[i] : bounds[i + 1]], np.full(hot_counts[i], FREQUENT_CLASS, np.uint8)])
             o = np.argsort(t)
-            rows.append((int(sigs[i]), int(sizes[i]), int(alone[i]), t[o].tobytes(), c[o].tobytes()))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())], names=["sig", "n", "alone", "tokens", "classes"])
+            t, c = t[o], c[o]
+            marks = [np.unique(prefix(t, c, int(sizes[i]), int(alone[i]), k, percent).astype(np.uint16).view(np.int16)) for k in ORDERS[1:]]
+            yield int(sigs[i]), int(sizes[i]), int(alone[i]), t.tobytes(), c.tobytes(), marks
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        heads: dict[int, list] = {}
+        answers: dict[int, list] = {}
+        for kind, p in zip(got.column("kind").to_pylist(), got.column("payload")):
+            if kind:
+                head = unpack(p.as_buffer(), *RUN)
+                heads.setdefault(int(head[0][0]), head)
+            else:
+                answer = released(p.as_buffer(), *ANSWER)
+                answers.setdefault(int(answer[0][0]), []).append(answer)
+        if answers.keys() - heads.keys():
+            raise RuntimeError("n-grams of a run without signatures: its rows have changed their order between two attempts")
+        rows = [r for name, head in heads.items() for r in of_run(head, answers.pop(name, []), frequent.value)]
+        columns = list(zip(*rows)) if rows else [()] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int16())))
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names=["sig", "n", "alone", "tokens", "classes", "marks"])
 
     return found.groupBy("slot").applyInArrow(run, LIVE)
 
@@ -290,70 +368,89 @@ def postings(live: DataFrame, percent: int) -> DataFrame:
     return live.select("sig", "n", "alone", "tokens", "classes").mapInArrow(run, "token long, sig long, n int, place int, alone int")
 
 
-def verified(pairs: DataFrame, hubs: DataFrame, others: DataFrame, n_live: int, percent: int, bound: bool = False) -> DataFrame:
-    """The pairs (a: a hub, b) that share prefix n-grams under all orders and are similar. Each tile gets a bounded part of the sets.
-
-    With `bound` hubs are unions of components, n the size of their smallest set: pairs stay whose second set may be
-    similar to a set in the component, as it shares enough with all of them together.
-    """
-    tiled = pairs.withColumn("tile", F.pmod(F.xxhash64("a"), F.lit(max(1, n_live // TILE_HUBS))) * max(1, n_live // TILE_OTHERS) + F.pmod(F.xxhash64("b", F.lit(1)), F.lit(max(1, n_live // TILE_OTHERS))))
-    null = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
-    sent = [tiled.select("tile", F.col(c).alias("sig")).distinct().join(sets, "sig").select("tile", F.lit(side).alias("side"), "sig", *null("long"), "n", "alone", "tokens", "classes") for side, c, sets in ((0, "a", hubs), (1, "b", others))]
-    parts = sent[0].union(sent[1]).union(tiled.select("tile", F.lit(2).alias("side"), "a", "b", *null("int", "int", "binary", "binary")))
+def verified(pairs: DataFrame, live: DataFrame, n_live: int, percent: int) -> DataFrame:
+    """The pairs (a: a hub, b; na, nb: their sizes) that share prefix n-grams under all orders and are similar."""
+    marks = lambda name: live.select(F.col("sig").alias(name), F.col("marks").alias(f"marks_{name}"))
+    every = [F.arrays_overlap(F.col("marks_a")[k], F.col("marks_b")[k]) for k in range(len(ORDERS) - 1)]
+    pairs = cut(pairs, "pairs")
+    hubs = cut(pairs.select("a").distinct().join(marks("a"), "a"), "hubs")  # a hub of many pairs is then a join's hot key, which Spark splits
+    met = pairs.join(marks("b"), "b").join(hubs, "a")
+    for meets in every:
+        met = met.where(meets)
+    tile = F.pmod(F.xxhash64("a"), F.lit(max(1, n_live // TILE_HUBS)))
+    met = cut(met.select("a", "b", "na", "nb", tile.alias("tile")), "candidates")
+    # a tile of many others is split by them, so that a hub goes to few of its parts
+    chunks = cut(met.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / TILE_OTHERS, F.sum("nb") / TILE_TOKENS)).alias("chunks")), "tiles")
+    tiled = met.join(chunks, "tile").select("a", "b", "tile", F.pmod(F.xxhash64("b", F.lit(1)), F.col("chunks")).alias("chunk"))
+    sets = live.select("sig", "n", "tokens")
+    sent = [tiled.select("tile", "chunk", F.col(c).alias("sig")).distinct().join(sets, "sig").select("tile", "chunk", F.lit(side).alias("side"), "sig", F.lit(None).cast("long").alias("b"), "n", "tokens") for side, c in enumerate("ab")]
+    parts = sent[0].union(sent[1]).union(tiled.select("tile", "chunk", F.lit(2), "a", "b", F.lit(None).cast("int"), F.lit(None).cast("binary")))
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
-        sides: list[dict[int, list]] = [{}, {}]
-        asked: dict[int, list[int]] = {}
-        for _, side, sig, b, n, alone, tokens, classes in zip(*(c.to_pylist() for c in got.columns)):
+        sides: list[dict[int, tuple]] = [{}, {}]
+        asked: list[tuple[int, int]] = []
+        for side, sig, b, n, tokens in zip(*(got.column(c).to_pylist() for c in ("side", "sig", "b", "n", "tokens"))):
             if side == 2:
-                asked.setdefault(sig, []).append(b)
+                asked.append((sig, b))
             else:
-                sides[side][sig] = [n, alone, np.frombuffer(tokens, "<u8"), np.frombuffer(classes, "u1") if classes is not None else None, None]
-
-        def orders(s: list) -> list:
-            if s[4] is None:
-                s[4] = [np.sort(prefix(s[2], s[3], s[0], s[1], k, percent)) for k in ORDERS[1:]]
-            return s[4]
-
+                sides[side][sig] = n, np.frombuffer(tokens, "<u8")
         good = []
-        for a, bs in asked.items():
-            x = sides[0][a]
-            for b in bs:
-                y = sides[1][b]
-                least = overlap(max(x[0], needed(y[0], percent)) if bound else x[0], y[0], percent)
-                if min(len(x[2]), len(y[2])) < least:
-                    continue
-                if not bound and not all(common(p, q) for p, q in zip(orders(x), orders(y))):
-                    continue
-                if common(x[2], y[2]) >= least:
-                    good.append((a, b))
+        for a, b in asked:
+            (n, x), (m, y) = sides[0][a], sides[1][b]
+            least = overlap(n, m, percent)
+            if min(len(x), len(y)) >= least and common(x, y) >= least:
+                good.append((a, b))
         return pa.table({"a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64())})
 
-    return parts.groupBy("tile").applyInArrow(run, "a long, b long")
-
+    return parts.groupBy("tile", "chunk").applyInArrow(run, "a long, b long")
 
-def unions(members: DataFrame) -> DataFrame:
-    """(sig: label, n, alone, tokens, classes) for the sets (label, n, tokens) of each component; added up per batch first."""
-    schema = "sig long, n int, tokens binary"
 
-    def joined(labels: list, sizes: list, tokens: list) -> pa.Table:
-        of: dict[int, list] = {}
-        for label, n, t in zip(labels, sizes, tokens):
-            own = of.setdefault(label, [n, []])
-            own[0] = min(own[0], n)
-            own[1].append(np.frombuffer(t, "<u8"))
-        rows = [(label, n, np.unique(np.concatenate(t)).tobytes()) for label, (n, t) in of.items()]
-        columns = list(zip(*rows)) if rows else [(), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["sig", "n", "tokens"])
+def near_components(asked: DataFrame, members: DataFrame, live: DataFrame, n_live: int, percent: int) -> DataFrame:
+    """Of (a: a component, b, lo: the size of the component's smallest set, m: of b): those where b shares so much with all the component's sets (label, n, tokens) together that it may be similar to one.
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A component's n-grams, and those of the sets asked about, are split by token into parts of a bounded size.
+    """
+    held = members.join(asked.select(F.col("a").alias("label")).distinct(), "label", "left_semi")
+    volume = held.groupBy("label").agg(F.sum("n").alias("own")).join(asked.groupBy(F.col("a").alias("label")).agg(F.sum("m").alias("other")), "label")
+    parts = cut(volume.select("label", F.ceil((F.col("own") + F.col("other")) / PART_TOKENS).cast("int").alias("parts")), "parts")
+    least = F.expr(f"({percent} * (greatest(lo, ({percent} * m + 99) div 100) + m) + {99 + percent}) div {100 + percent}").alias("least")
+    of_component = members.join(parts, "label").select("label", "parts", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("least"), "tokens")
+    of_sets = asked.join(live.select(F.col("sig").alias("b"), "tokens"), "b").withColumnRenamed("a", "label").join(parts, "label").select("label", "parts", "b", least, "tokens")
+    schema = "label long, part int, b long, least long, tokens binary"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from joined(*(c.to_pylist() for c in batch.columns)).to_batches()
+            together: dict[tuple, list[np.ndarray]] = {}
+            for label, n, b, enough, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                together.setdefault((label, n, b, enough), []).append(np.frombuffer(tokens, "<u8"))
+            rows = []
+            for (label, n, b, enough), held in together.items():
+                t = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+                if n == 1:
+                    rows.append((label, 0, b, enough, t.tobytes()))
+                    continue
+                order, found, bounds = by_slot((mixed(t, 5) % np.uint64(n)).astype(np.int64))
+                rows += [(label, int(p), b, enough, t[order[x:y]].tobytes()) for p, x, y in zip(found, bounds[:-1], bounds[1:])]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["label", "part", "b", "least", "tokens"])
 
-    def whole(key: tuple, got: pa.Table) -> pa.Table:
-        return joined(*(got.column(c).to_pylist() for c in ("sig", "n", "tokens")))
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        whole: dict[int, list[np.ndarray]] = {}
+        sets: list[tuple] = []
+        for label, b, enough, tokens in zip(*(got.column(c).to_pylist() for c in ("label", "b", "least", "tokens"))):
+            t = np.frombuffer(tokens, "<u8")
+            if b is None:
+                whole.setdefault(label, []).append(t)
+            else:
+                sets.append((label, b, enough, t))
+        together = {label: np.unique(np.concatenate(held)) for label, held in whole.items()}
+        found = [(label, b, enough, n) for label, b, enough, t in sets if label in together and (n := common(np.sort(t), together[label]))]
+        columns = list(zip(*found)) if found else [()] * 4
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("a", "b", "least", "shared"), columns)})
 
-    return members.select("label", "n", "tokens").mapInArrow(part, schema).groupBy("sig").applyInArrow(whole, schema).select("sig", "n", F.lit(0).alias("alone"), "tokens", F.lit(None).cast("binary").alias("classes"))
+    dealt = of_component.union(of_sets).mapInArrow(split, schema).withColumn("tile", F.pmod(F.xxhash64("label"), F.lit(max(1, n_live // TILE_HUBS))))
+    counts = dealt.groupBy("tile", "part").applyInArrow(run, "a long, b long, least long, shared long")
+    return counts.groupBy("a", "b", "least").agg(F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -368,7 +465,10 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(sig, label): the smallest node of the component of each node that an edge (a, b) has. Alternating stars."""
+    """(sig, label): the smallest node of the component of each node that an edge (a, b) has. Alternating stars.
+
+    The rounds needed grow with the logarithm of a component's size; more than `rounds` is an error.
+    """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     for _ in range(rounds):
@@ -384,40 +484,45 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components were not complete after {rounds} rounds")
     return now.select(F.col("u").alias("sig"), F.col("v").alias("label")).union(now.select(F.col("v").alias("sig"), F.col("v").alias("label")).distinct())
 
 
 def links(live: DataFrame, percent: int) -> DataFrame:
-    """(sig, label) of the live sets that are linked: stars first, then what remains between components."""
+    """(sig, label) of the live sets that are linked: stars first, then what remains between components.
+
+    Tables that are joined are written first: Spark can split a join's hot keys where no other step needs them together.
+    """
     n_live = live.count()
     lists = cut(postings(live, percent), "postings")
     fits = lambda n, m: (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+    pairs = lambda df: df.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
     # the leader is the set with the smallest share of n-grams of its own: the least edited copy is near most others
     central = F.min(F.struct((F.col("alone") / F.col("n")).alias("h"), F.xxhash64("sig").alias("i"), F.col("sig").alias("a"), F.col("n").alias("na"))).alias("l")
-    leaders = lists.groupBy("token").agg(central, F.count("*").alias("c")).where("c > 1").select("token", "l.a", "l.na")
-    stars = lists.join(leaders, "token").where("sig <> a").where(fits("n", "na")).select("a", F.col("sig").alias("b")).distinct()
-    edges = cut(verified(stars, live, live, n_live, percent), "star-links")
+    leaders = cut(lists.groupBy("token").agg(central, F.count("*").alias("c")).where("c > 1").select("token", "l.a", "l.na"), "leaders")
+    stars = lists.join(leaders, "token").where("sig <> a").where(fits("n", "na")).select("a", F.col("sig").alias("b"), "na", F.col("n").alias("nb"))
+    edges = cut(verified(pairs(stars), live, n_live, percent), "star-links")
     labels = connected(edges)
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    own = lists.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")).join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    several = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    sizes = cut(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
+    own = cut(lists.join(labels.join(sizes, "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).withColumn("size", F.coalesce("size", F.lit(1))), "own")
+    several = cut(own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "several")
     own = cut(own.join(several, "token", "left_semi").select("token", "sig", "n", "place", "alone", "label", "size"), "own")
 
     # a set of the smaller component against the larger component as a whole
     x = own.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), (F.col("n") - F.col("place")).alias("reach"), F.col("label").alias("of"), F.col("size").alias("of_size"))
-    whole = own.groupBy("token", "label", "size").agg(F.max(F.col("n") - F.col("place")).alias("reaches"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    whole = cut(own.groupBy("token", "label", "size").agg(F.max(F.col("n") - F.col("place")).alias("reaches"), F.min("n").alias("lo"), F.max("n").alias("hi")), "whole")
     smaller = (F.col("of_size") < F.col("size")) | ((F.col("of_size") == F.col("size")) & (F.col("of") < F.col("label")))
     least = F.col("m") + F.greatest(F.col("lo"), F.col("m") * percent / 100)
     near = (F.col("hi") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("lo") * percent) & (F.least("reach", "reaches") * (100 + percent) >= least * percent)
-    asked = cut(x.join(whole, "token").where((F.col("of") != F.col("label")) & smaller & near).select(F.col("label").alias("a"), "b").distinct(), "set-component")
-    members = live.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    together = unions(members.join(asked.select(F.col("a").alias("label")).distinct(), "label", "left_semi"))
-    maybe = cut(verified(asked, together, live, n_live, percent, bound=True), "maybe")
+    asked = cut(x.join(whole, "token").where((F.col("of") != F.col("label")) & smaller & near).groupBy(F.col("label").alias("a"), "b").agg(F.min("lo").cast("long").alias("lo"), F.max("m").cast("long").alias("m")), "set-component")
+    members = live.select("sig", "n", "tokens").join(labels, "sig", "left").select(F.coalesce("label", "sig").alias("label"), "n", "tokens")
+    maybe = cut(near_components(asked, members, live, n_live, percent), "maybe")
 
     # then against the component's leaders in their lists
-    leaders = own.groupBy("token", "label").agg(central).select("token", "label", "l.a", "l.na")
-    few = own.select("token", F.col("sig").alias("b"), "n").join(maybe.withColumnRenamed("a", "label"), "b").join(leaders, ["token", "label"]).where(fits("n", "na")).select("a", "b").distinct()
-    edges = cut(edges.union(verified(few, live, live, n_live, percent)), "links")
+    leaders = cut(own.groupBy("token", "label").agg(central).select("token", "label", "l.a", "l.na"), "leaders")
+    few = own.select("token", F.col("sig").alias("b"), F.col("n").alias("nb")).join(maybe.withColumnRenamed("a", "label"), "b").join(leaders, ["token", "label"]).where(fits("nb", "na"))
+    edges = cut(edges.union(verified(pairs(few), live, n_live, percent)), "links")
     labels = cut(connected(edges), "components")
 
     # and what is still apart against all its sets
@@ -427,7 +532,7 @@ def links(live: DataFrame, percent: int) -> DataFrame:
     y = own.select("token", "label", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
     reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # what the sets can share from this n-gram on
     rest = x.join(y, ["token", "label"]).where(fits("na", "nb") & (reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
-    more = verified(rest.select("a", "b").distinct(), live, live, n_live, percent)
+    more = verified(pairs(rest), live, n_live, percent)
     return connected(edges.union(more))
 
 
@@ -436,18 +541,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     spark = docs.sparkSession
     rows = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     seen = cut(first_pass(rows, words), "shingle-sets")
-    frequent = np.sort(np.array([r.token for r in seen.where("token is not null").groupBy("token").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST).collect()], np.int64).view(np.uint64))
-    sizes = seen.where("token is null").select("key", "n", "sig")
+    # FREQUENT_MOST values at most
+    frequent = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in seen.where("token is not null").groupBy("token").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST).collect()], np.int64).view(np.uint64)))
+    sizes = seen.where("token is null").select("key", "n", "sig", "other")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
+    sets = cut(sizes.where("n > 0").groupBy("sig", "other").agg(F.min("key").alias("least")), "sets")
+    several = sets.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    found = sets.join(several, "sig").select("sig", "other").limit(COLLIDED_MOST + 1).collect()
+    if len(found) > COLLIDED_MOST:
+        raise ValueError("signatures of 64 bits are too short for so many sets")
+    collided = {sig: {r.other for r in found if r.sig == sig} for sig in {r.sig for r in found}}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, groups = max(2 * parts, total.tokens // TOKENS_PER_BUCKET), max(1, min(4 * parts, total.rows // 200), total.rows // SETS_PER_GROUP)
-    found = shared(deal(rows, words, frequent, buckets, groups), groups)
-    live = cut(live_sets(found, percent), "live-sets")
+    buckets, groups = max(2 * parts, total.tokens // TOKENS_PER_BUCKET), max(2 * parts, total.tokens // TOKENS_HELD)
+    live = cut(live_sets(shared(deal(rows, words, frequent, collided, buckets, groups), groups), frequent, percent).dropDuplicates(["sig"]), "live-sets", "sig")
     labels = cut(links(live, percent), "labels")
-    sets = sizes.where("n > 0")
-    least = sets.groupBy("sig").agg(F.min("key").alias("least")).join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = least.join(smallest, "label").select("sig", "component_id")
-    full = sets.join(of_set, "sig").select("key", "n", "component_id")
+    name = F.when(F.array_contains(F.lit(sorted(collided)), F.col("sig")), F.col("other")).otherwise(F.col("sig")) if collided else F.col("sig")
+    least = sets.select(name.alias("sig"), "least")
+    smallest = cut(least.join(labels, "sig").groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
+    linked = labels.join(smallest, "label").select("sig", "component_id")
+    of_set = cut(least.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id")), "components")
+    full = sizes.where("n > 0").select("key", "n", name.alias("sig")).join(of_set, "sig").select("key", "n", "component_id")
     empty = sizes.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
     return full.union(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
