@@ -12,9 +12,12 @@ scores 2, a replacement or a gap costs 1. The score is the best local alignment
 The benchmark is the stated query set: it is taken in blocks of a bounded size, each broadcast, against all rows. There
 is no shuffle of texts, and no pairs but the joined ones are made.
 
-Defined results: null or empty texts hold nothing, and items of under three words are never found. A document with
-several items, or an item several times, gives one row per item with the best score. Repeated rows are repeated. Only
-id and text of either table are read by `leaks`; `clean` keeps all columns of the documents.
+Defined results: null or empty texts hold nothing, and items of under three words, or without text, are never found; an
+empty table of either kind gives an empty one. Each row of the documents is judged by itself: a row that holds several
+items gives one row for each item, with the item's best score in it and, of places that score the same, the first; so
+repeated rows are repeated, and rows without an id stay apart. Repeated items count once; of an item id's different texts
+the best counts. Very long texts are aligned in windows, and lose nothing. Ids may have any type. Only id and text of
+either table are read by `leaks`, so other columns cannot clash; `clean` keeps all columns of the documents.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyweir.llm.common import bounded_batches, flat_utf8, mixed, sliced, word_hashes
 
@@ -254,13 +258,13 @@ def seed_counts(rows: DataFrame, block) -> DataFrame:
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, block_bytes: int) -> Iterator:
-    """Broadcast blocks of the benchmark, with rare seeds."""
+    """Broadcast blocks of the benchmark, with rare seeds. All texts of one item id are in one block."""
     rows = bounded_batches(docs).select(F.col(text).cast("string").alias("text")).where("text is not null")
-    asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // block_bytes))
     for p in range(parts):
-        some = asked.where(F.pmod(F.xxhash64(F.col("item").cast("string"), "text"), F.lit(parts)) == p) if parts > 1 else asked
+        some = asked.where(F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(parts)) == p) if parts > 1 else asked
         own = block_of(sorted(((r.item, r.text) for r in some.collect()), key=lambda r: (str(r[0]), r[1])))  # a block: block_bytes
         spread = docs.sparkSession.sparkContext.broadcast(own)
         counts = {r.seed: r.rows for r in seed_counts(rows, spread).collect()}  # seeds of the block at most
@@ -270,9 +274,9 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_tex
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, item, score, end_word) of the documents that hold benchmark items."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind, item_kind = rows.schema["key"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    item_type = pa.int64() if item_kind in ("bigint", "long") else None
-    schema = f"key {kind}, item {item_kind}, score double, end_word long"
+    kinds = [rows.schema["key"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()]
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
+    schema = "key {}, item {}, score double, end_word long".format(*kinds)
     out = None
     for block in blocks(docs, benchmark, text, item, item_text, block_bytes):
 
@@ -280,15 +284,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             own = block.value
             for batch in batches:
                 for part in sliced(batch):
-                    found = found_in(own, *words_of(part.column(1)), threshold)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array([t for t, *_ in found], pa.int64())), pa.array([own.ids[i] for _, i, _, _ in found], item_type or pa.string()), pa.array([s for *_, s, _ in found], pa.float64()), pa.array([e for *_, e in found], pa.int64())],
-                        names=["key", "item", "score", "end_word"],
-                    )
+                    best: dict[tuple, tuple[float, int]] = {}
+                    for t, i, score, end in found_in(own, *words_of(part.column(1)), threshold):
+                        best[t, own.ids[i]] = max(best.get((t, own.ids[i]), (0.0, 0)), (score, -end))
+                    values = [pa.array([own_id for _, own_id in best], item_type), pa.array([s for s, _ in best.values()], pa.float64()), pa.array([-e for _, e in best.values()], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([t for t, _ in best], pa.int64())), *values], names=["key", "item", "score", "end_word"])
 
-        found = rows.mapInArrow(run, schema if item_type else schema.replace(f"item {item_kind}", "item string"))
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
-    return out.groupBy("key", "item").agg(F.max("score").alias("score"), F.max_by("end_word", "score").alias("end_word")).withColumnsRenamed({"key": key, "item": item})
+    return out.withColumnsRenamed({"key": key, "item": item})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
