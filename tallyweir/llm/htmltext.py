@@ -1,20 +1,30 @@
 """HTML extraction: the main text of a page, after the site's template is taken out.
 
-A page is parsed once into elements with a hash of each subtree (tags and text, without attributes). Spark counts, for
-each host, the pages that have a subtree; those on at least MANY_PAGES pages and a share of the host's pages, in at least
-MANY_PAGES different surroundings, are the site's template and are deleted. What the markup itself names as no main text goes too: navigation, footers, asides,
-forms, scripts, styles, and containers named as adverts, notices, comments and the like. The main text is in the
-page's articles, else in its main element, else in what is left of the body. Inside of articles and main elements, running
-text (paragraphs, headings, list items, quotations) is never deleted for recurring. Copies of an article are no template:
-the surroundings of a subtree are its whole article, main element or page, and those of a copy's parts are all the same.
-A container that holds all of a page's articles, or mains where it has none, stays.
+A page is parsed once into elements, each subtree with two hashes: one of its tags and text, and one of its place and
+shape (names of elements, classes and ids on the way to it and in it, with runs of like children as one, without text).
+Spark counts for each host the pages that have a subtree, and two kinds are the site's template and are deleted first:
+
+* subtrees of one text on at least MANY_PAGES pages and a share of the host's pages, in at least MANY_PAGES different
+  surroundings;
+* places: containers of one shape at one place, on at least FEW_PAGES different pages and half of the host's pages (of
+  large hosts, MANY_PAGES and the share), that hold at most LITTLE_TEXT of all text of the pages that have them. So a
+  menu, an advert or a footer is found whose words differ from page to page.
+
+What the markup itself names as no main text goes next, for what recurrence cannot see: navigation, footers, asides, forms,
+scripts, styles, and containers named as adverts, notices, comments and the like. The main text is in the page's articles,
+else in its main element, else in what is left of the body. Inside of articles and main elements, running text
+(paragraphs, headings, list items, quotations) is never deleted for recurring, nor is anything for its shape; on pages with
+neither, the same holds for the element that most of the text is in. Copies of an article are no template: the
+surroundings of a subtree are its whole article, main element or page, and those of a copy's parts are all the same. A
+container that holds all of a page's articles, or mains where it has none, stays.
 
 Counts are added up per batch before they are shuffled, and the template's hashes reach the pages by a broadcast of a
 checked size, or else by joins on the page, so that a host with a third of all pages makes no large task.
 
 Defined results: null or empty html, or html without main text, gives an empty text; broken markup is read as browsers
 mostly do (implied ends, a tag that the page's end cuts off is dropped). A null url has the host "". Repeated rows are
-repeated. Only id, url and html are read.
+repeated, and equal pages of one host get equal texts. Very long pages are parsed whole, one at a time. An empty table
+gives an empty table. Only id, url and html are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,6 +33,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -30,9 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import bounded_batches, sliced
+from tallyweir.llm.common import bounded_batches, cut, sliced
 
 MANY_PAGES, SHARE_OF_HOST = 10, 0.01
+#: For places: different pages at least, and the share of the pages' text in them at most.
+FEW_PAGES, LITTLE_TEXT = 3, 0.2
 #: Hashes that are broadcast at most (8 bytes each).
 BROADCAST_MOST = 500_000
 #: Subtrees that a task counts before it hands them on.
@@ -46,6 +59,7 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta template".split()
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NO_TEXT = frozenset("nav footer aside form menu dialog fieldset dir".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr tbody thead tfoot figcaption caption summary address".split())
+NAMED_TAGS = BLOCKS | {"span", "a"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = SHUT | frozenset("table ul ol dl div section article main body html td th blockquote aside nav form".split())
 #: Words of a class, id or role that name no main text.
@@ -64,14 +78,17 @@ TOKEN = re.compile(
 SHUT_START = re.compile(rf"<(?:{'|'.join(sorted(SHUT - {'head'}))})[\s/>]", re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+NUMBER = re.compile(r"[0-9]+")
 HOST = re.compile(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Element:
-    __slots__ = ("bad", "digest", "paragraph", "parent", "parts", "tag")
+    __slots__ = ("bad", "digest", "names", "paragraph", "parent", "parts", "path", "shape", "size", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, bad: bool):
+    def __init__(self, tag: str, parent: Element | None, bad: bool, names: str = ""):
         self.tag, self.parent, self.bad, self.parts, self.digest = tag, parent, bad, [], 0
+        # for a subtree's place: names of class, id and role; hashes of the way to it and of its blocks; characters of text
+        self.names, self.path, self.shape, self.size = names, 0, 0, 0
         # the open paragraph that a block would end
         self.paragraph = self if tag == "p" else None if parent is None or tag in SCOPES else parent.paragraph
 
@@ -167,10 +184,12 @@ def parse(page: str) -> Element:
                 if tag != "head" and m.start() not in ended:
                     cut.append(here)
             continue
-        bad = tag in NO_TEXT
-        if not bad and attributes and tag not in ("article", "main"):
-            bad = any(NAMES.search(a or b or c) for a, b, c in NAMED.findall(attributes)) and tag in BLOCKS | {"span", "a"} or bool(HIDDEN.search(attributes))
-        new = Element(tag, here, bad)
+        bad, names = tag in NO_TEXT, ""
+        if attributes and tag not in ("article", "main"):
+            named = [a or b or c for a, b, c in NAMED.findall(attributes)]
+            bad = bad or any(map(NAMES.search, named)) and tag in NAMED_TAGS or bool(HIDDEN.search(attributes))
+            names = NUMBER.sub("#", " ".join(named).lower())
+        new = Element(tag, here, bad, names)
         here.parts.append(new)
         if not attributes.endswith("/") or tag in BLOCKS:
             here = new
@@ -182,33 +201,49 @@ def parse(page: str) -> Element:
     return root
 
 
+@lru_cache(1 << 16)
+def place_hash(*parts) -> int:
+    """A hash of names and hashes, kept: sites repeat them."""
+    return int.from_bytes(blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 def hashed(root: Element) -> list[Element]:
-    """All elements with text, in page order, each with the hash of its subtree; the root comes first."""
+    """All elements with text, in page order, each with the hashes of its subtree and its size; the root comes first."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo.extend(p for p in reversed(x.parts) if p.__class__ is Element)
+        for p in reversed(x.parts):
+            if p.__class__ is Element:
+                p.path = place_hash(x.path, p.tag, p.names) if p.tag in BLOCKS else x.path
+                todo.append(p)
     found = []
     for x in reversed(order):
-        h, full = blake2b(x.tag.encode(), digest_size=8), False
+        h, full, size, blocks = blake2b(x.tag.encode(), digest_size=8), False, 0, []
         for p in x.parts:
             if p.__class__ is Element:
                 if p.digest:
                     h.update(b"\1" + p.digest.to_bytes(8, "little"))
                     full = True
+                    size += p.size
+                    if p.tag in BLOCKS and (not blocks or blocks[-1] != p.shape):
+                        blocks.append(p.shape)
             elif words := p.split():
-                h.update(b"\2" + " ".join(words).encode("utf-8", "surrogatepass"))
+                text = " ".join(words)
+                h.update(b"\2" + text.encode("utf-8", "surrogatepass"))
                 full = True
+                size += len(text)
         x.digest = int.from_bytes(h.digest(), "little") | 1 if full else 0
         if full:
+            x.size = size
+            x.shape = place_hash(x.tag, x.names, *blocks)
             found.append(x)
     return found[::-1]
 
 
 def candidate(x: Element, main: bool) -> bool:
     """Whether a recurring subtree may be deleted: any block outside of main text, only containers within it."""
-    return x.tag in BLOCKS and x.tag not in ("", "article", "main") and not (main and x.tag in RUNNING)
+    return x.tag in BLOCKS and x.tag not in ("article", "main") and not (main and x.tag in RUNNING)
 
 
 def key_of(host: str, digest: int) -> int:
@@ -251,30 +286,69 @@ def holders(found: list[tuple[Element, Element]]) -> set[int]:
     return {k for k, n in held.items() if n == len(chosen)}
 
 
-def subtree_keys(page: str, host: str) -> dict[int, int]:
-    """The keys of a page's subtrees that may be template, each with the hash of what it lies in."""
-    return {key_of(host, x.digest): scope.digest for x, scope in places(parse(page)) if candidate(x, scope.parent is not None)}
+def bearers(root: Element) -> list[Element]:
+    """The elements from the root's on that hold most of the page's text each, outermost first."""
+    out, x = [], root
+    while x is not None:
+        x = next((p for p in x.parts if p.__class__ is Element and 2 * p.size > root.size), None)
+        if x is not None:
+            out.append(x)
+    return out
+
+
+def at_places(root: Element, found: list[tuple[Element, Element]]) -> Iterator[Element]:
+    """Containers outside of articles and main elements; on pages that have neither, outside of the last block that bears the text."""
+    plain = all(scope is root for _, scope in found)
+    last = next((x for x in reversed(bearers(root)) if x.tag in BLOCKS and x.tag not in RUNNING), None) if plain else None
+    inside: set[int] = set()
+    for x, scope in found:
+        if x.parent is not None and (x.parent is last or id(x.parent) in inside):
+            inside.add(id(x))
+        elif scope is root and candidate(x, True):
+            yield x
+
 
+def place_key(host: str, x: Element) -> int:
+    return key_of(host, place_hash(x.path, x.shape))
 
-def main_text(page: str, host: str, template) -> str:
-    """The main text; template: the keys of the host's recurring subtrees, or anything with `in`."""
+
+def subtree_keys(page: str, host: str) -> tuple[dict[int, int], dict[int, int], Element]:
+    """The keys of a page's subtrees that may be template, each with the hash of what it lies in; those of places, each with its characters; the page."""
+    root = parse(page)
+    found = places(root)
+    own: dict[int, int] = {}
+    for x in at_places(root, found):
+        k = place_key(host, x)
+        own[k] = own.get(k, 0) + x.size
+    return {key_of(host, x.digest): scope.digest for x, scope in found if candidate(x, scope.parent is not None)}, own, root
+
+
+def main_text(page: str, host: str, template, markup: bool = True) -> str:
+    """The main text; template: the keys of the host's recurring subtrees and places, or anything with `in`.
+
+    Without `markup` nothing is deleted or chosen for what the markup says: the text is the page without its template.
+    """
     root = parse(page)
     gone: set[int] = set()
     roots: dict[str, list[Element]] = {"article": [], "main": []}
     covered: set[int] = set()
     found = places(root)
     holding = holders(found)
+    held_text = {id(x) for x in bearers(root)} | holding
+    placed = {id(x) for x in at_places(root, found) if id(x) not in held_text and place_key(host, x) in template}
     for x, scope in found:
         if x.parent is not None and id(x.parent) in gone:
             gone.add(id(x))
-        elif x.bad or id(x) not in holding and candidate(x, scope.parent is not None) and key_of(host, x.digest) in template:
+        elif id(x) in placed or id(x) not in holding and candidate(x, scope.parent is not None) and key_of(host, x.digest) in template:
+            gone.add(id(x))
+        elif markup and x.bad:
             gone.add(id(x))
         elif x.tag in roots:
             if x.parent is None or id(x.parent) not in covered:
                 roots[x.tag].append(x)
         if x.tag == "article" or (x.parent is not None and id(x.parent) in covered):
             covered.add(id(x))
-    chosen = roots["article"] or roots["main"] or [root]
+    chosen = markup and (roots["article"] or roots["main"]) or [root]
     blocks: list[str] = []
     held: list[str] = []
 
@@ -306,52 +380,60 @@ def _rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 
 def _counts(rows: DataFrame, many: int) -> DataFrame:
-    """(key, context, pages, host page count key) counted per run of pages: a row for each of a key's first `many` contexts, the pages in one of them."""
+    """Keys counted per run of pages, a row for each of a key's first `many` contexts, with the pages, the characters in a place and those of its pages in one of them; host: the key that counts the host's pages."""
+    names = ["subtree", "context", "pages", "chars", "around", "host"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        of: dict[int, int] = {}
-        contexts: dict[int, set[int]] = {}
+        seen: dict[int, list] = {}  # [pages, chars, around, host, contexts]
 
         def counted() -> pa.RecordBatch:
-            keys, around, pages = [], [], []
-            for k, n in seen.items():
-                c = contexts.get(k, (0,))
-                keys += [k] * len(c)
-                around += c
-                pages += [n] + [0] * (len(c) - 1)
-            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(around, pa.int64()), pa.array(pages, pa.int64()), pa.array([of.get(k) for k in keys], pa.int64())], names=["subtree", "context", "pages", "host"])
+            out: list[list] = [[] for _ in names]
+            for k, (pages, chars, around, host, contexts) in seen.items():
+                for i, c in enumerate(contexts):
+                    for column, value in zip(out, (k, c, 0 if i else pages, 0 if i else chars, 0 if i else around, host)):
+                        column.append(value)
             seen.clear()
-            of.clear()
-            contexts.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+
+        def add(k: int, chars: int, around: int, host: int | None, context: int) -> None:
+            e = seen.get(k)
+            if e is None:
+                e = seen[k] = [0, 0, 0, host, {context}]
+            elif len(e[4]) < many:
+                e[4].add(context)
+            e[0] += 1
+            e[1] += chars
+            e[2] += around
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(url)
                 total = page_key(host)
-                seen[total] += 1
-                for k, context in subtree_keys(page or "", host).items():
-                    seen[k] += 1
-                    of[k] = total
-                    c = contexts.setdefault(k, set())
-                    if len(c) < many:
-                        c.add(context >> 1)  # signed
+                subtrees, own, root = subtree_keys(page or "", host)
+                add(total, 0, 0, None, 0)
+                for k, context in subtrees.items():
+                    add(k, 0, 0, total, context >> 1)  # signed
+                for k, chars in own.items():
+                    add(k, chars, root.size, total, root.digest >> 1)
             if len(seen) > KEYS_HELD:
                 yield counted()
         if seen:
             yield counted()
 
-    return rows.select("url", "html").mapInArrow(run, "subtree long, context long, pages long, host long")
+    return rows.select("url", "html").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def template_keys(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", many: int = MANY_PAGES, share: float = SHARE_OF_HOST) -> DataFrame:
-    """(subtree) keys of the subtrees that recur on many pages of their host, in many surroundings."""
+def template_keys(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", many: int = MANY_PAGES, share: float = SHARE_OF_HOST, few: int = FEW_PAGES, little: float = LITTLE_TEXT) -> DataFrame:
+    """(subtree) keys of the subtrees and places that recur on many pages of their host, in many surroundings."""
+    sums = [F.sum(c).alias(c) for c in ("pages", "chars", "around")]
     # one shuffle serves both counts
-    found = _counts(_rows(pages, key, url, html), many).repartition("subtree").groupBy("subtree", "host", "context").agg(F.sum("pages").alias("pages"))
-    counts = found.groupBy("subtree", "host").agg(F.sum("pages").alias("pages"), F.count("*").alias("contexts")).where((F.col("pages") >= many) & (F.col("contexts") >= many) | F.col("host").isNull())
+    found = _counts(_rows(pages, key, url, html), many).repartition("subtree").groupBy("subtree", "host", "context").agg(*sums)
+    text = (F.col("around") == 0) & (F.col("pages") >= many) & (F.col("contexts") >= many)
+    place = (F.col("around") > 0) & (F.col("contexts") >= few) & (F.col("chars") <= little * F.col("around"))
+    counts = cut(found.groupBy("subtree", "host").agg(*sums, F.count("*").alias("contexts")).where(text | place | F.col("host").isNull()).select("subtree", "host", "pages", "around"), "subtrees")
     hosts = counts.where("host is null").select(F.col("subtree").alias("host"), F.col("pages").alias("of_host"))
-    return counts.where("host is not null").join(hosts, "host").where(F.col("pages") >= F.col("of_host") * share).select("subtree")
+    often = (F.col("around") == 0) | (F.col("pages") >= F.least(F.col("of_host") / 2, F.lit(many)))
+    return counts.where("host is not null").join(hosts, "host").where((F.col("pages") >= F.col("of_host") * share) & often).select("subtree")
 
 
 class _Sorted:
@@ -365,7 +447,7 @@ class _Sorted:
         return i < len(self.keys) and self.keys[i] == k
 
 
-def _extracted(rows: DataFrame, template) -> DataFrame:
+def _extracted(rows: DataFrame, template, markup: bool) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
     with_keys = "subtrees" in rows.columns
 
@@ -374,31 +456,31 @@ def _extracted(rows: DataFrame, template) -> DataFrame:
         for batch in batches:
             for part in sliced(batch, "html"):
                 own = part.column(3).to_pylist() if with_keys else [None] * part.num_rows
-                texts = [main_text(p or "", host_of(u), set(k) if k else common) for u, p, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), own)]
+                texts = [main_text(p or "", host_of(u), set(k) if k else common, markup) for u, p, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), own)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"key {kind}, url string, text string, n_chars long")
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", many: int = MANY_PAGES, share: float = SHARE_OF_HOST, broadcast_most: int = BROADCAST_MOST) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", many: int = MANY_PAGES, share: float = SHARE_OF_HOST, broadcast_most: int = BROADCAST_MOST, markup: bool = True) -> DataFrame:
     """(key, url, text, n_chars) of every page."""
     rows = _rows(pages, key, url, html)
     template = template_keys(pages, key, url, html, many, share)
     found = template.limit(broadcast_most + 1).collect()  # bounded: beyond it, the join below
     if len(found) <= broadcast_most:
         keys = np.sort(np.array([r.subtree for r in found], np.int64))
-        return _extracted(rows, pages.sparkSession.sparkContext.broadcast(keys)).withColumnRenamed("key", key)
+        return _extracted(rows, pages.sparkSession.sparkContext.broadcast(keys), markup).withColumnRenamed("key", key)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
             for i, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                own = subtree_keys(page or "", host_of(url))
-                ids += [i] * len(own)
-                keys += own
+                subtrees, own, _ = subtree_keys(page or "", host_of(url))
+                ids += [i] * (len(subtrees) + len(own))
+                keys += [*subtrees, *own]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(keys, pa.int64())], names=["key", "subtree"])
 
     kind = rows.schema["key"].dataType.simpleString()
     own = rows.mapInArrow(subtrees, f"key {kind}, subtree long").join(template, "subtree").groupBy("key").agg(F.collect_set("subtree").alias("subtrees"))
     other = own.withColumnRenamed("key", "of")
-    return _extracted(rows.join(other, rows.key.eqNullSafe(other.of), "left").select("key", "url", "html", "subtrees"), None).withColumnRenamed("key", key)
+    return _extracted(rows.join(other, rows.key.eqNullSafe(other.of), "left").select("key", "url", "html", "subtrees"), None, markup).withColumnRenamed("key", key)
