@@ -1,86 +1,160 @@
 """SentencePiece encoding and decoding through a distinct-chunk table.
 
 No piece of a model that splits at white space holds a marker (U+2581) after another character, so a piece never
-crosses from one marked word into the next. A text is then its marked words in a row: each distinct word is segmented
-once by the library, kept in a table of bounded size, and the ids are joined back in the words' order. Decoding works
-on the same table: a word's decoded text is its pieces' text, and byte pieces of one character stay inside one word.
+crosses from one marked word into the next. A text is then its marked words in a row. A batch's texts are cut into words
+as one Arrow array, which is dictionary-encoded: that is the table of its distinct words. Each of them is segmented once,
+all new ones by one call of the library, and the ids are joined back by position: the table's lists of ids are taken by
+the words' indices. Decoding works on the same table: a word's decoded text is its pieces' text, and byte pieces of one
+character stay inside one word. A worker keeps the segmentations of up to TABLE_ENTRIES words for the batches to come.
 
 Defined results: a null text is empty and has no ids (0 tokens, hashes of the empty string); equal texts give equal
-rows; rows and their order are kept, so repeated rows are repeated; extra columns pass through `encode`, and an output
-column replaces an input column of the same name; an empty table gives an empty table.
+rows; rows and their order are kept, so repeated rows are repeated; a very long text is a batch of its own; extra columns
+pass through `encode`, and an output column replaces an input column of the same name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import bounded_batches, held_by_worker, sliced, trim
+from tallyweir.llm.common import bounded_batches, flat_utf8, held_by_worker, sliced, trim
 
 MARK = "▁"
-#: Distinct words of a generation of the table; a worker keeps two.
-TABLE_ENTRIES = 90_000
-#: Longer words are segmented each time and not kept.
+#: Words whose segmentation a worker keeps.
+TABLE_ENTRIES = 180_000
+#: Longer words are segmented for each batch and not kept.
 LONGEST_KEPT = 64
-#: A marked word: a run of markers with what follows up to the next marker, or markers at the end.
-WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Bytes of text in a batch that has a table of its own.
+BATCH_BYTES = 4 << 20
+SPACE = 32
 
 
 class ChunkTable(dict):
-    """word -> (its ids joined by commas, number of ids, decoded text).
-
-    When a generation is full a new one begins, which takes words that are met again from the one before.
-    """
+    """word, with spaces for its markers -> (its ids, these joined and ended by commas, decoded text)."""
 
     def __init__(self, model: str, entries: int = TABLE_ENTRIES):
         super().__init__()
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.entries, self.before = entries, {}
+        self.entries = entries
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.normal = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.split_ok = self.normal and self._is_identity()
 
     def _is_identity(self) -> bool:
         """Whether the model's normaliser only swaps spaces for markers and puts one marker first."""
-        probe = "a  b\tc\nÅﬁ① é 　x "
+        probe = "a  b\tc\nÅﬁ① é 　x "
         return self.sp.normalize(probe) == MARK + probe.replace(" ", MARK)
 
-    def __missing__(self, word: str) -> tuple[str, int, str]:
-        entry = self.before.get(word) or self.segment(word)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= self.entries:
-                self.before = dict(self)
-                self.clear()
-            self[word] = entry
-        return entry
-
-    def segment(self, word: str) -> tuple[str, int, str]:
-        """A marked word's entry, by the library. It puts a marker first, as the word has one, and spaces stand for the others."""
-        if word[0] != MARK:
-            raise KeyError(word)
-        ids = self.sp.encode(word[1:].replace(MARK, " "), add_bos=False, add_eos=False) if len(word) > 1 else [self.sp.piece_to_id(MARK)]
-        rest = word.lstrip(MARK)
-        text = " " * (len(word) - len(rest)) + self.sp.decode(ids).lstrip(" ") if rest else " " * len(word)
-        return ",".join(map(str, ids)), len(ids), text
+    def segmented(self, words: list[str]) -> dict[str, tuple[list[int], str, str]]:
+        """Entries of words by one call of the library, which puts a marker first itself."""
+        ids = self.sp.encode([w[1:] for w in words], add_bos=False, add_eos=False) if words else []
+        ids = [x if len(w) > 1 else [self.sp.piece_to_id(MARK)] for w, x in zip(words, ids)]
+        back = self.sp.decode(ids) if words else []
+        out = {}
+        for w, x, text in zip(words, ids, back):
+            rest = w.lstrip(" ")
+            out[w] = x, "".join(f"{i}," for i in x), w[: len(w) - len(rest)] + text.lstrip(" ") if rest else w
+        return out
+
+    def looked_up(self, words: list[str]) -> list[tuple[list[int], str, str]]:
+        """Entries of distinct words."""
+        new = self.segmented([w for w in words if w not in self])
+        found = [new.get(w) or self[w] for w in words]
+        kept = {w: e for w, e in new.items() if len(w) <= LONGEST_KEPT}
+        if len(self) + len(kept) > self.entries:
+            self.clear()
+        if len(kept) <= self.entries:
+            self.update(kept)
+        return found
+
+    def encoded(self, texts: pa.Array) -> Encoded:
+        """All texts of a batch."""
+        whole = [i for i, t in enumerate(texts.to_pylist()) if t and (not self.split_ok or MARK in t or "\0" in t)]
+        flat, offsets = flat_utf8(texts)
+        lengths = np.diff(offsets)
+        lengths[whole] = 0
+        # each text with a space before it, and so each word with its own; those for the library as a whole are left out
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        data = np.full(starts[-1], SPACE, np.uint8)
+        taken = np.ones(len(flat), bool)
+        for i in whole:
+            taken[offsets[i] : offsets[i + 1]] = False
+        place = np.ones(len(data), bool)
+        place[starts[:-1]] = False
+        data[place] = flat[taken]
+        blank = data == SPACE
+        first = blank.copy()
+        first[1:] &= ~blank[:-1]
+        first[starts[:-1]] = True
+        first[starts[:-1][lengths == 0]] = False  # an empty text has no words
+        kept = np.repeat(lengths > 0, lengths + 1)
+        at = np.cumsum(kept) - 1
+        words_at = np.flatnonzero(first)
+        bounds = np.append(at[words_at], int(kept.sum()))
+        words = pa.LargeStringArray.from_buffers(len(words_at), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[kept])))
+        table = words.dictionary_encode()
+        entries = self.looked_up(table.dictionary.to_pylist())
+        of_text = np.searchsorted(words_at, starts)
+        return Encoded(self, texts, entries, table.indices, of_text, whole)
 
     def encode_decode(self, text: str) -> tuple[str, int, str]:
         """Ids joined by commas, their number, and the decoded text."""
-        if not text:
-            return "", 0, ""
-        if not self.split_ok or MARK in text or "\0" in text:
-            ids = self.sp.encode(text, add_bos=False, add_eos=False)
-            return ",".join(map(str, ids)), len(ids), self.sp.decode(ids)
-        words = WORDS.findall(MARK + text.replace(" ", MARK))
-        ids, counts, decoded = zip(*[self[w] for w in words])
-        return ",".join(ids), sum(counts), "".join(decoded)[1:]
+        made = self.encoded(pa.array([text]))
+        (joined,), (back,) = made.joined(), made.decoded()
+        return bytes(joined).decode(), int(made.counts()[0]), bytes(back).decode()
+
+
+class Encoded:
+    """A batch's texts as entries of its distinct words, and the index of each word's entry."""
+
+    def __init__(self, table: ChunkTable, texts: pa.Array, entries: list[tuple[list[int], str, str]], indices: pa.Array, of_text: np.ndarray, whole: list[int]):
+        self.n, self.entries, self.indices, self.of_text = len(texts), entries, indices, of_text
+        self.whole = {i: table.sp.encode(texts[i].as_py(), add_bos=False, add_eos=False) for i in whole}
+        self.back = {i: table.sp.decode(ids).encode() for i, ids in self.whole.items()}
+        sizes = np.array([len(e[0]) for e in entries], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(sizes[indices.to_numpy()] if len(entries) else np.zeros(0, np.int64))])
+
+    def counts(self) -> np.ndarray:
+        """The number of ids of each text."""
+        n = np.diff(self.ends[self.of_text])
+        for i, ids in self.whole.items():
+            n[i] = len(ids)
+        return n
+
+    def ids(self) -> np.ndarray:
+        """The ids of all texts in a row."""
+        flat = np.fromiter(chain.from_iterable(e[0] for e in self.entries), np.int32)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(e[0]) for e in self.entries])]).astype(np.int64)), pa.array(flat))
+        values = lists.take(self.indices).flatten().to_numpy(zero_copy_only=False) if len(self.entries) else np.zeros(0, np.int32)
+        if not self.whole:
+            return values
+        at = self.ends[self.of_text]
+        return np.concatenate([np.zeros(0, np.int32), *(np.array(self.whole[i], np.int32) if i in self.whole else values[at[i] : at[i + 1]] for i in range(self.n))])
+
+    def _texts(self, which: int) -> Iterator[memoryview]:
+        """The entries' strings, joined by text."""
+        taken = pa.array([e[which] for e in self.entries], pa.large_string()).take(self.indices)
+        flat, offsets = flat_utf8(taken)
+        at, view = offsets[self.of_text], memoryview(flat)
+        return (view[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+
+    def joined(self) -> Iterator[bytes | memoryview]:
+        """Each text's ids, joined by commas."""
+        for i, t in enumerate(self._texts(1)):
+            yield ",".join(map(str, self.whole[i])).encode() if i in self.whole else t[:-1]
+
+    def decoded(self) -> Iterator[bytes | memoryview]:
+        """The text that each text's ids decode to."""
+        for i, t in enumerate(self._texts(2)):
+            yield self.back[i] if i in self.whole else t[1:]
 
 
 def chunk_table(model: str) -> ChunkTable:
@@ -95,16 +169,12 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model)
         for batch in batches:
-            for part in sliced(batch, text):
-                values, offsets, back = [], [0], []
-                for t in part.column(part.schema.get_field_index(text)).to_pylist():
-                    joined, n, d = table.encode_decode(t or "")
-                    values.append(np.array(joined.split(",") if joined else [], np.int32))
-                    offsets.append(offsets[-1] + n)
-                    if decoded:
-                        back.append(d)
-                numbers = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int32)])))
-                yield pa.RecordBatch.from_arrays([*part.columns, numbers, *([pa.array(back, pa.string())] if decoded else [])], names=[*part.schema.names, ids, *([decoded] if decoded else [])])
+            for part in sliced(batch, text, BATCH_BYTES):
+                made = table.encoded(part.column(part.schema.get_field_index(text)))
+                offsets = np.concatenate([[0], np.cumsum(made.counts())]).astype(np.int32)
+                numbers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made.ids()))
+                back = [pa.array([bytes(t).decode() for t in made.decoded()], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, numbers, *back], names=[*part.schema.names, ids, *([decoded] if decoded else [])])
         trim()
 
     return kept.mapInArrow(run, schema)
@@ -117,15 +187,12 @@ def digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        sha = lambda t: hashlib.sha256(t).hexdigest()
         for batch in batches:
-            for part in sliced(batch):
-                rows = []
-                for t in part.column(1).to_pylist():
-                    joined, n, back = table.encode_decode(t or "")
-                    rows.append((n, sha(joined), sha(back)))
-                n, ids, back = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in sliced(batch, "text", BATCH_BYTES):
+                made = table.encoded(part.column(1))
+                columns = [pa.array(made.counts(), pa.int64()), pa.array(map(sha, made.joined()), pa.string()), pa.array(map(sha, made.decoded()), pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
         trim()
 
     return chosen.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
