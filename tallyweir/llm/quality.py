@@ -7,8 +7,10 @@ solves one system of fixed size. On labelled rows kept back from the fit, raw sc
 function and joined by straight lines, so that scores are calibrated and still tell documents apart.
 
 Defined results: a null or empty text has statistics of zero and gets their score; without labelled rows of both
-classes every score is 0. Equal texts get equal rows, repeated rows are repeated. Only ids, texts and labels are read,
-so other columns cannot clash.
+classes every score is 0. Equal texts get equal rows, whatever rows they come with, and repeated rows are repeated; rows of
+one id are judged by their own texts, and share the id's label, 1 if its labels differ. Raw scores that tie are pooled
+together. A very long text is described whole; an empty table gives an empty table. Only ids, texts and labels are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -89,7 +91,11 @@ class Fourier:
 
     def __call__(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -6, 6)
-        return np.column_stack([np.cos(z @ self.directions + self.phases) * np.sqrt(2 / self.width), np.ones(len(z))])
+        # added up one statistic after another, so that a row's sums do not depend on the rows beside it
+        angles = np.tile(self.phases, (len(z), 1))
+        for i, direction in enumerate(self.directions):
+            angles += z[:, i : i + 1] * direction
+        return np.column_stack([np.cos(angles) * np.sqrt(2 / self.width), np.ones(len(z))])
 
 
 @dataclass
@@ -100,8 +106,7 @@ class Model:
     y: np.ndarray  # their shares of label 1
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        # row by row: the product of a whole batch may round a row by the rows beside it
-        return np.array([float((self.fourier(row[None]) @ self.weights)[0]) for row in stats])
+        return (self.fourier(stats) * self.weights).sum(axis=1)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(stats), self.x, self.y), 0.0, 1.0)
