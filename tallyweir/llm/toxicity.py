@@ -10,33 +10,39 @@ quotation; other matches close by strengthen it. A logistic regression over the
 densities and strongest window gives the score.
 
 Training takes a bounded sample of labelled rows (`sample`): half of it for the lexicon, the other half for the
-regression, so that chance words of the first half get no weight. Every row's whole text is scored; there is no shuffle
-of texts.
+regression, so that chance words of the first half get no weight. The lexicon is bounded too: LEXICON words, those that tell
+most toxic documents apart, of LONGEST_WORD letters at most. Words are counted and chosen in Spark. Every row's whole text is
+scored, tokens of any length are walked, and there is no shuffle of texts.
 
 Defined results: a null or empty text has no tokens and gets the score of a document without matches; without labelled
 rows the lexicon is empty and every score is 0. Equal texts get equal rows, repeated rows are repeated, ties of lexicon
-words go to alphabetical order. Only ids, texts and labels are read, so other columns cannot clash.
+words go to alphabetical order; an id with several labels is toxic if one of them says so. A very long text is scored whole,
+and an empty table gives an empty table. Only ids, texts and labels are read, so other columns cannot clash; `accepted` keeps
+all columns.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import bounded_batches, held_by_worker, id_remainder, sliced, trim
+from tallyweir.llm.common import bounded_batches, cut, held_by_worker, id_remainder, sliced, trim
 
 #: Labelled rows used for training at most, and words of the lexicon at most.
 SAMPLE, LEXICON = 20_000, 512
 WINDOW = 8
-TOKENS_KEPT = 120_000
-LONGEST_TOKEN = 40
+#: Results that a worker keeps, of tokens of so many letters.
+TOKENS_KEPT, LONGEST_KEPT = 120_000, 40
+LONGEST_WORD = 40
 #: Look-alikes of letters, quotation marks, words of reporting.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 OPENING, CLOSING = "\"'“„«‘‹", "\"'”“»’›"
@@ -138,14 +144,14 @@ class TokenTable(dict):
     def __missing__(self, token: str) -> tuple[int, int, float] | None:
         word = stripped(token)
         found = None
-        if 0 < len(word) <= LONGEST_TOKEN:
+        if word:
             m = self.automaton.match(word)
             if m is None and (folded := word.translate(LOOKALIKE)) != word and any(c.isalpha() for c in word):
                 m = self.automaton.match(folded)
                 m = m and (m[0] + 1, m[1])
             if m is not None and not (m[0] and word in self.clean):
                 found = (m[0], m[1], self.weights[m[1]] / (1 + 0.5 * m[0]))
-        if len(token) <= LONGEST_TOKEN:
+        if len(token) <= LONGEST_KEPT:
             if len(self) >= TOKENS_KEPT:
                 self.clear()
             self[token] = found
@@ -198,13 +204,13 @@ class Model:
     coefficients: tuple = (0.0,) * N_FEATURES
     intercept: float = -50.0
 
-    @property
-    def key(self) -> tuple:
-        return (tuple(self.words), tuple(self.weights), self.clean, self.coefficients, self.intercept)
+    def sent(self, spark: SparkSession) -> tuple[str, Broadcast]:
+        """The model as a broadcast, with a name: its words are bounded by the lexicon and the training sample."""
+        return uuid.uuid4().hex, spark.sparkContext.broadcast(self)
 
 
-def _table(key: tuple) -> TokenTable:
-    return held_by_worker("toxicity", key, lambda: TokenTable(Model(list(key[0]), list(key[1]), key[2], key[3], key[4])))
+def _table(name: str, sent: Broadcast) -> TokenTable:
+    return held_by_worker("toxicity", name, lambda: TokenTable(sent.value))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[tuple, float]:
@@ -223,18 +229,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return tuple((b[:-1] / scale).tolist()), float(b[-1] - (b[:-1] * mean / scale).sum())
 
 
-def learn_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int = LEXICON) -> tuple[list[str], list[float], frozenset]:
+def learn_lexicon(counts: DataFrame, n_toxic: int, n_clean: int, most: int = LEXICON) -> tuple[list[str], list[float], frozenset]:
     """Words, weights (log odds of their document frequencies) and the clean words near them; counts: (word, toxic, clean) documents."""
-    scored = []
-    for word, toxic, clean in counts:
-        odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-        if toxic >= max(4, 0.002 * n_toxic) and odds >= 2.5 and len(word) >= 3:
-            scored.append((-toxic * odds, word, odds))
-    chosen = sorted(scored)[:most]
-    words, weights = [w for _, w, _ in chosen], [min(o, 6.0) / 6 for _, _, o in chosen]
-    automaton = Automaton(words)
-    near = frozenset(word for word, toxic, clean in counts if clean and word not in words and len(word) <= LONGEST_TOKEN and automaton.match(word))
-    return words, weights, near
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    scored = counts.withColumn("odds", odds).where((F.col("toxic") >= max(4, 0.002 * n_toxic)) & (F.col("odds") >= 2.5) & (F.length("word") >= 3))
+    chosen = scored.orderBy(F.desc(F.col("toxic") * F.col("odds")), "word").limit(most).collect()
+    words, weights = [r.word for r in chosen], [min(r.odds, 6.0) / 6 for r in chosen]
+    known = set(words)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(words)
+        for batch in batches:
+            yield batch.filter(pa.array([w not in known and automaton.match(w) is not None for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    # words of the sample within two edits of the lexicon
+    clean = counts.where("clean > 0").select("word").mapInArrow(near, "word string").collect() if words else []
+    return words, weights, frozenset(r.word for r in clean)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -248,17 +258,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             toxic, clean, n = Counter(), Counter(), [0, 0]
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n[y > 0] += 1
-                (toxic if y > 0 else clean).update({w for x in t.lower().split() if 0 < len(w := stripped(x)) <= LONGEST_TOKEN})
+                (toxic if y > 0 else clean).update({w for x in t.lower().split() if 0 < len(w := stripped(x)) <= LONGEST_WORD})
             toxic[""], clean[""] = n[1], n[0]
             words = sorted(toxic.keys() | clean.keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
 
     first = chosen.where("half = 0").select("text", "y").mapInArrow(vocabulary, "word string, toxic long, clean long")
-    counts = first.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 2 or word = ''").collect()
-    n_toxic, n_clean = next(((r.toxic, r.clean) for r in counts if r.word == ""), (0, 0))
-    if not n_toxic or not n_clean:
+    counts = first.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 2 or word = ''")
+    counts = cut(counts, "vocabulary")
+    n = counts.where("word = ''").first()
+    if n is None or not n.toxic or not n.clean:
         return Model()
-    model = Model(*learn_lexicon(sorted((r.word, r.toxic, r.clean) for r in counts if r.word), n_toxic, n_clean))
+    model = Model(*learn_lexicon(counts.where("word <> ''"), n.toxic, n.clean))
     seen = features(chosen.where("half <> 0").select("y", "text"), model).select("y", "features").collect()
     if len({r.y > 0 for r in seen}) == 2:
         order = sorted((tuple(r.features), r.y) for r in seen)
@@ -269,10 +280,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def features(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """rows, without their text, with the array of the regression's features."""
     others = [f for f in bounded_batches(rows).schema if f.name not in (text, "features")]
-    key = model.key
+    name, sent = model.sent(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(key)
+        table = _table(name, sent)
         for batch in batches:
             for part in sliced(batch, text):
                 made = [describe(t or "", table) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
@@ -294,11 +305,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose whole text scores below the threshold, with all columns; a null text is clean."""
-    key, i = model.key, bounded_batches(docs).columns.index(text)
+    (name, sent), i = model.sent(docs.sparkSession), bounded_batches(docs).columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(key)
-        weights, intercept = np.array(key[3]), key[4]
+        table = _table(name, sent)
+        weights, intercept = np.array(sent.value.coefficients), sent.value.intercept
         limit = math.log(threshold / (1 - threshold))
         for batch in batches:
             for part in sliced(batch, text):
