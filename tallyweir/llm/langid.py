@@ -151,7 +151,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     names=["key", "lang", "buckets", "counts"],
                 )
 
-    got = chosen.select("key", "lang", "text").mapInArrow(run, "key string, lang string, buckets binary, counts binary").limit(2 * sample).collect()
+    got = chosen.select("key", "lang", "text").mapInArrow(run, "key string, lang string, buckets binary, counts binary").orderBy("key", "lang", "buckets", "counts").limit(2 * sample).collect()  # in order: ids may repeat
     rows = sorted((r.key, r.lang, bytes(r.buckets), bytes(r.counts)) for r in got if r.buckets)
     if not rows:
         return None
