@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyweir.llm import decontaminate, htmltext, ngram_join, pieces, pii, repeats
@@ -303,6 +304,51 @@ def test_a_common_part_of_an_item_is_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(d, 0) for d in range(23)}
 
 
+def test_leaks_by_row_and_id_types(spark):
+    rng = random.Random(21)
+    one, two = passage(rng, 30), passage(rng, 40)
+    texts = [(1, f"{one} {passage(rng, 20)} {two}"), (1, f"{one} {passage(rng, 20)} {two}"), (None, f"{passage(rng, 9)} {one}"), (None, f"{passage(rng, 9)} {two} {two}"), (2, passage(rng, 90)), (3, None)]
+    texts[1] = texts[0]
+    rows = spark.createDataFrame([(k, t, None, None, None) for k, t in texts], SCHEMA).repartition(2)
+    for kind, ids in (("int", [7, 8]), ("long", [7, 8]), ("smallint", [7, 8]), ("string", ["a", "b"]), ("double", [0.5, 1.5])):
+        items = spark.createDataFrame([(ids[0], one), (ids[0], one), (ids[0], passage(rng, 30)), (ids[1], two), (None, None)], f"item_id {kind}, text string")
+        for block_bytes in (1 << 20, 100):
+            df = decontaminate.leaks(rows, items, block_bytes=block_bytes)
+            assert df.schema["item_id"].dataType == items.schema["item_id"].dataType
+            got = sorted(((r.doc_id or 0, r.item_id, r.score) for r in df.collect()), key=str)
+            assert got == sorted([(1, ids[0], 1.0), (1, ids[1], 1.0)] * 2 + [(0, ids[0], 1.0), (0, ids[1], 1.0)], key=str)
+    # of two equal places the first
+    ends = [r.end_word for r in decontaminate.leaks(rows, items).where("doc_id is null and item_id = 1.5").collect()]
+    assert ends == [48]
+
+
+def test_leaks_recall_against_all_pairs(spark):
+    """Every document against every item by whole alignment: what reaches the threshold there is found through seeds."""
+    rng = random.Random(22)
+    items = [(i, passage(rng, rng.randint(12, 60))) for i in range(15)]
+    rows = []
+    for d in range(150):
+        text = passage(rng, rng.randint(20, 120)).split()
+        if d % 2:
+            w = items[rng.randrange(15)][1].split()
+            share = rng.choice([0, 0.1, 0.2, 0.3])
+            w = [x for x in w if rng.random() > share / 2]
+            w = [passage(rng, 1) if rng.random() < share else x for x in w]
+            w = w[: rng.randint(len(w) // 2, len(w))]
+            at = rng.randint(0, len(text))
+            text[at:at] = w
+        rows.append((d, " ".join(text), None, None, None))
+    want = set()
+    for i, t in items:
+        x = decontaminate.words_of(pa.array([t]))[0]
+        ys = [decontaminate.words_of(pa.array([r[1]]))[0] for r in rows]
+        scores, _ = decontaminate.align([x] * len(ys), ys)
+        want |= {(d, i) for d, s in enumerate(scores.tolist()) if s >= decontaminate.THRESHOLD * 2 * len(x) and s >= min(decontaminate.LEAST_SCORE, 2 * len(x))}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(want) > 50
+    assert len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
 def naive_page(html):
     from html import unescape
 
@@ -372,3 +418,44 @@ def test_copied_articles_are_no_template(spark):
         got = {r.page_id: r.text for r in htmltext.extract(pages, broadcast_most=most).collect()}
         assert {got[f"{k} {i}"] for k in bodies for i in range(12)} == set(want.values()) and all(got[f"{k} {i}"] == want[k] for k in bodies for i in range(12))
         assert all(got[f"other {k} {i}"] == f"Own {i}" for k in bodies for i in range(20))
+
+
+def test_the_template_alone_gives_the_text(spark):
+    """Without markup rules, and without taking articles: what recurrence deletes is nearly all that is no main text."""
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
+    whole = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    alone = {r.page_id: r.text for r in htmltext.extract(pages, markup=False).collect()}
+    body = {r.page_id: htmltext.main_text(r.html, "", (), markup=False) for r in pages.collect()}
+    right = sum(alone[i] == t for i, t in whole.items())
+    assert right > 0.85 * len(whole) and not any(body[i] == t for i, t in whole.items())
+    chars = lambda texts: sum(map(len, texts.values()))
+    assert chars(body) - chars(alone) > 0.85 * (chars(body) - chars(whole))
+
+
+def test_places_of_little_text_go_and_bearing_ones_stay(spark):
+    rng = random.Random(23)
+    page = lambda i, n: f"<body><div class='x1'><ul><li>{passage(rng, 2)}<li>{passage(rng, 1)}</ul></div><div class='x2'><section><p>{passage(rng, n)}</p><div class='n'><p>{passage(rng, 8)}</p></div></section></div><div id='b{i}'>{passage(rng, 3)}</div></body>"
+    rows = [(i, f"http://h.example.com/{i}", page(i, rng.choice([40, 80, 160]))) for i in range(6)]
+    rows += [(6, "http://h.example.com/6", rows[0][2]), (7, "http://two.example.com/1", rows[1][2]), (8, "http://two.example.com/2", rows[2][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    for i, _, html in rows:
+        blocks = [" ".join(b.split()) for b in re.findall(r"<p>(.*?)</p>", html)]
+        # a host of two pages has no template
+        assert got[i].split("\n\n") == blocks if i < 7 else set(blocks) < set(got[i].split("\n\n"))
+
+
+def test_long_pages_and_clashing_columns(spark):
+    rng = random.Random(24)
+    long = passage(rng, 150_000)
+    html = f"<body><nav>{passage(rng, 20_000)}</nav><article><p>{long}</p>{'<div>' * 3000}deep{'</div>' * 3000}</article></body>"
+    pages = spark.createDataFrame([(1, "http://a.example.com/", html), (1, "http://a.example.com/", html), (2, None, None), (None, "x", "<p>a")], "page_id int, url string, html string")
+    want = sorted([(1, f"{long}\n\ndeep"), (1, f"{long}\n\ndeep"), (2, ""), (None, "a")], key=str)
+    assert sorted(((r.page_id, r.text) for r in htmltext.extract(pages).collect()), key=str) == want
+    from pyspark.sql import functions as F
+
+    extra = pages.withColumns({c: F.lit("clash") for c in ("key", "text", "n_chars", "subtree", "subtrees", "host", "pages", "context", "of")})
+    got = htmltext.extract(extra)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted(((r.page_id, r.text) for r in got.collect()), key=str) == want
+    assert htmltext.extract(pages, broadcast_most=0).count() == 4
+    assert htmltext.extract(pages.where("false")).collect() == []
