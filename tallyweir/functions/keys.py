@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweir.schema import UDP
 
@@ -11,6 +14,9 @@ from tallyweir.schema import UDP
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 MIX_1, MIX_2 = 0x7FEB352D, 0x846CA68B
 MASK = 0xFFFFFFFF
+#: The multipliers of the 64-bit finaliser, and what the second hash of a Bloom filter is made with.
+MIX64_1, MIX64_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+BLOOM_XOR, BLOOM_STEP = 0x9E3779B9, 0x27D4EB2D
 
 
 def ip_text(n: Column) -> Column:
@@ -96,6 +102,11 @@ def fnv1a32(text: Column) -> Column:
     return F.aggregate(codes, F.lit(FNV_BASIS).cast("long"), lambda h, c: (h.bitwiseXOR(c) * FNV_PRIME).bitwiseAND(MASK))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def product32(a: Column, m: int) -> Column:
     """a * m modulo 2^32 of 32-bit numbers; by halves, as the whole product may exceed a long."""
     low, high = a.bitwiseAND(0xFFFF), F.shiftrightunsigned(a, 16)
@@ -104,10 +115,10 @@ def product32(a: Column, m: int) -> Column:
 
 def mix32(x: Column) -> Column:
     """A 32-bit finaliser: shifts of 16, 15 and 16 bits around two products."""
-    x = x.cast("long")
-    x = product32(x.bitwiseXOR(F.shiftrightunsigned(x, 16)), MIX_1)
-    x = product32(x.bitwiseXOR(F.shiftrightunsigned(x, 15)), MIX_2)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+    folded = lambda n: lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n))
+    x = let(let(x.cast("long"), folded(16)), lambda v: product32(v, MIX_1))
+    x = let(let(x, folded(15)), lambda v: product32(v, MIX_2))
+    return let(x, folded(16))
 
 
 def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
@@ -128,6 +139,45 @@ def register(spark: SparkSession) -> None:
     )
 
 
-def signature(*columns: str) -> Column:
-    """A 64-bit signature of a key, for sets of keys that are asked often."""
-    return F.xxhash64(*(columns or ("ip1", "port1", "ip2", "port2", "proto")))
+def fnv_fields() -> Column:
+    """32-bit FNV over the key's numbers, each taken as a whole: addresses with their bytes swapped, then ports, then the protocol."""
+    h = F.lit(FNV_BASIS).cast("long")
+    for field in (swapped_bytes(F.col("ip1")), swapped_bytes(F.col("ip2")), F.col("port1"), F.col("port2"), F.col("proto")):
+        h = (h.bitwiseXOR(field.cast("long")) * FNV_PRIME).bitwiseAND(MASK)
+    return h
+
+
+def bloom_positions(bits: int, k: int) -> Column:
+    """The k positions of a key in a Bloom filter of 2^n bits: two hashes, the second one times 0, 1, 2 ..."""
+    if bits & (bits - 1):
+        raise ValueError("bits must be a power of two")
+    step = lambda two: F.when(two == 0, F.lit(BLOOM_STEP).cast("long")).otherwise(two)
+    hashes = let(fnv_fields(), lambda one: F.array(one, let(mix32(one.bitwiseXOR(BLOOM_XOR)), step)))
+    return let(hashes, lambda h: F.array(*[(h[0] + h[1] * i).bitwiseAND(bits - 1) for i in range(k)]))
+
+
+def has_bit(word: Column, bit: Column) -> Column:
+    """Whether a bit of a number is set."""
+    return F.getbit(word, bit) == 1
+
+
+def bit_set(bits: Column) -> Column:
+    """An aggregate: a 64-bit number with the given bits set."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")))
+
+
+@F.pandas_udf(T.LongType())
+def mix64(x: pd.Series) -> pd.Series:
+    """A 64-bit finaliser: shifts of 33 bits around two products modulo 2^64, which SQL has no whole numbers for."""
+    h = x.to_numpy(np.int64).view(np.uint64).copy()
+    for m in (MIX64_1, MIX64_2):
+        h = (h ^ h >> np.uint64(33)) * np.uint64(m)
+    return pd.Series((h ^ h >> np.uint64(33)).view(np.int64))
+
+
+def signature() -> Column:
+    """The 64-bit signature of a key, for sets of keys that are asked often: addresses with their bytes swapped; 0 is given as 1."""
+    wide = lambda c, n: F.shiftleft(F.col(c).cast("long"), n)
+    x = F.shiftleft(swapped_bytes(F.col("ip1")).cast("long"), 32).bitwiseXOR(swapped_bytes(F.col("ip2")))
+    mixed = mix64(x.bitwiseXOR(wide("port1", 48)).bitwiseXOR(wide("port2", 32)).bitwiseXOR(F.col("proto").cast("long")))
+    return F.when(mixed == 0, F.lit(1).cast("long")).otherwise(mixed)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweir.functions.keys import canon_numeric, flow_id, ip_text, proto_name
+from tallyweir.functions.keys import canon_numeric, flow_id, ip_text, proto_name, with_bucket
 from tallyweir.operators.sessions import udp_sessions_wheel
-from tallyweir.schema import KEY
+from tallyweir.schema import FIN, KEY, SYN, TCP
 
 
 def flow_records(packets: DataFrame, cap: int, idle: int) -> DataFrame:
@@ -31,6 +34,60 @@ def flow_records(packets: DataFrame, cap: int, idle: int) -> DataFrame:
     )
 
 
+RECORD = "ip1 long, port1 int, ip2 long, port2 int, proto int, session_no long, cli_ip long, cli_port int, srv_ip long, srv_port int, count long, total long, ts array<double>, len array<int>"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+_RECORD = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in RECORD.split(", ")])
+
+
+def tcp_flow_records(packets: DataFrame, cap: int) -> DataFrame:
+    """One row per finished TCP session, as flow_records has for UDP: a SYN of any kind begins it where the flow has none open, its first `cap`
+    packets are kept, and the first FIN ends it by which both sides have sent one while `cap` packets are held. What is
+    open at the end of the trace is no row. Packets are dealt by flow, sorted by Spark, and read as a stream.
+    """
+    columns = [*KEY, "pkt_no", "ts_us", "src_ip_n", "src_port", "dst_ip_n", "dst_port", "ip_len", "tcp_flags"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flow = state = None
+        sessions, out = 0, []
+        for batch in batches:
+            for *key, _, ts, src, sport, dst, dport, size, flags in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != flow:
+                    flow, state, sessions = key, None, 0
+                flags = flags or 0
+                if state is None:
+                    if not flags & SYN:
+                        continue
+                    sessions += 1
+                    state = [(src, sport, dst, dport), [], [], 0, set()]
+                ends, times, sizes, _, fins = state
+                mine = (src, sport) == ends[:2]
+                state[3] += 1
+                if len(times) < cap:
+                    times.append(ts / 1e6)
+                    sizes.append(size if mine else -size)
+                if flags & FIN:
+                    fins.add(mine)
+                    if len(fins) == 2 and len(times) == cap:
+                        out.append((*key, sessions, *ends, cap, state[3], [t - times[0] for t in times], sizes))
+                        state = None
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RECORD)], schema=_RECORD)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RECORD)], schema=_RECORD)
+
+    dealt = canon_numeric(packets.where(F.col("proto") == TCP)).select(*columns).repartition(*KEY).sortWithinPartitions(*KEY, "pkt_no")
+    return dealt.mapInArrow(run, RECORD)
+
+
+def dump_text(records: DataFrame) -> DataFrame:
+    """(key, session_no, text): a heading for each flow, and a line for each of its packets with offset and signed length."""
+    ends = F.format_string("%s:%d \u21c6 %s:%d", ip_text(F.col("cli_ip")), "cli_port", ip_text(F.col("srv_ip")), "srv_port")
+    heading = F.format_string("=== Flow %s (%s) packets:%d ===", ends, proto_name(F.col("proto")), "count")
+    lines = F.zip_with("ts", "len", lambda t, n: F.format_string("%.6f  len=%d", t, n))
+    return records.select(*KEY, "session_no", F.concat_ws("\n", heading, F.array_join(lines, "\n")).alias("text"))
+
+
 def fixed6(x: Column) -> Column:
     """A double with six decimals."""
     return F.format_string("%.6f", x)
@@ -50,9 +107,9 @@ def json_records(records: DataFrame) -> DataFrame:
     return records.select(*KEY, *(["session_no"] if "session_no" in records.columns else []), F.to_json(body).alias("json"))
 
 
-def messages(records: DataFrame, batch: int = 16) -> DataFrame:
-    """JSON arrays of at most `batch` flows; batches are cut within hash groups, so no task numbers all flows."""
-    j = json_records(records).withColumn("part", F.pmod(F.xxhash64(*KEY), F.lit(64)))
+def messages(records: DataFrame, batch: int = 16, parts: int = 64) -> DataFrame:
+    """JSON arrays of at most `batch` flows; batches are cut within `parts` groups by the flows' hash, so no task numbers all flows."""
+    j = with_bucket(json_records(records), parts).withColumnRenamed("bucket", "part")
     n = F.row_number().over(Window.partitionBy("part").orderBy(*KEY, "json")) - 1
     g = j.withColumn("batch_no", F.floor(n / batch)).groupBy("part", "batch_no").agg(F.sort_array(F.collect_list("json")).alias("flows"))
     return g.select("part", "batch_no", F.size("flows").cast("long").alias("flows_in"), F.concat(F.lit("["), F.array_join("flows", ","), F.lit("]")).alias("message"))
@@ -64,9 +121,9 @@ def packet_counts(packets: DataFrame) -> DataFrame:
 
 
 def totals(packets: DataFrame) -> DataFrame:
-    """Packets, bytes and flows of a whole trace."""
+    """Packets, bytes and flows of a whole trace. Frames that were read but did not decode (no protocol) are packets, of no flow and 0 bytes."""
     per_flow = packet_counts(canon_numeric(packets))
-    return per_flow.agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.count("*").alias("flows"), F.sum(F.when(F.col("proto") == 6, F.col("packets")).otherwise(0)).alias("tcp_packets"), F.sum(F.when(F.col("proto") == 17, F.col("packets")).otherwise(0)).alias("udp_packets"))
+    return per_flow.agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.count(F.when(F.col("proto").isNotNull(), 1)).alias("flows"), F.sum(F.when(F.col("proto") == 6, F.col("packets")).otherwise(0)).alias("tcp_packets"), F.sum(F.when(F.col("proto") == 17, F.col("packets")).otherwise(0)).alias("udp_packets"))
 
 
 def file_counters(packets: DataFrame) -> DataFrame:

@@ -63,6 +63,29 @@ def random_network(seed: int = 0, sizes: tuple[int, int, int, int] = (128, 64, 6
     return Network(Lstm(w(2, 4 * a), w(a, 4 * a), np.zeros(4 * a)), Lstm(w(a, 4 * b), w(b, 4 * b), np.zeros(4 * b)), (w(b, c), np.zeros(c)), (w(c, d), np.zeros(d)))
 
 
+WEIGHTS = ("first_kernel", "first_recurrent", "first_bias", "second_kernel", "second_recurrent", "second_bias", "dense_kernel", "dense_bias", "last_kernel", "last_bias")
+
+
+def save_network(network: Network, path: str) -> None:
+    """The weights as a file of named arrays (.npz)."""
+    a, b = network.first, network.second
+    np.savez(path, **dict(zip(WEIGHTS, (a.kernel, a.recurrent, a.bias, b.kernel, b.recurrent, b.bias, *network.dense, *network.last))))
+
+
+def load_network(path: str) -> Network:
+    """The network of a file of named arrays, as the layers' weights are listed by common libraries; shapes must fit each other."""
+    with np.load(path) as f:
+        if missing := set(WEIGHTS) - set(f.files):
+            raise ValueError(f"weights are missing: {sorted(missing)}")
+        w = [f[name].astype(float) for name in WEIGHTS]
+    for kernel, recurrent, bias in (w[0:3], w[3:6]):
+        if kernel.shape[1] != 4 * len(recurrent) or recurrent.shape[1] != kernel.shape[1] or bias.shape != kernel.shape[1:]:
+            raise ValueError("an LSTM layer's weights do not fit each other")
+    if len(w[1]) != len(w[3]) or len(w[4]) != len(w[6]) or w[6].shape[1] != len(w[8]):
+        raise ValueError("the layers do not fit each other")
+    return Network(Lstm(*w[0:3]), Lstm(*w[3:6]), (w[6], w[7]), (w[8], w[9]))
+
+
 def classify(records: DataFrame, network: Network, cap: int = CAP, batch: int = 256) -> DataFrame:
     """(key, session_no, class) of the flows with exactly `cap` packets; others give no row."""
     rows = records.where(f"count = {cap}").select(*KEY, "session_no", "ts", "len")

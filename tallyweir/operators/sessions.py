@@ -60,6 +60,18 @@ def udp_sessions_scan(packets: DataFrame, idle: int) -> DataFrame:
     return numbered(seen, F.coalesce(gap >= idle, F.lit(True))).drop("sec", "prev_sec")
 
 
+def udp_sessions_strict(packets: DataFrame, idle: int, slots: int = 256) -> DataFrame:
+    """Sessions of an expiry wheel of so many slots of a second, late packets included.
+
+    A packet's deadline is its own second plus `idle`, in the slot of that second modulo `slots`. A late packet's deadline
+    may lie behind the clock: then the flow ends only when the wheel comes to that slot again.
+    """
+    seen = wheel_clock(packets)
+    wait = F.pmod(second(F.col("ts_us")) + idle - F.col("clock") - 1, F.lit(slots)) + 1
+    ends = F.lag(F.col("clock") + wait).over(by_flow())
+    return numbered(seen.where(F.col("proto") == UDP), F.coalesce(F.col("clock") >= ends, F.lit(True)))
+
+
 def is_syn(pure: bool = False) -> Column:
     return F.coalesce(F.col("tcp_flags") == 2, F.lit(False)) if pure else F.coalesce(F.col("tcp_flags").bitwiseAND(2) != 0, F.lit(False))
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tallyweir.functions import keys
 from tallyweir.operators import evaluate, features, flows, groundtruth, learning, sequence, sessions, sinks, traces
 from tallyweir.policies import catalog
-from tallyweir.policies.engine import Settings, collisions_of, counts_of, flows_of
+from tallyweir.policies.engine import Settings, collisions_of, counts_of, flows_of, noted
 from tallyweir.schema import KEY
 from tallyweir.sources import adapters, training
+from tallyweir.streaming import jobs
 
 #: The event tables' time scale is days: quiet times that end sessions, and small tables for policies.
 IDLE, SHORT_IDLE, BUCKETS, CAP = 172_800, 43_200, 16, 40
@@ -155,6 +156,43 @@ def mix32_of_hashes(spark, sf_dir):
     return groundtruth.flow_buckets(canon(spark, sf_dir), BUCKETS).select("hash", keys.mix32(F.col("hash")).alias("mixed"))
 
 
+_FIELDS = "2166136261::BIGINT"
+for _c in (swap("ip1"), swap("ip2"), "port1", "port2", "proto"):
+    _FIELDS = f"((xor({_FIELDS}, ({_c})::BIGINT) * 16777619) & 4294967295)"
+
+
+@query(
+    f"""WITH {EVENTS}, k AS (SELECT DISTINCT {K} FROM canon WHERE proto = 17), o AS (SELECT *, {_FIELDS} AS one FROM k), a AS (SELECT *, xor(one, {keys.BLOOM_XOR}) AS x FROM o), b AS (SELECT *, {_mul(_mix_1, keys.MIX_1)} AS y FROM a),
+c AS (SELECT *, {_mul('xor(y, y >> 15)', keys.MIX_2)} AS z FROM b), d AS (SELECT *, CASE WHEN xor(z, z >> 16) = 0 THEN {keys.BLOOM_STEP} ELSE xor(z, z >> 16) END AS two FROM c)
+SELECT {K}, one AS field_hash, i::INTEGER AS i, (one + i * two) & 16383 AS position FROM d, (SELECT unnest(range(4)) AS i)"""
+)
+def bloom_positions(spark, sf_dir):
+    k = canon(spark, sf_dir).where("proto = 17").select(*KEY).distinct()
+    return k.select(*KEY, keys.fnv_fields().alias("field_hash"), F.posexplode(keys.bloom_positions(16384, 4)).alias("i", "position"))
+
+
+@query(
+    f"""WITH p AS ({SQL['bloom_positions']}) SELECT position >> 6 AS word, bit_or(1::BIGINT << (position & 62)::INTEGER) AS bits, count(*) AS positions, max((position & 1)::INTEGER) AS odd FROM p GROUP BY 1"""
+)
+def bloom_words(spark, sf_dir):
+    # of each 64-bit word only the even bits, as a number of SQL has no sign bit to set
+    p = bloom_positions(spark, sf_dir)
+    words = p.groupBy(F.shiftright("position", 6).alias("word")).agg(keys.bit_set(F.col("position").bitwiseAND(62)).alias("bits"), F.count("*").alias("positions"), F.max(keys.has_bit(F.col("position"), F.lit(0)).cast("int")).alias("odd"))
+    return words
+
+
+_product = lambda x, m: f"((({x} >> 32)::HUGEINT * {m} % 4294967296 * 4294967296 + ({x} & 4294967295)::HUGEINT * {m}) % 18446744073709551616)::UBIGINT"
+
+
+@query(
+    f"""WITH {EVENTS}, k AS (SELECT DISTINCT {K} FROM canon), a AS (SELECT *, xor(xor(xor((({swap('ip1')})::UBIGINT << 32), ({swap('ip2')})::UBIGINT), xor(port1::UBIGINT << 48, port2::UBIGINT << 32)), proto::UBIGINT) AS x FROM k),
+b AS (SELECT *, {_product('xor(x, x >> 33)', keys.MIX64_1)} AS y FROM a), c AS (SELECT *, {_product('xor(y, y >> 33)', keys.MIX64_2)} AS z FROM b), d AS (SELECT *, xor(z, z >> 33) AS w FROM c)
+SELECT {K}, CASE WHEN w = 0 THEN 1 WHEN w >= 9223372036854775808 THEN (w::HUGEINT - 18446744073709551616)::BIGINT ELSE w::BIGINT END AS signature FROM d"""
+)
+def key_signatures(spark, sf_dir):
+    return canon(spark, sf_dir).select(*KEY).distinct().withColumn("signature", keys.signature())
+
+
 @query(f"WITH {HASHED} SELECT proto, bucket, count(*) AS flows, sum(packets)::BIGINT AS packets FROM buckets GROUP BY proto, bucket")
 def bucket_occupancy(spark, sf_dir):
     return groundtruth.occupancy(canon(spark, sf_dir), BUCKETS)
@@ -211,6 +249,23 @@ def wheel_clock(spark, sf_dir):
     return sessions.wheel_clock(late).select("pkt_no", F.col("own_us").alias("ts_us"), "clock")
 
 
+#: Every eleventh packet comes late, some by more than the wheel is round.
+_LATE = "CASE WHEN pkt_no % 11 = 0 THEN 100000000000 + pkt_no % 7 * 10000000000 ELSE 0 END"
+_WHEEL = 1 << 16
+
+
+@query(
+    f"""WITH {EVENTS}, late AS (SELECT * REPLACE (ts_us - {_LATE} AS ts_us) FROM canon), c AS (SELECT *, ts_us // 1000000 AS sec, max(ts_us // 1000000) OVER (ORDER BY pkt_no) AS clock FROM late),
+e AS (SELECT *, lag(clock + ((sec + {SHORT_IDLE} - clock - 1) % {_WHEEL} + {_WHEEL}) % {_WHEEL} + 1) OVER (PARTITION BY {K} ORDER BY pkt_no) AS ends FROM c WHERE proto = 17),
+s AS (SELECT *, sum(CASE WHEN ends IS NULL OR clock >= ends THEN 1 ELSE 0 END) OVER (PARTITION BY {K} ORDER BY pkt_no) AS session_no FROM e)
+SELECT {K}, session_no::BIGINT AS session_no, count(*) AS packets, min(pkt_no) AS first_pkt FROM s GROUP BY {K}, session_no"""
+)
+def udp_sessions_strict(spark, sf_dir):
+    late = F.when(F.col("pkt_no") % 11 == 0, F.lit(100_000_000_000) + F.col("pkt_no") % 7 * 10_000_000_000).otherwise(0)
+    s = sessions.udp_sessions_strict(canon(spark, sf_dir).withColumn("ts_us", F.col("ts_us") - late), SHORT_IDLE, _WHEEL)
+    return s.groupBy(*KEY, "session_no").agg(F.count("*").alias("packets"), F.min("pkt_no").alias("first_pkt"))
+
+
 @query(f"WITH {EVENTS}, t AS (SELECT *, pkt_no % 4 AS file FROM canon), f AS (SELECT {K}, count(*) AS n, count(DISTINCT file) AS files FROM t GROUP BY {K}) SELECT (SELECT count(DISTINCT file) FROM t) AS files, sum(n)::BIGINT AS packets, sum(n)::BIGINT AS parsed_packets, count(*) AS unique_flows, sum((files > 1)::INTEGER)::BIGINT AS flows_in_several_files FROM f")
 def file_counters(spark, sf_dir):
     return flows.file_counters(events(spark, sf_dir).withColumn("file", (F.col("pkt_no") % 4).cast("string")))
@@ -281,6 +336,63 @@ def flow_messages(spark, sf_dir):
     return flows.messages(_records(spark, sf_dir))
 
 
+_US = "array_to_string(list_transform(ts, lambda x: CAST(round(x * 1e6) AS BIGINT)), ' ') AS offsets_us, array_to_string(len, ' ') AS lengths"
+
+
+def _us():
+    return F.array_join(F.transform("ts", lambda x: F.round(x * 1e6).cast("long").cast("string")), " ").alias("offsets_us"), F.array_join(F.transform("len", lambda x: x.cast("string")), " ").alias("lengths")
+
+
+#: Messages as a worker reads them: written as JSON, in batches, and parsed again.
+@query(f"WITH {RECORDS_SQL} SELECT {ip('cli_ip')} AS cli_ip, {ip('srv_ip')} AS srv_ip, cli_port, srv_port, 'UDP' AS proto, count::INTEGER AS count, {_US} FROM records")
+def flow_messages_read(spark, sf_dir):
+    read = jobs.parse_messages(flows.messages(_records(spark, sf_dir)).select(F.col("message").alias("value")))
+    return read.select("cli_ip", "srv_ip", "cli_port", "srv_port", "proto", "count", *_us())
+
+
+#: The sizes of message batches, by the flows' hash.
+@query(
+    f"""WITH {RECORDS_SQL}, h AS (SELECT {fnv()} & 63 AS part FROM records), c AS (SELECT part, count(*) AS n FROM h GROUP BY part)
+SELECT part, batch_no, least(16, n - 16 * batch_no) AS flows_in FROM (SELECT part, n, unnest(range((n + 15) // 16)) AS batch_no FROM c)"""
+)
+def message_batches(spark, sf_dir):
+    return flows.messages(_records(spark, sf_dir)).select("part", "batch_no", "flows_in")
+
+
+@query(
+    f"""WITH {RECORDS_SQL} SELECT {K}, session_no::BIGINT AS session_no, '=== Flow ' || {ip('cli_ip')} || ':' || cli_port::VARCHAR || ' \u21c6 ' || {ip('srv_ip')} || ':' || srv_port::VARCHAR || ' (UDP) packets:' || count::VARCHAR || ' ===' || chr(10)
+  || array_to_string(list_transform(list_zip(ts, len), lambda x: printf('%.6f', x[1]) || '  len=' || x[2]::VARCHAR), chr(10)) AS text FROM records"""
+)
+def flow_dump(spark, sf_dir):
+    return flows.dump_text(_records(spark, sf_dir))
+
+
+#: TCP packets of a trace in which servers say FIN, too.
+_BOTH_FINS = "both_ends AS (SELECT * REPLACE (CASE WHEN tcp_flags = 16 AND src_ip_n > 3232235519 AND ip_len % 5 = 0 THEN 17 ELSE tcp_flags END AS tcp_flags) FROM canon WHERE proto = 6)"
+
+
+@query(
+    f"""WITH RECURSIVE {EVENTS}, {_BOTH_FINS}, q AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY pkt_no) AS rn, ts_us, src_ip_n AS a, src_port AS p, dst_ip_n AS b, dst_port AS d, ip_len, tcp_flags & 2 <> 0 AS syn, tcp_flags & 1 <> 0 AS fin FROM both_ends),
+s AS (
+  SELECT DISTINCT {K}, 0::BIGINT AS rn, 0::BIGINT AS session_no, false AS is_open, 0::BIGINT AS cli_ip, 0 AS cli_port, 0::BIGINT AS srv_ip, 0 AS srv_port, 0::BIGINT AS total, []::BIGINT[] AS ts, []::INTEGER[] AS lens, false AS fc, false AS fs, false AS done FROM q
+  UNION ALL
+  SELECT ip1, port1, ip2, port2, proto, rn, session_no, here AND NOT ends, cli_ip, cli_port, srv_ip, srv_port, total, ts, lens, fc, fs, ends
+  FROM (SELECT *, coalesce(here AND fin AND fc AND fs AND len(ts) = 12, false) AS ends
+    FROM (SELECT ip1, port1, ip2, port2, proto, rn, session_no, here, cli_ip, cli_port, srv_ip, srv_port, CASE WHEN here THEN total + 1 ELSE total END AS total, fin, CASE WHEN here AND len(ts) < 12 THEN list_append(ts, ts_us) ELSE ts END AS ts,
+        CASE WHEN here AND len(lens) < 12 THEN list_append(lens, CASE WHEN mine THEN ip_len ELSE -ip_len END) ELSE lens END AS lens, fc OR (here AND fin AND mine) AS fc, fs OR (here AND fin AND NOT mine) AS fs
+      FROM (SELECT *, a = cli_ip AND p = cli_port AS mine
+        FROM (SELECT s.ip1, s.port1, s.ip2, s.port2, s.proto, q.rn, s.is_open OR q.syn AS here, CASE WHEN NOT s.is_open AND q.syn THEN s.session_no + 1 ELSE s.session_no END AS session_no, q.ts_us, q.a, q.p, q.ip_len, q.fin,
+            CASE WHEN s.is_open THEN s.cli_ip ELSE q.a END AS cli_ip, CASE WHEN s.is_open THEN s.cli_port ELSE q.p END AS cli_port, CASE WHEN s.is_open THEN s.srv_ip ELSE q.b END AS srv_ip, CASE WHEN s.is_open THEN s.srv_port ELSE q.d END AS srv_port,
+            CASE WHEN s.is_open THEN s.total ELSE 0 END AS total, CASE WHEN s.is_open THEN s.ts ELSE [] END AS ts, CASE WHEN s.is_open THEN s.lens ELSE [] END AS lens, s.is_open AND s.fc AS fc, s.is_open AND s.fs AS fs
+          FROM s JOIN q ON {' AND '.join(f'q.{k} = s.{k}' for k in KEY)} AND q.rn = s.rn + 1)))))
+SELECT {K}, session_no, cli_ip, cli_port, srv_ip, srv_port, 12::BIGINT AS count, total, array_to_string(list_transform(ts, lambda x: x - ts[1]), ' ') AS offsets_us, array_to_string(lens, ' ') AS lengths FROM s WHERE done"""
+)
+def tcp_flow_records(spark, sf_dir):
+    says = (F.col("tcp_flags") == 16) & (F.col("src_ip_n") > 3232235519) & (F.col("ip_len") % 5 == 0)
+    r = flows.tcp_flow_records(events(spark, sf_dir).withColumn("tcp_flags", F.when(says, 17).otherwise(F.col("tcp_flags"))), 12)
+    return r.select(*KEY, "session_no", "cli_ip", "cli_port", "srv_ip", "srv_port", "count", "total", *_us())
+
+
 @query(f"WITH {EVENTS} SELECT pkt_no, {K}, ts_us - lag(ts_us) OVER w AS gap_us, ts_us - first_value(ts_us) OVER w AS offset_us, row_number() OVER w AS n FROM canon WINDOW w AS (PARTITION BY {K} ORDER BY pkt_no)")
 def inter_arrival(spark, sf_dir):
     return flows.inter_arrival(canon(spark, sf_dir))
@@ -419,11 +531,44 @@ def merge_sessions(spark, sf_dir):
     return traces.merged(adapters.trace_files(spark, sf_dir), 3)
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT (o_custkey % 8)::INTEGER AS file_no, o_orderkey AS pkt_no, epoch_us(o_orderdate::TIMESTAMP) AS ts_us FROM orders),
+d AS (SELECT file_no, min(ts_us) AS first_us, (max(ts_us) - min(ts_us))::BIGINT AS dur, row_number() OVER (ORDER BY file_no) AS n FROM p GROUP BY file_no),
+s AS (SELECT 0::BIGINT AS n, [0, 0, 0]::BIGINT[] AS ends, NULL::INTEGER AS file_no, 0 AS session_no, 0::BIGINT AS base_us
+  UNION ALL SELECT d.n, list_transform(s.ends, lambda e, i: CASE WHEN i = list_position(s.ends, list_min(s.ends)) THEN e + d.dur ELSE e END), d.file_no, list_position(s.ends, list_min(s.ends)) - 1, list_min(s.ends) FROM s JOIN d ON d.n = s.n + 1)
+SELECT s.session_no::INTEGER AS session_no, p.file_no, p.pkt_no, s.base_us + p.ts_us - d.first_us AS out_us FROM p JOIN d USING (file_no) JOIN s ON s.file_no = p.file_no"""
+)
 def merge_sessions_dynamic(spark, sf_dir):
     return traces.merged_dynamic(adapters.trace_files(spark, sf_dir), 3)
 
 
+#: Files in a drawn order, sessions that begin at drawn times; all packets in one order over sessions.
+@query()
+def merge_sessions_random(spark, sf_dir):
+    return traces.in_time_order(traces.merged_dynamic(adapters.trace_files(spark, sf_dir), 3, seed=7))
+
+
+@query(
+    f"""WITH {EVENTS}, f AS (SELECT *, 'f' || (pkt_no % 3)::VARCHAR AS file FROM packets), m AS (SELECT *, 2550136833 + pkt_no % 3 AS target FROM f)
+SELECT file, pkt_no, {ip('CASE WHEN src_ip_n // 65536 = 2560 THEN target - target % 256 + src_ip_n % 256 ELSE src_ip_n END')} AS src_ip, {ip('CASE WHEN dst_ip_n // 65536 = 2560 THEN target - target % 256 + dst_ip_n % 256 ELSE dst_ip_n END')} AS dst_ip, target FROM m"""
+)
+def ip_rewrite_files(spark, sf_dir):
+    p = events(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), (F.col("pkt_no") % 3).cast("string")))
+    moved = traces.rewrite_files(p, 167772160, 16, 0x98000001, 24)
+    return moved.select("file", "pkt_no", keys.ip_text(F.col("src_ip_n")).alias("src_ip"), keys.ip_text(F.col("dst_ip_n")).alias("dst_ip"), "target")
+
+
+@query(
+    f"""WITH {EVENTS}, f AS (SELECT 'f' || (pkt_no % 3)::VARCHAR AS file, pkt_no, {K}, ip_len FROM canon), t AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY file, pkt_no) AS n FROM f)
+SELECT {K}, file, pkt_no, ip_len FROM t WHERE n = 3"""
+)
+def files_as_one_trace(spark, sf_dir):
+    # the third packet of each flow over the files of a trace
+    p = canon(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), (F.col("pkt_no") % 3).cast("string")))
+    t = traces.one_trace(p).withColumn("n", F.row_number().over(sessions.by_flow()))
+    return t.where("n = 3").select(*KEY, "file", (F.col("pkt_no").bitwiseAND((1 << 40) - 1)).alias("pkt_no"), "ip_len")
+
+
 @query(f"WITH {EVENTS} SELECT pkt_no, {ip('CASE WHEN src_ip_n // 65536 = 2560 THEN 2886795264 + src_ip_n % 65536 ELSE src_ip_n END')} AS src_ip, {ip('CASE WHEN dst_ip_n // 65536 = 2560 THEN 2886795264 + dst_ip_n % 65536 ELSE dst_ip_n END')} AS dst_ip FROM packets")
 def ip_rewrite(spark, sf_dir):
     moved = traces.rewrite_prefix(events(spark, sf_dir), 167772160, 16, 2886795264)
@@ -670,6 +815,20 @@ def duel_outcomes(spark, sf_dir):
     return groundtruth.duel_outcomes(groundtruth.collision_table(log, groundtruth.timing(canon(spark, sf_dir))))
 
 
+@query(
+    f"""WITH c AS ({_duel_sql('duel_logged', give='log')}), both_sides AS (SELECT winner_ip1 AS ip1, winner_port1 AS port1, winner_ip2 AS ip2, winner_port2 AS port2, proto FROM c UNION ALL SELECT loser_ip1, loser_port1, loser_ip2, loser_port2, proto FROM c)
+SELECT 'duel_logged' AS policy, name, count(*) AS total, count(DISTINCT ({K})) AS unique_flows FROM both_sides, (SELECT unnest(['classified', 'competed']) AS name) GROUP BY name"""
+)
+def classified_flows(spark, sf_dir):
+    return noted(catalog.run(events(spark, sf_dir), "duel_logged", SMALL))
+
+
+#: What is shown of a log: its first 50 rows.
+@query(f"SELECT * FROM ({SQL['collision_log']}) ORDER BY pkt_no, proto, bucket LIMIT 50")
+def collision_display(spark, sf_dir):
+    return collision_log(spark, sf_dir).orderBy("pkt_no", "proto", "bucket").limit(50)
+
+
 _RUNS = " UNION ALL ".join(f"SELECT count(*) FILTER (end_reason = 'cap') AS full_flows FROM ({_slots_sql('random_replicate', **_SLOT_POLICIES['random_replicate'], seed=SMALL.seed + r)})" for r in range(5))
 
 

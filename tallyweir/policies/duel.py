@@ -99,8 +99,12 @@ class Duel(Policy):
             self.swap(ring, slot, p.second)
             return
         c["duels"] += 1
+        for x in (main, aux):
+            self.out.note(slot, "competed", x.key)
         keep_main = None
         if self.decide == "model":
+            for x in (main, aux):
+                self.out.note(slot, "classified", x.key)
             good, other = (self.keeps(x) for x in (main, aux))
             keep_main = good if good != other else None
         if keep_main is None:

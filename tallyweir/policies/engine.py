@@ -177,6 +177,10 @@ class Output:
     def collision(self, bucket: int, p: Packet, winner: tuple, loser: tuple, incumbent_won: bool) -> None:
         self.rows.append({"kind": "collision", "bucket": bucket, "proto": winner[4], "pkt_no": p.pkt_no, "ts_us": p.ts_us, "ip1": winner[0], "port1": winner[1], "ip2": winner[2], "port2": winner[3], "loser_ip1": loser[0], "loser_port1": loser[1], "loser_ip2": loser[2], "loser_port2": loser[3], "winner_was_incumbent": int(incumbent_won)})
 
+    def note(self, bucket: int, name: str, key: tuple) -> None:
+        """That something was done with a flow."""
+        self.rows.append({"kind": "note", "bucket": bucket, "name": name, "proto": key[4], "ip1": key[0], "port1": key[1], "ip2": key[2], "port2": key[3], "value": 1})
+
     def batch(self) -> pa.RecordBatch:
         for r in self.rows:
             r["policy"] = self.policy
@@ -315,5 +319,10 @@ def collisions_of(records: DataFrame) -> DataFrame:
     return records.where("kind = 'collision'").select("policy", "bucket", "proto", "pkt_no", "ts_us", *[F.col(k).alias(f"winner_{k}") for k in KEY[:4]], *[f"loser_{k}" for k in KEY[:4]], "winner_was_incumbent")
 
 
+def noted(records: DataFrame) -> DataFrame:
+    """How often a policy classified flows or let them compete, and how many different flows."""
+    return records.where("kind = 'note'").groupBy("policy", "name", *KEY).agg(F.count("*").alias("n")).groupBy("policy", "name").agg(F.sum("n").alias("total"), F.count("*").alias("unique_flows"))
+
+
 def counts_of(records: DataFrame) -> DataFrame:
     return records.where("kind = 'stat'").groupBy("policy", "name").agg(F.sum("value").alias("value"))

@@ -1,13 +1,18 @@
 """Capture files as a Spark data source: read headers into packets, and write packets as captures.
 
-`spark.read.format("capture").load(path)` takes a file, a folder or a glob. Each file is read in one pass by one task (the
-format has no index), only headers are decoded, and rows go to Spark as Arrow batches. Inputs that only Spark's file
-systems reach are read by `read_captures`, which takes the bytes from Spark's binary file source.
+`spark.read.format("capture").load(path)` takes a file, a folder or a glob. Files are mapped, not held in memory; only headers
+are decoded, and rows go to Spark as Arrow batches. A file is read in one pass by one task, as the format has no index; with
+the option splitbytes, a file of the plain format is read in ranges, each from the first place on at which a chain of sound
+records begins, and packets are then numbered by their place in bytes. The option frames=all gives a row for each frame that
+does not decode, too, without addresses and protocol: whole-trace counts and clocks are made of all frames. With the option
+onelinktype, files of different link types are an error, else other files than Ethernet are passed over. Inputs that only
+Spark's file systems reach are read by `read_captures`, which takes the bytes from Spark's binary file source.
 """
 
 from __future__ import annotations
 
 import glob
+import mmap
 import os
 import struct
 from collections.abc import Iterator
@@ -29,33 +34,79 @@ class BadCapture(ValueError):
     """The file is no Ethernet capture."""
 
 
-def frames(data: bytes) -> Iterator[tuple[int, bytes, int]]:
-    """(time in microseconds, captured bytes, length on the wire) of a capture, of either format; a cut-off record ends it."""
-    if data[:4] == struct.pack(">I", SECTION):
-        yield from _blocks(data)
-        return
-    if data[:4] not in MAGICS:
+def link_type(data) -> int | None:
+    """The link type that a capture's head names; None if it has no such head."""
+    if bytes(data[:4]) in MAGICS and len(data) >= 24:
+        return struct.unpack_from(MAGICS[bytes(data[:4])][0] + "I", data, 20)[0] & 0x0FFFFFFF
+    return None
+
+
+def plain_head(data) -> tuple[str, int]:
+    """Byte order, and units of the fraction in a microsecond, of a capture of the plain format."""
+    if bytes(data[:4]) not in MAGICS:
         raise BadCapture("no capture")
-    order, unit = MAGICS[data[:4]]
     if len(data) < 24:
         raise BadCapture("cut off")
-    if struct.unpack_from(order + "I", data, 20)[0] & 0x0FFFFFFF != ETHERNET:
+    if link_type(data) != ETHERNET:
         raise BadCapture("not Ethernet")
-    at, head = 24, struct.Struct(order + "IIII")
-    while at + 16 <= len(data):
+    return MAGICS[bytes(data[:4])]
+
+
+def frames(data, start: int = 24, stop: int | None = None) -> Iterator[tuple[int, bytes, int]]:
+    """(time in microseconds, captured bytes, length on the wire) of a capture, of either format; a cut-off record ends it."""
+    if bytes(data[:4]) == struct.pack(">I", SECTION):
+        yield from _blocks(data)
+        return
+    for _, *frame in plain_frames(data, start, stop):
+        yield tuple(frame)
+
+
+def plain_frames(data, start: int = 24, stop: int | None = None) -> Iterator[tuple[int, int, bytes, int]]:
+    """(place in bytes, and as in `frames`) of the records of the plain format that begin from start to before stop."""
+    order, unit = plain_head(data)
+    at, head, end = start, struct.Struct(order + "IIII"), len(data)
+    stop = end if stop is None else stop
+    while at < stop and at + 16 <= end:
         sec, part, held, wire = head.unpack_from(data, at)
-        if at + 16 + held > len(data):
+        if at + 16 + held > end:
             return
-        yield sec * 1_000_000 + part // unit, data[at + 16 : at + 16 + held], wire
+        yield at, sec * 1_000_000 + part // unit, data[at + 16 : at + 16 + held], wire
         at += 16 + held
 
 
+#: Records in a row that make a place a sound one, and what a record may be: bytes at most, seconds off the file's first packet.
+CHAIN, LARGEST, FURTHEST = 6, 1 << 18, 400 * 86_400
+
+
+def next_record(data, start: int, stop: int) -> int:
+    """The first place from start to before stop at which a chain of sound records begins, or stop."""
+    order, unit = plain_head(data)
+    head, end = struct.Struct(order + "IIII"), len(data)
+    first = head.unpack_from(data, 24)[0] if end >= 40 else 0
+
+    def sound(at: int) -> bool:
+        for _ in range(CHAIN):
+            if at == end:
+                return True
+            if at + 16 > end:
+                return False
+            sec, part, held, wire = head.unpack_from(data, at)
+            if not (held <= wire <= LARGEST and held and part < 1_000_000 * unit and abs(sec - first) <= FURTHEST):
+                return False
+            if at + 16 + held > end:  # cut off
+                return True
+            at += 16 + held
+        return True
+
+    return next((at for at in range(max(start, 24), stop) if sound(at)), stop)
+
+
 def _blocks(data: bytes) -> Iterator[tuple[int, bytes, int]]:
     at, order, units = 0, "<", []
     while at + 12 <= len(data):
         kind = struct.unpack_from(order + "I", data, at)[0]
         if kind == SECTION:
-            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
+            order = "<" if bytes(data[at + 8 : at + 12]) == b"\x4d\x3c\x2b\x1a" else ">"
             units = []
         kind, size = struct.unpack_from(order + "II", data, at)
         if size < 12 or at + size > len(data):
@@ -110,13 +161,24 @@ def decode(frame: bytes, vlan: bool = False, every: bool = False) -> tuple | Non
     return (src, dst, 0, 0, proto, length, None, None, None) if every else None
 
 
-def rows(name: str, data: bytes, vlan: bool = False, every: bool = False, tolerant: bool = True) -> Iterator[tuple]:
-    """Packets of one capture, numbered by place in the file over all frames. A file that is no capture gives none, or fails."""
+def rows(name: str, data, vlan: bool = False, every: bool = False, tolerant: bool = True, undecoded: bool = False, part: tuple[int, int] | None = None) -> Iterator[tuple]:
+    """Packets of one capture, numbered by place in the file over all frames. A file that is no capture gives none, or fails.
+
+    undecoded: frames that do not decode give a row with place, time and length 0 only. part: the records that begin in
+    this range of bytes, numbered by their place in bytes.
+    """
     try:
-        for n, (ts, frame, _) in enumerate(frames(data)):
-            if found := decode(frame, vlan, every):
-                src, dst, sport, dport, proto, length, seq, ack, flags = found
+        if part is None:
+            found = ((n, *f) for n, f in enumerate(frames(data)))
+        else:
+            start, stop = part
+            found = plain_frames(data, 24 if start <= 24 else next_record(data, start, min(stop, len(data))), stop)
+        for n, ts, frame, _ in found:
+            if p := decode(frame, vlan, every):
+                src, dst, sport, dport, proto, length, seq, ack, flags = p
                 yield name, n, ts, src, dst, sport, dport, proto, length, seq, ack, flags
+            elif undecoded:
+                yield name, n, ts, None, None, None, None, None, 0, None, None, None
     except BadCapture:
         if not tolerant:
             raise
@@ -145,32 +207,69 @@ def wanted(name: str) -> bool:
     return not base.startswith(".") and base.lower().endswith((".pcap", ".pcapng"))
 
 
-def listed(path: str) -> list[str]:
-    """The captures of a file, a folder (not its subfolders) or a glob, sorted."""
+def listed(path: str, suffix: str | None = None) -> list[str]:
+    """The captures of a file, a folder (not its subfolders) or a glob, sorted; with a suffix, a folder's files that end in exactly it."""
     path = path.removeprefix("file://")
     if os.path.isdir(path):
-        return sorted(p for p in (os.path.join(path, n) for n in os.listdir(path)) if wanted(p) and os.path.isfile(p))
+        fits = (lambda n: n.endswith(suffix)) if suffix else wanted
+        return sorted(p for p in (os.path.join(path, n) for n in os.listdir(path)) if fits(p) and os.path.isfile(p))
     return sorted(glob.glob(path))
 
 
-class CaptureFile(InputPartition):
+class mapped:
+    """A file's bytes, mapped; an empty file has none."""
+
     def __init__(self, path: str):
-        super().__init__(path)
         self.path = path
 
+    def __enter__(self):
+        self.file = open(self.path, "rb")
+        self.data = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(self.file.fileno()).st_size else b""
+        return self.data
+
+    def __exit__(self, *_) -> None:
+        if self.data:
+            self.data.close()
+        self.file.close()
+
+
+class CaptureFile(InputPartition):
+    def __init__(self, path: str, part: tuple[int, int] | None = None):
+        super().__init__(path)
+        self.path, self.part = path, part
+
 
 class CaptureReader(DataSourceReader):
     def __init__(self, options: dict):
         flag = lambda k, d: str(options.get(k, d)).lower() == "true"
-        self.paths, self.vlan, self.every, self.tolerant = options["path"], flag("vlan", "false"), flag("everyprotocol", "false"), flag("tolerant", "true")
+        self.paths, self.suffix, self.vlan, self.every, self.tolerant = options["path"], options.get("suffix"), flag("vlan", "false"), flag("everyprotocol", "false"), flag("tolerant", "true")
+        self.undecoded, self.one_link_type, self.split = options.get("frames", "decoded") == "all", flag("onelinktype", "false"), int(options.get("splitbytes", 0))
 
     def partitions(self) -> list[CaptureFile]:
-        return [CaptureFile(p) for p in listed(self.paths)]
+        paths = listed(self.paths, self.suffix)
+        if self.one_link_type:
+            kinds = {}
+            for p in paths:
+                with mapped(p) as data:
+                    kinds[p] = link_type(data)
+            if len(set(kinds.values())) > 1:
+                raise BadCapture(f"captures of different link types: {kinds}")
+        if not self.split:
+            return [CaptureFile(p) for p in paths]
+        out = []
+        for p in paths:
+            size = os.path.getsize(p)
+            with open(p, "rb") as f:
+                plain = f.read(4) in MAGICS
+            out += [CaptureFile(p, (a, a + self.split)) for a in range(0, size, self.split)] if plain else [CaptureFile(p)]
+        return out
+
+    def of(self, partition: CaptureFile) -> Iterator[tuple]:
+        with mapped(partition.path) as data:
+            yield from rows(partition.path, data, self.vlan, self.every, self.tolerant, self.undecoded, partition.part)
 
     def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        yield from batches(rows(partition.path, data, self.vlan, self.every, self.tolerant))
+        yield from batches(self.of(partition))
 
 
 class CaptureStream(DataSourceStreamReader):
@@ -193,9 +292,7 @@ class CaptureStream(DataSourceStreamReader):
         return [CaptureFile(p) for p in listed(self.reader.paths) if start["after"] < p <= end["after"]]
 
     def read(self, partition: CaptureFile) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        yield from rows(partition.path, data, self.reader.vlan, self.reader.every, self.reader.tolerant)
+        yield from self.reader.of(partition)
 
 
 def frame_of(src: int, dst: int, sport: int, dport: int, proto: int, length: int, seq: int | None = None, ack: int | None = None, flags: int | None = None) -> bytes:
@@ -248,7 +345,11 @@ class CaptureWriter(DataSourceWriter):
         return Written(target, n)
 
     def commit(self, messages: list) -> None:
-        pass
+        if self.overwrite and os.path.isdir(self.path):
+            kept = {m.path for m in messages if m}
+            for p in listed(self.path):
+                if p not in kept:
+                    os.remove(p)
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -278,13 +379,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CaptureSource)
 
 
-def read_captures(spark: SparkSession, path: str, vlan: bool = False, every: bool = False, tolerant: bool = True) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, vlan: bool = False, every: bool = False, tolerant: bool = True, undecoded: bool = False) -> DataFrame:
     """Packets of captures in any store that Spark reads."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pcap,pcapng,PCAP,PCAPNG}").load(path).select("path", "content")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from batches(rows(name, data.as_buffer().to_pybytes(), vlan, every, tolerant))
+                yield from batches(rows(name, memoryview(data.as_buffer()).toreadonly(), vlan, every, tolerant, undecoded))
 
     return files.mapInArrow(run, PACKETS)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.functions.keys import ip_number
 from tallyweir.schema import KEY
 
 #: Cells among which the first address is looked for, and fewest cells of a line.
@@ -15,12 +14,16 @@ ADDRESS_WITHIN, FEWEST = 10, 10
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(group, line) of the files of a folder, without those that hold labels or names only; group is the file's name."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"[^/]*$", 0).alias("group"), F.col("value").alias("line"))
-    return text.where(~F.col("group").rlike(r"(labeled|with_domain_name)\.csv$"))
+    found = text.where(~F.col("group").rlike(r"(labeled|with_domain_name)\.csv$"))
+    if found.isEmpty():
+        raise FileNotFoundError(f"no training lines under {path}")
+    return found
 
 
 def is_address(cell):
-    """Dotted IPv4, or an IPv6 form."""
-    return ip_number(F.trim(cell)).isNotNull() | F.trim(cell).rlike(r"^(?=.*:.*:)[0-9a-fA-F:]{2,39}$")
+    """Dotted IPv4, or an IPv6 form: one match of one pattern, as cells are many."""
+    byte = r"\s*\+?0*(?:25[0-5]|2[0-4]\d|1?\d?\d)\s*"
+    return F.trim(cell).rlike(rf"^(?:{byte}(?:\.{byte}){{3}}|(?=[^:]*:[^:]*:)[0-9a-fA-F:]{{2,39}})$")
 
 
 def parse(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,6 +80,30 @@ def to_json_sink(flows: DataFrame, path: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def work_until_stop(lines: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, timeout: float | None = None) -> bool:
+    """Gives the flows of each batch of messages to `handle`, until a stop message comes; whether one came.
+
+    A stop message ends the work after its batch; batches are one at a time, and their flows are spread over all tasks.
+    """
+    stop = threading.Event()
+
+    def step(batch: DataFrame, number: int) -> None:
+        if stop.is_set():
+            return
+        handle(parse_messages(batch), number)
+        if not batch.where(F.get_json_object("value", "$.STOP") == "true").isEmpty():
+            stop.set()
+
+    query = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
+    try:
+        stop.wait(timeout)
+    finally:
+        query.stop()
+    if query.exception() is not None and not stop.is_set():
+        raise query.exception()
+    return stop.is_set()
+
+
 def parse_messages(lines: DataFrame) -> DataFrame:
     """Flows of JSON messages (arrays of objects), one per line; what is no message, and stop messages, give no row."""
     schema = "array<struct<cli_ip:string,srv_ip:string,cli_port:int,srv_port:int,proto:string,count:int,ts:array<double>,len:array<int>>>"
