@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -135,44 +137,64 @@ def forget() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all run in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: tables written by one machine could not be read by others")
         named = f"file://{tempfile.gettempdir()}/tallyweir-checkpoints"
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 _WRITTEN: list[tuple[SparkSession, str, str]] = []
+_SCOPES: list[list[tuple[SparkSession, str, str]]] = []
 
 
-def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are cut inside, and not kept, are deleted at the end."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for written in _SCOPES.pop():
+            _WRITTEN.remove(written)
+            _delete(*written)
+
+
+def cut(df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again: ends its lineage, and survives lost executors.
 
-    by: a column that the table is bucketed by, so that joins on it do not shuffle the table again.
-    The table stays until the driver's Python ends, as results may still read it.
+    by: a column that the table is bucketed by, so that joins on it do not shuffle the table again. The table stays until its
+    scratch ends, or, outside of one and with `keep`, until the driver's Python ends, as results may still read it.
     """
     spark = df.sparkSession
     unique = f"{name}-{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{unique}"
     if not _WRITTEN:
         atexit.register(_clean)
+    named = unique.replace("-", "_") if by else ""
+    _WRITTEN.append((spark, path, named))
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(_WRITTEN[-1])
     if by:
-        named = unique.replace("-", "_")
-        _WRITTEN.append((spark, path, named))
         df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(named)
         return spark.table(named)
-    _WRITTEN.append((spark, path, ""))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str, named: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped: its tables stay
+        return
+    if named:
+        spark.sql(f"DROP TABLE IF EXISTS {named}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clean() -> None:
-    for spark, path, named in _WRITTEN:
-        if spark.sparkContext._jsc is None:  # stopped: its tables stay
-            continue
-        if named:
-            spark.sql(f"DROP TABLE IF EXISTS {named}")
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for written in _WRITTEN:
+        _delete(*written)
     _WRITTEN.clear()

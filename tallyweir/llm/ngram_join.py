@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import bounded_batches, cut, flat_utf8, forget, mixed, sliced, trim, word_hashes
+from tallyweir.llm.common import bounded_batches, cut, flat_utf8, forget, mixed, scratch, sliced, trim, word_hashes
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
@@ -540,26 +540,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """(key, n_shingles, component_id) of every row: the smallest key that links of at least `percent` similarity reach."""
     spark = docs.sparkSession
     rows = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    seen = cut(first_pass(rows, words), "shingle-sets")
+    seen = cut(first_pass(rows, words), "shingle-sets", keep=True)
     # FREQUENT_MOST values at most
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in seen.where("token is not null").groupBy("token").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST).collect()], np.int64).view(np.uint64)))
     sizes = seen.where("token is null").select("key", "n", "sig", "other")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
-    sets = cut(sizes.where("n > 0").groupBy("sig", "other").agg(F.min("key").alias("least")), "sets")
-    several = sets.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
-    found = sets.join(several, "sig").select("sig", "other").limit(COLLIDED_MOST + 1).collect()
-    if len(found) > COLLIDED_MOST:
-        raise ValueError("signatures of 64 bits are too short for so many sets")
-    collided = {sig: {r.other for r in found if r.sig == sig} for sig in {r.sig for r in found}}
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, groups = max(2 * parts, total.tokens // TOKENS_PER_BUCKET), max(2 * parts, total.tokens // TOKENS_HELD)
-    live = cut(live_sets(shared(deal(rows, words, frequent, collided, buckets, groups), groups), frequent, percent).dropDuplicates(["sig"]), "live-sets", "sig")
-    labels = cut(links(live, percent), "labels")
-    name = F.when(F.array_contains(F.lit(sorted(collided)), F.col("sig")), F.col("other")).otherwise(F.col("sig")) if collided else F.col("sig")
-    least = sets.select(name.alias("sig"), "least")
-    smallest = cut(least.join(labels, "sig").groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
-    linked = labels.join(smallest, "label").select("sig", "component_id")
-    of_set = cut(least.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id")), "components")
+    with scratch():
+        sets = cut(sizes.where("n > 0").groupBy("sig", "other").agg(F.min("key").alias("least")), "sets")
+        several = sets.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+        found = sets.join(several, "sig").select("sig", "other").limit(COLLIDED_MOST + 1).collect()
+        if len(found) > COLLIDED_MOST:
+            raise ValueError("signatures of 64 bits are too short for so many sets")
+        collided = {sig: {r.other for r in found if r.sig == sig} for sig in {r.sig for r in found}}
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets, groups = max(2 * parts, total.tokens // TOKENS_PER_BUCKET), max(2 * parts, total.tokens // TOKENS_HELD)
+        live = cut(live_sets(shared(deal(rows, words, frequent, collided, buckets, groups), groups), frequent, percent).dropDuplicates(["sig"]), "live-sets", "sig")
+        labels = cut(links(live, percent), "labels")
+        name = F.when(F.array_contains(F.lit(sorted(collided)), F.col("sig")), F.col("other")).otherwise(F.col("sig")) if collided else F.col("sig")
+        least = sets.select(name.alias("sig"), "least")
+        smallest = cut(least.join(labels, "sig").groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
+        linked = labels.join(smallest, "label").select("sig", "component_id")
+        of_set = cut(least.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id")), "components", keep=True)
     full = sizes.where("n > 0").select("key", "n", name.alias("sig")).join(of_set, "sig").select("key", "n", "component_id")
     empty = sizes.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
     return full.union(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
