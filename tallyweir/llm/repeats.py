@@ -9,20 +9,24 @@ To run over a corpus, suffixes that could share `length` bytes must meet. Each s
 minimum of a hash over its 24-byte grams (the leftmost one of equals), which depends on the string alone; so equal
 strings have equal owners. Neighbouring strings of one owner form a record, a context of at most 2 * length bytes.
 
-1. Per run of texts, records of equal owner and content are equal suffix runs: the earliest stands for them, the others are
-   removed at once. Records are dealt by owner as packed arrays, one for each content of a batch.
-2. Per bucket the same is done across batches. Where one owner has several contents, the contents are asked for.
-3. Texts, dealt by document once, give those contents; an owner with very many contents gives its strings one by one,
+1. Per run of texts, records that may have one owner and content are whole-context suffixes of an enhanced suffix array:
+   `maximal_repeats` gives each repeated context with all its occurrences in the run, compared byte by byte. The earliest
+   stands for them, the others are removed. What stands is dealt by owner as packed arrays.
+2. Per bucket, the contexts are asked for of each content that several runs have, and of each owner with several contents.
+3. Texts, dealt by document once, give those contexts; an owner with very many contents gives its strings one by one,
    dealt by the string itself, so that no owner's contents pile up in a task.
-4. Per bucket, `maximal_repeats` runs over the contexts, and the repeats' later occurrences are removed.
+4. Per bucket, `maximal_repeats` runs over the contexts: from each one's begin, where it is a copy of another, and from all
+   of its windows of `length` bytes, where its owner has several contents. All occurrences of a repeat but the earliest are
+   removed; so every byte that goes, goes for a repeat of the interval tree, and was compared as bytes.
 5. Texts meet the removals of their document, and are cut.
 
-The second and third uses of the texts are one exchange in Spark's plan. Owners and contents are told apart by 128 bits
-of hash. Positions order by id, then start.
+The second and third uses of the texts are one exchange in Spark's plan. Hashes say only what may be equal, and so what has
+to meet. Positions order by id, then start.
 
 Defined results: a null or short text loses nothing; bytes are UTF-8, and what is kept need not be. Rows of one id and
 one text are the same document and get equal results; rows of one id and different texts order by the texts' crc32. A
-null id comes first. Only id (an integer) and text are read.
+null id comes first. A very long text is read in overlapping pieces; an empty table gives an empty table. Only id (an
+integer) and text are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -44,8 +48,8 @@ BASE = 0x9E3779B97F4A7C15
 #: Bytes handled at once; their positions fit in the low bits of what minima are taken of.
 PIECE, PLACE_BITS = 1 << 19, 20
 BYTES_PER_SLOT, RECORDS_PER_BUCKET = 8 << 20, 250_000
-#: Records that are settled among themselves before they are dealt out.
-RECORDS_HELD = 300_000
+#: Records, and bytes of their texts, that are compared with each other before they are dealt out.
+RECORDS_HELD, BYTES_HELD = 300_000, 24 << 20
 #: Contents of one owner beyond which its strings are dealt one by one.
 MANY_CONTENTS = 4096
 NO_ID = -(1 << 63)
@@ -247,8 +251,10 @@ def spark_slot(keys: np.ndarray, slots: int) -> np.ndarray:
 
 RECORD = ("<u8", "<u8", "<i8", "<u4", "<i4", "<i4")  # owner, content, id, crc32 of the text, start, bytes
 REMOVAL = ("<i8", "<u4", "<i4", "<i4")  # id, crc32, start, bytes
-REQUEST = (*REMOVAL, "<u8", "u1")  # and the owner, and whether it has many contents
-CONTEXT = (*REMOVAL, "<u8", "u1")  # and the owner, and the bytes themselves
+#: How a context is used: from its begin alone, from all its windows, or string by string.
+BEGIN, WINDOWS, STRINGS = 0, 1, 2
+REQUEST = (*REMOVAL, "<u8", "u1")  # and the owner, and the use
+CONTEXT = (*REMOVAL, "<u8", "u1", "u1")  # and the owner, the use, and the bytes themselves
 ROW = "kind int, slot int, payload binary"
 
 
@@ -262,72 +268,101 @@ def dealt_rows(kind: int, slot: np.ndarray, columns: list[np.ndarray]) -> list[t
     return [(kind, int(s), pack(*(c[order[a:b]] for c in columns))) for s, a, b in zip(slots, bounds[:-1], bounds[1:])]
 
 
-def settle(owner: np.ndarray, content: np.ndarray, ids: np.ndarray, crc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of records: which stand for their content (the earliest), and which later ones of the same content go."""
+def grouped(owner: np.ndarray, content: np.ndarray, ids: np.ndarray, crc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records in order of owner, content and position, and where each content begins in that order."""
     order = np.lexsort((start, crc, ids, content, owner))
     o, c = owner[order], content[order]
     first = np.ones(len(order), bool)
     first[1:] = (o[1:] != o[:-1]) | (c[1:] != c[:-1])
-    of = np.flatnonzero(first)[np.cumsum(first) - 1]  # the place of the earliest
-    k = order
-    same = (ids[k] == ids[k[of]]) & (crc[k] == crc[k[of]]) & (start[k] == start[k[of]]) if len(k) else first
-    return order[first], order[~first & ~same]
+    return order, first
+
+
+def repeated_contexts(owner: np.ndarray, content: np.ndarray, ids: np.ndarray, crc: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a run's records: which stand, and which go, as whole contexts that are maximal repeats with an earlier one. place: of the records in flat."""
+    order, first = grouped(owner, content, ids, crc, start)
+    group = np.cumsum(first) - 1
+    several = np.repeat(np.diff(np.append(np.flatnonzero(first), len(order))) > 1, np.diff(np.append(np.flatnonzero(first), len(order))))
+    k, g = order[several], group[several]
+    if not len(k):
+        return order, k
+    sizes = size[k].astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    bytes_of = flat[np.repeat(place[k] - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    gone = np.zeros(len(k), bool)
+    for n, found in maximal_repeats(bytes_of, offsets, 1, offsets[:-1], g):
+        at = np.searchsorted(offsets, found)
+        whole = np.sort(at[sizes[at] == n])  # in order of position
+        gone[whole[1:]] = True
+    first_of = k[~gone]
+    same = np.zeros(len(k), bool)  # one place in two rows of a document is no repeat
+    same[1:] = (g[1:] == g[:-1]) & (ids[k[1:]] == ids[k[:-1]]) & (crc[k[1:]] == crc[k[:-1]]) & (start[k[1:]] == start[k[:-1]])
+    return np.concatenate([order[~several], first_of]), k[gone & ~same]
 
 
 def deal(docs: DataFrame, length: int, buckets: int, slots: int) -> DataFrame:
     """kind 0: records by owner; kind 1: removals by document."""
 
-    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        owner, content, ids, crc, start, size = columns = [np.concatenate(x) for x in zip(*held)]
+    def sent(held: list[tuple], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        owner, content, ids, crc, start, size, place = [np.concatenate(x) for x in zip(*held)]
         held.clear()
-        stand, gone = settle(*columns)
+        flat = np.concatenate(texts)
+        texts.clear()
+        stand, gone = repeated_contexts(owner, content, ids, crc, start, size, place, flat)
+        del flat
         made = dealt_rows(1, spark_slot(ids[gone], slots), [x[gone] for x in (ids, crc, start, size)])
         stand = np.sort(stand)  # by document again, which compresses
         bucket = ((owner[stand] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        made += dealt_rows(0, bucket, [x[stand] for x in columns])
+        made += dealt_rows(0, bucket, [x[stand] for x in (owner, content, ids, crc, start, size)])
         for a in range(0, len(made), 64):
             yield from rows_of(made[a : a + 64]).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        held, n = [], 0
+        held, texts, n, before = [], [], 0, 0
         for batch in batches:
             for part in sliced(batch, "text", PIECE):
                 flat, offsets = flat_utf8(part.column(1))
                 ids = np.array(part.column(0).to_numpy(zero_copy_only=False), np.int64)
                 crc = np.array([zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.uint32)
                 for owner, content, d, start, size in pieces(flat, offsets, length):
-                    held.append((owner, content, ids[d], crc[d], start.astype(np.int32), size.astype(np.int32)))
+                    held.append((owner, content, ids[d], crc[d], start.astype(np.int32), size.astype(np.int32), before + offsets[d] + start))
                     n += len(owner)
-                    if n >= RECORDS_HELD:
-                        yield from sent(held)
-                        n = 0
+                texts.append(flat)
+                before += len(flat)
+                if n >= RECORDS_HELD or before >= BYTES_HELD:
+                    yield from sent(held, texts)
+                    n = before = 0
         if held:
-            yield from sent(held)
+            yield from sent(held, texts)
         trim()
 
     return docs.select("key", "text").mapInArrow(run, ROW)
 
 
 def settled(dealt: DataFrame, slots: int) -> DataFrame:
-    """kind 1: removals by document; kind 2: requests for the contents of owners that have several."""
+    """kind 1: removals by document; kind 2: requests for the contexts of contents that several runs have, and of owners with several contents."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         payloads = got.column("payload").to_pylist()
         if key[0].as_py() == 1:
             return rows_of([(1, key[1].as_py(), p) for p in payloads])
-        columns = unpacked(payloads, *RECORD)
+        owner, content, ids, crc, start, size = unpacked(payloads, *RECORD)
         del payloads
-        stand, gone = settle(*columns)
-        owner, _, ids, crc, start, size = columns
-        made = dealt_rows(1, spark_slot(ids[gone], slots), [x[gone] for x in (ids, crc, start, size)])
-        o = owner[stand]  # in order of the owner
-        first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
-        n = np.diff(np.append(first, len(o)))
-        n = np.repeat(n, n)
-        asked = stand[n > 1]
-        made += dealt_rows(2, spark_slot(ids[asked], slots), [*(x[asked] for x in (ids, crc, start, size, owner)), (n[n > 1] > MANY_CONTENTS).astype(np.uint8)])
-        return rows_of(made)
+        order, first = grouped(owner, content, ids, crc, start)
+        copies = np.diff(np.append(np.flatnonzero(first), len(order)))
+        copies = np.repeat(copies, copies)
+        o = owner[order]
+        begins = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(begins, len(o)))
+        contents = np.repeat(np.add.reduceat(first.astype(np.int64), begins) if len(o) else sizes, sizes)
+        # the first of a content is used whole where its owner has others
+        use = np.where(first & (contents > 1), np.where(contents > MANY_CONTENTS, STRINGS, WINDOWS), BEGIN).astype(np.uint8)
+        wanted = (copies > 1) | (contents > 1)
+        asked, use = order[wanted], use[wanted]
+        # what goes string by string is wanted from its begin, too, where it has copies
+        again = (use == STRINGS) & (copies[wanted] > 1)
+        asked, use = np.concatenate([asked, asked[again]]), np.concatenate([use, np.full(int(again.sum()), BEGIN, np.uint8)])
+        return rows_of(dealt_rows(2, spark_slot(ids[asked], slots), [*(x[asked] for x in (ids, crc, start, size, owner)), use]))
 
     return dealt.groupBy("kind", "slot").applyInArrow(run, ROW)
 
@@ -347,20 +382,20 @@ def contexts(by_document: DataFrame, requests: DataFrame, length: int, buckets:
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
         if not got.num_rows:
             return rows_of([])
-        ids, crc, start, size, owner, many = unpacked(got.column("payload").to_pylist(), *REQUEST)
+        ids, crc, start, size, owner, use = unpacked(got.column("payload").to_pylist(), *REQUEST)
         texts = texts_of(docs)
         chunks = [texts[k][s : s + n] for *k, s, n in zip(ids.tolist(), crc.tolist(), start.tolist(), size.tolist()) for k in [tuple(k)]]
-        columns = [ids, crc, start, size, owner]
-        if many.any():
+        columns = [ids, crc, start, size, owner, use]
+        if (use == STRINGS).any():
             # strings of owners with very many contents: each is its own owner
-            k = np.flatnonzero(many)
+            k = np.flatnonzero(use == STRINGS)
             single = [(i, s) for i in k for s in range(size[i] - length + 1)]
             where, shift = np.array([i for i, _ in single]), np.array([s for _, s in single], np.int32)
             strings = [chunks[i][s : s + length] for i, s in single]
             own = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in strings], np.uint64)
-            rest = np.flatnonzero(many == 0)
+            rest = np.flatnonzero(use != STRINGS)
             chunks = [chunks[i] for i in rest] + strings
-            columns = [np.concatenate([a[rest], b]) for a, b in zip(columns, (ids[where], crc[where], start[where] + shift, np.full(len(where), length, np.int32), own))]
+            columns = [np.concatenate([a[rest], b]) for a, b in zip(columns, (ids[where], crc[where], start[where] + shift, np.full(len(where), length, np.int32), own, np.full(len(where), BEGIN, np.uint8)))]
         bucket = ((columns[4] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order, found, bounds = by_slot(bucket)
         made = []
@@ -376,9 +411,9 @@ def repeat_removals(contents: DataFrame, length: int, slots: int) -> DataFrame:
     """kind 1: the later occurrences of the maximal repeats among the contexts of each bucket."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
-        ids, crc, start, size, owner, flat = unpacked(got.column("payload").to_pylist(), *CONTEXT)
+        ids, crc, start, size, owner, use, flat = unpacked(got.column("payload").to_pylist(), *CONTEXT)
         offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        windows = (size - length + 1).astype(np.int64)
+        windows = np.where(use == WINDOWS, size - length + 1, 1).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(windows)])
         number = np.repeat(np.arange(len(size)), windows)
         places = offsets[number] + np.arange(first[-1]) - first[number]

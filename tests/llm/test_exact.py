@@ -169,6 +169,29 @@ def test_maximal_repeats():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_contexts_of_a_run_are_compared_as_bytes():
+    rng = random.Random(16)
+    texts = [bytes(rng.choice(b"ab") for _ in range(3)) for _ in range(400)]
+    n = len(texts)
+    flat, place = np.frombuffer(b"".join(texts), np.uint8), 3 * np.arange(n)
+    zero = np.zeros(n, np.uint64)  # all hashes collide
+    stand, gone = repeats.repeated_contexts(zero, zero, np.arange(n), np.zeros(n, np.uint32), np.zeros(n, np.int32), np.full(n, 3, np.int32), place, flat)
+    first = {t: texts.index(t) for t in texts}
+    assert sorted(stand) == sorted(first.values()) and sorted([*stand, *gone]) == list(range(n))
+    assert [len(x) for x in repeats.repeated_contexts(*(zero[:0],) * 7, flat[:0])] == [0, 0]
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    from tallyweir.llm import common
+
+    with common.scratch():
+        gone, stays, bucketed = common.cut(spark.range(3), "a"), common.cut(spark.range(4), "b", keep=True), common.cut(spark.range(5), "c", "id")
+        assert gone.count() == 3 and bucketed.join(bucketed, "id").count() == 5
+        paths = [p for _, p, _ in common._WRITTEN[-3:]]
+    exists = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    assert [exists(p) for p in paths] == [False, True, False] and stays.count() == 4
+
+
 def test_slots_are_sparks(spark):
     keys = [0, 1, -1, 12345678901234, -(1 << 63), (1 << 63) - 1]
     got = [r.s for r in spark.createDataFrame([(k,) for k in keys], "k long").selectExpr("pmod(xxhash64(k), 97) s").collect()]
