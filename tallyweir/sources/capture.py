@@ -85,16 +85,16 @@ def next_record(data, start: int, stop: int) -> int:
     first = head.unpack_from(data, 24)[0] if end >= 40 else 0
 
     def sound(at: int) -> bool:
-        for _ in range(CHAIN):
+        for n in range(CHAIN):
             if at == end:
-                return True
+                return n > 0
             if at + 16 > end:
                 return False
             sec, part, held, wire = head.unpack_from(data, at)
             if not (held <= wire <= LARGEST and held and part < 1_000_000 * unit and abs(sec - first) <= FURTHEST):
                 return False
             if at + 16 + held > end:  # cut off
-                return True
+                return n > 0
             at += 16 + held
         return True
 

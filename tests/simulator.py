@@ -197,3 +197,67 @@ def three_probe(packets, buckets, aux_buckets, cap):
         else:
             main[least] = (k, min(cap, aux[j][1] + 1), aux[j][2] + 1)
     return sorted([("main", *e) for e in main if e] + [("aux", *e) for e in aux if e])
+
+
+def gated_probe(packets, buckets, aux_buckets, cap, idle):
+    """Flows of the gated probe tables: (table, key, stored, total, reason), by a look at a flow's three places for each packet. Each protocol has tables of its own."""
+    protocols = {p["proto"] for p in packets}
+    if len(protocols) > 1:
+        return sorted(f for proto in protocols for f in gated_probe([p for p in packets if p["proto"] == proto], buckets, aux_buckets, cap, idle))
+
+    def mix(x):
+        x = (x ^ x >> 16) * 0x7FEB352D % 2**32
+        x = (x ^ x >> 15) * 0x846CA68B % 2**32
+        return x ^ x >> 16
+
+    def place(k, seed, size):
+        wire = lambda n: int.from_bytes(n.to_bytes(4, "little"), "big")
+        return mix(seed ^ mix(wire(k[0])) ^ mix(wire(k[2])) ^ mix(k[1] << 16 | k[3]) ^ mix(k[4])) % size
+
+    def spots(k):
+        return [("main", place(k, 0xA1B2C3D4, buckets)), ("main", place(k, 0x1B2C3D4A, buckets)), ("aux", place(k, 0xC0FFEE11, aux_buckets))]
+
+    slots, asked, out = {}, set(), []
+
+    def emit(where, reason):
+        f = slots.pop(where)
+        out.append((where[0], f["key"], f["n"], f["all"], reason))
+
+    for p in packets:
+        k, now = canonical(p), p["ts"] // 10**6
+        mine = spots(k)
+        for where in mine:
+            f = slots.get(where)
+            if f and f["key"][4] == 17 and now - f["last"] >= idle:
+                emit(where, "idle")
+        where = next((w for w in mine if w in slots and slots[w]["key"] == k), None)
+        if where is None:
+            if k[4] == 17:
+                if k in asked:
+                    continue
+                asked.add(k)
+            elif not p["flags"] & 2:
+                continue
+            where = next((w for w in mine[:2] if w not in slots), mine[2])
+            slots[where] = {"key": k, "n": 0, "all": 0, "last": now}
+        f = slots[where]
+        f["n"], f["all"], f["last"] = min(cap, f["n"] + 1), f["all"] + 1, now
+        if f["n"] == cap:
+            emit(where, "cap")
+            continue
+        if k[4] == 6 and p["flags"] & 1:
+            emit(where, "fin")
+            continue
+        held = [slots[w]["n"] if w in slots else 0 for w in mine[:2]]
+        small = mine[0] if held[0] <= held[1] else mine[1]
+        if mine[2] in slots and slots[mine[2]]["n"] > min(held):
+            up, down = slots.pop(mine[2]), slots.pop(small, None)
+            slots[small], up["last"] = up, now
+            if down:
+                down["last"] = now
+                theirs = spots(down["key"])
+                other = theirs[1] if small == theirs[0] else theirs[0]
+                slots[other if other not in slots else theirs[2]] = down
+    for where in list(slots):
+        emit(where, "idle" if slots[where]["key"][4] == 17 else "eof")
+    return sorted(out)

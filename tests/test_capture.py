@@ -1,7 +1,9 @@
+import random
 import struct
 
 import pytest
 
+from tallyweir.operators import flows, traces
 from tallyweir.sources import capture
 
 UDP = capture.frame_of(0x0A000001, 0x0A000002, 1234, 53, 17, 60)
@@ -46,6 +48,54 @@ def test_cut_off_and_bad_files():
         list(capture.rows("f", data[:20] + struct.pack("<I", 105) + data[24:], tolerant=False))
 
 
+def test_frames_that_do_not_decode():
+    arp = UDP[:12] + b"\x08\x06" + UDP[14:]
+    data = b"".join(capture.capture_bytes(iter([(1, UDP, 74), (2, arp, 60), (3, b"x", 1), (4, TCP, 66)])))
+    assert [r[1] for r in capture.rows("f", data)] == [0, 3]
+    every = list(capture.rows("f", data, undecoded=True))
+    assert [(r[1], r[2], r[7], r[8]) for r in every] == [(0, 1, 17, 60), (1, 2, None, 0), (2, 3, None, 0), (3, 4, 6, 52)]
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_ranges_of_a_file_give_each_packet_once(order):
+    rng = random.Random(3)
+    made = [(1_600_000_000_000_000 + 1000 * i, rng.choice((UDP, TCP)) + bytes(rng.randrange(256) for _ in range(rng.randrange(200))), 400) for i in range(400)]
+    data = b"".join(capture.capture_bytes(iter(made), order=order))
+    want = [r[2:] for r in capture.rows("f", data)]
+    for size in (97, 1000, 4096, 10**6):
+        got = [r for a in range(0, len(data), size) for r in capture.rows("f", data, part=(a, a + size))]
+        assert [r[2:] for r in got] == want and [r[1] for r in got] == sorted({r[1] for r in got})
+
+
+def test_options_of_the_source(spark, tmp_path):
+    capture.register(spark)
+    arp = UDP[:12] + b"\x08\x06" + UDP[14:]
+    for name in ("a.pcap", "b.PCAP", "c.pcapng"):
+        (tmp_path / name).write_bytes(b"".join(capture.capture_bytes(iter([(1_000_000 * i, (UDP, TCP, arp)[i % 3], 74) for i in range(30)]))))
+    (tmp_path / "empty.pcap").write_bytes(b"")
+    read = lambda **o: spark.read.format("capture").options(**o).load(str(tmp_path))
+    assert read().count() == 60 and read(suffix=".pcap").count() == 20 and read(splitbytes=300).count() == 60
+    every = read(frames="all")
+    t = flows.totals(every).first()
+    assert (every.count(), t.packets, t.tcp_packets, t.udp_packets, t.flows) == (90, 90, 30, 30, 2)
+    assert capture.read_captures(spark, str(tmp_path), undecoded=True).count() == 90
+    trace = traces.one_trace(read())
+    assert trace.select("pkt_no").distinct().count() == 60 and trace.agg({"file_no": "max"}).first()[0] == 2
+    (tmp_path / "token.pcap").write_bytes((tmp_path / "a.pcap").read_bytes()[:20] + struct.pack("<I", 105) + b"")
+    assert read().count() == 60
+    with pytest.raises(Exception, match="link types"):
+        read(onelinktype="true").count()
+
+
+def test_overwriting_leaves_no_old_files(spark, tmp_path):
+    capture.register(spark)
+    target = str(tmp_path / "out")
+    packets = spark.createDataFrame([("x", i, i, 1, 2, 3, 4, 17, 40, None, None, None) for i in range(8)], capture.PACKETS)
+    for parts, mode in ((4, "append"), (1, "overwrite")):
+        packets.repartition(parts).write.format("capture").mode(mode).save(target)
+    assert spark.read.format("capture").load(target).count() == 8 and len(capture.listed(target)) == 1
+
+
 def test_source_writes_and_reads(spark, tmp_path):
     capture.register(spark)
     rows = [("x", i, 1_000_000 * i + i, 0x0A000000 + i, 0xC0A80001, 1000 + i, 443, 6 if i % 2 else 17, 40 + i, 5 if i % 2 else None, 6 if i % 2 else None, 16 if i % 2 else None) for i in range(50)]

@@ -81,6 +81,75 @@ def test_records_sign_cap_and_zero_span(spark):
     assert sum(m.flows_in for m in flows.messages(short).collect()) == 1
 
 
+def test_tcp_records(spark):
+    """A SYN begins, the FINs of both sides end once the cap is reached, and the next SYN begins anew."""
+
+    def tcp(no, forward, flags, size=60):
+        return (no, no * 1_000_000, 1 if forward else 2, 2 if forward else 1, 5 if forward else 6, 6 if forward else 5, 6, size, flags)
+
+    rows = [tcp(0, True, 16), tcp(1, False, 18), tcp(2, True, 16), tcp(3, True, 17), tcp(4, False, 17), tcp(5, True, 17, 99), tcp(6, False, 16), tcp(7, True, 2), tcp(8, True, 17), tcp(9, False, 1)]
+    got = flows.tcp_flow_records(packets(spark, rows).repartition(3), 3).collect()
+    # the flow's client is the sender of the first SYN; both FINs at packet 4 with three packets held
+    assert [(r.session_no, r.cli_ip, r.cli_port, r["count"], r.total, r.ts, r["len"]) for r in got] == [(1, 2, 6, 3, 4, [0.0, 1.0, 2.0], [60, -60, -60]), (2, 1, 5, 3, 3, [0.0, 1.0, 2.0], [60, 60, -60])]
+    assert flows.tcp_flow_records(packets(spark, rows), 4).select("total").collect() == [(4,)]
+    text = flows.dump_text(flows.tcp_flow_records(packets(spark, rows), 4)).first().text
+    assert text.split("\n")[:2] == ["=== Flow 0.0.0.2:6 ⇆ 0.0.0.1:5 (TCP) packets:4 ===", "0.000000  len=60"]
+
+
+def wheel(rows, idle, slots):
+    """A wheel of slots, second by second: the session of each packet."""
+    clock, table, out, count = None, {}, {}, {}
+    for no, ts, a, b, ap, bp, *_ in sorted(rows):
+        s = ts // 1_000_000
+        clock = s if clock is None else clock
+        while clock < s:
+            clock += 1
+            for k in [k for k, slot in table.items() if slot == clock % slots]:
+                del table[k]
+        k = min((a, ap), (b, bp)), max((a, ap), (b, bp))
+        if k not in table:
+            count[k] = count.get(k, 0) + 1
+        table[k] = (s + idle) % slots
+        out[no] = count[k]
+    return out
+
+
+def test_late_packets_on_a_wheel(spark):
+    rng = random.Random(12)
+    now, rows = 1000, []
+    for i in range(600):
+        now += rng.choice((0, 0, 1, 3, 40)) if rng.random() < 0.95 else 300
+        late = rng.choice((0, 0, 0, 5, 40, 100, 400))
+        rows.append(udp(i, max(0, now - late), rng.random() < 0.5, a=rng.randrange(1, 6)))
+    p = keys.canon_numeric(packets(spark, rows).repartition(3))
+    got = {r.pkt_no: r.session_no for r in sessions.udp_sessions_strict(p, 30).collect()}
+    assert got == wheel(rows, 30, 256)
+    in_order = [udp(i, 3 * i if i % 7 else 3 * i) for i in range(50)]
+    q = keys.canon_numeric(packets(spark, in_order))
+    assert sorted(sessions.udp_sessions_strict(q, 30).select("pkt_no", "session_no").collect()) == sorted(sessions.udp_sessions_wheel(q, 30).select("pkt_no", "session_no").collect())
+
+
+def test_field_hashes_bits_and_signatures(spark):
+    rng = random.Random(13)
+    rows = [(rng.randrange(1 << 32), rng.randrange(1 << 16), rng.randrange(1 << 32), rng.randrange(1 << 16), rng.choice((6, 17))) for _ in range(100)]
+    df = spark.createDataFrame(rows, "ip1 long, port1 int, ip2 long, port2 int, proto int").select("*", keys.fnv_fields().alias("h"), keys.bloom_positions(1 << 28, 4).alias("at"), keys.signature().alias("s"))
+    wire = lambda n: int.from_bytes(n.to_bytes(4, "little"), "big")
+    for r in df.collect():
+        h = 2166136261
+        for v in (wire(r.ip1), wire(r.ip2), r.port1, r.port2, r.proto):
+            h = (h ^ v) * 16777619 % 2**32
+        two = mix32(h ^ 0x9E3779B9) or 0x27D4EB2D
+        assert r.h == h and r["at"] == [(h + i * two) % 2**32 & (1 << 28) - 1 for i in range(4)]
+        x = wire(r.ip1) << 32 ^ wire(r.ip2) ^ r.port1 << 48 ^ r.port2 << 32 ^ r.proto
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m % 2**64
+        x ^= x >> 33
+        assert r.s % 2**64 == (x or 1)
+    bits = spark.createDataFrame([(b,) for b in (0, 5, 63, 5)], "b int").agg(keys.bit_set(F.col("b")).alias("w"))
+    assert bits.first().w % 2**64 == 1 | 1 << 5 | 1 << 63
+    assert [r.x for r in bits.select(F.explode(F.array(*[keys.has_bit(F.col("w"), F.lit(i)) for i in (0, 1, 5, 63)])).alias("x")).collect()] == [True, False, True, True]
+
+
 def test_features_equal_the_policies_features(spark):
     rng = random.Random(4)
     rows = [udp(i, 100 + i * rng.random(), rng.random() < 0.5, size=rng.randrange(40, 1500)) for i in range(8)]
@@ -132,6 +201,24 @@ def test_merge_rebases_files(spark):
     assert sorted(r.out_us for r in traces.merged_dynamic(p, 2).collect()) == [0, 0, 0, 2, 60]
 
 
+def test_random_merges_are_drawn_by_their_seed(spark):
+    p = spark.createDataFrame([(f, i, 1000 * f + i * 500_000) for f in range(9) for i in range(4)], "file_no int, pkt_no long, ts_us long")
+    rows = [traces.in_time_order(traces.merged_dynamic(p, 3, seed=s)).collect() for s in (1, 1, 2)]
+    assert rows[0] == rows[1] != rows[2] and all([r.out_us for r in x] == sorted(r.out_us for r in x) for x in rows)
+    first = {}
+    for r in rows[0]:
+        first.setdefault(r.session_no, r.out_us)
+    assert len(set(first.values())) == 3 and all(0 <= t <= 2_000_000 for t in first.values()) and [first[s] for s in range(3)] == traces.random_starts(3, 1)
+    assert traces.shuffled([3, 1, 2], 5) == traces.shuffled([1, 2, 3], 5) and sorted(traces.shuffled(list(range(50)), 5)) == list(range(50)) != traces.shuffled(list(range(50)), 5)
+
+
+def test_a_target_for_each_file(spark):
+    rows = packets(spark, [udp(i, 0, a=0x98170102, b=0x01020304) for i in range(3)]).withColumn("file", F.element_at(F.array(F.lit("b.pcap"), F.lit("a.pcap"), F.lit("c.pcap")), (F.col("pkt_no") + 1).cast("int")))
+    got = {r.file: (r.src_ip_n, r.dst_ip_n, r.target) for r in traces.rewrite_files(rows, 0x98170000, 16, 0x98170001, 32).collect()}
+    assert got == {f: (0x98170001 + i, 0x01020304, 0x98170001 + i) for i, f in enumerate(("a.pcap", "b.pcap", "c.pcap"))}
+    assert {r.src_ip_n for r in traces.rewrite_files(rows, 0x98170000, 16, 0x0A000001, 8).collect()} == {0x0A170102}
+
+
 def test_prefix_rewrite(spark):
     got = traces.rewrite_prefix(packets(spark, [udp(0, 0, a=0x98170102, b=0x01020304)]), 0x98170000, 16, 0x0A000000).first()
     assert (got.src_ip_n, got.dst_ip_n) == (0x0A000102, 0x01020304)
@@ -152,7 +239,16 @@ def test_training_files(spark, tmp_path):
     for name in ("a.csv", "sub/b.csv", "c_labeled.csv", "d_with_domain_name.csv", "e.txt"):
         (tmp_path / name).write_text("l,10.0.0.1,80,10.0.0.2,5,UDP,2.0,,50,60,70\n")
     assert sorted(r.group for r in training.read_lines(spark, str(tmp_path)).collect()) == ["a.csv", "b.csv"]
+    for name in ("a.csv", "sub/b.csv"):
+        (tmp_path / name).unlink()
+    with pytest.raises(FileNotFoundError):
+        training.read_lines(spark, str(tmp_path))
+
 
+def test_addresses(spark):
+    cells = ["1.2.3.4", " 10.0.0.255 ", "256.1.1.1", "1.2.3", "1.2.3.4.5", "a.b.c.d", "::1", "fe80::2", "12:30", "1::2::3", "", "01.002.3.4", "1.2.3.", "0.0.0.0", "1e1.2.3.4"]
+    got = [r.x for r in spark.createDataFrame([(c,) for c in cells], "c string").select(training.is_address(F.col("c")).alias("x")).collect()]
+    assert got == [True, True, False, False, False, False, True, True, False, True, False, True, False, True, False]
 
 def test_models_score_save_and_serve_duels(spark, tmp_path):
     rng = random.Random(8)

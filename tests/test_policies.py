@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweir.policies import catalog
-from tallyweir.policies.engine import CounterRng, Settings, Xorshift32, collisions_of, counts_of, flows_of
+from tallyweir.policies.engine import CounterRng, Settings, Xorshift32, collisions_of, counts_of, flows_of, noted
 from tallyweir.schema import KEY
-from tests.simulator import simulate, three_probe
+from tests.simulator import gated_probe, simulate, three_probe
 
 PACKET = "pkt_no long, ts_us long, src_ip_n long, dst_ip_n long, src_port int, dst_port int, proto int, ip_len int, tcp_flags int"
 
@@ -99,6 +99,23 @@ def test_gated_probe_tables_keep_their_promises(spark):
     assert wide.where("in_table = 'aux'").count() == 0
 
 
+@pytest.mark.parametrize("seed", [8, 9, 10])
+def test_gated_probe_tables_against_simulator(spark, seed):
+    packets = trace(seed, 1500, 40)
+    records = catalog.run(frame(spark, packets), "gated_probe", Settings(buckets=8, aux_buckets=4, cap=7, idle=10))
+    got = sorted((r.in_table, tuple(r[k] for k in KEY), r["count"], r.total, r.end_reason) for r in flows_of(records).collect())
+    assert got == gated_probe(packets, 8, 4, 7, 10) and {r[4] for r in got} == {"idle", "cap", "fin", "eof"}
+
+
+def test_classified_and_competing_flows(spark):
+    packets, options = trace(12), {"buckets": 4, "aux_buckets": 4, "cap": 7, "first_n": 3, "idle": 10, "seed": 1}
+    records = catalog.run(frame(spark, packets), "duel_logged", Settings(scorer=scorer, **options))
+    _, log = simulate(packets, "duel_logged", score=long_enough, **options)
+    got = {r.name: (r.total, r.unique_flows) for r in noted(records).collect()}
+    sides = [k for _, a, b, _ in log for k in (a, b)]
+    assert got == {"classified": (len(sides), len(set(sides))), "competed": (len(sides), len(set(sides)))} and sides
+
+
 def test_replicates(spark):
     r = catalog.replicates(frame(spark, trace(9)), 3, Settings(buckets=4, cap=5, idle=10)).collect()
     assert len(r) == 3 and any(x.full_flows for x in r)

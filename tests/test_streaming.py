@@ -46,6 +46,16 @@ def test_sessions_end_when_the_clock_passes(spark, stream):
     assert len(found) >= len(want) - len({k[:5] for k in want})  # the last of each flow may still be open
 
 
+def test_work_ends_at_a_stop_message(spark, tmp_path):
+    flow = {"cli_ip": "1.1.1.1", "srv_ip": "2.2.2.2", "cli_port": 1, "srv_port": 2, "proto": "UDP", "count": 2, "ts": [0.0], "len": [1]}
+    for i, text in enumerate((json.dumps([flow, flow]), json.dumps([flow]) + '\n{"STOP":true}', json.dumps([flow] * 5))):
+        (tmp_path / f"{i}.txt").write_text(text)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).option("latestFirst", False).text(str(tmp_path) + "/*.txt")
+    seen = []
+    assert jobs.work_until_stop(lines, lambda df, n: seen.append(df.count()), str(tmp_path / "check"), timeout=120)
+    assert seen == [2, 1]
+
+
 def test_json_sink_and_messages(spark, stream):
     _, packets, path = stream
     q = jobs.to_json_sink(packets.select("pkt_no", "proto"), str(path / "out"), str(path / "check"))
