@@ -11,7 +11,8 @@ no shuffle.
 
 Defined results: a null text, or one without a letter, gets `und` with score 0 and is rejected; with no labelled row at
 all every row does. Equal texts get equal rows; ties between languages go to the first in alphabetical order; repeated
-rows stay; only the id and the text of the input are read, so other columns cannot clash.
+rows stay; a very long text is counted whole, and an empty table gives an empty table. Only id, text and, for training,
+language are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ pixel for each 8x8 block, and dimensions with thumbnail hashes make the feature.
 
 Defined results: a null text is empty; its payload is 64 zero bytes. Equal texts give equal rows, repeated rows are
 repeated, an empty table gives an empty table. A text of any length is coded in runs of blocks; the picture has at most
-8191 blocks in a line. A binary that is no baseline JPEG gives null features in `read_features`, and no failure.
+8191 blocks in a line. A binary that is no baseline JPEG gives null features in `read_features`, and no failure. Only id
+and text, or the binary column, are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations

@@ -12,9 +12,12 @@ from the base spans of a bounded sample of documents, with and without their plu
 generated windows of look-alikes (dates, versions, serial numbers) that hold no personal data.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive, and the added spans never
-overlap base spans or each other. Equal texts get equal rows, repeated rows are repeated. Regions have no bound: the
-programme goes over the whole of one, with the features of MAX_REGION atoms' segments in memory at a time. Only id and text are read by `find`; `mask` keeps all
-other columns.
+overlap base spans or each other. Equal texts get equal rows, repeated rows are repeated, and an empty table gives an empty
+table. Of cuts that score the same, atoms stay outside, else the segment that begins first is taken; of kinds the first. Regions have no
+bound, so very long texts lose nothing: the programme goes over the whole of one, with the features of the segments of
+MAX_REGION atoms in memory at a time. What bounds a segment are its kinds: MAX_ATOMS atoms, one line, and, but for e-mail
+addresses, MAX_DIGITS digits, which no card or phone number has. Training windows are those of under WINDOW characters, of
+SAMPLE documents at most. Only id and text are read by `find`; `mask` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -46,7 +49,9 @@ DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]", re.I)
 ATOM = re.compile(r"\s+|[A-Za-zÀ-ɏ]+|[0-9]+|[^\sA-Za-zÀ-ɏ0-9]")
 MAX_ATOMS, MAX_REGION, CONTEXT = 20, 400, 3
-SAMPLE = 1000
+MAX_DIGITS = 24
+#: Documents that training takes windows from, at most; characters of a window.
+SAMPLE, WINDOW = 1000, 200
 CUES = {"phone": re.compile(r"(?:phone|tel|call|mobile|fax|cell|telefon|téléphone|teléfono)\W*$", re.I), "card": re.compile(r"(?:card|visa|mastercard|amex|karte|carte|tarjeta)\W*$", re.I), "email": re.compile(r"(?:mail|contact|correo|write to)\W*$", re.I), "ip": re.compile(r"(?:ip|host|server|address)\W*$", re.I)}
 EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:[\[(]\s?at\s?[\])]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:[\[(]\s?dot\s?[\])]|\sdot\s|\.)\s?[A-Za-z0-9-]+)+", re.I)
@@ -146,7 +151,7 @@ def lattice(text: str, bounds: list[int]) -> Iterator[tuple[list[tuple[int, int]
             digits, at = 0, False
             for e in range(s + 1, min(s + MAX_ATOMS, n) + 1):
                 piece = text[bounds[e - 1] : bounds[e]]
-                if "\n" in piece or digits > 24 and not at:
+                if "\n" in piece or digits > MAX_DIGITS and not at:
                     break
                 digits += len(piece) if "0" <= piece[0] <= "9" else 0
                 at = at or piece == "@" or piece.lower() == "at"
@@ -313,7 +318,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
             hs, windows, spans = [], [], []
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base = base_spans(t)
-                if base and (found := next(((a, b) for a, b in regions(t) if b - a < 200 and any(a <= s < b for s, _, _ in base)), None)):
+                if base and (found := next(((a, b) for a, b in regions(t) if b - a < WINDOW and any(a <= s < b for s, _, _ in base)), None)):
                     a, b = found
                     hs.append(h)
                     windows.append(t[a:b])

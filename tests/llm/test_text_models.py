@@ -1,6 +1,8 @@
 """Language identification, toxicity and quality: held-out accuracy, and their parts against brute force."""
 
+import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,35 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_of_every_document_against_plain_sums(spark):
+    """The query's rows from its model, text by text and gram by gram."""
+    docs = documents(spark)
+    model = langid.train(docs.where(~langid.held_out(docs.doc_id)))
+
+    def bucket(gram):
+        h = len(gram) * 0x9E3779B1 % 2**32
+        for c in gram:
+            h = (h ^ c) * 0x01000193 % 2**32
+        return ((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 19
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        folded = bytes(c | 32 if chr(c).isalpha() and c < 128 else c if c >= 128 else 32 for c in text.encode())
+        grams = [bucket(folded[i : i + n]) for n in (3, 4) for i in range(len(folded) - n + 1)]
+        z = [(sum(float(model.table[g, k]) for g in grams) / max(1, len(grams)) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        e = [math.exp(x - max(z)) for x in z]
+        return max(zip(e, model.languages), key=lambda x: x[0])[1], max(e) / sum(e)
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = langid.predictions(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        language, score = plain(texts[r.doc_id])
+        assert r.lang_pred == language and abs(r.score - score) < 1e-6
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_language_needs_letters():
     model = langid.Model(["en"], np.zeros((langid.BUCKETS, 1)), np.zeros(1), 1.0, 0.5)
     assert model.predict(pa.array([None, "", "12 !", "a"]))[0] == ["und", "und", "und", "en"]
@@ -63,6 +94,44 @@ def test_quotation_counts_less_than_abuse():
     assert abuse[0] > 0 and abuse[1] > 0 and abuse[2] == 0 and cited[0] == 0 and cited[2] > 0 and cited[3] < abuse[3]
 
 
+def test_toxicity_of_every_document_against_edit_distances(spark):
+    """The query's rows from its model, with each token held against each word of the lexicon."""
+    docs, labels = documents(spark), spark.read.parquet(f"{BIG}/labels.parquet")
+    big = spark.read.parquet(f"{BIG}/documents.parquet")
+    model = toxicity.train(big, labels.where(~toxicity.held_out(labels.doc_id)))
+    seen = {}
+
+    def nearest(word):
+        near = [(distance(word, x), k) for k, x in enumerate(model.words) if abs(len(x) - len(word)) <= 2]
+        return min(((d, k) for d, k in near if d <= toxicity.edits_for(model.words[k])), default=None)
+
+    class Plain(dict):
+        def __missing__(self, token):
+            if token not in seen:
+                word = toxicity.stripped(token)
+                m = nearest(word) if word else None
+                folded = word.translate(toxicity.LOOKALIKE)
+                if word and m is None and folded != word and any(c.isalpha() for c in word):
+                    m = nearest(folded)
+                    m = m and (m[0] + 1, m[1])
+                seen[token] = None if m is None or (m[0] and word in model.clean) else (*m, model.weights[m[1]] / (1 + 0.5 * m[0]))
+            return seen[token]
+
+    sample = docs.collect()
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs, model).collect()}
+    assert len(got) == len(sample) and any(p for _, p in got.values()) and len(model.words) > 3
+    for r in sample:
+        z = model.intercept + sum(c * x for c, x in zip(model.coefficients, toxicity.describe(r.text or "", Plain())))
+        score = 1 / (1 + math.exp(-z))
+        assert abs(got[r.doc_id][0] - score) < 1e-9 and got[r.doc_id][1] == (got[r.doc_id][0] >= 0.5)
+
+
+def test_long_tokens_are_walked():
+    table = toxicity.TokenTable(toxicity.Model(["disgusting" * 5], [1.0]))
+    word = "disgusting" * 5
+    assert table[word][0] == 0 and table[word[:20] + "x" + word[20:]][0] == 1 and table["y" * 100_000] is None and len(table) == 0
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
     truth = {r.doc_id: r.toxic for r in labels.collect()}
@@ -80,6 +149,29 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.93
 
 
+def test_quality_of_every_document_against_plain_sums(spark):
+    """The query's rows from its model: cosines one by one, and the calibration's lines by hand."""
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    stats = quality.statistics(docs.selectExpr("doc_id as key", "text"))
+    marked = labels.selectExpr("doc_id as key", "cast(quality as int) as y").where("y is not null")
+    model = quality.train(marked.where(~quality.held_out(marked.key)).join(stats, "key").select("key", "y", "stats"))
+    f = model.fourier
+
+    def plain(s):
+        z = [min(6.0, max(-6.0, (a - m) / d)) for a, m, d in zip(s, f.mean, f.scale)]
+        raw = sum(math.cos(sum(a * f.directions[i, k] for i, a in enumerate(z)) + f.phases[k]) * math.sqrt(2 / f.width) * model.weights[k] for k in range(f.width)) + model.weights[-1]
+        if raw <= model.x[0] or raw >= model.x[-1]:
+            return float(model.y[0] if raw <= model.x[0] else model.y[-1])
+        i = int(np.searchsorted(model.x, raw, "right"))
+        return float(model.y[i - 1] + (raw - model.x[i - 1]) * (model.y[i] - model.y[i - 1]) / (model.x[i] - model.x[i - 1]))
+
+    of = {r.key: r.stats for r in stats.collect()}
+    got = quality.predictions(docs, labels).collect()
+    assert len(got) == len(of)
+    for r in got:
+        assert abs(r.score - plain(of[r.doc_id])) < 1e-6 and r.predicted == (r.score >= 0.7)
+
+
 def test_isotonic_is_monotone_and_keeps_sums():
     rng = np.random.default_rng(3)
     x, n = rng.normal(size=200), rng.integers(1, 9, 200)
