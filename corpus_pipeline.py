@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents; the last returns each document's ids.
+
+Defined results of all stages: an empty table gives an empty table; very long texts are judged whole; extra columns pass
+through, but for those that the last stage adds, which take the place of columns of their name. Null and empty texts are
+clean: no stage drops them (equal rows of one id are one for the near duplicates), masking leaves them as they are, and
+they have no ids. Toxicity and benchmark leaks are judged row by row, so repeated rows fare alike, and rows with a
+null id as others do. Equal scores fare alike.
 """
 
 from __future__ import annotations
