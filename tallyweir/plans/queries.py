@@ -837,6 +837,11 @@ def monte_carlo_capdumps(spark, sf_dir):
     return evaluate.nearest_rank(catalog.replicates(events(spark, sf_dir), 5, SMALL), "full_flows")
 
 
+@query()
+def monte_carlo_1000(spark, sf_dir):
+    return evaluate.nearest_rank(catalog.replicates(events(spark, sf_dir), 1000, SMALL), "full_flows")
+
+
 # ---- models -----------------------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.policies import duel, probes, single
 from tallyweir.policies.engine import Settings, dealt, fold_runs, simulate
+from tallyweir.policies.replicates import capped_runs
 
 POLICIES = {
     "drop_challenger": single.DropChallenger,
@@ -38,7 +39,9 @@ def run(packets: DataFrame, policy: str, settings: Settings | None = None, **opt
 def replicates(packets: DataFrame, runs: int, settings: Settings, policy: str = "random_replicate") -> DataFrame:
     """(run, full_flows): flows that reach the cap in each of several runs with seeds of their own."""
     own = replace(settings, policy=policy)
-    counts = dealt(packets, POLICIES[policy], own).mapInArrow(fold_runs(POLICIES[policy], own, runs), "run long, name string, value long")
+    together = policy == "random_replicate" and own.rng == "counter"  # all runs in one step
+    fold = capped_runs(own, runs) if together else fold_runs(POLICIES[policy], own, runs)
+    counts = dealt(packets, POLICIES[policy], own).mapInArrow(fold, "run long, name string, value long")
     out = counts.where("name = 'flows_cap'").groupBy("run").agg(F.sum("value").alias("full_flows"))
     n = packets.sparkSession.range(runs).withColumnRenamed("id", "run")
     return n.join(out, "run", "left").fillna(0)

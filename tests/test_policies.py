@@ -129,6 +129,14 @@ def test_many_replicates_are_one_simulation(spark):
         assert r[k] == catalog.run(packets, "random_replicate", settings, seed=settings.seed + k).where("kind = 'flow' and end_reason = 'cap'").count()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_together_are_runs_alone(spark, seed):
+    packets, settings = frame(spark, trace(20 + seed)), Settings(buckets=2, cap=3, idle=4, seed=seed)
+    r = {x.run: x.full_flows for x in catalog.replicates(packets, 40, settings).collect()}
+    alone = [catalog.run(packets, "random_replicate", settings, seed=seed + k).where("kind = 'flow' and end_reason = 'cap'").count() for k in range(0, 40, 5)]
+    assert [r[k] for k in range(0, 40, 5)] == alone and len(set(r.values())) > 3
+
+
 def test_draws():
     x = Xorshift32(0)
     assert [x.draw() for _ in range(3)] == [270369, 67634689, 2647435461]

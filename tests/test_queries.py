@@ -93,6 +93,13 @@ def test_statistics_of_every_policy_add_up(spark):
         assert counts[policy]["collisions"] >= counts[policy].get("challenger_wins", 0) + counts[policy].get("incumbent_wins", 0) > 0
 
 
+def test_the_first_of_a_thousand_runs_are_the_five(spark):
+    settings = queries.SMALL
+    runs = queries.catalog.replicates(queries.events(spark, SF), 1000, settings).orderBy("run").collect()
+    assert len(runs) == 1000 and [r.full_flows for r in runs[:5]] == [r.full_flows for r in queries.catalog.replicates(queries.events(spark, SF), 5, settings).orderBy("run").collect()]
+    assert QUERIES["monte_carlo_1000"](spark, SF).first().n == 1000
+
+
 def test_random_merge_is_ordered_and_whole(spark):
     got = [(r.out_us, r.session_no, r.file_no, r.pkt_no) for r in QUERIES["merge_sessions_random"](spark, SF).collect()]
     assert got == sorted(got) and len(got) == spark.read.parquet(f"{SF}/orders.parquet").count()
