@@ -33,15 +33,20 @@ def balanced(rows: DataFrame) -> DataFrame:
 
 def logistic(n: int) -> Pipeline:
     names = feature_names(n)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="vector", withMean=True), LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=200)])
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="vector", withMean=True), LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=2000)])
 
 
 def forest(n: int, trees: int = 400, depth: int = 30) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=feature_names(n), outputCol="vector"), RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=7)])
+    return Pipeline(stages=[VectorAssembler(inputCols=feature_names(n), outputCol="vector"), RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=7, cacheNodeIds=True, maxMemoryInMB=1024)])
 
 
 def train(rows: DataFrame, pipeline: Pipeline) -> PipelineModel:
-    return pipeline.fit(balanced(rows.fillna(0.0)))
+    """A fitted pipeline. The rows are kept while it fits, as each of its passes reads them; a lost part is made again."""
+    kept = rows.fillna(0.0).persist()
+    try:
+        return pipeline.fit(balanced(kept))
+    finally:
+        kept.unpersist()
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
