@@ -50,6 +50,8 @@ PIECE, PLACE_BITS = 1 << 19, 20
 BYTES_PER_SLOT, RECORDS_PER_BUCKET = 8 << 20, 250_000
 #: Records, and bytes of their texts, that are compared with each other before they are dealt out.
 RECORDS_HELD, BYTES_HELD = 300_000, 24 << 20
+#: Windows whose suffixes are sorted at once.
+WINDOWS_HELD = 400_000
 #: Contents of one owner beyond which its strings are dealt one by one.
 MANY_CONTENTS = 4096
 NO_ID = -(1 << 63)
@@ -407,37 +409,60 @@ def contexts(by_document: DataFrame, requests: DataFrame, length: int, buckets:
     return by_document.groupBy("slot").cogroup(requests.groupBy("slot")).applyInArrow(run, ROW)
 
 
+def later_occurrences(ids: np.ndarray, crc: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, use: np.ndarray, flat: np.ndarray, length: int) -> list[np.ndarray]:
+    """(id, crc32, start, bytes) of all occurrences but the earliest of the maximal repeats among contexts; one owner's meet."""
+    offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    windows = np.where(use == WINDOWS, size - length + 1, 1).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(windows)])
+    number = np.repeat(np.arange(len(size)), windows)
+    places = offsets[number] + np.arange(first[-1]) - first[number]
+    # the order of the places by id, text and start; one place has one rank
+    at = start[number] + (places - offsets[number])
+    order = np.lexsort((at, crc[number], ids[number]))
+    k = number[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[k][1:] != ids[k][:-1]) | (crc[k][1:] != crc[k][:-1]) | (at[order][1:] != at[order][:-1])
+    rank = np.zeros(len(flat), np.int32)
+    rank[places[order]] = np.cumsum(new)
+    del order, k, new, at
+    gone_at, gone_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for n, found in maximal_repeats(flat, offsets, length, places, np.unique(owner, return_inverse=True)[1][number]):
+        r = rank[found]
+        later = found[r != r.min()]
+        gone_at.append(later)
+        gone_n.append(np.full(len(later), n, np.int32))
+    at, n = np.concatenate(gone_at), np.concatenate(gone_n)
+    # of one start, the longest removal covers the others
+    order = np.lexsort((-n, at))
+    keep = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])] if len(order) else order
+    k = np.searchsorted(offsets, at[keep], "right") - 1
+    return [ids[k], crc[k], (start[k] + (at[keep] - offsets[k])).astype(np.int32), n[keep]]
+
+
 def repeat_removals(contents: DataFrame, length: int, slots: int) -> DataFrame:
-    """kind 1: the later occurrences of the maximal repeats among the contexts of each bucket."""
+    """kind 1: the later occurrences of the maximal repeats among the contexts of each bucket; so many windows at once, at ends of owners."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
-        ids, crc, start, size, owner, use, flat = unpacked(got.column("payload").to_pylist(), *CONTEXT)
+        *columns, flat = unpacked(got.column("payload").to_pylist(), *CONTEXT)
+        size, owner, use = columns[3:6]
         offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        windows = np.where(use == WINDOWS, size - length + 1, 1).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(windows)])
-        number = np.repeat(np.arange(len(size)), windows)
-        places = offsets[number] + np.arange(first[-1]) - first[number]
-        _, group = np.unique(owner, return_inverse=True)
-        gone_at, gone_n = [], []
-        rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((start, crc, ids))] = np.arange(len(ids))
-        for n, found in maximal_repeats(flat, offsets, length, places, group[number]):
-            k = np.searchsorted(offsets, found, "right") - 1
-            at = start[k].astype(np.int64) + (found - offsets[k])
-            # the earliest: by id, text and start of the occurrence
-            order = np.lexsort((at, crc[k], ids[k]))
-            later = order[1:][(ids[k][order[1:]] != ids[k][order[0]]) | (crc[k][order[1:]] != crc[k][order[0]]) | (at[order[1:]] != at[order[0]])]
-            gone_at.append(found[later])
-            gone_n.append(np.full(len(later), n, np.int32))
-        if not gone_at:
-            return rows_of([])
-        at, n = np.concatenate(gone_at), np.concatenate(gone_n)
-        k = np.searchsorted(offsets, at, "right") - 1
-        where = (start[k] + (at - offsets[k])).astype(np.int32)
-        # of one start, the longest removal covers the others
-        order = np.lexsort((-n, at))
-        keep = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])]
-        return rows_of(dealt_rows(1, spark_slot(ids[k][keep], slots), [ids[k][keep], crc[k][keep], where[keep], n[keep]]))
+        order = np.argsort(owner, kind="stable")
+        o = owner[order]
+        windows = np.cumsum(np.where(use == WINDOWS, size - length + 1, 1).astype(np.int64)[order])
+        ends = np.append(np.flatnonzero(o[1:] != o[:-1]) + 1, len(o))
+        made, a = [], 0
+        while a < len(o):
+            limit = (windows[a - 1] if a else 0) + WINDOWS_HELD
+            fit = ends[(ends > a) & (windows[ends - 1] <= limit)]
+            b = int(fit[-1]) if len(fit) else int(ends[ends > a][0])
+            k = order[a:b]
+            local = np.cumsum(size[k], dtype=np.int64)
+            part = flat[np.repeat(offsets[k] - local + size[k], size[k]) + np.arange(local[-1])]
+            gone = later_occurrences(*(c[k] for c in columns), part, length)
+            made += dealt_rows(1, spark_slot(gone[0], slots), gone)
+            a = b
+        trim()
+        return rows_of(made)
 
     return contents.groupBy("slot").applyInArrow(run, ROW)
 
@@ -488,8 +513,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     buckets, slots = max(2 * parts, records_expected // RECORDS_PER_BUCKET), max(2 * parts, size // BYTES_PER_SLOT)
     first = cut(settled(deal(rows, length, buckets, slots), slots), "removals")
     by_document = rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int"))
-    # fewer buckets for the contexts, which are a part of all records: a payload of each slot goes to each bucket
-    contents = contexts(by_document, first.where("kind = 2").select("slot", "payload"), length, buckets // 2)
+    contents = contexts(by_document, first.where("kind = 2").select("slot", "payload"), length, buckets)
     later = repeat_removals(contents, length, slots)
     removals = first.where("kind = 1").select("slot", "payload").union(later.select("slot", "payload"))
     return _finished(by_document, removals, "long", with_bytes).withColumnRenamed("key", key)

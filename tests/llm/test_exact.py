@@ -125,6 +125,7 @@ def repeat_rows(rng):
 @pytest.mark.parametrize(("length", "many"), [(100, 4096), (100, 2), (32, 3), (24, 4096)])
 def test_removed_bytes(spark, monkeypatch, length, many):
     monkeypatch.setattr(repeats, "MANY_CONTENTS", many)
+    monkeypatch.setattr(repeats, "WINDOWS_HELD", 50 if many == 2 else 5000)
     rows = repeat_rows(random.Random(length + many))
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(5)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs, length=length).collect()}
