@@ -33,7 +33,7 @@ TABLE_ENTRIES, LONGEST_KEPT = 20_000, 64
 #: Bytes of words that go to the library side by side: its time grows faster than their number.
 SIDE_BY_SIDE = 1 << 13
 #: Bytes of text in a batch that has a table of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 SPACE = 32
 
 
