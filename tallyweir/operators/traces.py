@@ -60,7 +60,7 @@ def one_trace(packets: DataFrame) -> DataFrame:
     """Packets of several files as one trace: pkt_no orders over files, by name, and in each by place; file_no is the name's place."""
     names = packets.select("file").distinct()  # one row a file
     numbered = names.withColumn("file_no", (F.row_number().over(Window.orderBy("file")) - 1).cast("int"))
-    return packets.join(F.broadcast(numbered), "file").withColumn("pkt_no", F.shiftleft(F.col("file_no").cast("long"), 40) + F.col("pkt_no"))
+    return packets.join(numbered, "file").withColumn("pkt_no", F.shiftleft(F.col("file_no").cast("long"), 40) + F.col("pkt_no"))
 
 
 def merged_dynamic(packets: DataFrame, sessions: int, starts: list[int] | None = None, seed: int | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def rewrite_files(packets: DataFrame, prefix: int, bits: int, first_target: int,
         n = F.col(c)
         return F.when(n - n.bitwiseAND(low) == F.lit(prefix & ~low), F.col("target") - F.col("target").bitwiseAND(kept) + n.bitwiseAND(kept)).otherwise(n).alias(c)
 
-    joined = packets.join(F.broadcast(targets), "file")
+    joined = packets.join(targets, "file")
     return joined.select(*[moved(c) if c in ("src_ip_n", "dst_ip_n") else c for c in packets.columns], "target")
 
 

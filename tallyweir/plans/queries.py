@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +16,7 @@ from tallyweir.operators import evaluate, features, flows, groundtruth, learning
 from tallyweir.policies import catalog
 from tallyweir.policies.engine import Settings, collisions_of, counts_of, flows_of, noted
 from tallyweir.schema import KEY
-from tallyweir.sources import adapters, training
+from tallyweir.sources import adapters, capture, training
 from tallyweir.streaming import jobs
 
 #: The event tables' time scale is days: quiet times that end sessions, and small tables for policies.
@@ -615,7 +618,7 @@ def _draws_sql(seed: int) -> str:
 def _slots_sql(name: str, asks: str, hits: str = "false", shared: bool = False, pure: bool = False, gate: bool = True, before: bool = False, after: bool = False, wins: str = "false", at_cap: bool = True, seed: int | None = None, give: str = "flows", counted: str = "") -> str:
     """A policy of one slot per bucket as a recursion over each bucket's packets.
 
-    give: the flows, the log of its collisions, or its counts; counted: the names and conditions of those that it has.
+    give: the flows, those that end before the trace does, the log of its collisions, or its counts; counted: the names and conditions of those that it has.
 
     asks: whether a packet of another flow may contend, which uses a draw. hits: whether it takes over. before, after:
     whether the once-only gate is asked before the draw, or after it. wins: when the incumbent scores.
@@ -657,6 +660,8 @@ ends AS (SELECT shard, bucket, emitted AS e FROM s WHERE emitted IS NOT NULL
     if give == "counts":
         return f"""{steps}, every AS (SELECT unnest(did) AS name FROM s UNION ALL SELECT 'packets' FROM q UNION ALL SELECT 'flows_' || e.reason FROM ends)
 SELECT '{name}' AS policy, name, count(*) AS value FROM every WHERE name IS NOT NULL GROUP BY name"""
+    if give == "during":
+        steps = steps.replace("FROM s WHERE key IS NOT NULL AND rn", "FROM s WHERE false AND rn")
     return f"""{steps}
 SELECT '{name}' AS policy, bucket, e.key.ip1 AS ip1, e.key.port1::INTEGER AS port1, e.key.ip2 AS ip2, e.key.port2::INTEGER AS port2, e.key.proto::INTEGER AS proto, e.ts[1] AS first_ts_us, len(e.ts) AS count, e.wins AS wins, e.total AS total, e.reason AS end_reason, 'main' AS in_table,
   array_to_string(list_transform(e.ts, lambda t: t - e.ts[1]), ' ') AS offsets_us, array_to_string(e.lens, ' ') AS lengths FROM ends"""
@@ -880,6 +885,137 @@ def table_occupancy(spark, sf_dir):
     return sinks.occupied(flows_of(catalog.run(events(spark, sf_dir), "fcfs", SMALL)), ((span.a or 0) + (span.b or 0)) // 2)
 
 
+# ---- sources and sinks: what is written is read again -------------------------------------------------------------------
+
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def _delete_folders() -> None:
+    for spark, path in _FOLDERS:
+        if spark.sparkContext._jsc is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _FOLDERS.clear()
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors see, which goes when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: what one machine writes others could not read")
+        shared = f"file://{tempfile.gettempdir()}/tallyweir-written"
+    if not _FOLDERS:
+        atexit.register(_delete_folders)
+    _FOLDERS.append((spark, f"{shared.rstrip('/')}/written-{uuid.uuid4().hex}"))
+    return _FOLDERS[-1][1]
+
+
+def _captures(spark, sf_dir, files: int = 4, **options) -> DataFrame:
+    """The event trace as captures of so many files, each a run of the trace, read again."""
+    capture.register(spark)
+    path = _folder(spark)
+    p = events(spark, sf_dir).withColumns({"tcp_seq": F.lit(None).cast("long"), "tcp_ack": F.lit(None).cast("long")})
+    p.repartitionByRange(files, "pkt_no").sortWithinPartitions("pkt_no").write.format("capture").mode("append").save(path)
+    return spark.read.format("capture").options(**options).load(path)
+
+
+@query(f"WITH {EVENTS} SELECT ts_us, src_ip_n, dst_ip_n, src_port, dst_port, proto, ip_len, tcp_flags FROM packets")
+def capture_round_trip(spark, sf_dir):
+    return _captures(spark, sf_dir).select("ts_us", "src_ip_n", "dst_ip_n", "src_port", "dst_port", "proto", "ip_len", "tcp_flags")
+
+
+@query(f"WITH {EVENTS}, n AS (SELECT {K}, ip_len, row_number() OVER (PARTITION BY {K} ORDER BY pkt_no) AS n FROM canon) SELECT {K}, ip_len, n FROM n WHERE n <= 5")
+def capture_trace_order(spark, sf_dir):
+    # the first packets of each flow over several files as one trace
+    t = keys.canon_numeric(traces.one_trace(_captures(spark, sf_dir)))
+    return t.withColumn("n", F.row_number().over(sessions.by_flow())).where("n <= 5").select(*KEY, "ip_len", F.col("n").cast("long").alias("n"))
+
+
+@query(f"WITH {EVENTS} SELECT count(*) AS packets, sum(ip_len)::BIGINT AS bytes, count(DISTINCT ({K})) AS flows, sum(CASE WHEN proto = 6 THEN 1 ELSE 0 END)::BIGINT AS tcp_packets, sum(CASE WHEN proto = 17 THEN 1 ELSE 0 END)::BIGINT AS udp_packets FROM canon")
+def capture_totals(spark, sf_dir):
+    # files in ranges of bytes, with a row for frames that do not decode
+    return flows.totals(_captures(spark, sf_dir, splitbytes=1 << 16, frames="all", onelinktype="true", suffix=".pcap"))
+
+
+def _lines_of(spark, write) -> str:
+    """The folder of what `write` has written."""
+    path = _folder(spark)
+    write(path)
+    return path
+
+
+@query(f"SELECT CASE WHEN proto = 17 THEN 'UDP' ELSE 'TCP' END AS protocol, line FROM ({SQL['flow_csv_lines']})")
+def sink_vector_files(spark, sf_dir):
+    path = _lines_of(spark, lambda p: sinks.vector_files(_records(spark, sf_dir), p, CAP))
+    return spark.read.text(path).select("protocol", F.col("value").alias("line"))
+
+
+@query(f"WITH {EVENTS} SELECT {ip('ip1')} AS src_ip, port1 AS src_port, {ip('ip2')} AS dst_ip, port2 AS dst_port, proto, count(*) AS packets FROM canon GROUP BY {K}")
+def sink_count_files(spark, sf_dir):
+    path = _lines_of(spark, lambda p: sinks.count_files(flows.packet_counts(canon(spark, sf_dir)), p))
+    return spark.read.option("header", True).schema("src_ip string, src_port int, dst_ip string, dst_port int, proto int, packets long").csv(path)
+
+
+@query(
+    f"""SELECT ts_us, {ip('winner_ip1')} AS winner_ip1, winner_port1, {ip('winner_ip2')} AS winner_ip2, winner_port2, proto AS winner_proto, {ip('loser_ip1')} AS loser_ip1, loser_port1, {ip('loser_ip2')} AS loser_ip2, loser_port2, proto AS loser_proto,
+  winner_was_incumbent, winner_pkts, loser_pkts, winner_ge40, loser_ge40 FROM ({SQL['collision_log']})"""
+)
+def sink_collision_files(spark, sf_dir):
+    path = _lines_of(spark, lambda p: sinks.collision_files(collision_log(spark, sf_dir), p))
+    side = "{0}_ip1 string, {0}_port1 int, {0}_ip2 string, {0}_port2 int, {0}_proto int"
+    return spark.read.option("header", True).schema(f"ts_us long, {side.format('winner')}, {side.format('loser')}, winner_was_incumbent int, winner_pkts long, loser_pkts long, winner_ge40 int, loser_ge40 int").csv(path)
+
+
+@query(f"SELECT * REPLACE ({ip('ip1')} AS ip1, {ip('ip2')} AS ip2) FROM ({SQL['collision_summary']})")
+def sink_summary_files(spark, sf_dir):
+    path = _lines_of(spark, lambda p: sinks.summary_files(collision_summary(spark, sf_dir), p, timing=True))
+    return spark.read.option("header", True).schema(f"ip1 string, port1 int, ip2 string, port2 int, proto int, pkts long, ge40 int, collisions long, wins long, losses long, {', '.join(f'{c} long' for c in sinks.TIMING)}").csv(path)
+
+
+@query(f"SELECT cli_ip, srv_ip, cli_port, srv_port, proto, count, offsets_us, lengths FROM ({SQL['flow_messages_read']})")
+def sink_json_files(spark, sf_dir):
+    path = _lines_of(spark, lambda p: sinks.json_files(_records(spark, sf_dir), p))
+    return spark.read.schema("cli_ip string, srv_ip string, cli_port int, srv_port int, proto string, count int, ts array<double>, len array<int>").json(path).select("cli_ip", "srv_ip", "cli_port", "srv_port", "proto", "count", *_us())
+
+
+@query(
+    f"""SELECT in_table, {ip('ip1')} || port1::VARCHAR || {ip('ip2')} || port2::VARCHAR || CASE WHEN proto = 17 THEN 'UDP' ELSE 'TCP' END AS flowid, total AS count_total,
+  '[' || array_to_string(list_transform(list_zip(string_split(offsets_us, ' '), string_split(lengths, ' ')), lambda x: '(' || printf('%.6f', (CASE WHEN x[2]::BIGINT < 0 THEN -(x[1]::BIGINT) ELSE x[1]::BIGINT END) / 1e6) || ', ' || printf('%.1f', x[2]::DOUBLE) || ')'), ', ') || ']' AS features
+FROM ({SQL['policy_duel_revised']})"""
+)
+def sink_table_files(spark, sf_dir):
+    path = _lines_of(spark, lambda p: sinks.table_files(flows_of(catalog.run(events(spark, sf_dir), "duel_revised", SMALL)), p))
+    return spark.read.option("header", True).schema("flowid string, count_total long, features string, in_table string").csv(path).select("in_table", "flowid", "count_total", "features")
+
+
+@query(f"WITH {EVENTS} SELECT pkt_no, ts_us, proto, ip_len FROM packets")
+def stream_json_sink(spark, sf_dir):
+    path = _folder(spark)
+    packets = _stream(spark, sf_dir)
+    jobs.to_json_sink(packets.select("pkt_no", "ts_us", "proto", "ip_len"), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.schema("pkt_no long, ts_us long, proto int, ip_len int").json(f"{path}/out")
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    """The packets of the event trace as a stream of files, in their order."""
+    path = _folder(spark)
+    adapted = events(spark, sf_dir)
+    third = (adapted.agg(F.max("pkt_no")).first()[0] or 0) // 3 + 1
+    for i in range(3):  # one after the other: a stream takes files by their age
+        adapted.where((F.col("pkt_no") >= i * third) & (F.col("pkt_no") < (i + 1) * third)).coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(adapted.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+@query(f"SELECT bucket, {K}, count, wins, end_reason FROM ({_slots_sql('fcfs', **_SLOT_POLICIES['fcfs'], give='during')})")
+def stream_first_come(spark, sf_dir):
+    # flows that end while the stream runs, of a first-come table kept as state
+    path = _folder(spark)
+    found = jobs.first_come(_stream(spark, sf_dir), SMALL)
+    found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_records(spark, sf_dir)
 
