@@ -20,6 +20,10 @@ from tallyweir.llm.common import cut, table
 from tallyweir.llm.queries import piece_model
 
 
+#: Names of dropped rows that are broadcast, at most.
+BROADCAST_BYTES = 16 << 20
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go. It learns from labels that are not held out."""
     labels = table(spark, sf_dir, "labels")
@@ -34,7 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text")).alias("row"), "text")
     found = ngram_join.near_duplicates(named, "row")
     gone = cut(found.where("row <> component_id and not row.none").select(F.col("row.id").alias("doc_id"), F.col("row.text").alias("_text")).distinct(), "near-duplicates")
-    left = rows.join(gone, ["doc_id", "_text"], "left_anti")
+    size = gone.agg(F.coalesce(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 16), F.lit(0)).alias("bytes")).first().bytes
+    # names of rows that are few go to the texts; beyond that, texts are dealt by their rows' names
+    left = rows.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, ["doc_id", "_text"], "left_anti")
     twice = left.where("doc_id is not null").groupBy("doc_id", "_text").count().where("count > 1").limit(1).count()
     if twice:
         # rows without an id are dealt by their text
