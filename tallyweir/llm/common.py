@@ -179,7 +179,8 @@ def cut(df: DataFrame, name: str, by: str | None = None, keep: bool = False) ->
     if _SCOPES and not keep:
         _SCOPES[-1].append(_WRITTEN[-1])
     if by:
-        df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(named)
+        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own limit
+        df.write.option("path", path).bucketBy(buckets, by).saveAsTable(named)
         return spark.table(named)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
