@@ -58,3 +58,10 @@ def test_rows_of_one_id_with_different_texts(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     want = [(0, b), (1, a), (5, c), (5, d), (6, ""), (6, None), (None, a), (None, d)]
     assert sorted(map(str, kept)) == sorted(map(str, want))
+
+
+def test_many_near_duplicates_go_as_few_do(spark, edge, monkeypatch):
+    docs = documents(spark).unionByName(edge)
+    few = sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()))
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())) == few
