@@ -58,7 +58,7 @@ TOKENS_HELD = 1_000_000
 #: Sets of a run at most, as their numbers have 16 bits.
 SETS_HELD = 1 << 16
 #: Of a tile: hubs; other sets, and their n-grams, before it is split. N-grams of a component's part.
-TILE_HUBS, TILE_OTHERS, TILE_TOKENS, PART_TOKENS = 500, 5_000, 2_000_000, 1_000_000
+TILE_HUBS, TILE_OTHERS, TILE_TOKENS, PART_TOKENS = 500, 5_000, 2_000_000, 100_000
 #: Names that two sets have, at most; ten thousand million sets have three.
 COLLIDED_MOST = 10_000
 #: Hash seeds of the global orders.
@@ -373,12 +373,13 @@ def verified(pairs: DataFrame, live: DataFrame, n_live: int, percent: int) -> Da
     marks = lambda name: live.select(F.col("sig").alias(name), F.col("marks").alias(f"marks_{name}"))
     every = [F.arrays_overlap(F.col("marks_a")[k], F.col("marks_b")[k]) for k in range(len(ORDERS) - 1)]
     pairs = cut(pairs, "pairs")
-    hubs = cut(pairs.select("a").distinct().join(marks("a"), "a"), "hubs")  # a hub of many pairs is then a join's hot key, which Spark splits
+    # few files of small tables: a bucketed scan has a task for each bucket
+    hubs = cut(pairs.select("a").distinct().join(marks("a"), "a").hint("rebalance"), "hubs")  # a hub of many pairs is then a join's hot key, which Spark splits
     met = pairs.join(marks("b"), "b").join(hubs, "a")
     for meets in every:
         met = met.where(meets)
     tile = F.pmod(F.xxhash64("a"), F.lit(max(1, n_live // TILE_HUBS)))
-    met = cut(met.select("a", "b", "na", "nb", tile.alias("tile")), "candidates")
+    met = cut(met.select("a", "b", "na", "nb", tile.alias("tile")).hint("rebalance"), "candidates")
     # a tile of many others is split by them, so that a hub goes to few of its parts
     chunks = cut(met.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / TILE_OTHERS, F.sum("nb") / TILE_TOKENS)).alias("chunks")), "tiles")
     tiled = met.join(chunks, "tile").select("a", "b", "tile", F.pmod(F.xxhash64("b", F.lit(1)), F.col("chunks")).alias("chunk"))
