@@ -55,7 +55,8 @@ def flows(parsed: DataFrame) -> DataFrame:
 
 
 def lines_of(packets: DataFrame) -> DataFrame:
-    """Training lines, one per direction of each flow: the inverse of `parse`."""
+    """Training lines, one per direction of each flow: the inverse of `parse`. Blank cells follow the size of a single packet,
+    as lines of under FEWEST cells are not read."""
     from tallyweir.functions.keys import ip_text
 
     held = F.sort_array(F.collect_list(F.struct("ts_us", "turn", "ip_len")))
@@ -63,4 +64,6 @@ def lines_of(packets: DataFrame) -> DataFrame:
     cells = F.array(F.lit("label"), ip_text(F.col("src_ip_n")), F.col("src_port").cast("string"), ip_text(F.col("dst_ip_n")), F.col("dst_port").cast("string"), F.lit("UDP"))
     ts = F.transform("h", lambda x: F.format_string("%.6f", x["ts_us"] / F.lit(1e6)))
     sizes = F.transform("h", lambda x: x["ip_len"].cast("string"))
-    return g.select(F.lit("trace.csv").alias("group"), F.array_join(F.concat(cells, ts, F.array(F.lit("")), sizes), ",").alias("line"))
+    g = g.withColumn("cells", F.concat(cells, ts, F.array(F.lit("")), sizes))
+    filled = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.lit(0), FEWEST - F.size("cells"))))
+    return g.select(F.lit("trace.csv").alias("group"), F.array_join(filled, ",").alias("line"))

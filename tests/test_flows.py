@@ -234,6 +234,14 @@ def test_training_lines(spark):
     assert got == {("10.0.0.1", 80, "10.0.0.2", 5): [(1.5, 100.0), (2.0, -50.0), (2.5, 200.0)], ("::1", 1, "fe80::2", 2): [(1.0, 9.0), (2.0, 8.0)]}
 
 
+def test_training_lines_of_single_packets(spark):
+    one, other, third = 0x0A000001, 0x0A000002, 0x0A000009
+    rows = [udp(0, 0, True, one, b=other, size=60), udp(1, 5, False, one, b=other, size=70), udp(2, 7, False, one, b=other, size=80), udp(3, 9, False, third, b=other, size=90)]
+    lines = training.lines_of(packets(spark, rows).withColumn("turn", F.col("pkt_no")))
+    got = {r.ip1: (r.packets, list(zip(r.ts, r["size"]))) for r in training.flows(training.parse(lines)).collect()}
+    assert got == {"10.0.0.1": (3, [(0.0, 60.0), (5.0, 70.0), (7.0, 80.0)]), "10.0.0.2": (1, [(9.0, 90.0)])}
+
+
 def test_training_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.csv", "sub/b.csv", "c_labeled.csv", "d_with_domain_name.csv", "e.txt"):
