@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.operators.evaluate import areas, confusion
 from tallyweir.operators.features import feature_names
+from tallyweir.operators.forest import Forest
 from tallyweir.schema import KEY
 
 
@@ -37,7 +38,7 @@ def logistic(n: int) -> Pipeline:
 
 
 def forest(n: int, trees: int = 400, depth: int = 30) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=feature_names(n), outputCol="vector"), RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=7, cacheNodeIds=True, maxMemoryInMB=1024)])
+    return Pipeline(stages=[VectorAssembler(inputCols=feature_names(n), outputCol="vector"), Forest(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=7)])
 
 
 def train(rows: DataFrame, pipeline: Pipeline) -> PipelineModel:
