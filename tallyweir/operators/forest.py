@@ -2,7 +2,7 @@
 
 A tree is grown level by level on arrays over all rows of the level, so that deep trees of small leaves cost what their rows
 cost. Neither rows nor trees come to the driver: rows go to the tasks in blocks, trees stay on the executors' disks, and rows to
-be scored go to the trees. The same rows give the same trees, however they are dealt.
+be scored go to the trees. The same bins of rows give the same trees, however the rows are dealt.
 """
 
 from __future__ import annotations
